@@ -58,7 +58,11 @@ def extract_selected(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def parse(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
-    """Adds ``items`` (records, NULL if rejected), ``reason``, ``snippet`` and maybe ``root``."""
+    """Adds ``items`` (records, NULL if rejected), ``reason``, ``snippet`` and maybe ``root``.
+
+    Callers must not filter on these columns before they explode: such a filter is pushed below
+    the parse, which then runs again for every mention of its result.
+    """
     # Wrapped in a list, so junk behind a complete document no longer parses.
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("payload"), F.lit("]")))
     whole = payloads.select(*ENVELOPE, "payload", wrapped.alias("_wrapped")).withColumn(
@@ -68,7 +72,7 @@ def parse(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
             F.try_variant_get("_wrapped", "$[0]", "variant"),
         ),
     )
-    items, problem = _items(F.col("root"), data_steps(spec.dataKey))
+    whole, items, problem = _walk(whole, data_steps(spec.dataKey))
     reason = F.when(F.col("root").isNull(), F.lit(BAD_JSON))
     if spec.uses_root:
         reason = reason.when(~_is_object(F.col("root")), F.lit(BAD_ROOT))
@@ -96,8 +100,14 @@ def record_rows(parsed: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def reject_rows(parsed: DataFrame) -> DataFrame:
-    bad = parsed.where(F.col("reason").isNotNull())
-    return bad.select("source", "scrape_id", "window_id", "reason", "snippet")
+    bad = F.when(F.col("reason").isNotNull(), F.array(F.struct("reason", "snippet")))
+    rows = parsed.select("source", "scrape_id", "window_id", F.explode_outer(bad).alias("bad"))
+    return rows.where(F.col("bad").isNotNull()).select("source", "scrape_id", "window_id", "bad.*")
+
+
+def selected_records(rows: DataFrame) -> DataFrame:
+    """The record rows of ``extract_selected``. Tests a column made by the explode."""
+    return rows.where(F.col("record_idx").isNotNull()).drop("reason", "snippet")
 
 
 def typed_records(
@@ -150,41 +160,49 @@ def _present(value: Column) -> Column:
     return value.isNotNull() & ~F.is_variant_null(value)
 
 
-def _items(root: Column, steps: list[DataStep]) -> tuple[Column, Column]:
-    """Records array and the problem text (NULL when the payload fits)."""
+def _walk(df: DataFrame, steps: list[DataStep]) -> tuple[DataFrame, Column, Column]:
+    """Records array and problem text (NULL when the payload fits), on top of ``df``.
+
+    Every step is a column of its own, since the checks mention it several times.
+    """
     if not steps:
-        items = _as_list(root)
-        return items, F.when(items.isNull(), F.lit("expected a list at the payload root"))
+        df = df.withColumn("_list", _as_list(F.col("root")))
+        return df, F.col("_list"), F.when(F.col("_list").isNull(), F.lit("expected a list at the payload root"))
 
     # While no list has been expanded there is one value, and plain steps join into one path.
     parts: list[str] = []
     problems: list[Column] = []
-    value = root
+    value = F.col("root")
     for n, step in enumerate(steps):
         parts.append(step.name)
         if step.selector is None:
             continue
-        value = F.try_variant_get(value, variant_path(parts), "variant")
-        parts = []
+        df = df.withColumn(f"_value{n}", F.try_variant_get(value, variant_path(parts), "variant"))
+        value, parts = F.col(f"_value{n}"), []
         if not isinstance(step.selector, ItemAt):
             fanned = F.when(_present(value), F.array(value)).otherwise(_no_items())
-            many, problem = _select_many(fanned, step)
-            return _finish_many(many, [*problems, problem], steps[n + 1 :])
-        items = _as_list(value)
+            df = df.withColumn("_fanned", fanned)
+            many, problem = _select_many(F.col("_fanned"), step)
+            df = df.withColumn("_many", many)
+            return _finish_many(df, F.col("_many"), [*problems, problem], steps[n + 1 :])
+        df = df.withColumn(f"_list{n}", _as_list(value))
+        items = F.col(f"_list{n}")
         problems.append(F.when(_present(value) & items.isNull(), _not_a_list(step)))
-        value, outside = _item_at(items, step.selector.index), _outside(items, step.selector.index)
-        problems.append(F.when(outside, _no_such_item(step)))
+        problems.append(F.when(_outside(items, step.selector.index), _no_such_item(step)))
+        value = _item_at(items, step.selector.index)
     if parts:
         value = F.try_variant_get(value, variant_path(parts), "variant")
-    items = _as_list(value)
-    single = F.when(_is_object(value), F.array(value))
+    df = df.withColumn("_value", value)
+    value = F.col("_value")
+    df = df.withColumns({"_list": _as_list(value), "_is_object": _is_object(value)})
+    items, single = F.col("_list"), F.when(F.col("_is_object"), F.array(value))
     bad = F.when(
         items.isNotNull(), F.when(F.exists(items, lambda x: ~_is_object(x)), _not_objects())
-    ).when(_present(value) & ~_is_object(value), _no_record())
+    ).when(_present(value) & ~F.col("_is_object"), _no_record())
     # An explicit null picked by an index is a value, and no record.
     if steps[-1].selector is not None:
         bad = bad.when(F.is_variant_null(value), _no_record())
-    return F.coalesce(items, single, _no_items()), F.coalesce(*problems, bad)
+    return df, F.coalesce(items, single, _no_items()), F.coalesce(*problems, bad)
 
 
 def _select_many(values: Column, step: DataStep) -> tuple[Column, Column]:
@@ -205,17 +223,20 @@ def _select_many(values: Column, step: DataStep) -> tuple[Column, Column]:
 
 
 def _finish_many(
-    values: Column, problems: list[Column], steps: list[DataStep]
-) -> tuple[Column, Column]:
-    for step in steps:
-        path = variant_path([step.name])
-        inner = F.transform(values, _getter(path))
-        values, problem = _select_many(F.filter(inner, _present), step)
+    df: DataFrame, values: Column, problems: list[Column], steps: list[DataStep]
+) -> tuple[DataFrame, Column, Column]:
+    for n, step in enumerate(steps):
+        inner = F.transform(values, _getter(variant_path([step.name])))
+        df = df.withColumn(f"_inner{n}", F.filter(inner, _present))
+        chosen, problem = _select_many(F.col(f"_inner{n}"), step)
+        df = df.withColumn(f"_chosen{n}", chosen)
+        values = F.col(f"_chosen{n}")
         problems.append(problem)
     as_lists = F.transform(values, lambda x: F.coalesce(_as_list(x), F.array(x)))
-    items = F.flatten(as_lists)
+    df = df.withColumn("_items", F.coalesce(F.flatten(as_lists), _no_items()))
+    items = F.col("_items")
     bad = F.when(F.exists(items, lambda x: ~_is_object(x)), _not_objects())
-    return F.coalesce(items, _no_items()), F.coalesce(*problems, bad)
+    return df, items, F.coalesce(*problems, bad)
 
 
 def _getter(path: str) -> Callable[[Column], Column]:

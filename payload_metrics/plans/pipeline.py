@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payload_metrics.operators.dedupe import dedupe, dedupe_stats, touches
-from payload_metrics.operators.extract import extract_selected
+from payload_metrics.operators.extract import extract_selected, selected_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
 from payload_metrics.sources.outputs import append_partitioned
@@ -43,7 +43,7 @@ def run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: dat
     """
     mine = payloads.where(F.col("source") == spec.name)
     rows = stage(extract_selected(mine, spec), "records")
-    records = rows.where(F.col("reason").isNull()).drop("reason", "snippet")
+    records = selected_records(rows)
     rejects = rows.where(F.col("reason").isNotNull()).select(
         "source", "scrape_id", "window_id", "reason", "snippet"
     )
@@ -64,7 +64,7 @@ def run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: dat
 def dry_run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: datetime) -> DataFrame:
     """Record counts per source of what a run would emit; writes nothing."""
     rows = extract_selected(payloads.where(F.col("source") == spec.name), spec)
-    kept = dedupe(rows.where(F.col("reason").isNull()), store, spec, int(now.timestamp()))
+    kept = dedupe(selected_records(rows), store, spec, int(now.timestamp()))
     return kept.groupBy("source").agg(F.count("*").alias("records"))
 
 

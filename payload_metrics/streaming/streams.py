@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from payload_metrics.operators.dedupe import KEY, fingerprint, replay, touches
-from payload_metrics.operators.extract import extract_selected
+from payload_metrics.operators.extract import extract_selected, selected_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
 from payload_metrics.sources.outputs import FingerprintLog, write_batch
@@ -23,7 +23,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def stream_records(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
     """Records of a payload stream after filters and cap. Stateless."""
     mine = payloads.where(F.col("source") == spec.name)
-    return extract_selected(mine, spec).where(F.col("reason").isNull()).drop("reason", "snippet")
+    return selected_records(extract_selected(mine, spec))
 
 
 def coarse_dedupe(records: DataFrame, spec: SourceSpec) -> DataFrame:
