@@ -83,7 +83,7 @@ def metric_points(records: DataFrame, spec: SourceSpec, every: str | None = None
     if mapped or len(set(names)) < len(names):
         if records.isStreaming:
             raise ValueError("repeated names and attribute metrics need foreachBatch on a stream")
-        points = _merge(points)
+        points = _merge(points, every is not None)
     return points.select(*POINT_COLUMNS)
 
 
@@ -196,10 +196,12 @@ def _point(
     )
 
 
-def _merge(points: DataFrame) -> DataFrame:
+def _merge(points: DataFrame, windowed: bool) -> DataFrame:
     """Adds up points of one series that came from several rows or readings."""
-    series = ["source", "scrape_id", "ts", "metric", "kind", "unit", "attrs", "bounds"]
-    folded = points.groupBy(*series).agg(
+    window = F.col("ts") if windowed else F.lit(None).cast("timestamp")
+    series = ["source", "scrape_id", "metric", "kind", "unit", "attrs", "bounds"]
+    folded = points.groupBy(*series, window.alias("_window")).agg(
+        F.max("ts").alias("ts"),
         F.when(F.col("kind") == "gauge", F.max_by("value", "order")).otherwise(F.sum("value")).alias("value"),
         F.sum("count").alias("count"),
         F.sum("sum").alias("sum"),
