@@ -1,8 +1,8 @@
 """Delta detection: fingerprints, TTL probe, and upkeep of the fingerprint table.
 
-Fingerprints group on ``(hash, source)`` in that order: the hash is what varies, so sorts and
-hash partitions split even when one source holds most rows. Repeats of one hash are combined
-before the shuffle, so a hash of any frequency reaches its task as one row per map task.
+A hash covers the source name, so records group on the hash alone; sorts and partitions split
+even when one source holds most rows. Repeats of one hash are combined before the shuffle, so a
+hash of any frequency reaches its task as one row per map task.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from payload_metrics.sources.tables import pin_if_few
 from payload_metrics.spec import DEFAULT_MAX_ENTRIES, SourceSpec
 
 FINGERPRINT_SCHEMA = "source string, hash string, first_seen bigint, last_seen bigint, ttl_seconds bigint"
-KEY = ["hash", "source"]
+STORE_KEY = ["hash", "source"]
 
 
 def fingerprint_text(records: DataFrame, spec: SourceSpec) -> Column:
@@ -46,21 +46,22 @@ def live(store: DataFrame, now: int) -> DataFrame:
 
 def first_of_batch(hashed: DataFrame) -> DataFrame:
     """One row per fingerprint: its first record in batch order, and ``n_seen`` records in all."""
-    columns = [c for c in hashed.columns if c not in KEY]
+    columns = [c for c in hashed.columns if c != "hash"]
     order = F.struct("fetched_at", "scrape_id", "record_pos")
-    grouped = hashed.groupBy(*KEY).agg(
+    grouped = hashed.groupBy("hash").agg(
         F.min_by(F.struct(*columns), order).alias("_first"), F.count("*").alias("n_seen")
     )
-    return grouped.select(*KEY, "_first.*", "n_seen")
+    return grouped.select("_first.*", "hash", "n_seen")
 
 
-def unseen(firsts: DataFrame, store: DataFrame, now: int) -> DataFrame:
+def unseen(firsts: DataFrame, store: DataFrame, spec: SourceSpec, now: int) -> DataFrame:
     """Rows whose fingerprint is not live in the store.
 
     No broadcast hint: the store grows with the data, and ``firsts`` is already partitioned
-    on the join keys, so a shuffled join moves only the store.
+    on the hash, so a shuffled join moves only the store.
     """
-    return firsts.join(live(store, now).select(*KEY), KEY, "left_anti")
+    mine = live(store, now).where(F.col("source") == spec.name)
+    return firsts.join(mine.select("hash"), "hash", "left_anti")
 
 
 def dedupe(records: DataFrame, store: DataFrame | None, spec: SourceSpec, now: int) -> DataFrame:
@@ -68,7 +69,7 @@ def dedupe(records: DataFrame, store: DataFrame | None, spec: SourceSpec, now: i
     if not spec.deltaDetection.enabled:
         return records
     firsts = first_of_batch(fingerprint(records, spec))
-    return firsts if store is None else unseen(firsts, store, now)
+    return firsts if store is None else unseen(firsts, store, spec, now)
 
 
 def dedupe_stats(records: DataFrame, kept: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     hash aggregation with map-side combine does it, whatever the number of touches per key.
     """
     both = store.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
-    merged = both.groupBy(*KEY).agg(
+    merged = both.groupBy(*STORE_KEY).agg(
         F.min(F.when(~F.col("_new"), F.col("first_seen"))).alias("_old_first"),
         F.max(F.when(~F.col("_new"), F.col("last_seen") + F.col("ttl_seconds"))).alias("_old_until"),
         F.min(F.when(F.col("_new"), F.col("first_seen"))).alias("_new_first"),
@@ -188,42 +189,39 @@ def replay(hashed: DataFrame, ttl_seconds: int, store: DataFrame | None = None)
     combined first, so a fingerprint has at most one row per second of history, and a sorted
     scan streams those rows with a constant state.
     """
-    second = F.unix_seconds("fetched_at")
-    timed = hashed.withColumn("seen_at", second)
-    columns = [c for c in timed.columns if c not in (*KEY, "seen_at")]
+    timed = hashed.withColumn("seen_at", F.unix_seconds("fetched_at"))
+    key = ["hash", "seen_at"]
+    columns = [c for c in hashed.columns if c != "hash"]
     order = F.struct("fetched_at", "scrape_id", "record_pos")
-    firsts = timed.groupBy(*KEY, "seen_at").agg(F.min_by(F.struct(*columns), order).alias("_first"))
-    moments = timed.select(*KEY, "seen_at", F.lit(False).alias("old"))
+    firsts = timed.groupBy(*key).agg(F.min_by(F.struct(*columns), order).alias("_first"))
+    moments = timed.select(*key, F.lit(False).alias("old"))
     if store is not None:
-        past = store.select(*KEY, F.col("last_seen").alias("seen_at"), F.lit(True).alias("old"))
+        past = store.select("hash", F.col("last_seen").alias("seen_at"), F.lit(True).alias("old"))
         moments = moments.unionByName(past)
-    moments = moments.groupBy(*KEY, "seen_at").agg(F.max("old").alias("old"))
-    scanned = (
-        moments.repartition(*KEY)
-        .sortWithinPartitions(*KEY, "seen_at")
+    moments = moments.groupBy(*key).agg(F.max("old").alias("old"))
+    emitted = (
+        moments.repartition("hash")
+        .sortWithinPartitions(*key)
         .mapInPandas(_emitter(ttl_seconds), moments.schema)
         .where(~F.col("old"))
     )
-    return firsts.join(scanned, [*KEY, "seen_at"], "left_semi").select(*KEY, "_first.*")
+    return firsts.join(emitted, key, "left_semi").select("_first.*", "hash")
 
 
 def _emitter(ttl: int):
-    """Scan of sorted ``(hash, source, seen_at)`` batches; remembers only the last emission."""
+    """Scan of sorted ``(hash, seen_at)`` batches; remembers only the last emission."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key, last_time = None, 0
         for batch in batches:
             if batch.empty:
                 continue
-            hashes, sources = batch["hash"].to_numpy(), batch["source"].to_numpy()
-            times = batch["seen_at"].to_numpy()
-            changed = (hashes[1:] != hashes[:-1]) | (sources[1:] != sources[:-1])
-            starts = np.concatenate(([0], np.flatnonzero(changed) + 1))
+            hashes, times = batch["hash"].to_numpy(), batch["seen_at"].to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1))
             ends = np.append(starts[1:], len(times))
             keep = []
             for start, end in zip(starts, ends):
-                key = (hashes[start], sources[start])
-                at = start
+                at, key = start, hashes[start]
                 if key == last_key:
                     at = start + np.searchsorted(times[start:end], last_time + ttl, side="right")
                 while at < end:

@@ -91,9 +91,18 @@ class VariantFields:
             return _sure((self.text(path) == literal) & self._is_string(path))
         if isinstance(literal, (bool, int, float)):
             kind, as_lit = _number_literal(literal)
+            # The type test matters for texts, which would be cast to a number.
             return _sure((self._get(path, kind) == as_lit) & self._type(path).rlike(_NUMBER_TYPES))
         return _sure(self.json(path) == _canonical(literal))
 
+    def member(self, path: str, literals: list[Any]) -> Column:
+        """Equal to one of the literals; texts are tested at once."""
+        texts = [x for x in literals if isinstance(x, str)]
+        tests = [self.equals(path, x) for x in literals if not isinstance(x, str)]
+        if texts:
+            tests.append(_sure(self.text(path).isin(texts) & self._is_string(path)))
+        return any_of(tests)
+
     def holds(self, path: str, literal: Any) -> Column:
         """Substring of a text field, or item of a list field."""
         items = self._get(path, "array<variant>")
@@ -176,11 +185,26 @@ class StructFields:
         if isinstance(kind, T.BooleanType):
             return col.cast("int").eqNullSafe(F.lit(literal).cast("double")) if is_number else F.lit(False)
         if isinstance(kind, T.NumericType):
-            return col.eqNullSafe(_number_literal(literal)[1]) if is_number else F.lit(False)
+            if not is_number or (isinstance(kind, T.IntegralType) and float(literal) % 1):
+                return F.lit(False)
+            return col.eqNullSafe(_number_literal(literal)[1])
         if isinstance(literal, str):
             return (col if isinstance(kind, T.StringType) else col.cast("string")).eqNullSafe(literal)
         return F.lit(False)
 
+    def member(self, path: str, literals: list[Any]) -> Column:
+        """Equal to one of the literals. Plain texts and integers become one IN for the scan."""
+        found = self._find(path)
+        plain: list[Any] = []
+        if found is not None and isinstance(found[1], T.StringType):
+            plain = [x for x in literals if isinstance(x, str)]
+        elif found is not None and isinstance(found[1], T.IntegralType):
+            plain = [x for x in literals if isinstance(x, int) and abs(x) < 2**31]
+        tests = [self.equals(path, x) for x in literals if x not in plain]
+        if plain:
+            tests.append(found[0].isNotNull() & found[0].isin([_plain(x) for x in plain]))
+        return any_of(tests)
+
     def holds(self, path: str, literal: Any) -> Column:
         found = self._find(path)
         if found is None:
@@ -202,7 +226,7 @@ def matches(fields: VariantFields | StructFields, path: str, match_type: str, va
         return ~fields.equals(path, value)
     if match_type == "in":
         if isinstance(value, (list, tuple)):
-            return any_of([fields.equals(path, item) for item in value])
+            return fields.member(path, list(value))
         return fields.holds(path, value)
     if match_type == "regex":
         return _sure(fields.printed(path).rlike(to_java_regex(str(value))))
@@ -227,9 +251,16 @@ def _sure(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def _plain(literal: Any) -> Any:
+    """Booleans count as numbers."""
+    return int(literal) if isinstance(literal, bool) else literal
+
+
 def _number_literal(literal: bool | int | float) -> tuple[str, Column]:
     """Type to compare in and the literal; wide integers stay exact."""
-    if isinstance(literal, int) and not isinstance(literal, bool):
+    if isinstance(literal, bool) or (isinstance(literal, float) and literal.is_integer()):
+        literal = int(literal)
+    if isinstance(literal, int):
         if abs(literal) < 2**53:
             return "double", F.lit(literal)
         if abs(literal) < 10**38:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from payload_metrics.operators.dedupe import KEY, fingerprint, replay, touches
+from payload_metrics.operators.dedupe import fingerprint, replay, touches
 from payload_metrics.operators.extract import extract_selected, selected_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
@@ -30,7 +30,7 @@ def coarse_dedupe(records: DataFrame, spec: SourceSpec) -> DataFrame:
     """Built-in TTL dedupe. State expires between micro-batches only, so a batch that spans more
     than the TTL emits one row per fingerprint; use it when batches are much shorter."""
     ttl = f"{spec.deltaDetection.ttl()} seconds"
-    return fingerprint(records, spec).withWatermark("fetched_at", ttl).dropDuplicatesWithinWatermark(KEY)
+    return fingerprint(records, spec).withWatermark("fetched_at", ttl).dropDuplicatesWithinWatermark(["hash"])
 
 
 def exact_dedupe(records: DataFrame, spec: SourceSpec) -> DataFrame:
@@ -40,7 +40,7 @@ def exact_dedupe(records: DataFrame, spec: SourceSpec) -> DataFrame:
     where one may be very frequent, ``dedupe_sink`` combines repeats before the shuffle.
     """
     hashed = fingerprint(records, spec)
-    grouped = hashed.groupBy(*KEY)
+    grouped = hashed.groupBy("hash")
     return grouped.transformWithState(
         statefulProcessor=_LastEmission(spec.deltaDetection.ttl()),
         outputStructType=hashed.schema,
@@ -94,7 +94,9 @@ def dedupe_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[Da
         if spec.deltaDetection.enabled:
             rows = stage(fingerprint(batch, spec), f"batch-{batch_id}")
             oldest = rows.agg(F.unix_seconds(F.min("fetched_at"))).first()[0] or 0
-            past = log.touched(before_batch=batch_id).where(F.col("last_seen") >= oldest - ttl)
+            past = log.touched(before_batch=batch_id).where(
+                (F.col("source") == spec.name) & (F.col("last_seen") >= oldest - ttl)
+            )
             kept = stage(replay(rows, ttl, past), f"kept-{batch_id}")
             log.append(touches(kept, spec), batch_id)
         else:
