@@ -224,32 +224,32 @@ def quantile(counts: list[Column], bounds: tuple[float, ...], q: float) -> Colum
 def on_grid(rows: DataFrame, sums: dict[str, Column], step: int, until: Column | None = None) -> DataFrame:
     """Sums per source and step, with zero rows for idle steps between first and last.
 
-    ``at`` is the end of a step in epoch seconds. One row per source and step, so its size
+    ``step_end`` is the end of a step in epoch seconds. One row per source and step, so its size
     depends on the time covered and not on the rows. Idle sources go on to ``until``.
     """
-    at = F.floor(F.unix_micros("ts") / (step * 1_000_000)) * step + step
-    stepped = rows.groupBy("source", at.cast("bigint").alias("at")).agg(
+    step_end = F.floor(F.unix_micros("ts") / (step * 1_000_000)) * step + step
+    stepped = rows.groupBy("source", step_end.cast("bigint").alias("step_end")).agg(
         *[c.alias(name) for name, c in sums.items()]
     )
-    last = F.max("at") if until is None else F.greatest(F.max("at"), until)
-    grid = stepped.groupBy("source").agg(F.min("at").alias("_from"), last.alias("_to"))
+    last = F.max("step_end") if until is None else F.greatest(F.max("step_end"), until)
+    grid = stepped.groupBy("source").agg(F.min("step_end").alias("_from"), last.alias("_to"))
     steps = F.explode(F.sequence(F.col("_from"), F.col("_to"), F.lit(step).cast("bigint")))
-    full = grid.select("source", steps.alias("at")).join(stepped, ["source", "at"], "left")
-    return full.select("source", "at", *[F.coalesce(n, F.lit(0)).alias(n) for n in sums])
+    full = grid.select("source", steps.alias("step_end")).join(stepped, ["source", "step_end"], "left")
+    return full.select("source", "step_end", *[F.coalesce(n, F.lit(0)).alias(n) for n in sums])
 
 
 def rolling(grid: DataFrame, names: list[str], seconds: int, step: int) -> DataFrame:
     """Sums over the last ``seconds`` at every step."""
-    frame = Window.partitionBy("source").orderBy("at").rangeBetween(-(seconds - step), 0)
+    frame = Window.partitionBy("source").orderBy("step_end").rangeBetween(-(seconds - step), 0)
     return grid.withColumns({n: F.sum(n).over(frame) for n in names})
 
 
 def held(steps: DataFrame, condition: Column, hold: int) -> DataFrame:
     """``firing`` where the condition was true at every step for at least ``hold`` seconds."""
-    frame = Window.partitionBy("source").orderBy("at").rangeBetween(-hold, 0)
+    frame = Window.partitionBy("source").orderBy("step_end").rangeBetween(-hold, 0)
     true = F.coalesce(condition, F.lit(False)).cast("int")
     tested = steps.withColumn("_true", true)
-    covered = F.col("at") - F.min("at").over(frame) >= hold
+    covered = F.col("step_end") - F.min("step_end").over(frame) >= hold
     return tested.withColumn("firing", (F.min("_true").over(frame) == 1) & covered).drop("_true")
 
 
