@@ -55,7 +55,7 @@ def event_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(rows: DataFrame, document: Column) -> DataFrame:
-    page = F.floor(F.col("event_id") / PAGE)
+    page = F.expr(f"event_id div {PAGE}")
     one = F.struct("event_id", F.date_format("ts", TIME_TEXT).alias("ts"), "user_id", "event_type", "value", "props")
     grouped = rows.groupBy(page.alias("page")).agg(
         F.sort_array(F.collect_list(one)).alias("records"), F.max("ts").alias("fetched_at")
@@ -63,7 +63,7 @@ def _pages(rows: DataFrame, document: Column) -> DataFrame:
     none = F.lit(None).cast("timestamp")
     return grouped.select(
         F.lit("events").alias("source"),
-        F.lpad(F.floor(F.col("page") / PAGES_PER_SCRAPE).cast("string"), 15, "0").alias("scrape_id"),
+        F.lpad(F.expr(f"page div {PAGES_PER_SCRAPE}").cast("string"), 15, "0").alias("scrape_id"),
         F.pmod("page", F.lit(PAGES_PER_SCRAPE)).cast("int").alias("window_id"),
         none.alias("window_start"),
         none.alias("window_end"),

@@ -1,0 +1,124 @@
+"""Streaming forms, run to the end of the available files."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driver_queries import query
+from driver_queries.deltas import _HASHED, _REPLAY, KEYS
+from driver_queries.inputs import TIME_TEXT, spec, table
+from driver_queries.mapping import BUCKETS, BY_TYPE
+from payload_metrics.operators.extract import typed_records
+from payload_metrics.operators.fields import fields_of
+from payload_metrics.sources.outputs import FingerprintLog
+from payload_metrics.sources.tables import shared_folder
+from payload_metrics.streaming import streams
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events file as a stream, typed like the batch records."""
+    schema = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("props", F.from_json("props", "k bigint"))
+
+
+def _typed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _event_stream(spark, sf_dir)
+    return typed_records(rows, "events", order_by="event_id", fetched_at=F.col("ts"))
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+
+
+def _drain(stream: DataFrame) -> DataFrame:
+    """Runs a stream into a parquet table and reads it back."""
+    spark = stream.sparkSession
+    folder = _folder(spark)
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'error'")
+def stream_extract(spark, sf_dir):
+    """One payload per event: stateless extraction, filter and mapping."""
+    rows = _event_stream(spark, sf_dir)
+    one = F.struct("event_id", F.date_format("ts", TIME_TEXT).alias("ts"), "user_id", "event_type", "value", "props")
+    payloads = rows.select(
+        F.lit("events").alias("source"),
+        F.col("event_id").cast("string").alias("scrape_id"),
+        F.lit(0).alias("window_id"),
+        F.col("ts").alias("fetched_at"),
+        F.to_json(F.struct(F.array(one).alias("records"))).alias("payload"),
+    )
+    drop = [{"any": [{"field": "event_type", "matchType": "equals", "value": "error"}]}]
+    records = streams.stream_records(payloads, spec(dataKey="records", filters={"drop": drop}))
+    fields = fields_of(records)
+    return _drain(
+        records.select(
+            fields.number("event_id").cast("bigint").alias("event_id"),
+            fields.number("props.k").cast("bigint").alias("k"),
+        )
+    )
+
+
+@query(f"{_REPLAY} SELECT event_id, hash FROM r WHERE emitted")
+def stream_dedupe(spark, sf_dir):
+    """Exact TTL dedupe with keyed state."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    config = spec(deltaDetection=KEYS | {"ttlSeconds": 86400})
+    kept = streams.exact_dedupe(_typed_stream(spark, sf_dir), config)
+    return _drain(kept.select(F.col("record.event_id").alias("event_id"), "hash"))
+
+
+@query(f"SELECT DISTINCT hash FROM {_HASHED}")
+def stream_dedupe_coarse(spark, sf_dir):
+    """Built-in TTL dedupe: one row per key here, since one batch reads the whole file."""
+    config = spec(deltaDetection=KEYS | {"ttlSeconds": 86400})
+    kept = streams.coarse_dedupe(_typed_stream(spark, sf_dir), config)
+    return _drain(kept.select("hash"))
+
+
+@query(
+    f"{_REPLAY} SELECT event_type AS kind, count(*) AS logs, CAST(count(*) AS DOUBLE) AS counted "
+    "FROM r JOIN events USING (event_id) WHERE emitted GROUP BY 1"
+)
+def stream_sink(spark, sf_dir):
+    """Micro-batch dedupe against the fingerprint log, into metric and log tables."""
+    config = spec(
+        deltaDetection=KEYS | {"ttlSeconds": 86400}, attributes=BY_TYPE, counterReadings=[{"name": "c"}]
+    )
+    folder = _folder(spark)
+    sink = streams.dedupe_sink(config, FingerprintLog(spark, f"{folder}/fingerprints"), folder)
+    writer = _typed_stream(spark, sf_dir).writeStream.foreachBatch(sink)
+    writer = writer.option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    kind = F.col("attrs")["kind"].alias("kind")
+    points = spark.read.parquet(f"{folder}/metric_points").groupBy(kind).agg(F.sum("value").alias("counted"))
+    logs = spark.read.parquet(f"{folder}/log_records").groupBy(kind).agg(F.count("*").alias("logs"))
+    return points.join(logs, "kind").select("kind", "logs", "counted")
+
+
+@query(
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS count, round(sum(value), 2) AS total, "
+    "count(*) FILTER (value <= 10) AS b0 FROM events GROUP BY 1, 2 "
+    "HAVING CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+)
+def stream_counters(spark, sf_dir):
+    """Counter and histogram per day, in append mode: days the watermark has passed."""
+    config = spec(
+        attributes=BY_TYPE,
+        counterReadings=[{"name": "c", "dataKey": "value"}],
+        histogramReadings=[{"name": "h", "dataKey": "value", "buckets": BUCKETS}],
+    )
+    points = streams.windowed_metrics(_typed_stream(spark, sf_dir), config, "1 day", "1 hour")
+    out = _drain(points.withColumn("kind_attr", F.col("attrs")["kind"]))
+    return out.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("kind_attr").alias("kind")).agg(
+        F.max("count").alias("count"),
+        F.round(F.max("value"), 2).alias("total"),
+        F.max(F.try_element_at("bucket_counts", F.lit(1))).alias("b0"),
+    )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from payload_metrics.functions.values import sha256
 from payload_metrics.operators.fields import fields_of
-from payload_metrics.sources.tables import pin_if_few
+from payload_metrics.sources.tables import small_side
 from payload_metrics.spec import DEFAULT_MAX_ENTRIES, SourceSpec
 
 FINGERPRINT_SCHEMA = "source string, hash string, first_seen bigint, last_seen bigint, ttl_seconds bigint"
@@ -124,7 +124,7 @@ def expire(store: DataFrame, now: int) -> DataFrame:
 
 def drop_orphans(store: DataFrame, active: DataFrame) -> DataFrame:
     """Entries of sources that are still configured (``active`` has a ``source`` column)."""
-    return store.join(active.select("source").distinct(), "source", "left_semi")
+    return store.join(small_side(active.select("source").distinct()), "source", "left_semi")
 
 
 def trim(store: DataFrame, capacity: DataFrame | int = DEFAULT_MAX_ENTRIES) -> DataFrame:
@@ -144,8 +144,8 @@ def trim(store: DataFrame, capacity: DataFrame | int = DEFAULT_MAX_ENTRIES) -> D
     full = by_second.where(F.col("_before") + F.col("_n") <= F.col("max_entries"))
     oldest_full = full.groupBy("source").agg(F.min("last_seen").alias("full_from"))
 
-    # One row per source: pinned when few, so the store is not shuffled on its skewed source.
-    marks = pin_if_few(oldest_full.join(cut, "source", "full_outer"))
+    # One row per source: broadcast when few, so the store is not shuffled on its skewed source.
+    marks = small_side(oldest_full.join(cut, "source", "full_outer"))
     marked = store.join(marks, "source", "left")
     newer = marked.where(F.col("last_seen") >= F.col("full_from"))
     tied = marked.where(F.col("last_seen") == F.col("cut_second")).withColumn(
@@ -166,7 +166,7 @@ def _with_capacity(store: DataFrame, capacity: DataFrame | int) -> DataFrame:
         return store.withColumn("max_entries", F.lit(capacity).cast("bigint"))
     limits = capacity.select("source", F.col("max_entries").cast("bigint"))
     default = F.lit(DEFAULT_MAX_ENTRIES).cast("bigint")
-    return store.join(limits, "source", "left").withColumn(
+    return store.join(small_side(limits), "source", "left").withColumn(
         "max_entries", F.coalesce("max_entries", default)
     )
 

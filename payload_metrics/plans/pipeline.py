@@ -12,7 +12,7 @@ from payload_metrics.operators.dedupe import dedupe, dedupe_stats, touches
 from payload_metrics.operators.extract import extract_selected, selected_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
-from payload_metrics.sources.outputs import append_partitioned
+from payload_metrics.sources.outputs import write_part
 from payload_metrics.sources.tables import stage
 from payload_metrics.spec import SourceSpec
 
@@ -28,11 +28,10 @@ class RunResult:
     touches: DataFrame | None
     scrape_runs: DataFrame
 
-    def write(self, path: str) -> None:
-        append_partitioned(self.metric_points, f"{path}/metric_points")
-        append_partitioned(self.log_records, f"{path}/log_records")
-        append_partitioned(self.rejects, f"{path}/rejects")
-        append_partitioned(self.scrape_runs, f"{path}/scrape_runs")
+    def write(self, path: str, run_id: str) -> None:
+        """Writes the output tables; a run that is written again replaces itself."""
+        for name in ("metric_points", "log_records", "rejects", "scrape_runs"):
+            write_part(getattr(self, name), f"{path}/{name}", f"run_id={run_id}")
 
 
 def run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: datetime) -> RunResult:

@@ -10,13 +10,9 @@ from payload_metrics.operators.dedupe import FINGERPRINT_SCHEMA, upsert
 EMPTY_BATCH = -1
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Writes one batch under its own folder; a repeated batch replaces itself."""
-    df.write.mode("overwrite").partitionBy("source").parquet(f"{path}/batch_id={batch_id}")
-
-
-def append_partitioned(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("source").parquet(path)
+def write_part(df: DataFrame, path: str, part: str) -> None:
+    """Writes one batch or run under its own folder; a repeated one replaces itself."""
+    df.write.mode("overwrite").partitionBy("source").parquet(f"{path}/{part}")
 
 
 class FingerprintLog:
@@ -42,7 +38,7 @@ class FingerprintLog:
         return log.drop("batch_id")
 
     def append(self, touches: DataFrame, batch_id: int) -> None:
-        touches.write.mode("overwrite").parquet(f"{self._path}/batch_id={batch_id}")
+        write_part(touches, self._path, f"batch_id={batch_id}")
 
     def snapshot(self) -> DataFrame:
         """The log folded to one row per fingerprint."""

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 FEW_ROWS = 20_000
@@ -38,12 +39,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pin_if_few(df: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
-    """Small results as a local table, whose size the planner knows; others unchanged.
+def small_side(df: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
+    """A join side for broadcast if it has at most ``limit`` rows, else ``df`` as it is.
 
-    Reads at most ``limit + 1`` rows to the driver.
+    Counts by reading at most ``limit + 1`` rows, which also saves computing them again. Beyond
+    the limit the join is shuffled, and adaptive execution splits skewed keys.
     """
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -13,7 +13,7 @@ from payload_metrics.operators.dedupe import fingerprint, replay, touches
 from payload_metrics.operators.extract import extract_selected, selected_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
-from payload_metrics.sources.outputs import FingerprintLog, write_batch
+from payload_metrics.sources.outputs import FingerprintLog, write_part
 from payload_metrics.sources.tables import stage
 from payload_metrics.spec import SourceSpec
 
@@ -101,7 +101,7 @@ def dedupe_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[Da
             log.append(touches(kept, spec), batch_id)
         else:
             kept = stage(batch, f"batch-{batch_id}")
-        write_batch(metric_points(kept, spec), f"{out}/metric_points", batch_id)
-        write_batch(log_records(kept, spec), f"{out}/log_records", batch_id)
+        write_part(metric_points(kept, spec), f"{out}/metric_points", f"batch_id={batch_id}")
+        write_part(log_records(kept, spec), f"{out}/log_records", f"batch_id={batch_id}")
 
     return process
