@@ -239,18 +239,28 @@ def on_grid(rows: DataFrame, sums: dict[str, Column], step: int, until: Column |
 
 
 def rolling(grid: DataFrame, names: list[str], seconds: int, step: int) -> DataFrame:
-    """Sums over the last ``seconds`` at every step."""
-    frame = Window.partitionBy("source").orderBy("step_end").rangeBetween(-(seconds - step), 0)
-    return grid.withColumns({n: F.sum(n).over(frame) for n in names})
+    """Sums over the last ``seconds`` at every step.
+
+    The grid has no gaps, so a trailing sum is a running sum less the one some rows back.
+    """
+    steps = Window.partitionBy("source").orderBy("step_end")
+    so_far = steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = grid.withColumns({f"_run_{n}": F.sum(n).over(so_far) for n in names})
+    back = max(1, seconds // step)
+    trailing = {n: F.col(f"_run_{n}") - F.lag(f"_run_{n}", back, 0).over(steps) for n in names}
+    return running.withColumns(trailing).drop(*[f"_run_{n}" for n in names])
 
 
 def held(steps: DataFrame, condition: Column, hold: int) -> DataFrame:
     """``firing`` where the condition was true at every step for at least ``hold`` seconds."""
-    frame = Window.partitionBy("source").orderBy("step_end").rangeBetween(-hold, 0)
-    true = F.coalesce(condition, F.lit(False)).cast("int")
-    tested = steps.withColumn("_true", true)
-    covered = F.col("step_end") - F.min("step_end").over(frame) >= hold
-    return tested.withColumn("firing", (F.min("_true").over(frame) == 1) & covered).drop("_true")
+    so_far = (
+        Window.partitionBy("source").orderBy("step_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    false = ~F.coalesce(condition, F.lit(False))
+    last_false = F.max(F.when(false, F.col("step_end"))).over(so_far)
+    since = F.col("step_end") - F.lit(hold)
+    covered = F.min("step_end").over(so_far) <= since
+    return steps.withColumn("firing", covered & F.coalesce(last_false < since, F.lit(True)))
 
 
 def alert_error_ratio(

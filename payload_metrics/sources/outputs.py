@@ -28,7 +28,7 @@ class FingerprintLog:
         self._path = path
         # The first, empty batch lets the log be read before anything is written.
         empty = spark.createDataFrame([], FINGERPRINT_SCHEMA)
-        empty.write.mode("ignore").parquet(f"{path}/batch_id={EMPTY_BATCH}")
+        empty.write.mode("ignore").partitionBy("source").parquet(f"{path}/batch_id={EMPTY_BATCH}")
 
     def touched(self, before_batch: int | None = None) -> DataFrame:
         """Every touch of earlier batches."""

@@ -65,7 +65,8 @@ class _LastEmission(StatefulProcessor):
             at = int(row["fetched_at"].timestamp())
             if at not in first or row["record_pos"] < first[at]["record_pos"]:
                 first[at] = row
-        before = last = self._last.get()[0] if self._last.exists() else None
+        state = self._last.get()
+        before = last = None if state is None else state[0]
         for at in sorted(first):
             if last is None or at - last > self._ttl:
                 last = at
