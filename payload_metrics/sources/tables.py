@@ -26,9 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="payload-metrics-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="payload-metrics-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

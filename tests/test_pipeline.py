@@ -1,0 +1,154 @@
+from __future__ import annotations
+
+import json
+from datetime import datetime, timedelta, timezone
+
+import pytest
+
+from payload_metrics.operators.dedupe import FINGERPRINT_SCHEMA
+from payload_metrics.plans.pipeline import dry_run, run
+from payload_metrics.sources.outputs import FingerprintLog
+from payload_metrics.sources.payloads import PAYLOAD_SCHEMA, read_payload_table
+from payload_metrics.sources.tables import shared_folder, small_side, stage
+from payload_metrics.spec import SourceSpec
+
+AT = datetime(2025, 1, 1, tzinfo=timezone.utc)
+
+SPEC = SourceSpec.from_dict(
+    {
+        "name": "jobs",
+        "frequency": "5min",
+        "scrape": {"type": "instant"},
+        "dataKey": "data",
+        "filters": {
+            "drop": [{"any": [{"field": "kind", "matchType": "equals", "value": "noise"}]}],
+            "limits": {"maxRecordsPerScrape": 3},
+        },
+        "deltaDetection": {"enabled": True, "fingerprintMode": "keys", "fingerprintKeys": ["id"], "ttlSeconds": 100},
+        "attributes": [{"name": "kind", "dataKey": "kind"}],
+        "counterReadings": [{"name": "jobs_total"}],
+        "logStatusField": {"name": "kind", "error": {"value": "bad"}},
+    }
+)
+
+
+def doc(*pairs):
+    return json.dumps({"data": [{"id": i, "kind": k} for i, k in pairs]})
+
+
+def payloads(spark, texts, source="jobs", scrape="1"):
+    rows = [(source, scrape, i, None, None, AT, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, PAYLOAD_SCHEMA)
+
+
+TEXTS = [
+    doc((1, "good"), (2, "noise"), (3, "bad"), (1, "good"), (4, "good")),
+    doc((1, "good"), (5, "bad")),
+    "not json",
+]
+
+
+def test_run(spark, tmp_path):
+    source = payloads(spark, TEXTS).unionByName(payloads(spark, [doc((9, "good"))], source="other"))
+    source.write.parquet(f"{tmp_path}/payloads")
+    landed = read_payload_table(spark, f"{tmp_path}/payloads")
+    result = run(SPEC, landed, spark.createDataFrame([], FINGERPRINT_SCHEMA), AT)
+    counts = {r["attrs"]["kind"]: r["value"] for r in result.metric_points.collect()}
+    assert counts == {"good": 1.0, "bad": 2.0}
+    assert sorted(r["severity_text"] for r in result.log_records.collect()) == ["ERROR", "ERROR", "INFO"]
+    assert [(r["window_id"], r["snippet"]) for r in result.rejects.collect()] == [(2, "not json")]
+    row = result.scrape_runs.first()
+    assert (row["status"], row["records"], row["hits"], row["misses"], row["total"]) == ("error", 3, 2, 3, 5)
+    assert result.touches.count() == 3
+
+
+def test_sinks_replace_a_repeated_run(spark, tmp_path):
+    result = run(SPEC, payloads(spark, TEXTS), None, AT)
+    for _ in range(2):
+        result.write(f"{tmp_path}/out", "r1")
+    assert spark.read.parquet(f"{tmp_path}/out/log_records").count() == 3
+    points = spark.read.parquet(f"{tmp_path}/out/metric_points")
+    assert points.where("source = 'jobs'").agg({"value": "sum"}).first()[0] == 3.0
+    assert spark.read.parquet(f"{tmp_path}/out/rejects").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/out/scrape_runs").first()["run_id"] == "r1"
+
+
+def test_second_run_emits_only_news(spark, tmp_path):
+    log = FingerprintLog(spark, f"{tmp_path}/log")
+    emitted = []
+    for batch, (seconds, text) in enumerate(
+        [(0, doc((1, "a"), (2, "a"))), (50, doc((2, "a"), (3, "a"))), (120, doc((1, "a"), (3, "a")))]
+    ):
+        now = AT + timedelta(seconds=seconds)
+        result = run(SPEC, payloads(spark, [text], scrape=str(batch)), log.touched(before_batch=batch), now)
+        emitted.append(result.scrape_runs.first()["records"])
+        log.append(result.touches, batch)
+    assert emitted == [2, 1, 1]
+
+
+def test_without_dedupe_and_empty(spark):
+    spec = SourceSpec.from_dict(
+        {"name": "jobs", "frequency": "5min", "scrape": {"type": "instant"}, "counterReadings": [{"name": "c"}]}
+    )
+    result = run(spec, payloads(spark, ["[{}, {}]", "[]"]), None, AT)
+    assert result.touches is None
+    assert result.metric_points.first()["value"] == 2.0
+    row = result.scrape_runs.first()
+    assert (row["status"], row["records"], row["hits"], row["misses"], row["total"]) == ("success", 2, 0, 2, 2)
+    nothing = run(spec, payloads(spark, ["[]"]), None, AT)
+    assert nothing.metric_points.count() == 0 and nothing.scrape_runs.first()["records"] == 0
+
+
+def test_all_windows_failed(spark):
+    row = run(SPEC, payloads(spark, ["x", "[]"]), None, AT).scrape_runs.first()
+    assert (row["status"], row["records"], row["total"]) == ("error", 0, 0)
+
+
+def test_dry_run(spark):
+    assert dry_run(SPEC, payloads(spark, TEXTS), None, AT).collect() == [("jobs", 3)]
+
+
+class NoSetting:
+    """A session without a checkpoint folder."""
+
+    def __init__(self, master, folder=None):
+        self.conf, self.sparkContext = self, self
+        self.master, self._folder = master, folder
+
+    def get(self, key, default):
+        return self._folder if key == "spark.checkpoint.dir" else default
+
+    def getCheckpointDir(self):
+        return self.made if hasattr(self, "made") else None
+
+    def setCheckpointDir(self, folder):
+        self.made = folder
+
+
+def test_shared_folder_comes_from_the_session():
+    assert shared_folder(NoSetting("yarn", "hdfs://x/y")) == "hdfs://x/y"
+    with pytest.raises(RuntimeError):
+        shared_folder(NoSetting("yarn"))
+    local = NoSetting("local[2]")
+    assert shared_folder(local) == local.made
+
+
+def test_stage_writes_into_the_shared_folder(spark):
+    staged = stage(spark.range(5).toDF("n"), "numbers")
+    assert staged.count() == 5
+    assert f"{shared_folder(spark)}/staged/numbers-" in staged.inputFiles()[0].replace("file://", "")
+
+
+def test_small_side_beyond_the_limit(spark, capsys):
+    few, many = spark.range(5), spark.range(50)
+    assert small_side(many, 10) is many
+    few_side = small_side(few, 10)
+    spark.range(10).join(few_side, "id").explain("simple")
+    assert "BroadcastHashJoin" in capsys.readouterr().out
+    assert few_side.count() == 5
+
+
+@pytest.mark.parametrize("field", ["data", "data[]"])
+def test_data_key_variants(spark, field):
+    spec = SourceSpec.from_dict({"name": "jobs", "frequency": "5min", "scrape": {"type": "instant"}, "dataKey": field})
+    assert run(spec, payloads(spark, [doc((1, "a"))]), None, AT).kept.count() == 1
