@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from payload_metrics.functions.values import snippet
 from payload_metrics.operators.fields import VariantFields
 from payload_metrics.operators.filters import passes
-from payload_metrics.paths import DataStep, EveryItem, ItemAt, ItemRange, data_steps, variant_path
+from payload_metrics.paths import DataStep, EveryItem, ItemAt, ItemRange, data_steps, key_parts, variant_path
 from payload_metrics.spec import SourceSpec
 
 ENVELOPE = ("source", "scrape_id", "window_id", "fetched_at")
@@ -35,9 +35,8 @@ def extract_selected(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
     shuffle, and dropped records are never materialised. Reject rows carry ``reason``.
     """
     parsed = parse(payloads, spec)
-    root = F.col("root") if spec.uses_root else None
     numbered = F.transform(F.col("items"), lambda x, i: F.struct(i.alias("record_idx"), x.alias("record")))
-    chosen = F.filter(numbered, lambda r: passes(VariantFields(r["record"], root), spec.filters))
+    chosen = F.filter(numbered, lambda r: passes(VariantFields(r["record"]), spec.filters))
     if spec.filters.cap:
         chosen = F.slice(chosen, 1, spec.filters.cap)
     # Outer explode, then a test on its result: a test on "reason" or "chosen" alone would be
@@ -60,22 +59,29 @@ def extract_selected(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
 def parse(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
     """Adds ``items`` (records, NULL if rejected), ``reason``, ``snippet`` and maybe ``root``.
 
+    ``root`` has one field per ``$root.`` path in the spec: it is copied to every record, so
+    it must not be the whole payload.
+
     Callers must not filter on these columns before they explode: such a filter is pushed below
     the parse, which then runs again for every mention of its result.
     """
     # Wrapped in a list, so junk behind a complete document no longer parses.
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("payload"), F.lit("]")))
     whole = payloads.select(*ENVELOPE, "payload", wrapped.alias("_wrapped")).withColumn(
-        "root",
+        "_document",
         F.when(
             F.try_variant_get("_wrapped", "$[1]", "variant").isNull(),
             F.try_variant_get("_wrapped", "$[0]", "variant"),
         ),
     )
+    document = F.col("_document")
+    if spec.uses_root:
+        found = [_getter(variant_path(key_parts(p)))(document).alias(p) for p in spec.root_paths]
+        whole = whole.withColumn("root", F.struct(*found))
     whole, items, problem = _walk(whole, data_steps(spec.dataKey))
-    reason = F.when(F.col("root").isNull(), F.lit(BAD_JSON))
+    reason = F.when(document.isNull(), F.lit(BAD_JSON))
     if spec.uses_root:
-        reason = reason.when(~_is_object(F.col("root")), F.lit(BAD_ROOT))
+        reason = reason.when(~_is_object(document), F.lit(BAD_ROOT))
     reason = reason.otherwise(problem)
     with_reason = whole.withColumn("reason", reason)
     ok = F.col("reason").isNull()
@@ -166,13 +172,13 @@ def _walk(df: DataFrame, steps: list[DataStep]) -> tuple[DataFrame, Column, Colu
     Every step is a column of its own, since the checks mention it several times.
     """
     if not steps:
-        df = df.withColumn("_list", _as_list(F.col("root")))
+        df = df.withColumn("_list", _as_list(F.col("_document")))
         return df, F.col("_list"), F.when(F.col("_list").isNull(), F.lit("expected a list at the payload root"))
 
     # While no list has been expanded there is one value, and plain steps join into one path.
     parts: list[str] = []
     problems: list[Column] = []
-    value = F.col("root")
+    value = F.col("_document")
     for n, step in enumerate(steps):
         parts.append(step.name)
         if step.selector is None:

@@ -24,14 +24,16 @@ _NUMBER_TYPES = "^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)"
 def fields_of(df: DataFrame) -> "VariantFields | StructFields":
     """Field access for a records frame, chosen by its schema."""
     record = df.schema["record"].dataType
-    root = df.schema["root"].dataType if "root" in df.columns else None
     if isinstance(record, T.StructType):
-        return StructFields(record, root)
-    return VariantFields(F.col("record"), F.col("root") if root is not None else None)
+        return StructFields(record)
+    return VariantFields(F.col("record"), F.col("root") if "root" in df.columns else None)
 
 
 class VariantFields:
-    """Fields of a VARIANT record. Lists are not traversed; a JSON null counts as missing."""
+    """Fields of a VARIANT record. Lists are not traversed; a JSON null counts as missing.
+
+    ``root`` is a struct with a VARIANT per root path.
+    """
 
     def __init__(self, record: Column, root: Column | None = None):
         self._record = record
@@ -42,7 +44,7 @@ class VariantFields:
         if is_root_path(path):
             if self._root is None:
                 raise ValueError(f"{path!r} needs a root column")
-            scope, path = self._root, path.removeprefix(ROOT_PREFIX)
+            scope, path = self._root.getField(path.removeprefix(ROOT_PREFIX)), ""
         return F.try_variant_get(scope, variant_path(key_parts(path)), as_type)
 
     def value(self, path: str) -> Column:
@@ -116,16 +118,14 @@ class VariantFields:
 class StructFields:
     """Fields of a STRUCT record; value types are known when the plan is built."""
 
-    def __init__(self, record: T.StructType, root: T.DataType | None = None):
-        self._schemas = {"record": record, "root": root}
+    def __init__(self, record: T.StructType):
+        self._record = record
 
     def _find(self, path: str) -> tuple[Column, T.DataType] | None:
-        scope = "root" if is_root_path(path) else "record"
-        kind = self._schemas[scope]
-        if kind is None:
-            raise ValueError(f"{path!r} needs a root column")
-        col = F.col(scope)
-        for part in key_parts(path.removeprefix(ROOT_PREFIX)):
+        if is_root_path(path):
+            raise ValueError(f"{path!r}: typed records have no root; make it a column of the record")
+        col, kind = F.col("record"), self._record
+        for part in key_parts(path):
             if not isinstance(kind, T.StructType) or part not in kind.names:
                 return None
             kind = kind[part].dataType

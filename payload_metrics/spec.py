@@ -261,9 +261,15 @@ class SourceSpec:
             paths.append(self.logStatusField.name)
         return paths
 
+    @property
+    def root_paths(self) -> tuple[str, ...]:
+        """Distinct ``$root.`` paths of the outputs, without the prefix."""
+        paths = {p.removeprefix(ROOT_PREFIX) for p in self.field_paths() if is_root_path(p)}
+        return tuple(sorted(paths))
+
     @property
     def uses_root(self) -> bool:
-        return any(is_root_path(p) for p in self.field_paths())
+        return bool(self.root_paths)
 
     @property
     def frequency_seconds(self) -> int:
