@@ -93,7 +93,7 @@ def stream_sink(spark, sf_dir):
         deltaDetection=KEYS | {"ttlSeconds": 86400}, attributes=BY_TYPE, counterReadings=[{"name": "c"}]
     )
     folder = _folder(spark)
-    sink = streams.dedupe_sink(config, FingerprintLog(spark, f"{folder}/fingerprints"), folder)
+    sink = streams.table_sink(config, FingerprintLog(spark, f"{folder}/fingerprints"), folder)
     writer = _typed_stream(spark, sf_dir).writeStream.foreachBatch(sink)
     writer = writer.option("checkpointLocation", f"{folder}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()

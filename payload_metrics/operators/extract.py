@@ -18,6 +18,7 @@ from payload_metrics.paths import DataStep, EveryItem, ItemAt, ItemRange, data_s
 from payload_metrics.spec import SourceSpec
 
 ENVELOPE = ("source", "scrape_id", "window_id", "fetched_at")
+REJECT_COLUMNS = ("source", "scrape_id", "window_id", "reason", "snippet")
 BAD_JSON = "payload is not valid JSON"
 BAD_ROOT = "root lookups need an object payload"
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payload_metrics.operators.dedupe import dedupe, dedupe_stats, touches
-from payload_metrics.operators.extract import extract_selected, selected_records
+from payload_metrics.operators.extract import REJECT_COLUMNS, extract_selected, selected_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
 from payload_metrics.sources.outputs import write_part
@@ -43,9 +43,7 @@ def run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: dat
     mine = payloads.where(F.col("source") == spec.name)
     rows = stage(extract_selected(mine, spec), "records")
     records = selected_records(rows)
-    rejects = rows.where(F.col("reason").isNotNull()).select(
-        "source", "scrape_id", "window_id", "reason", "snippet"
-    )
+    rejects = rows.where(F.col("reason").isNotNull()).select(*REJECT_COLUMNS)
     seconds = int(now.timestamp())
     kept = dedupe(records, store, spec, seconds)
     if spec.deltaDetection.enabled:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from payload_metrics.operators.dedupe import fingerprint, replay, touches
-from payload_metrics.operators.extract import extract_selected, selected_records
+from payload_metrics.operators.extract import REJECT_COLUMNS, extract_selected, selected_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
 from payload_metrics.sources.outputs import FingerprintLog, write_part
@@ -36,17 +39,32 @@ def coarse_dedupe(records: DataFrame, spec: SourceSpec) -> DataFrame:
 def exact_dedupe(records: DataFrame, spec: SourceSpec) -> DataFrame:
     """TTL dedupe with the last emission of every fingerprint as state, for typed records.
 
-    Needs the RocksDB state store. One fingerprint's rows of a micro-batch meet in one task;
-    where one may be very frequent, ``dedupe_sink`` combines repeats before the shuffle.
+    Needs the RocksDB state store. Repeats within a second are combined before the shuffle, so
+    a frequent fingerprint does not send all its rows to one task.
     """
-    hashed = fingerprint(records, spec)
-    grouped = hashed.groupBy("hash")
-    return grouped.transformWithState(
+    hashed = fingerprint(records, spec).withColumn("seen_at", F.unix_seconds("fetched_at"))
+    combined = hashed.mapInArrow(_first_per_second, hashed.schema)
+    kept = combined.groupBy("hash").transformWithState(
         statefulProcessor=_LastEmission(spec.deltaDetection.ttl()),
         outputStructType=hashed.schema,
         outputMode="Append",
         timeMode="None",
     )
+    return kept.drop("seen_at")
+
+
+def _first_per_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps, of every Arrow batch, the first row per fingerprint and second."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        keys = batch.select(["hash", "seen_at", "record_pos"])
+        order = pc.sort_indices(keys, sort_keys=[(name, "ascending") for name in keys.schema.names])
+        hashes = keys["hash"].take(order).to_numpy(zero_copy_only=False)
+        seconds = keys["seen_at"].take(order).to_numpy(zero_copy_only=False)
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = (hashes[1:] != hashes[:-1]) | (seconds[1:] != seconds[:-1])
+        yield batch.take(order.filter(pa.array(fresh)))
 
 
 class _LastEmission(StatefulProcessor):
@@ -62,7 +80,7 @@ class _LastEmission(StatefulProcessor):
         # seconds a micro-batch spans, not by its repeats.
         first: dict[int, Row] = {}
         for row in rows:
-            at = int(row["fetched_at"].timestamp())
+            at = row["seen_at"]
             if at not in first or row["record_pos"] < first[at]["record_pos"]:
                 first[at] = row
         state = self._last.get()
@@ -83,26 +101,41 @@ def windowed_metrics(records: DataFrame, spec: SourceSpec, every: str, late: str
     return metric_points(records.withWatermark("fetched_at", late), spec, every=every)
 
 
-def dedupe_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[DataFrame, int], None]:
+def table_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: exact TTL dedupe against the log, then metric and log tables.
 
-    Every output lies in a folder named by the batch, and the probe reads earlier batches only,
-    so a batch that is run again gives the same tables.
+    Takes record rows, with or without the reject rows of ``extract_selected``. Every output
+    lies in a folder named by the batch, and the probe reads earlier batches only, so a batch
+    that is run again gives the same tables.
     """
     ttl = spec.deltaDetection.ttl()
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        part = f"batch_id={batch_id}"
+        rows = stage(batch, f"batch-{batch_id}")
+        if "reason" in rows.columns:
+            rejects = rows.where(F.col("reason").isNotNull())
+            write_part(rejects.select(*REJECT_COLUMNS), f"{out}/rejects", part)
+            rows = selected_records(rows)
+        kept = rows
         if spec.deltaDetection.enabled:
-            rows = stage(fingerprint(batch, spec), f"batch-{batch_id}")
+            hashed = fingerprint(rows, spec)
             oldest = rows.agg(F.unix_seconds(F.min("fetched_at"))).first()[0] or 0
             past = log.touched(before_batch=batch_id).where(
                 (F.col("source") == spec.name) & (F.col("last_seen") >= oldest - ttl)
             )
-            kept = stage(replay(rows, ttl, past), f"kept-{batch_id}")
+            kept = stage(replay(hashed, ttl, past), f"kept-{batch_id}")
             log.append(touches(kept, spec), batch_id)
-        else:
-            kept = stage(batch, f"batch-{batch_id}")
-        write_part(metric_points(kept, spec), f"{out}/metric_points", f"batch_id={batch_id}")
-        write_part(log_records(kept, spec), f"{out}/log_records", f"batch_id={batch_id}")
+        write_part(metric_points(kept, spec), f"{out}/metric_points", part)
+        write_part(log_records(kept, spec), f"{out}/log_records", part)
 
     return process
+
+
+def start(
+    spec: SourceSpec, payloads: DataFrame, log: FingerprintLog, out: str, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Runs a source over a payload stream, with the trigger given (such as ``availableNow=True``)."""
+    rows = extract_selected(payloads.where(F.col("source") == spec.name), spec)
+    writer = rows.writeStream.queryName(spec.name).foreachBatch(table_sink(spec, log, out))
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()

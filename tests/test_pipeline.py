@@ -7,6 +7,7 @@ import pytest
 
 from payload_metrics.operators.dedupe import FINGERPRINT_SCHEMA
 from payload_metrics.plans.pipeline import dry_run, run
+from payload_metrics.plans.upkeep import clean_up
 from payload_metrics.sources.outputs import FingerprintLog
 from payload_metrics.sources.payloads import PAYLOAD_SCHEMA, read_payload_table
 from payload_metrics.sources.tables import shared_folder, small_side, stage
@@ -152,3 +153,45 @@ def test_small_side_beyond_the_limit(spark, capsys):
 def test_data_key_variants(spark, field):
     spec = SourceSpec.from_dict({"name": "jobs", "frequency": "5min", "scrape": {"type": "instant"}, "dataKey": field})
     assert run(spec, payloads(spark, [doc((1, "a"))]), None, AT).kept.count() == 1
+
+
+def test_root_fields_reach_the_outputs(spark):
+    spec = SourceSpec.from_dict(
+        {
+            "name": "jobs",
+            "frequency": "5min",
+            "scrape": {"type": "instant"},
+            "dataKey": "rows",
+            "attributes": [{"name": "page", "dataKey": "$root.meta.page"}, {"name": "host", "dataKey": "$root.a/.b"}],
+            "counterReadings": [{"name": "limit", "dataKey": "$root.limit"}],
+            "deltaDetection": {"enabled": True},
+        }
+    )
+    text = json.dumps({"meta": {"page": 3}, "limit": 10, "a.b": "h", "rows": [{"x": 1}, {"x": 2}]})
+    result = run(spec, payloads(spark, [text, "[]"]), None, AT)
+    point = result.metric_points.first()
+    assert point["value"] == 20.0 and point["attrs"] == {"source": "jobs", "page": "3", "host": "h"}
+    assert result.scrape_runs.first()["status"] == "error"
+
+
+def test_clean_up(spark, tmp_path):
+    log = FingerprintLog(spark, f"{tmp_path}/log")
+    rows = [("jobs", f"h{i}", 0, 10 * i, 35) for i in range(10)] + [("gone", "x", 0, 90, 35)]
+    log.append(spark.createDataFrame(rows, FINGERPRINT_SCHEMA), 4)
+    spec = SourceSpec.from_dict(
+        {
+            "name": "jobs",
+            "frequency": "5min",
+            "scrape": {"type": "instant"},
+            "deltaDetection": {"enabled": True, "maxEntries": 3},
+        }
+    )
+    now = datetime.fromtimestamp(95, timezone.utc)
+    new, runs = clean_up(log, [spec], now, f"{tmp_path}/next", 4)
+    assert sorted(r["hash"] for r in new.touched().collect()) == ["h7", "h8", "h9"]
+    assert {r["job"]: r["items"] for r in runs.collect()} == {
+        "fingerprint_cleanup": 6,
+        "orphan_cleanup": 1,
+        "capacity_cleanup": 1,
+    }
+    assert new.touched(before_batch=5).count() == 3 and log.touched().count() == 11

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 import uuid
+from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def test_coarse_dedupe_emits_each_key_of_a_batch_once(spark, tmp_path):
 
 
 def run_sink(spark, tmp_path, spec, folder):
-    sink = streams.dedupe_sink(spec, FingerprintLog(spark, f"{tmp_path}/log"), f"{tmp_path}/out")
+    sink = streams.table_sink(spec, FingerprintLog(spark, f"{tmp_path}/log"), f"{tmp_path}/out")
     writer = open_stream(spark, folder).writeStream.foreachBatch(sink)
     writer.option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return sink
@@ -133,6 +135,30 @@ def test_stream_extraction_equals_batch(spark, tmp_path):
     assert sorted(got.collect()) == sorted(want.collect()) and want.count() == 3
 
 
+def test_whole_source_as_a_stream(spark, tmp_path):
+    spec = make(dataKey="d", logStatusField={"name": "kind", "error": {"value": "y"}})
+    at = [datetime(2025, 1, 1, 0, 0, s, tzinfo=timezone.utc) for s in (0, 10, 30)]
+    docs = ['{"d": [{"id": 1, "kind": "x"}, {"id": 2, "kind": "y"}]}', '{"d": [{"id": 1, "kind": "x"}]}', '{"d": {"id": 1, "kind": "x"}}']
+    for i, text in enumerate([*docs, "broken"]):
+        row = ("s", str(i), 0, None, None, at[min(i, 2)], text)
+        spark.createDataFrame([row], PAYLOAD_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = stream_payload_table(spark, f"{tmp_path}/in", max_files=1)
+    log, out = FingerprintLog(spark, f"{tmp_path}/log"), f"{tmp_path}/out"
+    streams.start(spec, source, log, out, f"{tmp_path}/checkpoint", availableNow=True).awaitTermination()
+    logs = spark.read.parquet(f"{out}/log_records")
+    # The repeat after 10 s lies within the TTL of 20 s, the one after 30 s does not.
+    assert sorted((r["scrape_id"], r["severity_text"]) for r in logs.collect()) == [("0", "ERROR"), ("0", "INFO"), ("2", "INFO")]
+    assert [r["snippet"] for r in spark.read.parquet(f"{out}/rejects").collect()] == ["broken"]
+
+
+def test_rows_are_combined_before_the_shuffle():
+    batch = pa.RecordBatch.from_pydict(
+        {"hash": ["b", "a", "a", "a", "b"], "seen_at": [1, 1, 1, 2, 1], "record_pos": [4, 9, 3, 5, 1], "x": list("vwxyz")}
+    )
+    (out,) = streams._first_per_second(iter([batch]))
+    assert out.to_pydict() == {"hash": ["a", "a", "b"], "seen_at": [1, 2, 1], "record_pos": [3, 5, 1], "x": ["x", "y", "z"]}
+
+
 def test_windowed_metrics_equal_batch(spark, tmp_path):
     rows = rows_in_time_order(200, 5, 600)
     land(spark, f"{tmp_path}/in", rows)
