@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,46 +189,47 @@ def replay(hashed: DataFrame, ttl_seconds: int, store: DataFrame | None = None)
     combined first, so a fingerprint has at most one row per second of history, and a sorted
     scan streams those rows with a constant state.
     """
-    timed = hashed.withColumn("seen_at", F.unix_seconds("fetched_at"))
-    key = ["hash", "seen_at"]
     columns = [c for c in hashed.columns if c != "hash"]
     order = F.struct("fetched_at", "scrape_id", "record_pos")
-    firsts = timed.groupBy(*key).agg(F.min_by(F.struct(*columns), order).alias("_first"))
-    moments = timed.select(*key, F.lit(False).alias("old"))
+    timed = hashed.withColumn("seen_at", F.unix_seconds("fetched_at"))
+    firsts = timed.groupBy("hash", "seen_at").agg(F.min_by(F.struct(*columns), order).alias("_first"))
+    moments = firsts.select("_first.*", "hash", "seen_at", F.lit(True).alias("new"))
     if store is not None:
-        past = store.select("hash", F.col("last_seen").alias("seen_at"), F.lit(True).alias("old"))
-        moments = moments.unionByName(past)
-    moments = moments.groupBy(*key).agg(F.max("old").alias("old"))
-    emitted = (
-        moments.repartition("hash")
-        .sortWithinPartitions(*key)
-        .mapInPandas(_emitter(ttl_seconds), moments.schema)
-        .where(~F.col("old"))
-    )
-    return firsts.join(emitted, key, "left_semi").select("_first.*", "hash")
+        past = store.select("hash", F.col("last_seen").alias("seen_at"), F.lit(False).alias("new"))
+        moments = moments.unionByName(past, allowMissingColumns=True)
+    ordered = moments.repartition("hash").sortWithinPartitions("hash", "seen_at", "new")
+    emitted = ordered.mapInArrow(_emitter(ttl_seconds), moments.schema)
+    return emitted.where("new").drop("seen_at", "new")
 
 
 def _emitter(ttl: int):
-    """Scan of sorted ``(hash, seen_at)`` batches; remembers only the last emission."""
+    """Scan of batches sorted by ``(hash, seen_at)``; remembers only the last emission."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, last_time = None, 0
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_hash, last_time = None, 0
         for batch in batches:
-            if batch.empty:
+            if batch.num_rows == 0:
                 continue
-            hashes, times = batch["hash"].to_numpy(), batch["seen_at"].to_numpy()
+            hashes = batch["hash"].to_numpy(zero_copy_only=False)
+            times = batch["seen_at"].to_numpy(zero_copy_only=False)
             starts = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1))
-            ends = np.append(starts[1:], len(times))
-            keep = []
-            for start, end in zip(starts, ends):
-                at, key = start, hashes[start]
-                if key == last_key:
-                    at = start + np.searchsorted(times[start:end], last_time + ttl, side="right")
+            ends = np.append(starts[1:], len(hashes))
+            keep = np.zeros(len(hashes), dtype=bool)
+            # The first row of a fingerprint is emitted; only longer runs need the scan, and
+            # the first run, which may continue the batch before.
+            keep[starts[1:]] = True
+            longer = np.flatnonzero(ends - starts > 1)
+            for run in longer if len(longer) and longer[0] == 0 else [0, *longer]:
+                at, end = starts[run], ends[run]
+                if run == 0 and hashes[0] == last_hash:
+                    at += np.searchsorted(times[:end], last_time + ttl, side="right")
                 while at < end:
-                    keep.append(at)
-                    last_time = times[at]
-                    at += np.searchsorted(times[at:end], last_time + ttl, side="right")
-                last_key = key
-            yield batch.iloc[keep]
+                    keep[at] = True
+                    at += np.searchsorted(times[at:end], times[at] + ttl, side="right")
+            tail = np.flatnonzero(keep[starts[-1] :])
+            if len(tail):
+                last_time = times[starts[-1] + tail[-1]]
+            last_hash = hashes[-1]
+            yield batch.filter(pa.array(keep))
 
     return scan

@@ -65,12 +65,7 @@ def plan_windows(sources: DataFrame, success: DataFrame, now: datetime | Column)
         F.when(F.col("api_type") == "range", at).alias("range_end"),
         "slice_seconds",
     )
-    whole = bounded.where(F.col("slice_seconds").isNull()).select(
-        "source", F.lit(0).alias("window_id"),
-        F.col("range_start").alias("window_start"), F.col("range_end").alias("window_end"),
-    )
-    sliced = slice_range(bounded.where(F.col("slice_seconds").isNotNull()))
-    return whole.unionByName(sliced)
+    return _cut(bounded)
 
 
 def slice_range(ranges: DataFrame) -> DataFrame:
@@ -78,18 +73,23 @@ def slice_range(ranges: DataFrame) -> DataFrame:
 
     The last window may be short; a range that is empty or reversed has none.
     """
+    return _cut(ranges.where(F.col("slice_seconds") > 0))
+
+
+def _cut(ranges: DataFrame) -> DataFrame:
+    """One window per slice, or the range as it is where ``slice_seconds`` is NULL."""
     start, end = F.unix_micros("range_start"), F.unix_micros("range_end")
     step = F.col("slice_seconds") * MICROS
-    last = F.ceil((end - start) / step) - 1
-    numbered = ranges.where((start < end) & (step > 0)).withColumn(
-        "window_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))
-    )
-    begin = start + F.col("window_id") * step
+    count = F.when(step.isNull(), 1).otherwise(F.ceil((end - start) / step)).cast("bigint")
+    numbered = ranges.withColumn("_count", count).where(F.col("_count") > 0)
+    numbered = numbered.withColumn("_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_count") - 1)))
+    begin = start + F.coalesce(F.col("_n") * step, F.lit(0))
+    finish = F.when(step.isNull(), end).otherwise(F.least(begin + step, end))
     return numbered.select(
         "source",
-        F.col("window_id").cast("int"),
+        F.col("_n").cast("int").alias("window_id"),
         F.timestamp_micros(begin).alias("window_start"),
-        F.timestamp_micros(F.least(begin + step, end)).alias("window_end"),
+        F.timestamp_micros(finish).alias("window_end"),
     )
 
 

@@ -231,11 +231,13 @@ def on_grid(rows: DataFrame, sums: dict[str, Column], step: int, until: Column |
     stepped = rows.groupBy("source", step_end.cast("bigint").alias("step_end")).agg(
         *[c.alias(name) for name, c in sums.items()]
     )
-    last = F.max("step_end") if until is None else F.greatest(F.max("step_end"), until)
-    grid = stepped.groupBy("source").agg(F.min("step_end").alias("_from"), last.alias("_to"))
-    steps = F.explode(F.sequence(F.col("_from"), F.col("_to"), F.lit(step).cast("bigint")))
-    full = grid.select("source", steps.alias("step_end")).join(stepped, ["source", "step_end"], "left")
-    return full.select("source", "step_end", *[F.coalesce(n, F.lit(0)).alias(n) for n in sums])
+    following = F.lead("step_end").over(Window.partitionBy("source").orderBy("step_end"))
+    stepped = stepped.withColumn("_next", following)
+    open_end = F.col("step_end") if until is None else F.greatest("step_end", until)
+    every = F.sequence(F.col("step_end"), F.coalesce(F.col("_next") - step, open_end), F.lit(step).cast("bigint"))
+    full = stepped.withColumn("_at", F.explode(every))
+    values = [F.when(F.col("_at") == F.col("step_end"), F.col(n)).otherwise(0).alias(n) for n in sums]
+    return full.select("source", F.col("_at").alias("step_end"), *values)
 
 
 def rolling(grid: DataFrame, names: list[str], seconds: int, step: int) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import random
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,14 +179,36 @@ def test_replay_in_parts_equals_replay_at_once(spark):
 
 
 def test_scan_carries_state_over_batches():
-    import pandas as pd
-
-    frame = pd.DataFrame({"hash": ["a"] * 6 + ["b"] * 2, "seen_at": [1, 2, 6, 7, 12, 20, 3, 9]})
-    emit = d._emitter(5)
-    for size in (1, 2, 3, 8):
-        parts = [frame.iloc[i : i + size] for i in range(0, len(frame), size)]
-        out = pd.concat(emit(iter(parts)))
-        assert list(zip(out["hash"], out["seen_at"])) == [("a", 1), ("a", 7), ("a", 20), ("b", 3), ("b", 9)]
+    hashes, times = list("aaaaaabbc"), [1, 2, 6, 7, 12, 20, 3, 9, 9]
+    batch = pa.RecordBatch.from_pydict({"hash": hashes, "seen_at": times})
+    for size in (1, 2, 3, 9):
+        parts = [batch.slice(i, size) for i in range(0, len(hashes), size)]
+        out = pa.Table.from_batches(d._emitter(5)(iter(parts))).to_pydict()
+        assert list(zip(out["hash"], out["seen_at"])) == [("a", 1), ("a", 7), ("a", 20), ("b", 3), ("b", 9), ("c", 9)]
+
+
+def test_replay_of_dynamic_records(spark):
+    texts = [(i, f'{{"id": {i % 2}, "n": {{"deep": [{i}]}}}}') for i in range(6)]
+    df = spark.createDataFrame(texts, "i bigint, t string").select(
+        F.lit("s").alias("source"), F.lit("1").alias("scrape_id"), F.timestamp_seconds(F.col("i") * 10).alias("fetched_at"),
+        F.col("i").alias("record_pos"), F.parse_json("t").alias("record"),
+    )
+    kept = d.replay(d.fingerprint(df, make(**BY_ID)), 25)
+    got = sorted(r[0] for r in kept.select(F.to_json("record")).collect())
+    assert got == sorted(f'{{"id":{i % 2},"n":{{"deep":[{i}]}}}}' for i in (0, 1, 4, 5))
+
+
+def test_hot_fingerprint(spark):
+    """One fingerprint with most of the rows: the scan sees one row per second of it."""
+    batch = spark.range(200_000).select(
+        F.col("id").alias("pos"), (F.col("id") % 600).alias("at"),
+        F.when(F.col("id") % 3 > 0, F.lit(-1)).otherwise(F.col("id")).alias("id"), F.lit("x").alias("status"),
+    )
+    hashed = d.fingerprint(typed_records(batch, "s", "pos", fetched_at=F.timestamp_seconds("at")), make(**BY_ID))
+    kept = d.replay(hashed, 100).groupBy((F.col("record.id") == -1).alias("hot")).count()
+    assert {r["hot"]: r["count"] for r in kept.collect()} == {True: 6, False: 66667}
+    firsts = d.first_of_batch(hashed)
+    assert firsts.where("record.id = -1").select("n_seen").first()[0] == 133333
 
 
 def test_fingerprint_log(spark, tmp_path):
