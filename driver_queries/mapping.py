@@ -11,6 +11,7 @@ from payload_metrics.operators.dedupe import dedupe
 from payload_metrics.operators.extract import extract_selected, selected_records, typed_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import cumulative_points, latest_gauges, metric_points, series_text
+from payload_metrics.plans.pipeline import prepare_rows
 
 BY_TYPE = [{"name": "kind", "dataKey": "event_type"}]
 BUCKETS = [10, 50, 100]
@@ -36,6 +37,7 @@ def payloads_to_metrics(spark, sf_dir):
     """The whole way: payload pages, drop and keep rules, key dedupe, counter and histogram."""
     config = spec(
         dataKey="data.records",
+        emitLogs=False,
         filters={
             "drop": [{"any": [{"field": "event_type", "matchType": "equals", "value": "signup"}]}],
             "keep": [{"all": [{"field": "value", "matchType": "regex", "value": r"^(\d\d|[1-9]|0\.(0[5-9]|[1-9]))"}]}],
@@ -45,7 +47,7 @@ def payloads_to_metrics(spark, sf_dir):
         counterReadings=[{"name": "records_total"}, {"name": "value_total", "dataKey": "value"}],
         histogramReadings=[{"name": "value", "dataKey": "value", "buckets": BUCKETS}],
     )
-    records = selected_records(extract_selected(event_pages(spark, sf_dir), config))
+    records = selected_records(prepare_rows(event_pages(spark, sf_dir), config))
     points = metric_points(dedupe(records, None, config, 0), config)
 
     def of(metric):

@@ -65,10 +65,14 @@ def unseen(firsts: DataFrame, store: DataFrame, spec: SourceSpec, now: int) -> D
 
 
 def dedupe(records: DataFrame, store: DataFrame | None, spec: SourceSpec, now: int) -> DataFrame:
-    """Records to emit, with ``hash`` and ``n_seen``; all of them when detection is off."""
+    """Records to emit, with ``hash`` and ``n_seen``; all of them when detection is off.
+
+    Uses the ``hash`` column if the records were fingerprinted before.
+    """
     if not spec.deltaDetection.enabled:
         return records
-    firsts = first_of_batch(fingerprint(records, spec))
+    hashed = records if "hash" in records.columns else fingerprint(records, spec)
+    firsts = first_of_batch(hashed)
     return firsts if store is None else unseen(firsts, store, spec, now)
 
 

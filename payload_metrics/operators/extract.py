@@ -10,11 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from payload_metrics.functions.values import snippet
 from payload_metrics.operators.fields import VariantFields
 from payload_metrics.operators.filters import passes
-from payload_metrics.paths import DataStep, EveryItem, ItemAt, ItemRange, data_steps, key_parts, variant_path
+from payload_metrics.paths import DataStep, EveryItem, ItemAt, ItemRange, data_steps, is_root_path, key_parts, variant_path
 from payload_metrics.spec import SourceSpec
 
 ENVELOPE = ("source", "scrape_id", "window_id", "fetched_at")
@@ -117,6 +118,21 @@ def selected_records(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("record_idx").isNotNull()).drop("reason", "snippet")
 
 
+def slim_records(records: DataFrame, spec: SourceSpec) -> DataFrame:
+    """Dynamic records cut to the top-level fields the outputs look up.
+
+    For sources without log rows: whole records are then needed for the fingerprint only, and
+    need not be staged or shuffled. Columns inside a VARIANT are not pruned by Spark itself.
+    """
+    keys = {key_parts(p)[0] for p in spec.field_paths() if not is_root_path(p) and key_parts(p)}
+    if isinstance(records.schema["record"].dataType, T.StructType):
+        return records
+    if not keys:
+        return records.withColumn("record", F.parse_json(F.lit("{}")))
+    fields = [_getter(variant_path([k]))(F.col("record")).alias(k) for k in sorted(keys)]
+    return records.withColumn("record", F.to_variant_object(F.struct(*fields)))
+
+
 def typed_records(
     df: DataFrame,
     source: str,

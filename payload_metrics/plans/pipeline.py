@@ -8,8 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payload_metrics.operators.dedupe import dedupe, dedupe_stats, touches
-from payload_metrics.operators.extract import REJECT_COLUMNS, extract_selected, selected_records
+from payload_metrics.operators.dedupe import dedupe, dedupe_stats, fingerprint, touches
+from payload_metrics.operators.extract import REJECT_COLUMNS, extract_selected, selected_records, slim_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
 from payload_metrics.sources.outputs import write_part
@@ -41,7 +41,7 @@ def run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: dat
     both feed several outputs. Emit ``touches`` to the store only after the outputs are written.
     """
     mine = payloads.where(F.col("source") == spec.name)
-    rows = stage(extract_selected(mine, spec), "records")
+    rows = stage(prepare_rows(mine, spec), "records")
     records = selected_records(rows)
     rejects = rows.where(F.col("reason").isNotNull()).select(*REJECT_COLUMNS)
     seconds = int(now.timestamp())
@@ -58,9 +58,17 @@ def run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: dat
     )
 
 
+def prepare_rows(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
+    """Selected records and reject rows, fingerprinted, with no more fields than needed."""
+    rows = extract_selected(payloads, spec)
+    if spec.deltaDetection.enabled:
+        rows = fingerprint(rows, spec)
+    return rows if spec.emitLogs else slim_records(rows, spec)
+
+
 def dry_run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: datetime) -> DataFrame:
     """Record counts per source of what a run would emit; writes nothing."""
-    rows = extract_selected(payloads.where(F.col("source") == spec.name), spec)
+    rows = prepare_rows(payloads.where(F.col("source") == spec.name), spec)
     kept = dedupe(selected_records(rows), store, spec, int(now.timestamp()))
     return kept.groupBy("source").agg(F.count("*").alias("records"))
 

@@ -16,6 +16,7 @@ from payload_metrics.operators.dedupe import fingerprint, replay, touches
 from payload_metrics.operators.extract import REJECT_COLUMNS, extract_selected, selected_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
+from payload_metrics.plans.pipeline import prepare_rows
 from payload_metrics.sources.outputs import FingerprintLog, write_part
 from payload_metrics.sources.tables import stage
 from payload_metrics.spec import SourceSpec
@@ -119,7 +120,7 @@ def table_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[Dat
             rows = selected_records(rows)
         kept = rows
         if spec.deltaDetection.enabled:
-            hashed = fingerprint(rows, spec)
+            hashed = rows if "hash" in rows.columns else fingerprint(rows, spec)
             oldest = rows.agg(F.unix_seconds(F.min("fetched_at"))).first()[0] or 0
             past = log.touched(before_batch=batch_id).where(
                 (F.col("source") == spec.name) & (F.col("last_seen") >= oldest - ttl)
@@ -136,6 +137,6 @@ def start(
     spec: SourceSpec, payloads: DataFrame, log: FingerprintLog, out: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Runs a source over a payload stream, with the trigger given (such as ``availableNow=True``)."""
-    rows = extract_selected(payloads.where(F.col("source") == spec.name), spec)
+    rows = prepare_rows(payloads.where(F.col("source") == spec.name), spec)
     writer = rows.writeStream.queryName(spec.name).foreachBatch(table_sink(spec, log, out))
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()

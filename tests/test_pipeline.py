@@ -195,3 +195,24 @@ def test_clean_up(spark, tmp_path):
         "capacity_cleanup": 1,
     }
     assert new.touched(before_batch=5).count() == 3 and log.touched().count() == 11
+
+
+def test_slim_records_give_the_same_metrics(spark):
+    doc = json.dumps([{"a": {"b": 2, "c": 9}, "k": "x", "big": "z" * 50}, {"a": {"b": 3}, "k": None, "big": "y"}, {"k": "x"}])
+    base = {
+        "name": "jobs",
+        "frequency": "5min",
+        "scrape": {"type": "instant"},
+        "attributes": [{"name": "k", "dataKey": "k"}],
+        "counterReadings": [{"name": "c", "dataKey": "a.b"}],
+        "deltaDetection": {"enabled": True},
+    }
+    results = {}
+    for logs in (True, False):
+        result = run(SourceSpec.from_dict(base | {"emitLogs": logs}), payloads(spark, [doc, doc]), None, AT)
+        assert result.log_records.count() == (3 if logs else 0)
+        rows = result.metric_points.select("value", "attrs").collect()
+        results[logs] = sorted((r["value"], sorted(r["attrs"].items())) for r in rows)
+    assert results[True] == results[False] and len(results[True]) == 2
+    texts = [str(r["record"]) for r in result.kept.collect()]
+    assert len(texts) == 3 and not any("zzz" in t for t in texts)
