@@ -98,6 +98,13 @@ def dedupe_stats(spark, sf_dir):
     return stats.select("scrape_id", "total", "misses", "hits")
 
 
+@query("SELECT count(*) AS total, count(*) AS misses, CAST(0 AS BIGINT) AS hits FROM events")
+def dedupe_disabled(spark, sf_dir):
+    records = event_records(spark, sf_dir)
+    kept = d.dedupe(records, None, spec(deltaDetection=KEYS | {"enabled": False}), NOW)
+    return d.dedupe_stats(records, kept).select("total", "misses", "hits")
+
+
 _REPLAY = f"""
 WITH RECURSIVE t AS (
   SELECT event_id, hash, s, row_number() OVER (PARTITION BY hash ORDER BY ts, event_id) AS rn FROM {_HASHED}

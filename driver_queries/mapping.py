@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from driver_queries import query
@@ -9,9 +11,17 @@ from driver_queries.deltas import KEYS
 from driver_queries.inputs import event_pages, event_records, events, spec, table
 from payload_metrics.operators.dedupe import dedupe
 from payload_metrics.operators.extract import extract_selected, selected_records, typed_records
+from payload_metrics.operators.fields import fields_of
 from payload_metrics.operators.logs import log_records
-from payload_metrics.operators.metrics import cumulative_points, latest_gauges, metric_points, series_text
-from payload_metrics.plans.pipeline import prepare_rows
+from payload_metrics.operators.metrics import (
+    attribute_map,
+    attribute_texts,
+    cumulative_points,
+    latest_gauges,
+    metric_points,
+    series_text,
+)
+from payload_metrics.plans.pipeline import prepare_rows, run
 
 BY_TYPE = [{"name": "kind", "dataKey": "event_type"}]
 BUCKETS = [10, 50, 100]
@@ -65,6 +75,33 @@ def payloads_to_metrics(spark, sf_dir):
     )
 
 
+@query(
+    "SELECT event_id, 'events' AS source, event_type AS kind, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, "
+    "CAST(2 + CASE WHEN json_extract(props, '$.k') IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_attrs FROM events"
+)
+def attributes(spark, sf_dir):
+    records = event_records(spark, sf_dir)
+    config = spec(attributes=[*BY_TYPE, {"name": "k", "dataKey": "props.k"}, {"name": "none", "dataKey": "no.such"}])
+    attrs = attribute_map(attribute_texts(fields_of(records), config)).alias("attrs")
+    found = records.select(F.col("record.event_id").alias("event_id"), attrs)
+    return found.select("event_id", _attr("source"), _attr("kind"), _attr("k"), F.size("attrs").alias("n_attrs"))
+
+
+@query(
+    "SELECT lpad(CAST(event_id // 100000 AS VARCHAR), 15, '0') AS scrape_id, 'success' AS status, "
+    "count(*) FILTER (rn = 1) AS records, count(*) FILTER (rn = 1) AS misses, count(*) FILTER (rn > 1) AS hits, "
+    "count(*) AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type "
+    "ORDER BY max_ts, event_id) AS rn FROM (SELECT *, max(ts) OVER (PARTITION BY event_id // 100) AS max_ts "
+    "FROM events WHERE event_type <> 'signup')) GROUP BY 1"
+)
+def run_rows(spark, sf_dir):
+    """A whole run with staged tables; its run rows."""
+    drop = [{"any": [{"field": "event_type", "matchType": "equals", "value": "signup"}]}]
+    config = spec(dataKey="data.records", filters={"drop": drop}, deltaDetection=KEYS, attributes=BY_TYPE)
+    result = run(config, event_pages(spark, sf_dir), None, datetime(2024, 2, 1, tzinfo=timezone.utc))
+    return result.scrape_runs.select("scrape_id", "status", "records", "misses", "hits", "total")
+
+
 @query("SELECT event_type AS kind, max_by(value, event_id) AS value FROM events GROUP BY 1")
 def gauge_last(spark, sf_dir):
     points = _event_points(spark, sf_dir, gaugeReadings=[{"name": "g", "dataKey": "value"}])

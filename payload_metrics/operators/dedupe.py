@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from payload_metrics.functions.values import sha256
 from payload_metrics.operators.fields import fields_of
 from payload_metrics.sources.tables import small_side
-from payload_metrics.spec import DEFAULT_MAX_ENTRIES, SourceSpec
+from payload_metrics.spec import DEFAULT_MAX_ENTRIES, DEFAULT_TTL_SECONDS, SourceSpec
 
 FINGERPRINT_SCHEMA = "source string, hash string, first_seen bigint, last_seen bigint, ttl_seconds bigint"
 STORE_KEY = ["hash", "source"]
@@ -39,9 +39,13 @@ def fingerprint(records: DataFrame, spec: SourceSpec) -> DataFrame:
     return records.withColumn("hash", sha256(fingerprint_text(records, spec)))
 
 
-def live(store: DataFrame, now: int) -> DataFrame:
-    """Fingerprints still within their own TTL; exactly at the TTL counts as seen."""
-    return store.where(F.lit(now) - F.col("last_seen") <= F.col("ttl_seconds"))
+def live(store: DataFrame, now: int, default_ttl: int = DEFAULT_TTL_SECONDS) -> DataFrame:
+    """Fingerprints still within their own TTL; exactly at the TTL counts as seen.
+
+    A stored TTL of 0 stands for the default.
+    """
+    ttl = F.when(F.col("ttl_seconds") == 0, default_ttl).otherwise(F.col("ttl_seconds"))
+    return store.where(F.lit(now) - F.col("last_seen") <= ttl)
 
 
 def first_of_batch(hashed: DataFrame) -> DataFrame:
@@ -60,7 +64,7 @@ def unseen(firsts: DataFrame, store: DataFrame, spec: SourceSpec, now: int) -> D
     No broadcast hint: the store grows with the data, and ``firsts`` is already partitioned
     on the hash, so a shuffled join moves only the store.
     """
-    mine = live(store, now).where(F.col("source") == spec.name)
+    mine = live(store, now, spec.deltaDetection.ttl()).where(F.col("source") == spec.name)
     return firsts.join(mine.select("hash"), "hash", "left_anti")
 
 

@@ -293,14 +293,30 @@ class SourceSpec:
 
 
 def load_specs(path: str | Path) -> dict[str, SourceSpec]:
-    """Read the ``sources`` of a YAML config file, by name."""
-    raw = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
-    specs = [SourceSpec.from_dict(item) for item in (raw or {}).get("sources", [])]
+    """Read the ``sources`` of a YAML config file, by name.
+
+    Defaults of the ``scraper`` section fill in what a source leaves open.
+    """
+    raw = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    specs = [_with_defaults(SourceSpec.from_dict(item), raw.get("scraper") or {}) for item in raw.get("sources", [])]
     by_name = {spec.name: spec for spec in specs}
     _require(len(by_name) == len(specs), "source names must be unique")
     return by_name
 
 
+def _with_defaults(spec: SourceSpec, scraper: dict[str, Any]) -> SourceSpec:
+    store = scraper.get("fingerprintStore") or {}
+    delta = spec.deltaDetection
+    delta = dataclasses.replace(
+        delta,
+        ttlSeconds=delta.ttlSeconds or store.get("defaultTtlSeconds"),
+        maxEntries=delta.maxEntries or store.get("maxEntriesPerSource"),
+    )
+    time_format = spec.scrape.timeFormat or scraper.get("defaultTimeFormat")
+    scrape = dataclasses.replace(spec.scrape, timeFormat=time_format)
+    return dataclasses.replace(spec, deltaDetection=delta, scrape=scrape)
+
+
 def _require(ok: bool, message: str) -> None:
     if not ok:
         raise SpecError(message)

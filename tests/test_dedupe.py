@@ -75,7 +75,7 @@ def test_full_record_mode_sees_every_field(spark):
     assert positions(d.dedupe(batch, None, make(), 100)) == [0, 1]
 
 
-@pytest.mark.parametrize(("age", "ttl", "kept"), [(10, 10, []), (11, 10, [0]), (0, 10, []), (500, 1000, [])])
+@pytest.mark.parametrize(("age", "ttl", "kept"), [(10, 10, []), (11, 10, [0]), (0, 10, []), (500, 1000, []), (60, 0, []), (61, 0, [0])])
 def test_ttl_of_the_stored_row_decides(spark, age, ttl, kept):
     spec = make(ttlSeconds=60, **BY_ID)
     seen = store(spark, [("s", digest('s:{"id":1}'), 0, 1000 - age, ttl)])

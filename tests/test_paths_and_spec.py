@@ -127,3 +127,19 @@ def test_load_specs(tmp_path):
         "  - {name: b, frequency: 1d, scrape: {type: instant}}\n"
     )
     assert sorted(load_specs(path)) == ["a", "b"]
+
+
+def test_config_defaults_fill_gaps(tmp_path):
+    path = tmp_path / "config.yaml"
+    path.write_text(
+        "scraper:\n"
+        "  defaultTimeFormat: '%Y'\n"
+        "  fingerprintStore: {defaultTtlSeconds: 60, maxEntriesPerSource: 9}\n"
+        "sources:\n"
+        "  - {name: a, frequency: 1h, scrape: {type: instant}}\n"
+        "  - {name: b, frequency: 1h, scrape: {type: instant, timeFormat: '%d'}, deltaDetection: {ttlSeconds: 5}}\n"
+    )
+    specs = load_specs(path)
+    assert [specs[n].deltaDetection.ttl() for n in "ab"] == [60, 5]
+    assert [specs[n].deltaDetection.capacity() for n in "ab"] == [9, 9]
+    assert [specs[n].time_format for n in "ab"] == ["%Y", "%d"]
