@@ -4,20 +4,40 @@ from __future__ import annotations
 
 import re
 
-_NAMED = re.compile(r"\(\?P<(\w+)>")
-_BACKREF = re.compile(r"\(\?P=(\w+)\)")
 _CONDITIONAL = re.compile(r"\(\?\(")
+# One escape, one character class, one named group or reference, or one open-ended count.
+_PIECE = re.compile(
+    r"\\.|\[(?P<not>\^?)(?P<body>\]?(?:\\.|[^\]\\])*)\]|\(\?P<(?P<name>\w+)>|\(\?P=(?P<ref>\w+)\)|\{,(?P<most>\d+)\}",
+    re.DOTALL,
+)
+_IN_CLASS = re.compile(r"\\.|[\[\]&]", re.DOTALL)
 
 
 def to_java_regex(pattern: str) -> str:
-    """Same language under Java: named groups, end anchor, newline and Unicode rules."""
+    """The same language under Java's rules for groups, classes, end anchors and line ends."""
     re.compile(pattern)
     if _CONDITIONAL.search(pattern):
         raise ValueError(f"conditional groups are not supported: {pattern!r}")
-    names = {name: f"g{i}" for i, name in enumerate(_NAMED.findall(pattern))}
-    java = _NAMED.sub(lambda m: f"(?<{names[m[1]]}>", pattern)
-    java = _BACKREF.sub(lambda m: rf"\k<{names[m[1]]}>", java)
-    java = java.replace(r"\Z", r"\z")
+    groups: dict[str, str] = {}
+
+    def piece(match: re.Match) -> str:
+        if match["name"]:
+            # Java allows letters and digits only.
+            return f"(?<{groups.setdefault(match['name'], f'g{len(groups)}')}>"
+        if match["ref"]:
+            return rf"\k<{groups[match['ref']]}>"
+        if match["most"]:
+            return f"{{0,{match['most']}}}"
+        if match["body"] is not None:
+            # A bare bracket or ampersand would nest or intersect classes.
+            return f"[{match['not']}{_IN_CLASS.sub(_escaped, match['body'])}]"
+        return r"\z" if match[0] == r"\Z" else match[0]
+
+    java = _PIECE.sub(piece, pattern)
     # (?d): only "\n" ends a line. (?U): \w, \d, \s and \b cover Unicode.
     flags = "dU" if re.search(r"\\[wWdDsSbB]|\(\?i", pattern) else "d"
     return f"(?{flags}){java}"
+
+
+def _escaped(match: re.Match) -> str:
+    return match[0] if match[0].startswith("\\") else "\\" + match[0]

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from payload_metrics.functions.regexes import to_java_regex
 from payload_metrics.functions.values import map_value, strict_double
 from payload_metrics.operators.extract import typed_records
 from payload_metrics.operators.fields import fields_of, matches
@@ -129,6 +130,20 @@ def test_numbers_from_json(spark):
     assert got == [1.0, 0.0, None, 7.0, 1.25, 3.0, None, None, None]
 
 
+def test_regexes_agree_with_python(spark):
+    texts = ["", "a", "ab", "a[b", "a]b", "a&&b", "x{,2}", "aaa", "A", "é", "é9", "a\n", "a\nb", "a\r", "aa-aa", "\\\\Z", "\\Z", "٣"]
+    patterns = [
+        r"[[]", r"[]]", r"[^[]b", r"[a&&b]+$", r"^a{,2}$", r"^\w+$", r"^\d$", r"a\Z", r"\\Z", r"a$", r"^b", r"(?m)^b",
+        r"(?P<x_1>a+)-(?P=x_1)", r"(?i)^a$", r"(?i)É", r"a.b", r"(?s)a.b", r"\[", r"[\]\[]", r"^a.$", r"\bb",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    columns = [F.col("t").rlike(to_java_regex(p)).alias(f"p{n}") for n, p in enumerate(patterns)]
+    got = {r["i"]: r for r in df.select("i", *columns).collect()}
+    for n, pattern in enumerate(patterns):
+        for i, text in enumerate(texts):
+            assert got[i][f"p{n}"] == bool(re.search(pattern, text)), (pattern, text)
+
+
 def test_mapping_keys(spark):
     docs = ["true", '"us"', "null", "5"]
     df = spark.createDataFrame([(f'{{"x": {d}}}',) for d in docs], "t string").withColumn("record", F.parse_json("t"))
