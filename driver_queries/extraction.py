@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from driver_queries import query
-from driver_queries.inputs import event_chapters, event_pages, events, spec
+from driver_queries.inputs import event_chapters, event_pages, events, spec, table
 from payload_metrics.functions.durations import frequency_seconds_col
 from payload_metrics.functions.timetext import format_time, parse_time
 from payload_metrics.functions.values import map_value, strict_double
@@ -44,9 +44,7 @@ def extract_nested(spark, sf_dir):
     return _event_fields(records, k, fields.text("ts").alias("ts_text"))
 
 
-@query(
-    "SELECT event_id, event_type, value FROM events"
-)
+@query("SELECT event_id, event_type, value FROM events")
 def extract_all_items(spark, sf_dir):
     records, _ = extract(event_chapters(spark, sf_dir), spec(dataKey="sheets[].records"))
     return _event_fields(records)
@@ -118,7 +116,7 @@ def _shaped(spark, sf_dir):
 
 
 @query(
-    f"SELECT CAST(event_id AS VARCHAR) AS scrape_id, CASE event_type WHEN 'error' THEN 'payload is not valid JSON' "
+    "SELECT CAST(event_id AS VARCHAR) AS scrape_id, CASE event_type WHEN 'error' THEN 'payload is not valid JSON' "
     "WHEN 'purchase' THEN 'expected a list of objects' ELSE 'expected an object or a list of objects' END AS reason, "
     f"substr(payload, 1, 200) AS snippet FROM ({_SHAPES}) WHERE event_type NOT IN ('click', 'view')"
 )
@@ -210,16 +208,15 @@ def value_mapping(spark, sf_dir):
 
 
 @query(
-    "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 60 WHEN 1 THEN 3600 WHEN 2 THEN 86400 WHEN 3 THEN 2592000 END "
-    "* n_nationkey AS seconds FROM nation"
+    "SELECT c_custkey, CASE c_nationkey // 5 WHEN 0 THEN 60 WHEN 1 THEN 3600 WHEN 2 THEN 86400 WHEN 3 THEN 2592000 END "
+    "* c_custkey AS seconds FROM customer"
 )
 def frequency_seconds(spark, sf_dir):
-    from driver_queries.inputs import table
-
-    units = F.element_at(F.array(*[F.lit(u) for u in ("min", "h", "d", "mon", "s")]), F.col("n_regionkey") + 1)
-    text = F.concat(F.col("n_nationkey").cast("string"), units)
-    nation = table(spark, sf_dir, "nation")
-    return nation.select("n_nationkey", frequency_seconds_col(text).alias("seconds"))
+    """Customer numbers with a unit by nation; the unit ``s`` is not valid."""
+    units = F.element_at(F.array(*[F.lit(u) for u in ("min", "h", "d", "mon", "s")]), F.expr("int(c_nationkey div 5) + 1"))
+    text = F.concat(F.col("c_custkey").cast("string"), units)
+    customers = table(spark, sf_dir, "customer")
+    return customers.select("c_custkey", frequency_seconds_col(text).alias("seconds"))
 
 
 @query(

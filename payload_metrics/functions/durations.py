@@ -26,6 +26,7 @@ UNIT_SECONDS = {
     "months": 2592000,
 }
 
+# Fixed value: how a frequency is written.
 FREQUENCY_PATTERN = r"^\s*(\d+)(min|mon|m|h|d|w)\s*$"
 
 
