@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from payload_metrics.functions.values import map_value
 from payload_metrics.operators.fields import StructFields, VariantFields, fields_of
-from payload_metrics.spec import Attribute, Histogram, SourceSpec
+from payload_metrics.spec import Attribute, SourceSpec
 
 POINT_COLUMNS = (
     "source", "metric", "kind", "unit", "attrs", "scrape_id", "ts",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from payload_metrics.operators.dedupe import FINGERPRINT_SCHEMA, upsert
 
@@ -15,6 +16,11 @@ def write_part(df: DataFrame, path: str, part: str) -> None:
     df.write.mode("overwrite").partitionBy("source").parquet(f"{path}/{part}")
 
 
+def read_parts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All parts of an output table; empty when no part holds a row."""
+    return spark.read.schema(schema).parquet(path)
+
+
 class FingerprintLog:
     """Fingerprints as an append-only log of touches, one folder per batch.
 

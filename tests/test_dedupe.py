@@ -3,7 +3,6 @@ from __future__ import annotations
 import hashlib
 import json
 import random
-from datetime import datetime, timezone
 
 import pyarrow as pa
 import pytest

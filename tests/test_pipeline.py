@@ -8,7 +8,7 @@ import pytest
 from payload_metrics.operators.dedupe import FINGERPRINT_SCHEMA
 from payload_metrics.plans.pipeline import dry_run, run
 from payload_metrics.plans.upkeep import clean_up
-from payload_metrics.sources.outputs import FingerprintLog
+from payload_metrics.sources.outputs import FingerprintLog, read_parts
 from payload_metrics.sources.payloads import PAYLOAD_SCHEMA, read_payload_table
 from payload_metrics.sources.tables import shared_folder, small_side, stage
 from payload_metrics.spec import SourceSpec
@@ -74,6 +74,13 @@ def test_sinks_replace_a_repeated_run(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/scrape_runs").first()["run_id"] == "r1"
 
 
+def test_outputs_without_rows_can_be_read(spark, tmp_path):
+    result = run(SPEC, payloads(spark, TEXTS[:2]), None, AT)
+    result.write(f"{tmp_path}/out", "r1")
+    assert read_parts(spark, f"{tmp_path}/out/rejects", result.rejects.schema).count() == 0
+    assert read_parts(spark, f"{tmp_path}/out/log_records", result.log_records.schema).count() == 3
+
+
 def test_second_run_emits_only_news(spark, tmp_path):
     log = FingerprintLog(spark, f"{tmp_path}/log")
     emitted = []
