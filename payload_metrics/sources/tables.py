@@ -30,14 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a staged table."""
+    return f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` once for several readers. It survives lost executors and prunes columns."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = path or staged_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a staged table that no DataFrame will read again."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def small_side(df: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
     """A join side for broadcast if it has at most ``limit`` rows, else ``df`` as it is.
 
