@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payload_metrics.llm import toxicity
+from payload_metrics.llm import simhash, toxicity
 from payload_metrics.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return named.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold_of("doc_id", 3) == 1
@@ -29,6 +34,7 @@ def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
+        op2_simhash_multi_index,
         op4_compression_toxicity,
     ]
 }
