@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payload_metrics.llm import simhash, toxicity
+from payload_metrics.llm import decontaminate, simhash, site_lines, toxicity
 from payload_metrics.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op2_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, benchmark)
+
+
 def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold_of("doc_id", 3) == 1
@@ -31,11 +36,44 @@ def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return site_lines.drop_boilerplate(docs)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
         op2_simhash_multi_index,
+        op3_pigeonhole_decontamination,
         op4_compression_toxicity,
+        op9_site_lines,
     ]
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_site_lines": f"""
+        WITH pages AS (
+            SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
+        ),
+        seen AS (SELECT source, unnest(list_distinct(lines)) AS line FROM pages),
+        on_pages AS (SELECT source, line, count(*) AS n FROM seen GROUP BY source, line),
+        totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
+        drops AS (
+            SELECT o.source, list(line) AS drops
+            FROM on_pages o JOIN totals t ON o.source IS NOT DISTINCT FROM t.source
+            WHERE n >= {site_lines.MIN_PAGES} AND n > {site_lines.RATIO}::DOUBLE * total
+            GROUP BY o.source
+        ),
+        filtered AS (
+            SELECT p.*, list_filter(lines, lambda x: NOT coalesce(list_contains(d.drops, x), false)) AS left_over
+            FROM pages p LEFT JOIN drops d ON p.source IS NOT DISTINCT FROM d.source
+        ),
+        kept AS (
+            SELECT *, CASE WHEN len(list_filter(left_over, lambda x: x <> '')) = 0 THEN lines ELSE left_over END AS kept
+            FROM filtered
+        )
+        SELECT doc_id, source, array_to_string(kept, chr(10)) AS text,
+            coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kept), 0) AS n_dropped
+        FROM kept
+    """,
+}
