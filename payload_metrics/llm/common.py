@@ -70,3 +70,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
             break
     plain = w[:-1] / scale
     return np.append(plain, w[-1] - plain @ mean)
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payload_metrics.llm import decontaminate, simhash, site_lines, toxicity
-from payload_metrics.llm.common import fold_of, table
+from payload_metrics.llm import decontaminate, packing, simhash, site_lines, toxicity
+from payload_metrics.llm.common import fold_of, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return site_lines.drop_boilerplate(docs)
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
         op2_simhash_multi_index,
         op3_pigeonhole_decontamination,
         op4_compression_toxicity,
+        op8_histogram_packing,
         op9_site_lines,
     ]
 }
