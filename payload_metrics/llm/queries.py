@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payload_metrics.llm import decontaminate, packing, simhash, site_lines, toxicity
+from payload_metrics.llm import decontaminate, packing, secrets, simhash, site_lines, toxicity
 from payload_metrics.llm.common import fold_of, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,17 @@ def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.drop_boilerplate(docs)
 
 
+def op10_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", secrets.spans(F.col("text")).alias("found"))
+    return found.select(
+        "doc_id",
+        *[secrets.count(F.col("found"), kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(secrets.listed(F.col("found"), secrets.BASE_KINDS), 256).alias("base_sha256"),
+        secrets.listed(F.col("found")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
@@ -53,6 +64,7 @@ QUERIES: dict[str, Query] = {
         op4_compression_toxicity,
         op8_histogram_packing,
         op9_site_lines,
+        op10_structural_secrets,
     ]
 }
 ORACLES: dict[str, str] = {
