@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payload_metrics.llm import decontaminate, packing, secrets, simhash, site_lines, toxicity
-from payload_metrics.llm.common import fold_of, table, tokenizer_path
+from payload_metrics.llm import decontaminate, packing, secrets, simhash, site_lines, toxicity, warc
+from payload_metrics.llm.common import fold_of, new_folder, table, tokenizer_path
+from payload_metrics.sources.tables import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,20 @@ def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "archives")
+    warc.write_archives(warc.captures(table(spark, sf_dir, "pages")), path, date="2025-01-01T00:00:00Z")
+    headers = warc.read_archives(spark, path, with_payload=False).drop("payload")
+    records = warc.resolved(stage(headers, "records", new_folder(spark, "records")))
+    return records.select(
+        "page_id",
+        F.col("full_bytes").alias("payload_bytes"),
+        F.col("full_digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
+
+
 def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -62,12 +77,27 @@ QUERIES: dict[str, Query] = {
         op2_simhash_multi_index,
         op3_pigeonhole_decontamination,
         op4_compression_toxicity,
+        op7_warc_revisits,
         op8_histogram_packing,
         op9_site_lines,
         op10_structural_secrets,
     ]
 }
 ORACLES: dict[str, str] = {
+    "op7_warc_revisits": f"""
+        WITH payloads AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ),
+        firsts AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM payloads
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= {warc.MIN_BYTES} AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= {warc.MIN_BYTES} AND first_id <> page_id THEN first_id END AS refers_to
+        FROM firsts
+    """,
     "op9_site_lines": f"""
         WITH pages AS (
             SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
