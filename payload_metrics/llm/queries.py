@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payload_metrics.llm import decontaminate, packing, secrets, simhash, site_lines, toxicity, warc
-from payload_metrics.llm.common import fold_of, new_folder, table, tokenizer_path
+from payload_metrics.llm import decontaminate, hidden_markov, packing, secrets, simhash, site_lines, toxicity, warc
+from payload_metrics.llm.common import fold_of, new_folder, table, text_of, tokenizer_path
 from payload_metrics.sources.tables import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,23 @@ def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_hidden_markov_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    held_out = fold_of("doc_id", 7) == 2
+    training = docs.where(~held_out)
+    vocab = hidden_markov.vocabulary(training)
+    scored = hidden_markov.score(docs, vocab, hidden_markov.train(training, vocab))
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(vocab.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "archives")
     warc.write_archives(warc.captures(table(spark, sf_dir, "pages")), path, date="2025-01-01T00:00:00Z")
@@ -77,6 +94,7 @@ QUERIES: dict[str, Query] = {
         op2_simhash_multi_index,
         op3_pigeonhole_decontamination,
         op4_compression_toxicity,
+        op5_hidden_markov_model,
         op7_warc_revisits,
         op8_histogram_packing,
         op9_site_lines,
