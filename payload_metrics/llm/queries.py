@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payload_metrics.llm import decontaminate, hidden_markov, packing, secrets, simhash, site_lines, toxicity, warc
+from payload_metrics.llm import decontaminate, hidden_markov, packing, prefix_forest, quality, secrets, simhash, site_lines, toxicity, warc
 from payload_metrics.llm.common import fold_of, new_folder, table, text_of, tokenizer_path
 from payload_metrics.sources.tables import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_boosted_tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 4) == 2
+    forest = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(F.col("text"), forest).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op2_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return named.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -54,6 +62,10 @@ def op5_hidden_markov_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "archives")
     warc.write_archives(warc.captures(table(spark, sf_dir, "pages")), path, date="2025-01-01T00:00:00Z")
@@ -91,10 +103,12 @@ def op10_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
+        op1_boosted_tree_quality,
         op2_simhash_multi_index,
         op3_pigeonhole_decontamination,
         op4_compression_toxicity,
         op5_hidden_markov_model,
+        op6_prefix_forest,
         op7_warc_revisits,
         op8_histogram_packing,
         op9_site_lines,
