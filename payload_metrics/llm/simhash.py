@@ -182,12 +182,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Of several rows with that id one stays; a component of null ids keeps one row as well.
     """
-    spark = docs.sparkSession
-    marked = docs.withColumn("_fp", fingerprint(text_of())).withColumn("_row", F.monotonically_increasing_id())
-    rows = stage(marked, "rows", new_folder(spark, "simhash-docs"))
-    ids = rows.select("doc_id", F.col("_fp").alias("fp"), "_row")
+    # The document travels as one value, so that none of its columns can clash.
+    marked = docs.select(
+        F.struct("*").alias("doc"), fingerprint(text_of()).alias("fp"), F.monotonically_increasing_id().alias("row")
+    )
+    rows = stage(marked, "rows", new_folder(docs.sparkSession, "simhash-docs"))
+    ids = rows.select("doc.doc_id", "fp", "row")
     named = ids.join(components(ids.select("doc_id", "fp")), "fp")
     # One value orders ids before nulls, and rows of equal ids by their place.
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    kept = named.groupBy("root").agg(F.min(first).alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = named.groupBy("root").agg(F.min(first).alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -9,7 +9,8 @@ are joined to the pages as one small array per host.
 Defined cases: a null text has no line and stays null; an empty text is one empty line; a null
 host is a host; a line repeated on a page counts once; repeated rows are pages of their own. A
 page on which every line with content is boilerplate is left as it is, since it would be lost
-whole: copies of one page on a small host are no boilerplate. Other columns are kept.
+whole: copies of one page on a small host are no boilerplate. Other columns are kept, but for
+columns named like the two counts, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from payload_metrics.sources.tables import stage
 
 RATIO = 0.08
 MIN_PAGES = 5
+COUNTS = ("n_lines", "n_dropped")
 
 
 def _lines(text: str) -> Column:
@@ -56,13 +58,18 @@ def drop_boilerplate(
     """
     spark = pages.sparkSession
     drops = stage(boilerplate(pages, host, text, ratio, min_pages), "drops", new_folder(spark, "site-lines"))
-    joined = pages.join(drops, pages[host].eqNullSafe(drops["_host"]), "left")
-    marked = joined.withColumn("_lines", _lines(text))
+    # The page travels as one value, so that none of its columns can clash.
+    whole = pages.select(F.struct("*").alias("page"), F.col(host).alias("_of"), F.col(text).alias("_text"))
+    joined = whole.join(drops, F.col("_of").eqNullSafe(F.col("_host")), "left")
+    marked = joined.withColumn("_lines", _lines("_text"))
     kept = F.filter("_lines", lambda line: ~F.array_contains("_drops", _digest(line)))
     marked = marked.withColumn("_kept", F.when(F.col("_drops").isNull(), F.col("_lines")).otherwise(kept))
     emptied = ~F.exists("_kept", lambda line: line != "")
     marked = marked.withColumn("_kept", F.when(emptied, F.col("_lines")).otherwise(F.col("_kept")))
-    counted = marked.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")))
-    counted = counted.withColumn("n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")))
-    columns = [F.array_join("_kept", "\n").alias(text) if c == text else F.col(c) for c in pages.columns]
-    return counted.select(*columns, "n_lines", "n_dropped")
+    columns = [F.array_join("_kept", "\n").alias(c) if c == text else F.col(f"page.`{c}`") for c in pages.columns if c not in COUNTS]
+    dropped = F.size("_lines") - F.size("_kept")
+    return marked.select(
+        *columns,
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"),
+        F.when(F.col("_text").isNull(), 0).otherwise(dropped).alias("n_dropped"),
+    )
