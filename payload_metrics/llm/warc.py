@@ -19,9 +19,9 @@ blanks in addresses are escaped; an empty table writes an archive without a reco
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -152,31 +152,10 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-class _Unzipped(io.RawIOBase):
-    """Streams gzip members, one or many, without holding the decompressed file."""
-
-    def __init__(self, content: bytes):
-        self._rest = memoryview(content)
-        self._inflate = zlib.decompressobj(31)
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, buffer: memoryview) -> int:
-        while True:
-            data = self._inflate.decompress(self._inflate.unconsumed_tail or self._take(), len(buffer))
-            if data:
-                buffer[: len(data)] = data
-                return len(data)
-            if self._inflate.eof:
-                self._rest = memoryview(self._inflate.unused_data + bytes(self._rest))
-                self._inflate = zlib.decompressobj(31)
-            if not len(self._rest) and not self._inflate.unconsumed_tail:
-                return 0
-
-    def _take(self, size: int = 1 << 16) -> bytes:
-        taken, self._rest = bytes(self._rest[:size]), self._rest[size:]
-        return taken
+def _opened(content: bytes) -> io.BufferedIOBase:
+    """The archive as a stream; gzip members, one or many, are decompressed piece by piece."""
+    stream = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20) if content[:2] == b"\x1f\x8b" else stream
 
 
 def _parser(with_payload: bool):
@@ -187,7 +166,7 @@ def _parser(with_payload: bool):
         for batch in batches:
             for content in batch["content"]:
                 data = content.as_py()
-                stream = io.BufferedReader(_Unzipped(data) if data[:2] == b"\x1f\x8b" else io.BytesIO(data), 1 << 20)
+                stream = _opened(data)
                 rows, size = [], 0
                 for fields, block in parse(stream):
                     rows.append(_row(fields, block, with_payload))
