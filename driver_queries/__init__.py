@@ -31,6 +31,7 @@ def load_all() -> None:
         mapping,
         monitoring,
         predicates,
+        runs,
         schedules,
         streams,
     )

@@ -63,7 +63,7 @@ def dedupe_first(spark, sf_dir):
 
 def _history(spark, sf_dir):
     """Early events as a fingerprint table."""
-    early = _hashed_events(spark, sf_dir).where(F.unix_seconds("fetched_at") < SPLIT)
+    early = _hashed_events(spark, sf_dir).where(F.col("fetched_at") < F.timestamp_seconds(F.lit(SPLIT)))
     empty = spark.createDataFrame([], d.FINGERPRINT_SCHEMA)
     return d.upsert(empty, d.touches(early, _keyed(DAYS_15)))
 
@@ -79,7 +79,7 @@ _STORE = (
     f"AND hash NOT IN (SELECT hash FROM {_STORE} WHERE {NOW} - last_seen <= ttl_seconds) GROUP BY hash"
 )
 def dedupe_ttl_store(spark, sf_dir):
-    late = event_records(spark, sf_dir).where(F.unix_seconds("fetched_at") >= SPLIT)
+    late = event_records(spark, sf_dir).where(F.col("fetched_at") >= F.timestamp_seconds(F.lit(SPLIT)))
     kept = d.dedupe(late, _history(spark, sf_dir), _keyed(DAYS_15), NOW)
     return kept.select("hash", F.col("record.event_id").alias("event_id"), "n_seen")
 
@@ -122,6 +122,37 @@ def dedupe_replay(spark, sf_dir):
     return emitted.select(F.col("record.event_id").alias("event_id"), "hash")
 
 
+_STORED = f"""
+WITH RECURSIVE st AS (SELECT hash, max(s) AS stored FROM {_HASHED} WHERE s < {SPLIT} GROUP BY hash), t AS (
+  SELECT event_id, hash, s, row_number() OVER (PARTITION BY hash ORDER BY ts, event_id) AS rn
+  FROM {_HASHED} LEFT JOIN st USING (hash) WHERE stored IS NULL OR s > stored + {DAYS_15 // 3}
+), r AS (
+  SELECT event_id, hash, rn, s AS last, true AS emitted FROM t WHERE rn = 1
+  UNION ALL
+  SELECT t.event_id, t.hash, t.rn, CASE WHEN t.s - r.last > 86400 THEN t.s ELSE r.last END, t.s - r.last > 86400
+  FROM r JOIN t ON t.hash = r.hash AND t.rn = r.rn + 1
+)"""
+
+
+@query(f"{_STORED} SELECT event_id, hash FROM r WHERE emitted")
+def replay_with_store(spark, sf_dir):
+    """A stored TTL other than the spec's, and rows older than what is stored."""
+    hashed = _hashed_events(spark, sf_dir)
+    early = hashed.where(F.col("fetched_at") < F.timestamp_seconds(F.lit(SPLIT)))
+    emitted = d.replay(hashed, 86400, d.touches(early, _keyed(DAYS_15 // 3)))
+    return emitted.select(F.col("record.event_id").alias("event_id"), "hash")
+
+
+@query(
+    "SELECT 'events' AS source, hash, max(begins) AS first_seen, max(s) AS last_seen, CAST(86400 AS BIGINT) AS ttl_seconds "
+    "FROM (SELECT hash, s, CASE WHEN lag(s) OVER w IS NULL OR lag(s) OVER w + 86400 < s THEN s END AS begins "
+    f"FROM {_HASHED} WINDOW w AS (PARTITION BY hash ORDER BY s)) GROUP BY hash"
+)
+def store_snapshot(spark, sf_dir):
+    """A log of touches folded: a fingerprint that had expired starts afresh."""
+    return d.fold_touches(d.touches(_hashed_events(spark, sf_dir), _keyed(86400)))
+
+
 @query(
     f"SELECT 'events' AS source, hash, min(s) FILTER (WHERE NOT fresh OR s >= {SPLIT}) AS first_seen, "
     "max(s) AS last_seen, max(ttl) AS ttl_seconds FROM ("
@@ -131,7 +162,7 @@ def dedupe_replay(spark, sf_dir):
     ") GROUP BY hash"
 )
 def store_upsert(spark, sf_dir):
-    late = _hashed_events(spark, sf_dir).where(F.unix_seconds("fetched_at") >= SPLIT)
+    late = _hashed_events(spark, sf_dir).where(F.col("fetched_at") >= F.timestamp_seconds(F.lit(SPLIT)))
     return d.upsert(_history(spark, sf_dir), d.touches(late, _keyed(600)))
 
 

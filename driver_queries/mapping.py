@@ -290,6 +290,10 @@ def log_body(spark, sf_dir):
     return logs.select(event_id.alias("event_id"), _attr("kind"), "body")
 
 
-@query("SELECT count(*) AS n FROM events WHERE 1 = 0")
+@query("SELECT 'orders' AS source, count(*) AS n FROM orders")
 def log_switch(spark, sf_dir):
-    return log_records(event_records(spark, sf_dir), spec(emitLogs=False)).agg(F.count("*").alias("n"))
+    """Two sources, of which only one writes log rows."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    on = log_records(typed_records(orders, "orders", order_by="o_orderkey"), spec(name="orders"))
+    off = log_records(event_records(spark, sf_dir), spec(emitLogs=False))
+    return on.unionByName(off).groupBy("source").agg(F.count("*").alias("n"))

@@ -308,12 +308,11 @@ def alert_stalled(spark, sf_dir):
 
 @query(
     f"SELECT {_window('ended_at', 600)} AS window_start, CASE WHEN api_type = 'range' THEN 'fingerprint_cleanup' "
-    "ELSE 'orphan_cleanup' END AS job, round(sum(records) / 600, 6) AS rate "
-    f"FROM {_RUNS} WHERE status = 'success' GROUP BY 1, 2"
+    "ELSE 'orphan_cleanup' END AS job, round(sum(records) FILTER (status = 'success') / 600, 6) AS rate "
+    f"FROM {_RUNS} GROUP BY 1, 2"
 )
 def cleanup_rate(spark, sf_dir):
-    done = _cleanups(spark, sf_dir).where(F.col("items").isNotNull())
-    points = done.select("job", F.col("ended_at").alias("ts"), F.col("items").alias("value"))
+    points = _cleanups(spark, sf_dir).select("job", F.col("ended_at").alias("ts"), F.col("items").alias("value"))
     return _start(monitor.counter_rate(points, ["job"], 600), "job", F.round("rate", 6).alias("rate"))
 
 

@@ -1,4 +1,4 @@
-"""Window planning with customers as sources, and run state with events as runs."""
+"""Window planning with customers and suppliers as sources, and run state with events as runs."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from driver_queries import query
-from driver_queries.inputs import events, table
-from payload_metrics.functions.timetext import format_time
+from driver_queries.inputs import events, spec, table
 from payload_metrics.operators import windows as w
 
 NOW = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -17,41 +16,49 @@ _TEXT = "'%Y-%m-%d %H:%M:%S'"
 
 
 def _sources(spark, sf_dir):
-    """Customers as configured sources; the settings vary with nation and segment."""
-    n = F.col("c_nationkey").cast("bigint")
-    is_range = F.col("c_mktsegment") != "FURNITURE"
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_name").alias("source"),
+    """Customers and suppliers as configured sources; the settings vary with nation and segment."""
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("source"), F.col("c_nationkey").cast("bigint").alias("n"), F.col("c_mktsegment").alias("segment")
+    )
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("source"), F.col("s_nationkey").cast("bigint").alias("n"), F.lit("BUILDING").alias("segment")
+    )
+    n = F.col("n")
+    is_range = F.col("segment") != "FURNITURE"
+    return customers.unionByName(suppliers).select(
+        "source",
         F.when(is_range, "range").otherwise("instant").alias("api_type"),
         ((n + 1) * 3600).alias("frequency_seconds"),
-        F.when(is_range & (F.col("c_mktsegment") != "MACHINERY"), (n + 1) * 5 * 86400).alias("slice_seconds"),
+        F.when(is_range & (F.col("segment") != "MACHINERY"), (n + 1) * 5 * 86400).alias("slice_seconds"),
         F.when(n > 20, F.lit(datetime(2024, 1, 1, tzinfo=timezone.utc)).cast("timestamp")).alias("first_scrape_start"),
         (n % 2 == 0).alias("run_first_scrape"),
         F.when(n > 12, "hours").otherwise("minutes").alias("range_unit"),
         F.when(n % 3 == 0, "7").otherwise("from-config").alias("range_value"),
         (n % 5 == 0).alias("take_negative"),
-        "c_custkey",
+        (n % 7 == 0).alias("has_bounds"),
     )
 
 
-_SOURCES = """(SELECT c_name AS source, c_custkey, c_nationkey AS n,
-  CASE WHEN c_mktsegment <> 'FURNITURE' THEN 'range' ELSE 'instant' END AS api_type,
-  (c_nationkey + 1) * 3600 AS freq,
-  CASE WHEN c_mktsegment NOT IN ('FURNITURE', 'MACHINERY') THEN (c_nationkey + 1) * 5 * 86400 END AS slice,
-  CASE WHEN c_nationkey > 20 THEN TIMESTAMP '2024-01-01' END AS first_start,
-  c_nationkey % 2 = 0 AS run_first FROM customer)"""
+_PARTIES = """(SELECT c_name AS source, c_nationkey AS n, c_mktsegment AS segment FROM customer
+  UNION ALL SELECT s_name, s_nationkey, 'BUILDING' FROM supplier)"""
+
+_SOURCES = f"""(SELECT source, n,
+  CASE WHEN segment <> 'FURNITURE' THEN 'range' ELSE 'instant' END AS api_type,
+  (n + 1) * 3600 AS freq,
+  CASE WHEN segment NOT IN ('FURNITURE', 'MACHINERY') THEN (n + 1) * 5 * 86400 END AS slice,
+  CASE WHEN n > 20 THEN TIMESTAMP '2024-01-01' END AS first_start,
+  n % 2 = 0 AS run_first FROM {_PARTIES})"""
 
 
 def _success(spark, sf_dir):
-    """The newest order of a customer as its last successful run."""
+    """The newest order of a customer as its last successful run; suppliers have none."""
     orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
-    recent = orders.where(F.col("o_orderpriority") == "1-URGENT")
-    runs = recent.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    runs = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return w.last_success(runs.select(F.col("c_name").alias("source"), F.col("o_orderdate").alias("started_at")))
 
 
 _SUCCESS = """(SELECT c_name AS source, max(o_orderdate) AS last_success FROM orders JOIN customer
-  ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1)"""
+  ON o_custkey = c_custkey GROUP BY 1)"""
 
 _DUE = f"""(SELECT s.*, CASE WHEN api_type = 'range' THEN
   coalesce(last_success, first_start, TIMESTAMP '2024-02-01' - to_seconds(freq)) END AS a,
@@ -101,19 +108,20 @@ def window_slices(spark, sf_dir):
 )
 def window_texts(spark, sf_dir):
     at = F.col("o_orderdate").cast("timestamp")
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        format_time(at, "%d.%m.%y %H:%M").alias("start_text"),
-        format_time(at, "%s").alias("epoch_text"),
-        format_time(at, None).alias("iso_text"),
-    )
+    texts = table(spark, sf_dir, "orders").select("o_orderkey", at.alias("window_start"), at.alias("window_end"))
+    for name, fmt in (("start_text", "%d.%m.%y %H:%M"), ("epoch_text", "%s"), ("iso_text", "%Y-%m-%dT%H:%M:%S+00:00")):
+        keys = {"startKey": "from", "endKey": "to", "dateFormat": fmt}
+        source = spec(scrape={"type": "range", "rangeKeys": keys})
+        written = w.window_texts(texts, source)
+        texts = written.select(*texts.columns, F.col("end_text" if name == "iso_text" else "start_text").alias(f"_{name}"))
+    return texts.select("o_orderkey", *[F.col(f"_{n}").alias(n) for n in ("start_text", "epoch_text", "iso_text")])
 
 
 @query(
-    "SELECT c_name AS source, CASE WHEN c_nationkey > 12 THEN 'hours' ELSE 'minutes' END AS unit, "
-    "CASE WHEN c_nationkey % 3 = 0 THEN '7' ELSE CAST((CASE WHEN c_nationkey % 5 = 0 THEN -1 ELSE 1 END) * "
-    "((c_nationkey + 1) * 3600 // (CASE WHEN c_nationkey > 12 THEN 3600 ELSE 60 END)) AS VARCHAR) END AS value "
-    "FROM customer WHERE c_mktsegment <> 'FURNITURE'"
+    "SELECT source, CASE WHEN n > 12 THEN 'hours' ELSE 'minutes' END AS unit, "
+    "CASE WHEN n % 3 = 0 THEN '7' ELSE CAST((CASE WHEN n % 5 = 0 THEN -1 ELSE 1 END) * "
+    "((n + 1) * 3600 // (CASE WHEN n > 12 THEN 3600 ELSE 60 END)) AS VARCHAR) END AS value "
+    f"FROM {_PARTIES} WHERE segment <> 'FURNITURE' AND n % 7 <> 0"
 )
 def relative_window(spark, sf_dir):
     return w.relative_values(_sources(spark, sf_dir))

@@ -103,6 +103,22 @@ def stream_sink(spark, sf_dir):
     return points.join(logs, "kind").select("kind", "logs", "counted")
 
 
+@query(
+    f"{_REPLAY} SELECT 'success' AS status, count(*) AS records, (SELECT count(*) FROM events) - count(*) AS hits, "
+    "(SELECT count(*) FROM events) AS total FROM r WHERE emitted"
+)
+def stream_runs(spark, sf_dir):
+    """The run rows a stream leaves."""
+    config = spec(deltaDetection=KEYS | {"ttlSeconds": 86400}, emitLogs=False)
+    folder = _folder(spark)
+    sink = streams.table_sink(config, FingerprintLog(spark, f"{folder}/fingerprints"), folder)
+    writer = _typed_stream(spark, sf_dir).writeStream.foreachBatch(sink)
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    runs = spark.read.parquet(f"{folder}/scrape_runs")
+    counted = runs.groupBy("status").agg(*[F.sum(c).alias(c) for c in ("records", "hits", "total")])
+    return counted.select("status", "records", "hits", "total")
+
+
 @query(
     "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS count, round(sum(value), 2) AS total, "
     "count(*) FILTER (value <= 10) AS b0 FROM events GROUP BY 1, 2 "

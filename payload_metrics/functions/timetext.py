@@ -33,6 +33,9 @@ WRITE_PATTERNS = {
 # Reading is laxer than writing: "%z" also takes "Z" and "+00:00".
 READ_PATTERNS = WRITE_PATTERNS | {"%z": "[XXX][XX]", "%f": "[SSSSSS][SSSSS][SSSS][SSS][SS][S]"}
 
+BASIC_ISO = r"^\s*(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(.*)$"
+BEGINS_WITH_DATE = r"^\s*\d{4}(-\d|\d{4}T|\s*$)"
+
 _TOKEN = re.compile(r"%.|[^%]+", re.DOTALL)
 
 
@@ -57,7 +60,9 @@ def parse_time_text(text: str, fmt: str | None) -> datetime:
 def parse_time(text: Column, fmt: str | None) -> Column:
     """TIMESTAMP, NULL where the text does not fit; naive times are UTC."""
     if fmt is None:
-        return text.try_cast("timestamp")
+        # A time without a date would be read as today's.
+        basic = F.regexp_replace(text, BASIC_ISO, "$1-$2-$3T$4:$5:$6$7")
+        return F.when(text.rlike(BEGINS_WITH_DATE), basic.try_cast("timestamp"))
     return F.try_to_timestamp(text, F.lit(java_pattern(fmt, READ_PATTERNS)))
 
 

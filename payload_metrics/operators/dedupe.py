@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from payload_metrics.functions.values import sha256
 from payload_metrics.operators.fields import fields_of
-from payload_metrics.sources.tables import small_side
 from payload_metrics.spec import DEFAULT_MAX_ENTRIES, DEFAULT_TTL_SECONDS, SourceSpec
 
 FINGERPRINT_SCHEMA = "source string, hash string, first_seen bigint, last_seen bigint, ttl_seconds bigint"
 STORE_KEY = ["hash", "source"]
+#: Of equal records the first in this order is emitted, in batches, replays and streams alike.
+RECORD_ORDER = ["fetched_at", "scrape_id", "record_pos"]
 
 
 def fingerprint_text(records: DataFrame, spec: SourceSpec) -> Column:
@@ -39,19 +40,20 @@ def fingerprint(records: DataFrame, spec: SourceSpec) -> DataFrame:
     return records.withColumn("hash", sha256(fingerprint_text(records, spec)))
 
 
-def live(store: DataFrame, now: int, default_ttl: int = DEFAULT_TTL_SECONDS) -> DataFrame:
-    """Fingerprints still within their own TTL; exactly at the TTL counts as seen.
+def stored_ttl(default: int = DEFAULT_TTL_SECONDS) -> Column:
+    """A fingerprint's own TTL; a stored TTL of 0 stands for the default."""
+    return F.when(F.col("ttl_seconds") == 0, default).otherwise(F.col("ttl_seconds"))
 
-    A stored TTL of 0 stands for the default.
-    """
-    ttl = F.when(F.col("ttl_seconds") == 0, default_ttl).otherwise(F.col("ttl_seconds"))
-    return store.where(F.lit(now) - F.col("last_seen") <= ttl)
+
+def live(store: DataFrame, now: int, default_ttl: int = DEFAULT_TTL_SECONDS) -> DataFrame:
+    """Fingerprints still within their own TTL; exactly at the TTL counts as seen."""
+    return store.where(F.lit(now) - F.col("last_seen") <= stored_ttl(default_ttl))
 
 
 def first_of_batch(hashed: DataFrame) -> DataFrame:
     """One row per fingerprint: its first record in batch order, and ``n_seen`` records in all."""
     columns = [c for c in hashed.columns if c != "hash"]
-    order = F.struct("fetched_at", "scrape_id", "record_pos")
+    order = F.struct(*RECORD_ORDER)
     grouped = hashed.groupBy("hash").agg(
         F.min_by(F.struct(*columns), order).alias("_first"), F.count("*").alias("n_seen")
     )
@@ -90,12 +92,16 @@ def dedupe_stats(records: DataFrame, kept: DataFrame) -> DataFrame:
     return joined.select(*scrape, (F.col("total") - found).alias("hits"), found.alias("misses"), "total")
 
 
-def touches(kept: DataFrame, spec: SourceSpec, now: int | None = None) -> DataFrame:
-    """Store rows for emitted records, at ``now`` or at their own ``fetched_at``.
+def touches(
+    kept: DataFrame, spec: SourceSpec, now: int | None = None, default: int | None = None
+) -> DataFrame:
+    """Store rows for emitted records, at ``now`` or at their own ``fetched_at``, or without one
+    at ``default``.
 
     Suppressed records never refresh their fingerprint.
     """
-    seen = F.unix_seconds("fetched_at") if now is None else F.lit(now).cast("bigint")
+    own = F.coalesce(F.unix_seconds("fetched_at"), F.lit(default).cast("bigint"))
+    seen = own if now is None else F.lit(now).cast("bigint")
     return kept.select(
         "source",
         "hash",
@@ -114,7 +120,7 @@ def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     both = store.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
     merged = both.groupBy(*STORE_KEY).agg(
         F.min(F.when(~F.col("_new"), F.col("first_seen"))).alias("_old_first"),
-        F.max(F.when(~F.col("_new"), F.col("last_seen") + F.col("ttl_seconds"))).alias("_old_until"),
+        F.max(F.when(~F.col("_new"), F.col("last_seen") + stored_ttl())).alias("_old_until"),
         F.min(F.when(F.col("_new"), F.col("first_seen"))).alias("_new_first"),
         F.max("last_seen").alias("last_seen"),
         F.max_by("ttl_seconds", "last_seen").alias("ttl_seconds"),
@@ -126,13 +132,30 @@ def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     return merged.select("source", "hash", first_seen.alias("first_seen"), "last_seen", "ttl_seconds")
 
 
+def fold_touches(touched: DataFrame) -> DataFrame:
+    """One row per fingerprint from its touches of all time, as if each had been upserted.
+
+    ``first_seen`` is that of the last touch which found its fingerprint expired or unknown. A
+    fingerprint has at most one touch per TTL, so its touches are bounded by time.
+    """
+    in_turn = Window.partitionBy(*STORE_KEY).orderBy("last_seen", "first_seen")
+    until = F.lag(F.col("last_seen") + stored_ttl()).over(in_turn)
+    begins = F.when(until.isNull() | (until < F.col("first_seen")), F.col("first_seen"))
+    begun = touched.withColumn("_begins", begins)
+    return begun.groupBy(*STORE_KEY).agg(
+        F.max("_begins").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.max_by("ttl_seconds", "last_seen").alias("ttl_seconds"),
+    ).select("source", "hash", "first_seen", "last_seen", "ttl_seconds")
+
+
 def expire(store: DataFrame, now: int) -> DataFrame:
-    return store.where(F.col("last_seen") + F.col("ttl_seconds") >= F.lit(now))
+    return store.where(F.col("last_seen") + stored_ttl() >= F.lit(now))
 
 
 def drop_orphans(store: DataFrame, active: DataFrame) -> DataFrame:
     """Entries of sources that are still configured (``active`` has a ``source`` column)."""
-    return store.join(small_side(active.select("source").distinct()), "source", "left_semi")
+    return store.join(active.select("source").distinct(), "source", "left_semi")
 
 
 def trim(store: DataFrame, capacity: DataFrame | int = DEFAULT_MAX_ENTRIES) -> DataFrame:
@@ -152,8 +175,8 @@ def trim(store: DataFrame, capacity: DataFrame | int = DEFAULT_MAX_ENTRIES) -> D
     full = by_second.where(F.col("_before") + F.col("_n") <= F.col("max_entries"))
     oldest_full = full.groupBy("source").agg(F.min("last_seen").alias("full_from"))
 
-    # One row per source: broadcast when few, so the store is not shuffled on its skewed source.
-    marks = small_side(oldest_full.join(cut, "source", "full_outer"))
+    # One row per source: adaptive execution broadcasts them when few, and splits a hot source.
+    marks = oldest_full.join(cut, "source", "full_outer")
     marked = store.join(marks, "source", "left")
     newer = marked.where(F.col("last_seen") >= F.col("full_from"))
     tied = marked.where(F.col("last_seen") == F.col("cut_second")).withColumn(
@@ -174,7 +197,7 @@ def _with_capacity(store: DataFrame, capacity: DataFrame | int) -> DataFrame:
         return store.withColumn("max_entries", F.lit(capacity).cast("bigint"))
     limits = capacity.select("source", F.col("max_entries").cast("bigint"))
     default = F.lit(DEFAULT_MAX_ENTRIES).cast("bigint")
-    return store.join(small_side(limits), "source", "left").withColumn(
+    return store.join(limits, "source", "left").withColumn(
         "max_entries", F.coalesce("max_entries", default)
     )
 
@@ -189,55 +212,63 @@ def _running(df: DataFrame, step: str, order: Column) -> DataFrame:
     return counts.withColumn("_before", total)
 
 
-def replay(hashed: DataFrame, ttl_seconds: int, store: DataFrame | None = None) -> DataFrame:
+def replay(
+    hashed: DataFrame, ttl_seconds: int, store: DataFrame | None = None, now: int | None = None
+) -> DataFrame:
     """Dedupe of a whole time-stamped history in one job, as if each batch ran at ``fetched_at``.
 
     A fingerprint is emitted when first met and again once more than the TTL has passed since
-    its last emission; touches in ``store`` are emissions from before. Same-second repeats are
-    combined first, so a fingerprint has at most one row per second of history, and a sorted
-    scan streams those rows with a constant state.
+    its last emission. The newest touch in ``store`` is the emission to start from, with the TTL
+    stored there; rows at or before it are suppressed. A row without a time has the time ``now``,
+    or lies before all others. Same-second repeats are combined first, so a fingerprint has at
+    most one row per second of history, and a sorted scan streams those rows with a constant state.
     """
     columns = [c for c in hashed.columns if c != "hash"]
-    order = F.struct("fetched_at", "scrape_id", "record_pos")
-    timed = hashed.withColumn("seen_at", F.unix_seconds("fetched_at"))
+    order = F.struct(*RECORD_ORDER)
+    unknown = F.lit(0 if now is None else now).cast("bigint")
+    timed = hashed.withColumn("seen_at", F.coalesce(F.unix_seconds("fetched_at"), unknown))
     firsts = timed.groupBy("hash", "seen_at").agg(F.min_by(F.struct(*columns), order).alias("_first"))
-    moments = firsts.select("_first.*", "hash", "seen_at", F.lit(True).alias("new"))
+    ttl = F.lit(ttl_seconds).cast("bigint")
+    moments = firsts.select("_first.*", "hash", "seen_at", F.lit(True).alias("new"), ttl.alias("ttl"))
     if store is not None:
-        past = store.select("hash", F.col("last_seen").alias("seen_at"), F.lit(False).alias("new"))
+        past = store.groupBy("hash").agg(
+            F.max("last_seen").alias("seen_at"), F.max_by(stored_ttl(ttl_seconds), "last_seen").alias("ttl")
+        )
+        # Only fingerprints of the history; the store may hold many more.
+        past = past.join(hashed.select("hash").distinct(), "hash", "left_semi")
+        past = past.select("hash", "seen_at", F.lit(False).alias("new"), "ttl")
         moments = moments.unionByName(past, allowMissingColumns=True)
-    ordered = moments.repartition("hash").sortWithinPartitions("hash", "seen_at", "new")
-    emitted = ordered.mapInArrow(_emitter(ttl_seconds), moments.schema)
-    return emitted.where("new").drop("seen_at", "new")
-
-
-def _emitter(ttl: int):
-    """Scan of batches sorted by ``(hash, seen_at)``; remembers only the last emission."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_hash, last_time = None, 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            hashes = batch["hash"].to_numpy(zero_copy_only=False)
-            times = batch["seen_at"].to_numpy(zero_copy_only=False)
-            starts = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1))
-            ends = np.append(starts[1:], len(hashes))
-            keep = np.zeros(len(hashes), dtype=bool)
-            # The first row of a fingerprint is emitted; only longer runs need the scan, and
-            # the first run, which may continue the batch before.
-            keep[starts[1:]] = True
-            longer = np.flatnonzero(ends - starts > 1)
-            for run in longer if len(longer) and longer[0] == 0 else [0, *longer]:
-                at, end = starts[run], ends[run]
-                if run == 0 and hashes[0] == last_hash:
-                    at += np.searchsorted(times[:end], last_time + ttl, side="right")
-                while at < end:
-                    keep[at] = True
-                    at += np.searchsorted(times[at:end], times[at] + ttl, side="right")
-            tail = np.flatnonzero(keep[starts[-1] :])
-            if len(tail):
-                last_time = times[starts[-1] + tail[-1]]
-            last_hash = hashes[-1]
-            yield batch.filter(pa.array(keep))
-
-    return scan
+    ordered = moments.repartition("hash").sortWithinPartitions("hash", "new", "seen_at")
+    emitted = ordered.mapInArrow(_emitted, moments.schema)
+    return emitted.where("new").drop("seen_at", "new", "ttl")
+
+
+def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scan of batches sorted by ``(hash, new, seen_at)``; remembers only until when the last
+    emission suppresses others."""
+    last_hash, last_until = None, 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        hashes = batch["hash"].to_numpy(zero_copy_only=False)
+        times = batch["seen_at"].to_numpy(zero_copy_only=False)
+        until = times + batch["ttl"].to_numpy(zero_copy_only=False)
+        starts = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1))
+        ends = np.append(starts[1:], len(hashes))
+        keep = np.zeros(len(hashes), dtype=bool)
+        # The first row of a fingerprint is emitted; only longer runs need the scan, and the
+        # first run, which may continue the batch before.
+        keep[starts[1:]] = True
+        longer = np.flatnonzero(ends - starts > 1)
+        for run in longer if len(longer) and longer[0] == 0 else [0, *longer]:
+            at, end = starts[run], ends[run]
+            if run == 0 and hashes[0] == last_hash:
+                at += np.searchsorted(times[:end], last_until, side="right")
+            while at < end:
+                keep[at] = True
+                at += 1 + np.searchsorted(times[at + 1 : end], until[at], side="right")
+        tail = np.flatnonzero(keep[starts[-1] :])
+        if len(tail):
+            last_until = until[starts[-1] + tail[-1]]
+        last_hash = hashes[-1]
+        yield batch.filter(pa.array(keep))

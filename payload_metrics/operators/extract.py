@@ -31,21 +31,18 @@ def extract(payloads: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame
 
 
 def extract_selected(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
-    """Records after drop, keep and cap rules, plus one row per rejected payload.
+    """Records after drop, keep and cap rules, plus one row per rejected or empty payload.
 
     A window's records all lie in one payload row, so the rules run on its array: no
-    shuffle, and dropped records are never materialised. Reject rows carry ``reason``.
+    shuffle, and dropped records are never materialised. Reject rows carry ``reason``; a payload
+    that leaves no record has a row without either, so that every payload can be counted.
     """
     parsed = parse(payloads, spec)
     numbered = F.transform(F.col("items"), lambda x, i: F.struct(i.alias("record_idx"), x.alias("record")))
     chosen = F.filter(numbered, lambda r: passes(VariantFields(r["record"]), spec.filters))
     if spec.filters.cap:
         chosen = F.slice(chosen, 1, spec.filters.cap)
-    # Outer explode, then a test on its result: a test on "reason" or "chosen" alone would be
-    # pushed below the parse and run it twice.
-    exploded = parsed.select(
-        *ENVELOPE, *_root(spec), "reason", "snippet", F.explode_outer(chosen).alias("one")
-    ).where(F.col("one").isNotNull() | F.col("reason").isNotNull())
+    exploded = parsed.select(*ENVELOPE, *_root(spec), "reason", "snippet", F.explode_outer(chosen).alias("one"))
     idx = F.col("one.record_idx").cast("bigint")
     return exploded.select(
         *ENVELOPE,

@@ -233,9 +233,9 @@ def running_totals(points: DataFrame, series: list[str], values: list[str]) -> D
     """Cumulative counters and histogram parts over delta points, per series in time order.
 
     Days are totalled first and added up, then each day runs on its own with its offset, so
-    a series of any length is spread over its days.
+    a series of any length is spread over its days. Points without a time come before all others.
     """
-    dated = points.withColumn("_day", F.to_date("ts"))
+    dated = points.withColumn("_day", F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date")))
     days = dated.groupBy(*series, "_day").agg(*[F.sum(v).alias(f"_day_{v}") for v in values])
     earlier = Window.partitionBy(*series).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = days.select(

@@ -15,7 +15,7 @@ from payload_metrics.spec import SourceSpec
 SPEC_SCHEMA = (
     "source string, api_type string, frequency_seconds bigint, slice_seconds bigint, "
     "first_scrape_start timestamp, run_first_scrape boolean, range_unit string, "
-    "range_value string, take_negative boolean"
+    "range_value string, take_negative boolean, has_bounds boolean"
 )
 FROM_CONFIG = "from-config"
 MICROS = 1_000_000
@@ -37,6 +37,7 @@ def spec_table(spark: SparkSession, specs: Iterable[SourceSpec]) -> DataFrame:
                 keys.unit if keys else None,
                 str(keys.value) if keys and keys.value is not None else None,
                 bool(keys and keys.takeNegative),
+                bool(keys and keys.startKey and keys.endKey),
             )
         )
     return spark.createDataFrame(rows, SPEC_SCHEMA)
@@ -104,8 +105,12 @@ def window_texts(windows: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def relative_values(sources: DataFrame) -> DataFrame:
-    """How many units back a relative source asks for; explicit values pass through."""
-    relative = sources.where((F.col("api_type") == "range") & F.col("range_unit").isNotNull())
+    """How many units back a relative source asks for; explicit values pass through.
+
+    A source that names both a start and an end key is asked for its bounds instead.
+    """
+    unbounded = ~F.coalesce("has_bounds", F.lit(False))
+    relative = sources.where((F.col("api_type") == "range") & F.col("range_unit").isNotNull() & unbounded)
     derived = F.floor(F.col("frequency_seconds") / unit_seconds_col(F.col("range_unit")))
     derived = F.when(F.col("take_negative"), -derived).otherwise(derived)
     value = F.when(F.col("range_value") == FROM_CONFIG, derived.cast("string")).otherwise(F.col("range_value"))

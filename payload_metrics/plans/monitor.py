@@ -245,10 +245,12 @@ def rolling(grid: DataFrame, names: list[str], seconds: int, step: int) -> DataF
 
     The grid has no gaps, so a trailing sum is a running sum less the one some rows back.
     """
+    if seconds <= 0 or seconds % step:
+        raise ValueError(f"a window of {seconds} s is no multiple of the step of {step} s")
     steps = Window.partitionBy("source").orderBy("step_end")
     so_far = steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = grid.withColumns({f"_run_{n}": F.sum(n).over(so_far) for n in names})
-    back = max(1, seconds // step)
+    back = seconds // step
     trailing = {n: F.col(f"_run_{n}") - F.lag(f"_run_{n}", back, 0).over(steps) for n in names}
     return running.withColumns(trailing).drop(*[f"_run_{n}" for n in names])
 

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payload_metrics.operators.dedupe import dedupe, dedupe_stats, fingerprint, touches
+from payload_metrics.operators.dedupe import dedupe, fingerprint, touches
 from payload_metrics.operators.extract import REJECT_COLUMNS, extract_selected, selected_records, slim_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
@@ -21,6 +21,7 @@ from payload_metrics.spec import SourceSpec
 class RunResult:
     """Frames of a run; all read staged tables, so each can be used on its own."""
 
+    source: str
     kept: DataFrame
     rejects: DataFrame
     metric_points: DataFrame
@@ -31,7 +32,7 @@ class RunResult:
     def write(self, path: str, run_id: str) -> None:
         """Writes the output tables; a run that is written again replaces itself."""
         for name in ("metric_points", "log_records", "rejects", "scrape_runs"):
-            write_part(getattr(self, name), f"{path}/{name}", f"run_id={run_id}")
+            write_part(getattr(self, name), f"{path}/{name}", f"run_id={run_id}", self.source)
 
 
 def run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: datetime) -> RunResult:
@@ -49,12 +50,13 @@ def run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: dat
     if spec.deltaDetection.enabled:
         kept = stage(kept, "kept")
     return RunResult(
+        source=spec.name,
         kept=kept,
         rejects=rejects,
         metric_points=metric_points(kept, spec),
-        log_records=log_records(kept, spec),
+        log_records=log_records(kept, spec, F.lit(now).cast("timestamp")),
         touches=touches(kept, spec, seconds) if spec.deltaDetection.enabled else None,
-        scrape_runs=_run_rows(spec, mine, records, kept, rejects, now),
+        scrape_runs=run_rows(spec, rows, kept, now, always=True),
     )
 
 
@@ -73,32 +75,35 @@ def dry_run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now:
     return kept.groupBy("source").agg(F.count("*").alias("records"))
 
 
-def _run_rows(
-    spec: SourceSpec,
-    payloads: DataFrame,
-    records: DataFrame,
-    kept: DataFrame,
-    rejects: DataFrame,
-    now: datetime,
-) -> DataFrame:
+def run_rows(spec: SourceSpec, rows: DataFrame, kept: DataFrame, now: datetime, always: bool = False) -> DataFrame:
+    """One row per scrape, from the staged rows of every payload and the kept records.
+
+    With ``always``, a source without any payload has one successful run of its own, named by
+    its time, so that the next range starts where this one ended.
+    """
     scrape = ["source", "scrape_id"]
-    runs = payloads.groupBy(*scrape).agg(F.max("fetched_at").alias("ended_at"))
-    failed = rejects.groupBy(*scrape).agg(F.count("*").alias("_failed"))
-    stats = dedupe_stats(records, kept)
-    zero = F.lit(0).cast("bigint")
+    failed = F.count_if(F.col("reason").isNotNull()) if "reason" in rows.columns else F.lit(0)
+    seen = rows.groupBy(*scrape).agg(
+        F.max("fetched_at").alias("ended_at"),
+        failed.alias("_failed"),
+        F.count_if(F.col("record_idx").isNotNull() if "record_idx" in rows.columns else F.lit(True)).alias("_total"),
+    )
+    if always:
+        name = f"run-{int(now.timestamp())}"
+        empty = rows.sparkSession.createDataFrame([(spec.name, name, 0, 0)], "source string, scrape_id string, _failed long, _total long")
+        empty = empty.join(seen, "source", "left_anti").withColumn("ended_at", F.lit(None).cast("timestamp"))
+        seen = seen.unionByName(empty)
+    emitted = kept.groupBy(*scrape).agg(F.count("*").alias("_emitted"))
+    misses = F.coalesce("_emitted", F.lit(0).cast("bigint"))
     started = F.lit(now).cast("timestamp")
-    return (
-        runs.join(failed, scrape, "left")
-        .join(stats, scrape, "left")
-        .select(
-            *scrape,
-            F.lit(spec.scrape.type).alias("api_type"),
-            F.when(F.coalesce("_failed", zero) > 0, "error").otherwise("success").alias("status"),
-            started.alias("started_at"),
-            F.greatest("ended_at", started).alias("ended_at"),
-            F.coalesce("misses", zero).alias("records"),
-            F.coalesce("hits", zero).alias("hits"),
-            F.coalesce("misses", zero).alias("misses"),
-            F.coalesce("total", zero).alias("total"),
-        )
+    return seen.join(emitted, scrape, "left").select(
+        *scrape,
+        F.lit(spec.scrape.type).alias("api_type"),
+        F.when(F.col("_failed") > 0, "error").otherwise("success").alias("status"),
+        started.alias("started_at"),
+        F.greatest("ended_at", started).alias("ended_at"),
+        misses.alias("records"),
+        (F.col("_total") - misses).alias("hits"),
+        misses.alias("misses"),
+        F.col("_total").alias("total"),
     )

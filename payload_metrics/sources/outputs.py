@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from payload_metrics.operators.dedupe import FINGERPRINT_SCHEMA, upsert
+from payload_metrics.operators.dedupe import FINGERPRINT_SCHEMA, fold_touches
 
 EMPTY_BATCH = -1
 
 
-def write_part(df: DataFrame, path: str, part: str) -> None:
-    """Writes one batch or run under its own folder; a repeated one replaces itself."""
-    df.write.mode("overwrite").partitionBy("source").parquet(f"{path}/{part}")
+def write_part(df: DataFrame, path: str, part: str, source: str) -> None:
+    """Writes what one batch or run has of one source; a repeated one replaces itself, and only
+    itself: other sources in the same tables may use the same batch or run ids."""
+    folder = f"{path}/{part}/source={_folder_name(source)}"
+    df.where(F.col("source") == source).drop("source").write.mode("overwrite").parquet(folder)
+
+
+def _folder_name(text: str) -> str:
+    """As partition folders are named: characters that paths or patterns use are escaped."""
+    return "".join(f"%{ord(c):02X}" if c < " " or c in "\"#%'*/:=?\\\x7f{}[]^" else c for c in text)
 
 
 def read_parts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -43,16 +50,15 @@ class FingerprintLog:
             log = log.where(F.col("batch_id") < before_batch)
         return log.drop("batch_id")
 
-    def append(self, touches: DataFrame, batch_id: int) -> None:
-        write_part(touches, self._path, f"batch_id={batch_id}")
+    def append(self, touches: DataFrame, batch_id: int, source: str) -> None:
+        write_part(touches, self._path, f"batch_id={batch_id}", source)
 
     def snapshot(self) -> DataFrame:
-        """The log folded to one row per fingerprint."""
-        nothing = self._spark.createDataFrame([], FINGERPRINT_SCHEMA)
-        return upsert(nothing, self.touched())
+        """The log folded to one row per fingerprint, as upserting touch after touch would."""
+        return fold_touches(self.touched())
 
     def compacted(self, store: DataFrame, path: str, batch_id: int) -> "FingerprintLog":
         """A new log at ``path`` that starts from ``store``, such as a trimmed snapshot."""
         log = FingerprintLog(self._spark, path)
-        log.append(store, batch_id)
+        store.write.mode("overwrite").partitionBy("source").parquet(f"{path}/batch_id={batch_id}")
         return log

@@ -1,4 +1,4 @@
-"""Session settings, staged tables and size-checked small sides."""
+"""Session settings and staged tables."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-FEW_ROWS = 20_000
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -47,15 +45,3 @@ def discard(spark: SparkSession, path: str) -> None:
     """Removes a staged table that no DataFrame will read again."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def small_side(df: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
-    """A join side for broadcast if it has at most ``limit`` rows, else ``df`` as it is.
-
-    Counts by reading at most ``limit + 1`` rows, which also saves computing them again. Beyond
-    the limit the join is shuffled, and adaptive execution splits skewed keys.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from payload_metrics.operators.dedupe import fingerprint, replay, touches
+from payload_metrics.operators.dedupe import RECORD_ORDER, fingerprint, replay, stored_ttl, touches
 from payload_metrics.operators.extract import REJECT_COLUMNS, extract_selected, selected_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
-from payload_metrics.plans.pipeline import prepare_rows
+from payload_metrics.plans.pipeline import prepare_rows, run_rows
 from payload_metrics.sources.outputs import FingerprintLog, write_part
-from payload_metrics.sources.tables import stage
+from payload_metrics.sources.tables import discard, stage, staged_path
 from payload_metrics.spec import SourceSpec
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,7 +33,8 @@ def stream_records(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
 
 def coarse_dedupe(records: DataFrame, spec: SourceSpec) -> DataFrame:
     """Built-in TTL dedupe. State expires between micro-batches only, so a batch that spans more
-    than the TTL emits one row per fingerprint; use it when batches are much shorter."""
+    than the TTL emits one row per fingerprint; use it when batches are much shorter. Rows later
+    than the TTL are dropped by the watermark; ``exact_dedupe`` and ``table_sink`` keep them."""
     ttl = f"{spec.deltaDetection.ttl()} seconds"
     return fingerprint(records, spec).withWatermark("fetched_at", ttl).dropDuplicatesWithinWatermark(["hash"])
 
@@ -59,7 +61,7 @@ def _first_per_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        keys = batch.select(["hash", "seen_at", "record_pos"])
+        keys = batch.select(["hash", "seen_at", *RECORD_ORDER])
         order = pc.sort_indices(keys, sort_keys=[(name, "ascending") for name in keys.schema.names])
         hashes = keys["hash"].take(order).to_numpy(zero_copy_only=False)
         seconds = keys["seen_at"].take(order).to_numpy(zero_copy_only=False)
@@ -68,6 +70,11 @@ def _first_per_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield batch.take(order.filter(pa.array(fresh)))
 
 
+def _place(row: Row) -> tuple:
+    """The record order, nulls first as in Spark."""
+    return tuple((row[name] is not None, row[name]) for name in RECORD_ORDER)
+
+
 class _LastEmission(StatefulProcessor):
     def __init__(self, ttl: int):
         self._ttl = ttl
@@ -82,7 +89,7 @@ class _LastEmission(StatefulProcessor):
         first: dict[int, Row] = {}
         for row in rows:
             at = row["seen_at"]
-            if at not in first or row["record_pos"] < first[at]["record_pos"]:
+            if at not in first or _place(row) < _place(first[at]):
                 first[at] = row
         state = self._last.get()
         before = last = None if state is None else state[0]
@@ -106,29 +113,38 @@ def table_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[Dat
     """``foreachBatch`` function: exact TTL dedupe against the log, then metric and log tables.
 
     Takes record rows, with or without the reject rows of ``extract_selected``. Every output
-    lies in a folder named by the batch, and the probe reads earlier batches only, so a batch
-    that is run again gives the same tables.
+    lies in a folder named by the batch and the source, and the probe reads earlier batches only,
+    so a batch that is run again gives the same tables. What a batch has staged goes with it.
     """
-    ttl = spec.deltaDetection.ttl()
+    ttl, source = spec.deltaDetection.ttl(), spec.name
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        part = f"batch_id={batch_id}"
-        rows = stage(batch, f"batch-{batch_id}")
+        part, spark = f"batch_id={batch_id}", batch.sparkSession
+        now = datetime.now(timezone.utc)
+        staged = [staged_path(spark, f"batch-{batch_id}")]
+        rows = stage(batch, f"batch-{batch_id}", staged[0])
+        envelopes = rows
         if "reason" in rows.columns:
             rejects = rows.where(F.col("reason").isNotNull())
-            write_part(rejects.select(*REJECT_COLUMNS), f"{out}/rejects", part)
+            write_part(rejects.select(*REJECT_COLUMNS), f"{out}/rejects", part, source)
             rows = selected_records(rows)
         kept = rows
         if spec.deltaDetection.enabled:
             hashed = rows if "hash" in rows.columns else fingerprint(rows, spec)
-            oldest = rows.agg(F.unix_seconds(F.min("fetched_at"))).first()[0] or 0
-            past = log.touched(before_batch=batch_id).where(
-                (F.col("source") == spec.name) & (F.col("last_seen") >= oldest - ttl)
-            )
-            kept = stage(replay(hashed, ttl, past), f"kept-{batch_id}")
-            log.append(touches(kept, spec), batch_id)
-        write_part(metric_points(kept, spec), f"{out}/metric_points", part)
-        write_part(log_records(kept, spec), f"{out}/log_records", part)
+            seconds = int(now.timestamp())
+            oldest = rows.agg(F.min(F.coalesce(F.unix_seconds("fetched_at"), F.lit(seconds)))).first()[0] or 0
+            past = log.touched(before_batch=batch_id).where(F.col("source") == source)
+            # What has expired under its own TTL before the oldest row suppresses nothing.
+            past = past.where(F.col("last_seen") + stored_ttl(ttl) >= oldest)
+            staged.append(staged_path(spark, f"kept-{batch_id}"))
+            kept = stage(replay(hashed, ttl, past, seconds), f"kept-{batch_id}", staged[1])
+            log.append(touches(kept, spec, default=seconds), batch_id, source)
+        write_part(metric_points(kept, spec), f"{out}/metric_points", part, source)
+        at = F.coalesce("fetched_at", F.lit(now).cast("timestamp"))
+        write_part(log_records(kept, spec, at), f"{out}/log_records", part, source)
+        write_part(run_rows(spec, envelopes, kept, now), f"{out}/scrape_runs", part, source)
+        for path in staged:
+            discard(spark, path)
 
     return process
 
