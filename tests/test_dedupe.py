@@ -163,6 +163,30 @@ def test_replay_against_a_loop(spark, ttl, keys, span):
     assert positions(d.replay(d.fingerprint(batch, spec), ttl)) == greedy(rows, ttl)
 
 
+def test_replay_starts_from_the_newest_stored_touch(spark):
+    """The stored TTL counts, and rows at or before the stored emission are suppressed."""
+    rng = random.Random(21)
+    rows = [(i, rng.randrange(300), rng.randrange(5)) for i in range(200)]
+    spec = make(ttlSeconds=20, **BY_ID)
+    hashed = d.fingerprint(records(spark, [(p, at, k, "x") for p, at, k in rows]), spec)
+    ids = {r["hash"]: r["id"] for r in hashed.select("hash", "record.id").distinct().collect()}
+    stored = {0: (100, 90), 1: (150, 0), 2: (10, 400)}
+    touched = [("s", h, 0, stored[k][0], stored[k][1]) for h, k in ids.items() if k in stored]
+    touched += [("s", h, 0, 5, 10_000) for h, k in ids.items() if k in stored]
+    until = {k: at + (ttl or 20) for k, (at, ttl) in stored.items()}
+    expected = greedy([r for r in rows if r[1] > until.get(r[2], -1)], 20)
+    assert positions(d.replay(hashed, 20, store(spark, touched))) == expected
+
+
+def test_replay_of_rows_without_a_time(spark):
+    rows = [(0, None, 1, "x"), (1, 10, 1, "x"), (2, 1000, 1, "x"), (3, None, 2, "x")]
+    df = spark.createDataFrame(rows, "pos bigint, at bigint, id bigint, status string")
+    batch = typed_records(df, "s", "pos", fetched_at=F.timestamp_seconds("at"))
+    hashed = d.fingerprint(batch, make(**BY_ID))
+    assert positions(d.replay(hashed, 20)) == [0, 2, 3]
+    assert positions(d.replay(hashed, 20, now=1015)) == [1, 2, 3]
+
+
 def test_replay_in_parts_equals_replay_at_once(spark):
     rng = random.Random(11)
     rows = sorted((rng.randrange(200), i) for i in range(200))
@@ -179,10 +203,10 @@ def test_replay_in_parts_equals_replay_at_once(spark):
 
 def test_scan_carries_state_over_batches():
     hashes, times = list("aaaaaabbc"), [1, 2, 6, 7, 12, 20, 3, 9, 9]
-    batch = pa.RecordBatch.from_pydict({"hash": hashes, "seen_at": times})
+    batch = pa.RecordBatch.from_pydict({"hash": hashes, "seen_at": times, "ttl": [5] * 9})
     for size in (1, 2, 3, 9):
         parts = [batch.slice(i, size) for i in range(0, len(hashes), size)]
-        out = pa.Table.from_batches(d._emitter(5)(iter(parts))).to_pydict()
+        out = pa.Table.from_batches(d._emitted(iter(parts))).to_pydict()
         assert list(zip(out["hash"], out["seen_at"])) == [("a", 1), ("a", 7), ("a", 20), ("b", 3), ("b", 9), ("c", 9)]
 
 
@@ -213,13 +237,14 @@ def test_hot_fingerprint(spark):
 def test_fingerprint_log(spark, tmp_path):
     log = FingerprintLog(spark, f"{tmp_path}/log")
     assert log.touched().count() == 0
-    log.append(store(spark, [("s", "a", 1, 1, 5), ("t", "b", 1, 1, 5)]), 0)
-    log.append(store(spark, [("s", "a", 9, 9, 5)]), 1)
-    log.append(store(spark, [("s", "a", 9, 9, 5)]), 1)
+    log.append(store(spark, [("s", "a", 1, 1, 5), ("t", "b", 1, 1, 5)]), 0, "s")
+    log.append(store(spark, [("t", "b", 1, 1, 5)]), 0, "t")
+    log.append(store(spark, [("s", "a", 9, 9, 5)]), 1, "s")
+    log.append(store(spark, [("s", "a", 9, 9, 5)]), 1, "s")
     assert log.touched().count() == 3
     assert log.touched(before_batch=1).count() == 2
     folded = {r["hash"]: (r["first_seen"], r["last_seen"]) for r in log.snapshot().collect()}
-    assert folded == {"a": (1, 9), "b": (1, 1)}
+    assert folded == {"a": (9, 9), "b": (1, 1)}
     again = log.compacted(d.trim(log.snapshot(), 10), f"{tmp_path}/next", 1)
     assert FingerprintLog(spark, f"{tmp_path}/next").touched().count() == again.touched().count() == 2
 

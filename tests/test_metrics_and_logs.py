@@ -40,27 +40,32 @@ def values(points):
     return out
 
 
+LEVEL = {"name": "level", "dataKey": "tank.level"}
+
+
 def test_numeric_texts(spark):
+    docs = [[{"tank": {"level": " 7.25"}, "drops": "1e2"}, {"tank": {"level": "-0.5"}, "drops": "40"}]]
     got = points_of(
         spark,
-        [[{"v": "2", "cval": "3", "hval": "4"}]],
-        gaugeReadings=[{"name": "g", "dataKey": "v"}],
-        counterReadings=[{"name": "c", "dataKey": "cval"}],
-        histogramReadings=[{"name": "h", "dataKey": "hval", "buckets": [1, 4, 10]}],
+        docs,
+        gaugeReadings=[LEVEL],
+        counterReadings=[{"name": "drops", "dataKey": "drops"}],
+        histogramReadings=[LEVEL | {"name": "levels", "buckets": [0, 5]}],
     )
-    assert values(got) == {("g", ()): 2.0, ("c", ()): 3.0, ("h", ()): (1, 4.0, [0, 1, 0, 0])}
+    assert values(got) == {("level", ()): -0.5, ("drops", ()): 140.0, ("levels", ()): (2, 6.75, [1, 0, 1])}
     assert {r["source"] for r in got.collect()} == {"s"}
 
 
 def test_bad_values(spark):
+    docs = [[{"tank": {"level": "n/a"}, "drops": [3]}, {"tank": "gone"}, {"drops": {}}]]
     got = points_of(
         spark,
-        [[{"bad": "notnum", "strval": "oops"}, {}]],
-        gaugeReadings=[{"name": "g", "dataKey": "bad"}],
-        counterReadings=[{"name": "c", "dataKey": "bad"}],
-        histogramReadings=[{"name": "h", "dataKey": "strval", "buckets": [1]}],
+        docs,
+        gaugeReadings=[LEVEL],
+        counterReadings=[{"name": "drops", "dataKey": "drops"}],
+        histogramReadings=[LEVEL | {"name": "levels", "buckets": [5]}],
     )
-    assert values(got) == {("c", ()): 2.0}
+    assert values(got) == {("drops", ()): 3.0}
 
 
 def test_last_gauge_wins_across_windows(spark):
@@ -85,29 +90,29 @@ def test_fixed_values_and_negatives(spark):
 
 def test_attributes(spark):
     attrs = [
-        {"name": "region", "dataKey": "meta.region"},
-        {"name": "limit", "dataKey": "$root.limit"},
-        {"name": "source", "dataKey": "src"},
-        {"name": "region", "dataKey": "override"},
-        {"name": "flag", "dataKey": "flag"},
+        {"name": "depot", "dataKey": "where.depot"},
+        {"name": "fleet", "dataKey": "$root.fleet"},
+        {"name": "source", "dataKey": "feed"},
+        {"name": "depot", "dataKey": "moved_to"},
+        {"name": "late", "dataKey": "late"},
     ]
-    docs = [{"limit": 5, "r": [{"meta": {"region": "us"}}, {"meta": {"region": "eu"}, "src": "x", "override": "mars", "flag": True}]}]
-    got = points_of(spark, docs, dataKey="r", attributes=attrs, counterReadings=[{"name": "c"}])
+    vans = [{"where": {"depot": 14}}, {"where": {"depot": "quay"}, "feed": "radio", "moved_to": "hill", "late": False}]
+    got = points_of(spark, [{"fleet": 2.5, "vans": vans}], dataKey="vans", attributes=attrs, counterReadings=[{"name": "c"}])
     assert sorted((sorted(r["attrs"].items()) for r in got.collect())) == [
-        [("flag", "true"), ("limit", "5"), ("region", "mars"), ("source", "x")],
-        [("limit", "5"), ("region", "us"), ("source", "s")],
+        [("depot", "14"), ("fleet", "2.5"), ("source", "s")],
+        [("depot", "hill"), ("fleet", "2.5"), ("late", "false"), ("source", "radio")],
     ]
 
 
 def test_attribute_metrics(spark):
-    region = {"name": "region", "dataKey": "meta.region", "asMetric": {"valueMapping": {"us": 1}}}
-    docs = [[{"meta": {"region": "us"}, "x": 1}, {"meta": {"region": "us"}, "x": 2}, {"meta": {"region": "eu"}}]]
-    got = points_of(spark, docs, attributes=[region, {"name": "x", "dataKey": "x"}])
-    assert values(got) == {("region", (("region", "us"),)): 2.0}
-    flag = {"name": "ok", "dataKey": "ok", "asMetric": {"metricName": "m", "unit": "u", "valueMapping": {"true": 2, "None": 7}}}
-    got = points_of(spark, [[{"ok": True}, {"ok": False}, {}]], attributes=[flag])
-    assert values(got) == {("m", (("ok", "true"),)): 2.0, ("m", ()): 7.0}
-    assert {r["unit"] for r in got.collect()} == {"u"}
+    gear = {"name": "gear", "dataKey": "box.gear", "asMetric": {"valueMapping": {"third": 3, "idle": 0}}}
+    docs = [[{"box": {"gear": g}, "km": i} for i, g in enumerate(["third", "idle", "third", "third", "reverse"])]]
+    got = points_of(spark, docs, attributes=[gear, {"name": "km", "dataKey": "km"}])
+    assert values(got) == {("gear", (("gear", "third"),)): 9.0, ("gear", (("gear", "idle"),)): 0.0}
+    open_door = {"name": "door", "dataKey": "door", "asMetric": {"metricName": "doors", "unit": "d", "valueMapping": {"false": 4, "None": 5}}}
+    got = points_of(spark, [[{"door": False}, {"door": True}, {}, {"door": False}]], attributes=[open_door])
+    assert values(got) == {("doors", (("door", "false"),)): 8.0, ("doors", ()): 5.0}
+    assert {r["unit"] for r in got.collect()} == {"d"}
 
 
 def test_same_name_twice(spark):
@@ -125,39 +130,33 @@ def test_no_metrics_configured(spark):
     assert points_of(spark, [[{"v": 1}]]).count() == 0
 
 
-RUNS = {
-    "status": "ok",
-    "data": {
-        "records": [
-            {"system": "A-to-B", "status": "completed", "duration_ms": 323000, "error_type": None},
-            {"system": "C-to-D", "status": "failed", "duration_ms": 105000, "error_type": "timeout"},
-        ]
-    },
-}
-
-
-def test_documented_sample(spark):
-    """The sample response and metrics of the range example in the config documentation."""
-    status = {"name": "status", "dataKey": "status", "asMetric": {"metricName": "code", "valueMapping": {"completed": 1, "failed": 0}}}
+def test_all_kinds_of_one_source(spark):
+    """Trips of a fleet: a counter, a histogram and a mapped attribute over shared attributes."""
+    trips = [
+        {"van": "v1", "end": "home", "min": 35.5},
+        {"van": "v1", "end": "home", "min": 80},
+        {"van": "v2", "end": "towed", "min": 12, "cause": "tyre"},
+        {"van": "v2", "end": "towed", "cause": "tyre"},
+    ]
+    end = {"name": "end", "dataKey": "end", "asMetric": {"metricName": "outcome", "valueMapping": {"home": 1, "towed": 2}}}
     got = values(
         points_of(
             spark,
-            [RUNS],
-            dataKey="data.records",
-            attributes=[{"name": "name", "dataKey": "system"}, status, {"name": "error_type", "dataKey": "error_type"}],
-            counterReadings=[{"name": "runs_total"}],
-            histogramReadings=[{"name": "duration", "dataKey": "duration_ms", "buckets": [10000, 300000, 600000]}],
+            [{"day": {"trips": trips[:1]}}, {"day": {"trips": trips[1:]}}],
+            dataKey="day.trips",
+            attributes=[{"name": "van", "dataKey": "van"}, end, {"name": "cause", "dataKey": "cause"}],
+            counterReadings=[{"name": "trips"}],
+            histogramReadings=[{"name": "minutes", "dataKey": "min", "buckets": [20, 60]}],
         )
     )
-    done = (("name", "A-to-B"), ("status", "completed"))
-    failed = (("error_type", "timeout"), ("name", "C-to-D"), ("status", "failed"))
+    home, towed = (("end", "home"), ("van", "v1")), (("cause", "tyre"), ("end", "towed"), ("van", "v2"))
     assert got == {
-        ("runs_total", done): 1.0,
-        ("runs_total", failed): 1.0,
-        ("duration", done): (1, 323000.0, [0, 0, 1, 0]),
-        ("duration", failed): (1, 105000.0, [0, 1, 0, 0]),
-        ("code", (("status", "completed"),)): 1.0,
-        ("code", (("status", "failed"),)): 0.0,
+        ("trips", home): 2.0,
+        ("trips", towed): 2.0,
+        ("minutes", home): (2, 115.5, [0, 1, 1]),
+        ("minutes", towed): (1, 12.0, [1, 0, 0]),
+        ("outcome", (("end", "home"),)): 2.0,
+        ("outcome", (("end", "towed"),)): 4.0,
     }
 
 
@@ -180,6 +179,8 @@ def test_cumulative_and_latest(spark):
         assert totals == [sum(r[4] for r in mine[: i + 1]) for i in range(len(mine))]
         counts = [r["total_count"] for r in series if r["metric"] == "h"]
         assert counts == list(range(1, len(mine) + 1))
+    lost = cumulative_points(points.withColumn("ts", F.when(F.col("ts") > F.timestamp_seconds(F.lit(0)), F.col("ts"))))
+    assert lost.count() == points.where("kind != 'gauge'").count()
     keyed = points.withColumn("series", series_text(F.col("attrs")))
     newest = {r["series"]: r["value"] for r in latest_gauges(keyed, ["source", "metric", "series"]).collect()}
     assert newest == {'{"k":"a","source":"s"}': 6.0, '{"k":"b","source":"s"}': 7.0}
@@ -197,22 +198,22 @@ def test_one_aggregation_for_all_metrics(spark, capsys):
     assert plan.count("Exchange") == 1 and plan.count("HashAggregate") == 2 and "SortAggregate" not in plan
 
 
-STATUS = {
-    "name": "status",
-    "error": {"value": ["err", "fatal"], "matchType": "in"},
-    "warning": {"value": "warn"},
-    "info": {"value": "ok"},
+LAMP = {
+    "name": "lamp",
+    "error": {"value": ["red", "off"], "matchType": "in"},
+    "warning": {"value": "amber"},
+    "info": {"value": "green"},
 }
 
 
-@pytest.mark.parametrize("status", [STATUS, None])
-def test_severity(spark, status):
-    docs = [[{"status": s} for s in ("err", "warn", "ok", "other", None)]]
-    spec = make(logStatusField=status) if status else make()
-    logs = log_records(records_of(spark, docs, spec), spec).collect()
-    got = [(r["severity_text"], r["severity_number"]) for r in logs]
-    info = ("INFO", 9)
-    assert got == ([("ERROR", 17), ("WARNING", 13), info, info, info] if status else [info] * 5)
+@pytest.mark.parametrize("lamp", [LAMP, None])
+def test_severity(spark, lamp):
+    shown = {"red": "ERROR", "amber": "WARNING", "blue": "INFO", "off": "ERROR", "green": "INFO", None: "INFO"}
+    numbers = {"ERROR": 17, "WARNING": 13, "INFO": 9}
+    spec = make(logStatusField=lamp) if lamp else make()
+    logs = log_records(records_of(spark, [[{"lamp": s} for s in shown]], spec), spec).collect()
+    expected = list(shown.values()) if lamp else ["INFO"] * len(shown)
+    assert [(r["severity_text"], r["severity_number"]) for r in logs] == [(t, numbers[t]) for t in expected]
 
 
 def test_severity_substring_and_root(spark):

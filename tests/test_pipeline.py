@@ -4,13 +4,14 @@ import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from payload_metrics.operators.dedupe import FINGERPRINT_SCHEMA
 from payload_metrics.plans.pipeline import dry_run, run
 from payload_metrics.plans.upkeep import clean_up
 from payload_metrics.sources.outputs import FingerprintLog, read_parts
 from payload_metrics.sources.payloads import PAYLOAD_SCHEMA, read_payload_table
-from payload_metrics.sources.tables import shared_folder, small_side, stage
+from payload_metrics.sources.tables import shared_folder, stage
 from payload_metrics.spec import SourceSpec
 
 AT = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -74,6 +75,30 @@ def test_sinks_replace_a_repeated_run(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/scrape_runs").first()["run_id"] == "r1"
 
 
+@pytest.mark.parametrize("other", ["other", "a/b = %é*"])
+def test_sources_with_one_run_id_keep_their_rows(spark, tmp_path, other):
+    config = {"frequency": "5min", "scrape": {"type": "instant"}, "counterReadings": [{"name": "c"}]}
+    log = FingerprintLog(spark, f"{tmp_path}/log")
+    specs = [SourceSpec.from_dict(config | {"name": n, "deltaDetection": {"enabled": True}}) for n in ("jobs", other)]
+    for texts in ({"jobs": '[{"x": 1}]', other: '[{"x": 2}, {"x": 3}]'}, {"jobs": '[{"x": 4}, {"x": 5}, {"x": 6}]'}):
+        for spec in specs:
+            if spec.name in texts:
+                rows = payloads(spark, [texts[spec.name]]).withColumn("source", F.lit(spec.name))
+                result = run(spec, rows, None, AT)
+                result.write(f"{tmp_path}/out", "r1")
+                log.append(result.touches, 1, spec.name)
+    expected = {"jobs": 3, other: 2}
+    for found in (read_parts(spark, f"{tmp_path}/out/log_records", "source string, ts timestamp"), log.touched()):
+        assert {r["source"]: r["count"] for r in found.groupBy("source").count().collect()} == expected
+
+
+def test_source_without_payloads_has_a_run(spark):
+    result = run(SPEC, payloads(spark, []), None, AT)
+    row = result.scrape_runs.first()
+    assert result.scrape_runs.count() == 1 and (row["status"], row["records"], row["total"]) == ("success", 0, 0)
+    assert run(SPEC, payloads(spark, [doc()]), None, AT).scrape_runs.first()["scrape_id"] != row["scrape_id"]
+
+
 def test_outputs_without_rows_can_be_read(spark, tmp_path):
     result = run(SPEC, payloads(spark, TEXTS[:2]), None, AT)
     result.write(f"{tmp_path}/out", "r1")
@@ -90,7 +115,7 @@ def test_second_run_emits_only_news(spark, tmp_path):
         now = AT + timedelta(seconds=seconds)
         result = run(SPEC, payloads(spark, [text], scrape=str(batch)), log.touched(before_batch=batch), now)
         emitted.append(result.scrape_runs.first()["records"])
-        log.append(result.touches, batch)
+        log.append(result.touches, batch, "jobs")
     assert emitted == [2, 1, 1]
 
 
@@ -147,15 +172,6 @@ def test_stage_writes_into_the_shared_folder(spark):
     assert f"{shared_folder(spark)}/staged/numbers-" in staged.inputFiles()[0].replace("file://", "")
 
 
-def test_small_side_beyond_the_limit(spark, capsys):
-    few, many = spark.range(5), spark.range(50)
-    assert small_side(many, 10) is many
-    few_side = small_side(few, 10)
-    spark.range(10).join(few_side, "id").explain("simple")
-    assert "BroadcastHashJoin" in capsys.readouterr().out
-    assert few_side.count() == 5
-
-
 @pytest.mark.parametrize("field", ["data", "data[]"])
 def test_data_key_variants(spark, field):
     spec = SourceSpec.from_dict({"name": "jobs", "frequency": "5min", "scrape": {"type": "instant"}, "dataKey": field})
@@ -184,7 +200,8 @@ def test_root_fields_reach_the_outputs(spark):
 def test_clean_up(spark, tmp_path):
     log = FingerprintLog(spark, f"{tmp_path}/log")
     rows = [("jobs", f"h{i}", 0, 10 * i, 35) for i in range(10)] + [("gone", "x", 0, 90, 35)]
-    log.append(spark.createDataFrame(rows, FINGERPRINT_SCHEMA), 4)
+    for source in ("jobs", "gone"):
+        log.append(spark.createDataFrame(rows, FINGERPRINT_SCHEMA), 4, source)
     spec = SourceSpec.from_dict(
         {
             "name": "jobs",

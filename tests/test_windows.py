@@ -77,11 +77,14 @@ def test_first_run_is_skipped_once(spark):
         ({"unit": "months"}, "2mon", "2"),
         ({"unit": "days", "value": 5, "takeNegative": True}, "1d", "5"),
         ({"unit": "days", "value": "now-3"}, "1d", "now-3"),
+        ({"unit": "days", "startKey": "from"}, "3d", "3"),
+        ({"unit": "days", "startKey": "from", "endKey": "to"}, "3d", None),
     ],
 )
 def test_relative_values(spark, keys, frequency, value):
-    table = w.spec_table(spark, [ranged(keys=keys, frequency=frequency), make("other")])
-    assert [(r["unit"], r["value"]) for r in w.relative_values(table).collect()] == [(keys["unit"], value)]
+    table = w.spec_table(spark, [ranged(keys={"endKey": None} | keys, frequency=frequency), make("other")])
+    found = [(r["unit"], r["value"]) for r in w.relative_values(table).collect()]
+    assert found == ([] if value is None else [(keys["unit"], value)])
 
 
 def test_window_texts(spark):
