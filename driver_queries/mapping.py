@@ -212,6 +212,20 @@ def counter_cumulative(spark, sf_dir):
     )
 
 
+@query(
+    f"SELECT kind, day, {', '.join(f'CAST(sum(b{i}) OVER w AS BIGINT) AS b{i}' for i in range(4))} FROM ("
+    f"SELECT event_type AS kind, {_DAY} AS day, count(*) FILTER (value <= 10) AS b0, "
+    "count(*) FILTER (value > 10 AND value <= 50) AS b1, count(*) FILTER (value > 50 AND value <= 100) AS b2, "
+    "count(*) FILTER (value > 100) AS b3 FROM events GROUP BY 1, 2) WINDOW w AS (PARTITION BY kind ORDER BY day)"
+)
+def hist_cumulative(spark, sf_dir):
+    """Bucket counts added up from day to day."""
+    points = _daily_points(spark, sf_dir, histogramReadings=[{"name": "h", "dataKey": "value", "buckets": BUCKETS}])
+    totals = cumulative_points(points)
+    buckets = [F.element_at("total_bucket_counts", i + 1).alias(f"b{i}") for i in range(len(BUCKETS) + 1)]
+    return totals.select(_attr("kind"), F.date_format("ts", "yyyy-MM-dd").alias("day"), *buckets)
+
+
 @query("SELECT event_type AS kind, max_by(value, event_id) AS value FROM events GROUP BY 1")
 def gauge_latest(spark, sf_dir):
     points = _daily_points(spark, sf_dir, gaugeReadings=[{"name": "g", "dataKey": "value"}])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from payload_metrics.functions.values import map_value
 from payload_metrics.operators.fields import StructFields, VariantFields, fields_of
+from payload_metrics.sources.tables import stage
 from payload_metrics.spec import Attribute, SourceSpec
 
 POINT_COLUMNS = (
@@ -222,11 +223,25 @@ def series_text(attrs: Column) -> Column:
 
 
 def cumulative_points(points: DataFrame) -> DataFrame:
-    """Delta counters and histograms with ``total_value``, ``total_count`` and ``total_sum``."""
+    """Delta counters and histograms with ``total_value``, ``total_count``, ``total_sum`` and
+    ``total_bucket_counts``.
+
+    The points are written once, since day totals, running sums and buckets all read them.
+    """
+    series = ["source", "metric", "_series"]
     rising = points.where(F.col("kind").isin("counter", "histogram"))
-    keyed = rising.withColumn("_series", series_text(F.col("attrs")))
-    out = running_totals(keyed, ["source", "metric", "_series"], ["value", "count", "sum"])
-    return out.drop("_series")
+    keyed = stage(rising.withColumn("_series", series_text(F.col("attrs"))), "rising")
+    out = running_totals(keyed, series, ["value", "count", "sum"])
+    each = keyed.select(*series, "ts", F.posexplode("bucket_counts").alias("_bucket", "n"))
+    run = running_totals(each, [*series, "_bucket"], ["n"])
+    # Points of one series and time have one total, and a series has as many buckets as its spec.
+    totals = run.groupBy(*series, F.col("ts").alias("_at")).agg(
+        F.array_sort(F.collect_set(F.struct("_bucket", "total_n"))).alias("_totals")
+    )
+    totals = totals.select(*series, "_at", F.transform("_totals", lambda t: t["total_n"]).alias("total_bucket_counts"))
+    same = [out[c] == totals[c] for c in series] + [F.col("ts").eqNullSafe(F.col("_at"))]
+    joined = out.join(totals, same, "left")
+    return joined.select(*[out[c] for c in out.columns if c != "_series"], "total_bucket_counts")
 
 
 def running_totals(points: DataFrame, series: list[str], values: list[str]) -> DataFrame:
