@@ -316,6 +316,18 @@ def cleanup_rate(spark, sf_dir):
     return _start(monitor.counter_rate(points, ["job"], 600), "job", F.round("rate", 6).alias("rate"))
 
 
+@query(
+    f"SELECT {_window('ended_at', 3600)} AS window_start, CASE WHEN api_type = 'range' THEN 'fingerprint_cleanup' "
+    f"ELSE 'orphan_cleanup' END AS job, round(count(*) / 3600, 6) AS rate FROM {_RUNS} GROUP BY 1, 2"
+)
+def cleanup_frequency(spark, sf_dir):
+    """Clean-ups per second and hour, from the duration histogram of the clean-up points."""
+    points = monitor.cleanup_points(_cleanups(spark, sf_dir), every="1 hour")
+    counted = points.where(F.col("metric") == "scraper_cleanup_duration_seconds")
+    counted = counted.select(F.col("attrs")["job"].alias("job"), "ts", F.col("count").alias("value"))
+    return _start(monitor.counter_rate(counted, ["job"], 3600), "job", F.round("rate", 6).alias("rate"))
+
+
 @query(
     "SELECT 'by_user' AS metric, count(DISTINCT (event_type, user_id)) AS series FROM events "
 )

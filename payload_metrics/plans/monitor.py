@@ -101,8 +101,9 @@ def dedupe_points(runs: DataFrame) -> DataFrame:
     return _self_points(runs.withColumn("hit_rate", hit_rate()), DEDUPE_SPEC)
 
 
-def cleanup_points(cleanups: DataFrame) -> DataFrame:
-    """The same for clean-ups: ``(job, backend, started_at, ended_at, items)``.
+def cleanup_points(cleanups: DataFrame, every: str | None = None) -> DataFrame:
+    """The same for clean-ups: ``(job, backend, started_at, ended_at, items)``, in one point per
+    series or per window of ``every``.
 
     A clean-up whose item count is unknown adds nothing to the item counter.
     """
@@ -110,7 +111,7 @@ def cleanup_points(cleanups: DataFrame) -> DataFrame:
     counted = timed.where(F.col("items").isNotNull())
     no_items = replace(CLEANUP_SPEC, counterReadings=())
     only_items = replace(CLEANUP_SPEC, gaugeReadings=(), histogramReadings=())
-    return _self_points(timed, no_items).unionByName(_self_points(counted, only_items))
+    return _self_points(timed, no_items, every).unionByName(_self_points(counted, only_items, every))
 
 
 def hit_rate() -> Column:
@@ -134,11 +135,11 @@ def self_logs(runs: DataFrame) -> DataFrame:
     )
 
 
-def _self_points(rows: DataFrame, spec: SourceSpec) -> DataFrame:
+def _self_points(rows: DataFrame, spec: SourceSpec, every: str | None = None) -> DataFrame:
     records = typed_records(
         rows, spec.name, order_by=F.unix_micros("ended_at"), fetched_at=F.col("ended_at")
     )
-    return metric_points(records, spec)
+    return metric_points(records, spec, every=every)
 
 
 def counter_rate(points: DataFrame, series: list[str], seconds: int = 300) -> DataFrame:
