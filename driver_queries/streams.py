@@ -22,9 +22,17 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file as a stream, typed like the batch records."""
     schema = table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _with_types(raw)
+
+
+def _with_types(raw: DataFrame) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("props", F.from_json("props", "k bigint"))
 
 
+def _typed(raw: DataFrame) -> DataFrame:
+    return typed_records(_with_types(raw), "events", order_by="event_id", fetched_at=F.col("ts"))
+
+
 def _typed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _event_stream(spark, sf_dir)
     return typed_records(rows, "events", order_by="event_id", fetched_at=F.col("ts"))
@@ -69,10 +77,31 @@ def stream_extract(spark, sf_dir):
 @query(f"{_REPLAY} SELECT event_id, hash FROM r WHERE emitted")
 def stream_dedupe(spark, sf_dir):
     """Exact TTL dedupe with keyed state."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    config = spec(deltaDetection=KEYS | {"ttlSeconds": 86400})
-    kept = streams.exact_dedupe(_typed_stream(spark, sf_dir), config)
-    return _drain(kept.select(F.col("record.event_id").alias("event_id"), "hash"))
+    return _exact(_typed_stream(spark, sf_dir))
+
+
+@query(f"{_REPLAY} SELECT event_id, hash FROM r WHERE emitted")
+def stream_dedupe_batches(spark, sf_dir):
+    """The same in several micro-batches: the state lasts from one to the next."""
+    folder, rows = f"{_folder(spark)}/in", table(spark, sf_dir, "events")
+    day = F.dayofmonth(F.col("ts").cast("timestamp"))
+    for low, high in ((1, 8), (9, 16), (17, 24), (25, 31)):
+        # One file per part, written in the order of time.
+        rows.where(day.between(low, high)).coalesce(1).write.mode("append").parquet(folder)
+    raw = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return _exact(_typed(raw))
+
+
+def _exact(records: DataFrame) -> DataFrame:
+    """Drains the exact dedupe with the state store it needs, and gives the session's own back."""
+    conf, key = records.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    conf.set(key, streams.ROCKSDB)
+    try:
+        kept = streams.exact_dedupe(records, spec(deltaDetection=KEYS | {"ttlSeconds": 86400}))
+        return _drain(kept.select(F.col("record.event_id").alias("event_id"), "hash"))
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 @query(f"SELECT DISTINCT hash FROM {_HASHED}")
