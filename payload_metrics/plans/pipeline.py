@@ -41,7 +41,9 @@ def run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: dat
     Payloads are parsed once: the selected records are staged, and so are the kept ones, since
     both feed several outputs. Emit ``touches`` to the store only after the outputs are written.
     """
+    # A payload without a time has that of the run, in metrics, logs and run rows alike.
     mine = payloads.where(F.col("source") == spec.name)
+    mine = mine.withColumn("fetched_at", F.coalesce("fetched_at", F.lit(now).cast("timestamp")))
     rows = stage(prepare_rows(mine, spec), "records")
     records = selected_records(rows)
     rejects = rows.where(F.col("reason").isNotNull()).select(*REJECT_COLUMNS)

@@ -62,7 +62,8 @@ def _first_per_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         if batch.num_rows == 0:
             continue
         keys = batch.select(["hash", "seen_at", *RECORD_ORDER])
-        order = pc.sort_indices(keys, sort_keys=[(name, "ascending") for name in keys.schema.names])
+        ascending = [(name, "ascending") for name in keys.schema.names]
+        order = pc.sort_indices(keys, sort_keys=ascending, null_placement="at_start")
         hashes = keys["hash"].take(order).to_numpy(zero_copy_only=False)
         seconds = keys["seen_at"].take(order).to_numpy(zero_copy_only=False)
         fresh = np.ones(len(order), dtype=bool)
@@ -122,7 +123,8 @@ def table_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[Dat
         part, spark = f"batch_id={batch_id}", batch.sparkSession
         now = datetime.now(timezone.utc)
         staged = [staged_path(spark, f"batch-{batch_id}")]
-        rows = stage(batch, f"batch-{batch_id}", staged[0])
+        timed = batch.withColumn("fetched_at", F.coalesce("fetched_at", F.lit(now).cast("timestamp")))
+        rows = stage(timed, f"batch-{batch_id}", staged[0])
         envelopes = rows
         if "reason" in rows.columns:
             rejects = rows.where(F.col("reason").isNotNull())
@@ -131,17 +133,15 @@ def table_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[Dat
         kept = rows
         if spec.deltaDetection.enabled:
             hashed = rows if "hash" in rows.columns else fingerprint(rows, spec)
-            seconds = int(now.timestamp())
-            oldest = rows.agg(F.min(F.coalesce(F.unix_seconds("fetched_at"), F.lit(seconds)))).first()[0] or 0
+            oldest = rows.agg(F.unix_seconds(F.min("fetched_at"))).first()[0] or 0
             past = log.touched(before_batch=batch_id).where(F.col("source") == source)
             # What has expired under its own TTL before the oldest row suppresses nothing.
             past = past.where(F.col("last_seen") + stored_ttl(ttl) >= oldest)
             staged.append(staged_path(spark, f"kept-{batch_id}"))
-            kept = stage(replay(hashed, ttl, past, seconds), f"kept-{batch_id}", staged[1])
-            log.append(touches(kept, spec, default=seconds), batch_id, source)
+            kept = stage(replay(hashed, ttl, past), f"kept-{batch_id}", staged[1])
+            log.append(touches(kept, spec), batch_id, source)
         write_part(metric_points(kept, spec), f"{out}/metric_points", part, source)
-        at = F.coalesce("fetched_at", F.lit(now).cast("timestamp"))
-        write_part(log_records(kept, spec, at), f"{out}/log_records", part, source)
+        write_part(log_records(kept, spec), f"{out}/log_records", part, source)
         write_part(run_rows(spec, envelopes, kept, now), f"{out}/scrape_runs", part, source)
         for path in staged:
             discard(spark, path)

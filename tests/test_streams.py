@@ -154,10 +154,20 @@ def test_whole_source_as_a_stream(spark, tmp_path):
 
 def test_rows_are_combined_before_the_shuffle():
     batch = pa.RecordBatch.from_pydict(
-        {"hash": ["b", "a", "a", "a", "b"], "seen_at": [1, 1, 1, 2, 1], "record_pos": [4, 9, 3, 5, 1], "x": list("vwxyz")}
+        {
+            "hash": ["b", "a", "a", "a", "b", "c", "c"],
+            "seen_at": [1, 1, 1, 2, 1, 3, 3],
+            "fetched_at": [1.5, 1.0, 1.0, 2.0, 1.25, 3.0, None],
+            "scrape_id": ["1", "2", "2", "1", "1", "1", "2"],
+            "record_pos": [1, 9, 3, 5, 4, 1, 7],
+            "x": list("vwxyztu"),
+        }
     )
     (out,) = streams._first_per_second(iter([batch]))
-    assert out.to_pydict() == {"hash": ["a", "a", "b"], "seen_at": [1, 2, 1], "record_pos": [3, 5, 1], "x": ["x", "y", "z"]}
+    # The time comes before the position, as in batches, and no time comes first.
+    assert list(zip(*out.select(["hash", "seen_at", "x"]).to_pydict().values())) == [
+        ("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), ("c", 3, "u"),
+    ]
 
 
 def test_windowed_metrics_equal_batch(spark, tmp_path):
