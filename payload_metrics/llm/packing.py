@@ -67,7 +67,9 @@ class WordTokenizer:
         young, old = self._young, self._old
         words = _words(text)
         fresh = []
-        for word in set(words) - young.keys():
+        for word in set(words):
+            if word in young:
+                continue
             if word in old:
                 young[word] = old[word]
             else:
@@ -88,7 +90,9 @@ def _cut(path: str, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.Reco
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizers.setdefault(path, WordTokenizer(path))
+        if path not in _tokenizers:
+            _tokenizers[path] = WordTokenizer(path)
+        tokenizer = _tokenizers[path]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
