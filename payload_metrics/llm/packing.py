@@ -31,7 +31,9 @@ from payload_metrics.sources.tables import stage
 
 CAPACITY = 4096
 END_ID = 1
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Letters that are their own normal form, with a stop or comma of their own piece.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 #: Pieces per salt when ranks within a length are counted.
 RANKED_TOGETHER = 100_000
 #: Slots of one plan row that become rows together.
@@ -46,39 +48,59 @@ def _words(text: str) -> list[str]:
     return text.split()
 
 
+class _Words(dict):
+    """Ids of words as bytes; unknown words are looked up in ``old``, then tokenized."""
+
+    def __init__(self, tokenizer, old: dict[str, bytes]):
+        self._tokenizer, self._pieces, self.old = tokenizer, tokenizer.model.tokenize, old
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self._ids(word)
+        self[word] = found
+        return found
+
+    def _ids(self, word: str) -> bytes:
+        if (match := PLAIN.fullmatch(word)) is None:
+            return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        letters, stop = match.groups()
+        if stop or not letters.islower():
+            return self[letters.lower()] + (self[stop] if stop else b"")
+        return b"".join([piece.id.to_bytes(4, "little") for piece in self._pieces(letters.translate(BYTE_LETTERS))])
+
+
+def _byte_letters() -> dict[int, str]:
+    """How the tokenizer's model writes the bytes of the letters beyond ASCII."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    written = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    return {ord(c): written(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if PLAIN.fullmatch(c)}
+
+
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+BYTE_LETTERS = _byte_letters()
+
+
 class WordTokenizer:
     """Ids of a text as little-endian 32-bit numbers, from the ids of its words.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those
-    of its words, one after the other. Words of late are remembered.
+    of its words, one after the other. Words of late are remembered. Plain words skip the
+    tokenizer's normal forms and patterns, which leave them as they are, and go to its model.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._known = _Words(self._tokenizer, {})
 
     def ids(self, text: str) -> bytes:
-        if len(self._young) > REMEMBERED:
-            self._old, self._young = self._young, {}
-        young, old = self._young, self._old
-        words = _words(text)
-        fresh = []
-        for word in set(words):
-            if word in young:
-                continue
-            if word in old:
-                young[word] = old[word]
-            else:
-                fresh.append(word)
-        if fresh:
-            encoded = self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            for word, found in zip(fresh, encoded):
-                young[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join([young[word] for word in words])
+        if len(self._known) > REMEMBERED:
+            old, self._known.old = dict(self._known), {}
+            self._known = _Words(self._tokenizer, old)
+        return b"".join(map(self._known.__getitem__, _words(text)))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
