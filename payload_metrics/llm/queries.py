@@ -86,7 +86,8 @@ def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return site_lines.drop_boilerplate(docs)
+    counts = {name: F.col(name).cast("long") for name in site_lines.COUNTS}
+    return site_lines.drop_boilerplate(docs).withColumns(counts)
 
 
 def op10_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
