@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from payload_metrics.llm.common import new_folder
 from payload_metrics.sources.tables import stage
 
-RATIO = 0.08
+#: A line on one page in 200 is no content of a page; below 1,000 pages ``MIN_PAGES`` decides.
+RATIO = 0.005
 MIN_PAGES = 5
 COUNTS = ("n_lines", "n_dropped")
 
