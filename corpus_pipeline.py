@@ -2,9 +2,9 @@
 
 Every stage works on all that the stage before it kept, and all but the last return the columns
 of ``documents``. A toxic document goes; boilerplate lines are cut, and ``n_chars`` follows the
-text; one document of each group of near duplicates (Jaccard similarity of five-word shingles of
-0.8 or more, not the contract of the SimHash query) stays; a document that holds a benchmark item
-goes; the rest is packed. Null texts count as empty, and an empty table passes every stage.
+text; one document of each group whose SimHash fingerprints link stays (the contract of the SimHash
+query: four-word shingles, at most 4 differing bits); a document that holds a benchmark item goes;
+the rest is packed. Null texts count as empty, and an empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payload_metrics.llm import decontaminate, near_copies, packing, site_lines, toxicity
+from payload_metrics.llm import decontaminate, packing, simhash, site_lines, toxicity
 from payload_metrics.llm.common import DOCUMENT_COLUMNS, fold_of, new_folder, table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -35,7 +35,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.deduplicate(docs.select(*DOCUMENT_COLUMNS))
+    return simhash.deduplicate(docs.select(*DOCUMENT_COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
