@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payload_metrics.llm import decontaminate, hidden_markov, packing, prefix_forest, quality, secrets, simhash, site_lines, toxicity, warc
+from payload_metrics.llm import (
+    byte_bpe,
+    decontaminate,
+    hidden_markov,
+    packing,
+    prefix_forest,
+    quality,
+    secrets,
+    simhash,
+    site_lines,
+    spelling,
+    toxicity,
+    warc,
+    whitening,
+)
 from payload_metrics.llm.common import fold_of, new_folder, table, text_of, tokenizer_path
 from payload_metrics.sources.tables import stage
 
@@ -101,6 +115,29 @@ def op10_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    encoded = table(spark, sf_dir, "documents").select("doc_id", byte_bpe.encode(F.col("text"), path).alias("e"))
+    decoded = byte_bpe.decode(F.col("e.ids"), F.col("e.ends"), path)
+    return encoded.select(
+        "doc_id",
+        F.size("e.ids").cast("long").alias("n_tokens"),
+        F.sha2(byte_bpe.packed(F.col("e.ids")), 256).alias("ids_sha256"),
+        F.sha2(decoded, 256).alias("decoded_sha256"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long, from some millions of vectors on, is null here."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    whitened = whitening.whiten(rows, whitening.fit(rows))
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
@@ -114,6 +151,9 @@ QUERIES: dict[str, Query] = {
         op8_histogram_packing,
         op9_site_lines,
         op10_structural_secrets,
+        op11_byte_bpe,
+        op12_spelling_variants,
+        op13_embedding_whitening,
     ]
 }
 ORACLES: dict[str, str] = {

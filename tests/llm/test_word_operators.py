@@ -1,0 +1,277 @@
+"""Byte-level BPE, spelling variants and whitening on small fixtures, against brute force."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from payload_metrics.llm import byte_bpe, spelling, whitening
+from payload_metrics.llm.common import tokenizer_path
+from payload_metrics.llm.queries import op11_byte_bpe, op12_spelling_variants, op13_embedding_whitening
+
+RANKS = tokenizer_path("byte_bpe_50k.tiktoken")
+
+
+# --- byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def odd_texts(seed, n):
+    rng = random.Random(seed)
+    letters = "ab'stmdrelv  \n\t  1٣.é中🙂!  "
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+
+
+LONG = ["a" * 5000, "'" * 3000, " " * 4000 + "x", "", "\n" * 700, "x'll've " * 3000, "中" * 9000]
+
+
+def test_ids_equal_the_tokenizer(tokenizer):
+    texts = odd_texts(1, 20_000) + LONG
+    ids, ends, counts = byte_bpe.encode_texts(texts, byte_bpe.merges(RANKS))
+    want = tokenizer.encode_ordinary_batch(texts)
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == list(itertools.chain.from_iterable(want))
+    data, sizes = byte_bpe.decode_ids(ids, ends, counts, byte_bpe.merges(RANKS))
+    assert data == "".join(texts).encode() and sizes.tolist() == [len(t.encode()) for t in texts]
+
+
+def test_every_code_point_has_the_class_of_the_tokenizer(tokenizer):
+    """A code point of each run of equal neighbours by class, and the ends of the run."""
+    table = byte_bpe.classes()
+    edges = np.flatnonzero(np.diff(table)) + 1
+    points = sorted({p for e in [*edges.tolist(), 0x110000] for p in (e - 1, e) if p < 0x110000 and not 0xD800 <= p < 0xE000})
+    texts = [f"a{chr(p)}a 1{chr(p)}1 !{chr(p)}! {chr(p)}" for p in points]
+    ids, _, counts = byte_bpe.encode_texts(texts, byte_bpe.merges(RANKS))
+    want = tokenizer.encode_ordinary_batch(texts)
+    assert ids.tolist() == list(itertools.chain.from_iterable(want)) and len(counts) == len(texts)
+
+
+@pytest.mark.parametrize("lane", [1, 2, 3, 7, 64, 5000])
+def test_scan_does_not_depend_on_lanes(lane):
+    texts = odd_texts(lane, 300)
+    lengths = [len(t) for t in texts]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+    starts = np.cumsum([0, *lengths])[:-1][np.array(lengths) > 0]
+    found = byte_bpe.beginnings(byte_bpe.symbols(points, starts), lane)
+    pieces = [piece for text in texts for piece in public_pieces(text)]
+    assert found.tolist() == np.cumsum([0, *map(len, pieces)])[:-1].tolist()
+
+
+def public_pieces(text):
+    import regex
+
+    return regex.findall(public_tokenizers.PATTERN, text)
+
+
+def test_merges_are_forgotten_in_bounds(tokenizer, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 16)
+    vocabulary = byte_bpe.Merges(RANKS)
+    texts = odd_texts(5, 500)
+    ids, _, _ = byte_bpe.encode_texts(texts, vocabulary)
+    assert ids.tolist() == list(itertools.chain.from_iterable(tokenizer.encode_ordinary_batch(texts)))
+    assert len(vocabulary) <= 16
+
+
+def test_bpe_query(spark, tokenizer, tmp_path):
+    texts = [*odd_texts(3, 200), None, None, *LONG, "same", "same"]
+    rows = [(i if i % 7 else None, t, "x", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter(map(tuple, op11_byte_bpe(spark, str(tmp_path)).collect()))
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        ids = tokenizer.encode_ordinary(text or "")
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        data = (text or "").encode()
+        want[doc_id, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(data).hexdigest()] += 1
+    assert got == want
+
+
+def test_bpe_on_nulls_and_bad_ids(spark):
+    rows = spark.createDataFrame([([5], None), (None, None)], "ids array<int>, ends array<int>")
+    assert [r[0] for r in rows.where("ids IS NULL").select(byte_bpe.decode(F.col("ids"), F.col("ends"), RANKS)).collect()] == [b""]
+    with pytest.raises(ValueError, match="without a rank"):
+        byte_bpe.decode_ids(np.array([60_000]), np.array([1]), np.array([1]), byte_bpe.merges(RANKS))
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert none.select(byte_bpe.encode(F.col("text"), RANKS)).collect() == []
+
+
+# --- spelling variants
+
+
+def plain_words(rows, least=2):
+    counts = Counter()
+    for doc_id, text in rows:
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for run in re.findall("[a-zÀ-ÿ]+", lower):
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            at = h % len(run)
+            word = run[:at] + run[at + 1 :] if h % 31 == 0 else run
+            if len(word) >= 7:
+                counts[word] += 1
+    return {w: n for w, n in counts.items() if n >= least}
+
+
+def edits(word, letters):
+    out = set()
+    for i in range(len(word) + 1):
+        out |= {word[:i] + c + word[i:] for c in letters}
+        if i < len(word):
+            out |= {word[:i] + word[i + 1 :]} | {word[:i] + c + word[i + 1 :] for c in letters}
+    return out - {word}
+
+
+def plain_variants(counts, ratio=10):
+    letters = {c for w in counts for c in w}
+    near = {w: sorted((o for o in edits(w, letters) if o in counts), key=lambda o: (-counts[o], o)) for w in counts}
+    form = {w: o[0] if o and counts[o[0]] >= ratio * counts[w] else None for w, o in near.items()}
+    rows = set()
+    for word, n in counts.items():
+        root = word
+        while form[root]:
+            root = form[root]
+        rows.add((word, form[word], root, n, len(near[word]), counts[form[word]] if form[word] else None))
+    return rows
+
+
+def some_words(seed, n, letters, extra=()):
+    """Words and variants of them, with counts from 2 to 30,000."""
+    rng = random.Random(seed)
+    made = list(extra)
+    while len(made) < n:
+        base = "".join(rng.choice(letters) for _ in range(rng.randint(7, 11)))
+        made.append(base)
+        for _ in range(rng.randint(0, 4)):
+            made.append(rng.choice(sorted(edits(rng.choice(made[-3:]), letters))))
+    return {w: rng.choice([2, 3, 25, 40, 300, 30_000]) for w in made if len(w) >= 7}
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcé", "abcdefghijklmnop"])
+def test_variants_equal_brute_force(spark, letters, monkeypatch):
+    monkeypatch.setattr(spelling, "ENTRIES_TOGETHER", 8)
+    counts = some_words(len(letters), 600, letters, ["a" * 7, "a" * 8, "ab" * 4, "a" * 4000, "a" * 4001, "b" + "a" * 4000])
+    words = spark.createDataFrame(sorted(counts.items()), "word string, n long")
+    assert set(map(tuple, spelling.variants(words).collect())) == plain_variants(counts)
+
+
+def test_chains_of_forms(spark):
+    """Eight words in a chain: following forms takes several rounds."""
+    chain = ["aaaaaaa" + "b" * i for i in range(8)]
+    counts = {w: 2 * 10**i for i, w in enumerate(chain)}
+    got = spelling.variants(spark.createDataFrame(sorted(counts.items()), "word string, n long")).collect()
+    assert {r["root"] for r in got} == {chain[-1]} and set(map(tuple, got)) == plain_variants(counts)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pivots_are_the_lightest_disjoint_grams(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        places = sorted(rng.sample(range(14), rng.randint(3, 9)))
+        weights = [rng.randint(1, 9) for _ in places]
+        pairs = itertools.combinations(range(len(places)), 2)
+        least = min(weights[i] + weights[j] for i, j in pairs if places[j] - places[i] >= 2)
+        a, b = spelling.pivots(places, weights)
+        assert b - a >= 2 and weights[places.index(a)] + weights[places.index(b)] == least
+
+
+def test_spelling_query(spark, tmp_path):
+    rng = random.Random(4)
+    base = ["Wonderful", "variants", "spelling", "Éclairage", "straßenbahn", "naïvetés", "short", "extraordinary"]
+    rows = [(i if i % 9 else None, " ".join(rng.choice(base) + rng.choice(["", ", ", "\n", "7"]) for _ in range(60))) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, "wonderful " * 20_000), (502, "wonderful"), (502, "wonderful")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, word string, n int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = op12_spelling_variants(spark, str(tmp_path))
+    assert set(map(tuple, got.collect())) == plain_variants(plain_words(rows))
+
+
+def test_spelling_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert spelling.variants(spelling.words(docs)).collect() == []
+
+
+# --- whitening
+
+
+def plain_whitening(vectors, wanted=8):
+    x = np.floor(1024 * np.array(vectors, dtype=np.float64)).astype(np.int64) + 100_000
+    n, sums = len(x), x.sum(axis=0)
+    y = (n * x - sums) / n
+    values, turn = np.linalg.eigh(y.T @ y / n)
+    values, turn = values[::-1][:wanted], turn[:, ::-1][:, :wanted]
+    deviation = [sum(int(v) ** 2 for v in row) for row in n * x - sums]
+    return deviation, y @ turn / np.sqrt(values), values / np.trace(y.T @ y / n)
+
+
+@pytest.mark.parametrize("dims, rows", [(64, 900), (3, 40), (40, 1), (100, 30)])
+def test_whitening_equals_eigenvectors(spark, dims, rows, tmp_path):
+    rng = np.random.default_rng(dims)
+    vectors = (rng.standard_normal((rows, dims)) * np.linspace(3, 1, dims)).astype(np.float32)
+    good = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    bad = [(9001, None), (9002, [float("nan")] * dims), (9003, [1.0] * (dims - 1) + [float("inf")]), (9004, [None] + [1.0] * (dims - 1))]
+    table = spark.createDataFrame([(i, v, 1, "a") for i, v in good + bad], "vec_id long, embedding array<float>, n int, component string")
+    table.repartition(5).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = op13_embedding_whitening(spark, str(tmp_path)).collect()
+    if rows == 1:
+        assert got == []
+        return
+    rank = min(dims, rows - 1, 8)
+    deviation, whitened, explained = plain_whitening(vectors, rank)
+    assert sorted((r["vec_id"], r["component"]) for r in got) == [(i, c) for i in range(rows) for c in range(1, rank + 1)]
+    found = np.zeros((rows, rank))
+    for r in got:
+        found[r["vec_id"], r["component"] - 1] = r["whitened"]
+        assert r["n"] == rows and r["deviation"] == deviation[r["vec_id"]]
+        assert abs(r["explained"] / explained[r["component"] - 1] - 1) < 1e-9 and r["identity_error"] < 1e-9
+    signs = np.sign((found * whitened).sum(axis=0))
+    assert np.abs(found * signs - whitened).max() < 1e-7
+
+
+@pytest.mark.parametrize(
+    "spectrum",
+    [np.linspace(1, 2, 64), 0.5 ** np.arange(64.0), np.ones(64), [*np.linspace(0, 1, 300), 5, 5, 5], [*np.ones(392), *range(5, 13)]],
+)
+def test_filter_finds_leading_eigenvectors(spectrum):
+    rng = np.random.default_rng(1)
+    turn = np.linalg.qr(rng.standard_normal((len(spectrum), len(spectrum))))[0]
+    matrix = turn * np.array(spectrum) @ turn.T
+    values, vectors = whitening.leading_eigenvectors(lambda block: matrix @ block, len(spectrum), 8)
+    want = np.sort(spectrum)[::-1][:8]
+    assert np.abs(values - want).max() < 1e-12 * want[0]
+    assert np.abs(matrix @ vectors - vectors * values).max() < 1e-11 * want[0]
+    assert np.abs(vectors.T @ vectors - np.eye(8)).max() < 1e-12
+
+
+def test_large_deviations_are_exact():
+    deviations = np.array([[3 * 10**12 + 1, -5, 7], [0, 0, 0]])
+    assert [int(v) for v in whitening._squares(deviations)] == [(3 * 10**12 + 1) ** 2 + 25 + 49, 0]
+
+
+def test_whitening_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert whitening.whiten(empty, whitening.fit(empty)).collect() == []
+    same = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert whitening.whiten(same, whitening.fit(same)).collect() == []
+    line = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [2.0, 4.0])], "vec_id long, embedding array<double>")
+    got = whitening.whiten(line, whitening.fit(line)).collect()
+    assert sorted(str(r["vec_id"]) for r in got) == ["1", "1", "None"] and {r["component"] for r in got} == {1}
+    ragged = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        whitening.fit(ragged)
