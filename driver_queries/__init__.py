@@ -13,9 +13,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function name."""
+    """Registers a query under its function name, which no other query may have."""
 
     def register(fn: Query) -> Query:
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"a query named {fn.__name__} is registered already")
         QUERIES[fn.__name__] = fn
         if sql is not None:
             ORACLES[fn.__name__] = sql

@@ -75,7 +75,7 @@ _FAILED = f"page % {PAGES_PER_SCRAPE} % 7 = 3"
     f"CAST(coalesce(sum(n) FILTER (NOT ({_FAILED})), 0) AS BIGINT) AS records FROM {_PAGED} GROUP BY 2 UNION ALL "
     f"SELECT 'idle', 'run-{int(NOW.timestamp())}', 'success', 0"
 )
-def run_rows(spark, sf_dir):
+def run_status_rows(spark, sf_dir):
     """Run rows of a source with failed windows, and of one without any payload."""
     broken = F.when(F.col("window_id") % 7 == 3, "no JSON").otherwise(F.col("payload"))
     payloads = event_pages(spark, sf_dir).withColumn("payload", broken)

@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -39,19 +40,24 @@ def coarse_dedupe(records: DataFrame, spec: SourceSpec) -> DataFrame:
     return fingerprint(records, spec).withWatermark("fetched_at", ttl).dropDuplicatesWithinWatermark(["hash"])
 
 
-def exact_dedupe(records: DataFrame, spec: SourceSpec) -> DataFrame:
+def exact_dedupe(records: DataFrame, spec: SourceSpec, late: str | None = None) -> DataFrame:
     """TTL dedupe with the last emission of every fingerprint as state, for typed records.
 
     Needs the RocksDB state store. Repeats within a second are combined before the shuffle, so
-    a frequent fingerprint does not send all its rows to one task.
+    a frequent fingerprint does not send all its rows to one task. Rows later than ``late`` (the TTL
+    if not given) are dropped. A state goes once the watermark has passed the TTL of its emission,
+    since whatever comes then is emitted anyway. Rows without a time come before all others.
     """
-    hashed = fingerprint(records, spec).withColumn("seen_at", F.unix_seconds("fetched_at"))
+    ttl = spec.deltaDetection.ttl()
+    seconds = F.coalesce(F.unix_seconds("fetched_at"), F.lit(0).cast("bigint"))
+    hashed = fingerprint(records, spec).withColumn("seen_at", seconds)
     combined = hashed.mapInArrow(_first_per_second, hashed.schema)
-    kept = combined.groupBy("hash").transformWithState(
-        statefulProcessor=_LastEmission(spec.deltaDetection.ttl()),
+    # A watermark set before the Arrow step would not drop late rows behind it.
+    kept = combined.withWatermark("fetched_at", late or f"{ttl} seconds").groupBy("hash").transformWithStateInPandas(
+        statefulProcessor=_LastEmission(ttl),
         outputStructType=hashed.schema,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
     return kept.drop("seen_at")
 
@@ -71,35 +77,46 @@ def _first_per_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield batch.take(order.filter(pa.array(fresh)))
 
 
-def _place(row: Row) -> tuple:
-    """The record order, nulls first as in Spark."""
-    return tuple((row[name] is not None, row[name]) for name in RECORD_ORDER)
-
-
 class _LastEmission(StatefulProcessor):
+    """Keeps the second of a fingerprint's last emission until the watermark makes it useless."""
+
     def __init__(self, ttl: int):
         self._ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("at", T.LongType())])
-        self._last = handle.getValueState("last_emission", schema)
+        self._handle, self._last = handle, handle.getValueState("last_emission", schema)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Only the first row of a second can be emitted, so the rows held are bounded by the
         # seconds a micro-batch spans, not by its repeats.
-        first: dict[int, Row] = {}
-        for row in rows:
-            at = row["seen_at"]
-            if at not in first or _place(row) < _place(first[at]):
-                first[at] = row
+        first = None
+        for frame in rows:
+            frame = frame if first is None else pd.concat([first, frame], ignore_index=True)
+            ordered = frame.sort_values(["seen_at", *RECORD_ORDER], na_position="first")
+            first = ordered.drop_duplicates("seen_at")
+        times = first["seen_at"].to_numpy(dtype=np.int64)
         state = self._last.get()
-        before = last = None if state is None else state[0]
-        for at in sorted(first):
-            if last is None or at - last > self._ttl:
-                last = at
-                yield first[at]
-        if last != before:
+        at = 0 if state is None else np.searchsorted(times, state[0] + self._ttl, side="right")
+        emitted = []
+        while at < len(times):
+            emitted.append(at)
+            at = np.searchsorted(times, times[at] + self._ttl, side="right")
+        if emitted:
+            last = int(times[emitted[-1]])
             self._last.update((last,))
+            self._handle.registerTimer(self._useless_from(last))
+            yield first.iloc[emitted]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self._last.get()
+        # A later emission has a timer of its own.
+        if state is not None and self._useless_from(state[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self._last.clear()
+        return iter(())
+
+    def _useless_from(self, last: int) -> int:
+        return (last + self._ttl + 1) * 1000
 
     def close(self) -> None:
         pass

@@ -39,7 +39,7 @@ def typed(df):
 
 def rows_in_time_order(n, keys, span, seed=1):
     rng = random.Random(seed)
-    times = sorted(rng.randrange(span) for _ in range(n))
+    times = sorted(rng.randrange(1, span) for _ in range(n))
     return [(i, at, rng.randrange(keys), rng.choice("xy")) for i, at in enumerate(times)]
 
 
@@ -78,6 +78,49 @@ def test_exact_dedupe_over_batches(spark, tmp_path, rocksdb):
     assert sorted(r[0] for r in got.collect()) == greedy([r[:3] for r in rows], TTL)
 
 
+def last_emissions(spark, checkpoint):
+    """What the state store holds after the last batch."""
+    reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last_emission")
+    return {r["key"]["hash"]: r["value"]["at"] for r in reader.load().collect()}
+
+
+def drain_exact(spark, tmp_path, name):
+    kept = streams.exact_dedupe(open_stream(spark, f"{tmp_path}/in"), make(), late="10 seconds")
+    writer = kept.select("record_pos").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{tmp_path}/{name}").awaitTermination()
+    return sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/{name}").collect())
+
+
+def test_state_of_exact_dedupe_goes_after_the_ttl(spark, tmp_path, rocksdb):
+    """Fifty keys at first; later batches move the watermark past their TTL."""
+    first = [(i, 1 + i % 5, i, "x") for i in range(50)]
+    parts = [first, [(50, 30, 0, "x"), (51, 32, 99, "x")], [(52, 100, 99, "y")], [(53, 125, 0, "x"), (54, 127, 99, "y")]]
+    want_after = [50, 42, 1, 2]
+    checkpoint = f"{tmp_path}/checkpoint"
+    for part, want in zip(parts, want_after):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = drain_exact(spark, tmp_path, "out")
+        # A drained stream ends with the watermark 10 s before its newest row: of 51 keys, the 9
+        # whose last emission is of second 1 go after the second part.
+        assert len(last_emissions(spark, checkpoint)) == want
+    # Key 0 comes again 30 s after its emission, key 99 after 68 s and after 27 s.
+    assert got == list(range(55))
+    assert set(last_emissions(spark, checkpoint).values()) == {125, 127}
+
+
+def test_late_rows_of_exact_dedupe(spark, tmp_path, rocksdb):
+    """A row within the lateness meets its state; a later one is dropped, not emitted again."""
+    for part in [[(0, 100, 1, "x")], [(1, 200, 2, "x")], [(2, 195, 2, "x"), (3, 195, 3, "x"), (4, 110, 1, "x")]]:
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = drain_exact(spark, tmp_path, "out")
+    assert got == [0, 1, 3]
+
+
+def test_exact_dedupe_of_rows_without_a_time(spark, tmp_path, rocksdb):
+    land(spark, f"{tmp_path}/in", [(0, None, 1, "x"), (1, None, 1, "x"), (2, 5, 2, "x")], parts=1)
+    assert drain_exact(spark, tmp_path, "out") == [0, 2]
+
+
 def test_coarse_dedupe_emits_each_key_of_a_batch_once(spark, tmp_path):
     land(spark, f"{tmp_path}/in", rows_in_time_order(60, 5, 300), parts=1)
     kept = streams.coarse_dedupe(open_stream(spark, f"{tmp_path}/in"), make())
