@@ -3,6 +3,10 @@
 A hash covers the source name, so records group on the hash alone; sorts and partitions split
 even when one source holds most rows. Repeats of one hash are combined before the shuffle, so a
 hash of any frequency reaches its task as one row per map task.
+
+Rows are numbered once, in a written table. What is grouped, sorted, scanned and probed are hash,
+time, order and number only; records are fetched at the end, by the numbers that are left. Of the
+store only rows whose hash may be in the batch are shuffled, as a bitmap of the batch's hashes says.
 """
 
 from __future__ import annotations
@@ -16,12 +20,19 @@ from pyspark.sql import functions as F
 
 from payload_metrics.functions.values import sha256
 from payload_metrics.operators.fields import fields_of
+from payload_metrics.sources.tables import stage
 from payload_metrics.spec import DEFAULT_MAX_ENTRIES, DEFAULT_TTL_SECONDS, SourceSpec
 
 FINGERPRINT_SCHEMA = "source string, hash string, first_seen bigint, last_seen bigint, ttl_seconds bigint"
 STORE_KEY = ["hash", "source"]
 #: Of equal records the first in this order is emitted, in batches, replays and streams alike.
 RECORD_ORDER = ["fetched_at", "scrape_id", "record_pos"]
+#: The number of a row in its written table.
+ROW = "_row"
+#: Row numbers that go to every task instead of being shuffled with the records; 16 bytes each.
+FETCHED_AT_ONCE = 1_000_000
+#: A hash is one of 2**26 bits in the probe's bitmap, which is 8 MB at most, in parts of 4 KB.
+BITMAP_BITS, PART_BITS = 26, 15
 
 
 def fingerprint_text(records: DataFrame, spec: SourceSpec) -> Column:
@@ -50,36 +61,66 @@ def live(store: DataFrame, now: int, default_ttl: int = DEFAULT_TTL_SECONDS) ->
     return store.where(F.lit(now) - F.col("last_seen") <= stored_ttl(default_ttl))
 
 
+def numbered(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes ``rows`` once, numbered, for the slim passes and the fetch at the end."""
+    return stage(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered", path)
+
+
 def first_of_batch(hashed: DataFrame) -> DataFrame:
-    """One row per fingerprint: its first record in batch order, and ``n_seen`` records in all."""
-    columns = [c for c in hashed.columns if c != "hash"]
-    order = F.struct(*RECORD_ORDER)
-    grouped = hashed.groupBy("hash").agg(
-        F.min_by(F.struct(*columns), order).alias("_first"), F.count("*").alias("n_seen")
-    )
-    return grouped.select("_first.*", "hash", "n_seen")
+    """One row per fingerprint: the number of its first record in batch order, and ``n_seen``
+    records in all."""
+    grouped = hashed.groupBy("hash").agg(F.min(F.struct(*RECORD_ORDER, ROW)).alias("_first"), F.count("*").alias("n_seen"))
+    return grouped.select("hash", F.col(f"_first.{ROW}").alias(ROW), "n_seen")
+
+
+def fetch(rows: DataFrame, chosen: DataFrame, path: str | None = None) -> DataFrame:
+    """The numbered ``rows`` whose number is in ``chosen``, with its other columns.
+
+    Few numbers are sent to the rows. Many meet them in one shuffle, hashed and not sorted.
+    """
+    chosen = stage(chosen, "chosen", path)
+    side = F.broadcast(chosen) if chosen.count() <= FETCHED_AT_ONCE else chosen.hint("shuffle_hash")
+    return rows.join(side, ROW).drop(ROW)
+
+
+def among(store: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Rows of ``store`` whose hash may be in ``hashes``: all that are, and a share of the others of
+    at most the number of hashes over 2**26. Nothing of the store is shuffled.
+    """
+    bit = F.shiftright(F.conv(F.substring("hash", 1, 7), 16, 10).cast("bigint"), 28 - BITMAP_BITS)
+    part, place = F.shiftright("_bit", PART_BITS), F.col("_bit").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    bits = hashes.select(bit.alias("_bit")).distinct().select(part.alias("_part"), place.alias("_place"))
+    bitmap = bits.groupBy("_part").agg(F.bitmap_construct_agg("_place").alias("_map"))
+    probed = store.withColumn("_bit", bit).withColumns({"_part": part, "_place": place})
+    probed = probed.join(F.broadcast(bitmap), "_part")
+    byte = "CAST(conv(hex(substring(_map, CAST(_place DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    marked = F.expr(f"shiftright({byte}, CAST(_place % 8 AS INT)) & 1 = 1")
+    return probed.where(marked).select(*store.columns)
 
 
 def unseen(firsts: DataFrame, store: DataFrame, spec: SourceSpec, now: int) -> DataFrame:
-    """Rows whose fingerprint is not live in the store.
+    """Rows of ``firsts``, a written table, whose fingerprint is not live in the store.
 
-    No broadcast hint: the store grows with the data, and ``firsts`` is already partitioned
-    on the hash, so a shuffled join moves only the store.
+    No broadcast hint: what is left of the store grows with the batch.
     """
     mine = live(store, now, spec.deltaDetection.ttl()).where(F.col("source") == spec.name)
-    return firsts.join(mine.select("hash"), "hash", "left_anti")
+    return firsts.join(among(mine.select("hash"), firsts), "hash", "left_anti")
 
 
 def dedupe(records: DataFrame, store: DataFrame | None, spec: SourceSpec, now: int) -> DataFrame:
     """Records to emit, with ``hash`` and ``n_seen``; all of them when detection is off.
 
-    Uses the ``hash`` column if the records were fingerprinted before.
+    Uses the ``hash`` column if the records were fingerprinted before, and their numbers if they
+    come from a ``numbered`` table.
     """
     if not spec.deltaDetection.enabled:
         return records
     hashed = records if "hash" in records.columns else fingerprint(records, spec)
+    hashed = hashed if ROW in hashed.columns else numbered(hashed)
     firsts = first_of_batch(hashed)
-    return firsts if store is None else unseen(firsts, store, spec, now)
+    if store is not None:
+        firsts = unseen(stage(firsts, "firsts"), store, spec, now)
+    return fetch(hashed, firsts.drop("hash"))
 
 
 def dedupe_stats(records: DataFrame, kept: DataFrame) -> DataFrame:
@@ -209,7 +250,7 @@ def _running(df: DataFrame, step: str, order: Column) -> DataFrame:
 
 
 def replay(
-    hashed: DataFrame, ttl_seconds: int, store: DataFrame | None = None, now: int | None = None
+    hashed: DataFrame, ttl_seconds: int, store: DataFrame | None = None, now: int | None = None, folder: str | None = None
 ) -> DataFrame:
     """Dedupe of a whole time-stamped history in one job, as if each batch ran at ``fetched_at``.
 
@@ -218,25 +259,26 @@ def replay(
     stored there; rows at or before it are suppressed. A row without a time has the time ``now``,
     or lies before all others. Same-second repeats are combined first, so a fingerprint has at
     most one row per second of history, and a sorted scan streams those rows with a constant state.
+    Tables are written in ``folder``, if given.
     """
-    columns = [c for c in hashed.columns if c != "hash"]
-    order = F.struct(*RECORD_ORDER)
+    numbers, chosen = (f"{folder}/numbered", f"{folder}/chosen") if folder else (None, None)
+    hashed = hashed if ROW in hashed.columns else numbered(hashed, numbers)
     unknown = F.lit(0 if now is None else now).cast("bigint")
     timed = hashed.withColumn("seen_at", F.coalesce(F.unix_seconds("fetched_at"), unknown))
-    firsts = timed.groupBy("hash", "seen_at").agg(F.min_by(F.struct(*columns), order).alias("_first"))
+    firsts = timed.groupBy("hash", "seen_at").agg(F.min(F.struct(*RECORD_ORDER, ROW)).alias("_first"))
     ttl = F.lit(ttl_seconds).cast("bigint")
-    moments = firsts.select("_first.*", "hash", "seen_at", F.lit(True).alias("new"), ttl.alias("ttl"))
+    moments = firsts.select("hash", "seen_at", F.lit(True).alias("new"), ttl.alias("ttl"), F.col(f"_first.{ROW}").alias(ROW))
     if store is not None:
-        past = store.groupBy("hash").agg(
+        # Only fingerprints of the history; the store may hold many more.
+        met = among(store, hashed.select("hash"))
+        past = met.groupBy("hash").agg(
             F.max("last_seen").alias("seen_at"), F.max_by(stored_ttl(ttl_seconds), "last_seen").alias("ttl")
         )
-        # Only fingerprints of the history; the store may hold many more.
-        past = past.join(hashed.select("hash").distinct(), "hash", "left_semi")
         past = past.select("hash", "seen_at", F.lit(False).alias("new"), "ttl")
         moments = moments.unionByName(past, allowMissingColumns=True)
     ordered = moments.repartition("hash").sortWithinPartitions("hash", "new", "seen_at")
     emitted = ordered.mapInArrow(_emitted, moments.schema)
-    return emitted.where("new").drop("seen_at", "new", "ttl")
+    return fetch(hashed, emitted.where("new").select(ROW), chosen)
 
 
 def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payload_metrics.operators.dedupe import dedupe, fingerprint, touches
+from payload_metrics.operators.dedupe import dedupe, fingerprint, numbered, touches
 from payload_metrics.operators.extract import REJECT_COLUMNS, extract_selected, selected_records, slim_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
@@ -44,7 +44,7 @@ def run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: dat
     # A payload without a time has that of the run, in metrics, logs and run rows alike.
     mine = payloads.where(F.col("source") == spec.name)
     mine = mine.withColumn("fetched_at", F.coalesce("fetched_at", F.lit(now).cast("timestamp")))
-    rows = stage(prepare_rows(mine, spec), "records")
+    rows = numbered(prepare_rows(mine, spec))
     records = selected_records(rows)
     rejects = rows.where(F.col("reason").isNotNull()).select(*REJECT_COLUMNS)
     seconds = int(now.timestamp())
@@ -71,7 +71,7 @@ def prepare_rows(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def dry_run(spec: SourceSpec, payloads: DataFrame, store: DataFrame | None, now: datetime) -> DataFrame:
-    """Record counts per source of what a run would emit; writes nothing."""
+    """Record counts per source of what a run would emit; writes no output."""
     rows = prepare_rows(payloads.where(F.col("source") == spec.name), spec)
     kept = dedupe(selected_records(rows), store, spec, int(now.timestamp()))
     return kept.groupBy("source").agg(F.count("*").alias("records"))

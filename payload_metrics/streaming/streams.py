@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from payload_metrics.operators.dedupe import RECORD_ORDER, fingerprint, replay, stored_ttl, touches
+from payload_metrics.operators.dedupe import RECORD_ORDER, fingerprint, numbered, replay, stored_ttl, touches
 from payload_metrics.operators.extract import REJECT_COLUMNS, extract_selected, selected_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
@@ -139,9 +139,11 @@ def table_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[Dat
     def process(batch: DataFrame, batch_id: int) -> None:
         part, spark = f"batch_id={batch_id}", batch.sparkSession
         now = datetime.now(timezone.utc)
-        staged = [staged_path(spark, f"batch-{batch_id}")]
+        folder = staged_path(spark, f"batch-{batch_id}")
         timed = batch.withColumn("fetched_at", F.coalesce("fetched_at", F.lit(now).cast("timestamp")))
-        rows = stage(timed, f"batch-{batch_id}", staged[0])
+        if spec.deltaDetection.enabled and "hash" not in timed.columns:
+            timed = fingerprint(timed, spec)
+        rows = numbered(timed, f"{folder}/rows")
         envelopes = rows
         if "reason" in rows.columns:
             rejects = rows.where(F.col("reason").isNotNull())
@@ -149,19 +151,16 @@ def table_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[Dat
             rows = selected_records(rows)
         kept = rows
         if spec.deltaDetection.enabled:
-            hashed = rows if "hash" in rows.columns else fingerprint(rows, spec)
             oldest = rows.agg(F.unix_seconds(F.min("fetched_at"))).first()[0] or 0
             past = log.touched(before_batch=batch_id).where(F.col("source") == source)
             # What has expired under its own TTL before the oldest row suppresses nothing.
             past = past.where(F.col("last_seen") + stored_ttl(ttl) >= oldest)
-            staged.append(staged_path(spark, f"kept-{batch_id}"))
-            kept = stage(replay(hashed, ttl, past), f"kept-{batch_id}", staged[1])
+            kept = stage(replay(rows, ttl, past, folder=folder), f"kept-{batch_id}", f"{folder}/kept")
             log.append(touches(kept, spec), batch_id, source)
         write_part(metric_points(kept, spec), f"{out}/metric_points", part, source)
         write_part(log_records(kept, spec), f"{out}/log_records", part, source)
         write_part(run_rows(spec, envelopes, kept, now), f"{out}/scrape_runs", part, source)
-        for path in staged:
-            discard(spark, path)
+        discard(spark, folder)
 
     return process
 

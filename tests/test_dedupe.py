@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from payload_metrics.operators import dedupe as d
 from payload_metrics.operators.extract import typed_records
+from payload_metrics.sources import tables
 from payload_metrics.sources.outputs import FingerprintLog
 from payload_metrics.spec import SourceSpec
 
@@ -230,7 +231,7 @@ def test_hot_fingerprint(spark):
     hashed = d.fingerprint(typed_records(batch, "s", "pos", fetched_at=F.timestamp_seconds("at")), make(**BY_ID))
     kept = d.replay(hashed, 100).groupBy((F.col("record.id") == -1).alias("hot")).count()
     assert {r["hot"]: r["count"] for r in kept.collect()} == {True: 6, False: 66667}
-    firsts = d.first_of_batch(hashed)
+    firsts = d.dedupe(hashed, None, make(**BY_ID), 0)
     assert firsts.where("record.id = -1").select("n_seen").first()[0] == 133333
 
 
@@ -254,3 +255,81 @@ def test_json_numbers_hash_by_value(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.parse_json("t").alias("record"))
     assert d.fingerprint(df, make()).select("hash").distinct().count() == 1
     assert json.loads(texts[0]) == json.loads(texts[1])
+
+
+def carriers(plan, column):
+    """Aggregates, sorts, exchanges and Python steps of a physical plan whose output has the column."""
+    out, stack = [], [plan]
+    while stack:
+        node = stack.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            stack.append(node.initialPlan())
+        columns = [node.output().apply(i).name() for i in range(node.output().size())]
+        if column in columns and any(k in name for k in ("Aggregate", "Sort", "Exchange", "Arrow", "Window")):
+            out.append(name)
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan()
+
+
+def steps_of_jobs(spark, monkeypatch, work):
+    """Plans of all tables that are written while ``work`` runs, and of what it returns."""
+    plans = []
+
+    def noted(df, name, path=None):
+        plans.append(plan_of(df))
+        return tables.stage(df, name, path)
+
+    monkeypatch.setattr(d, "stage", noted)
+    return [*plans, plan_of(work())]
+
+
+@pytest.mark.parametrize("at_once", [1_000_000, 0])
+def test_records_are_fetched_at_the_end(spark, monkeypatch, at_once):
+    """No aggregate, sort or Arrow step carries the record; past the broadcast one exchange does."""
+    monkeypatch.setattr(d, "FETCHED_AT_ONCE", at_once)
+    spec = make(ttlSeconds=20, **BY_ID)
+    batch = d.numbered(d.fingerprint(records(spark, [(i, i, i % 7, "x") for i in range(100)]), spec))
+    seen = store(spark, [("s", "a" * 64, 1, 1, 20)])
+    for work in (
+        lambda: d.dedupe(batch, None, spec, 0),
+        lambda: d.dedupe(batch, seen, spec, 0),
+        lambda: d.replay(batch, 20, seen),
+    ):
+        plans = steps_of_jobs(spark, monkeypatch, work)
+        found = [name for plan in plans for name in carriers(plan, "record")]
+        assert found == ([] if at_once else ["Exchange"])
+
+
+def test_store_is_filtered_before_it_is_shuffled(spark):
+    spec = make(ttlSeconds=20, **BY_ID)
+    batch = d.numbered(d.fingerprint(records(spark, [(i, i, i, "x") for i in range(100)]), spec))
+    hashes = sorted(r["hash"] for r in batch.collect())
+    big = spark.range(50_000).select(
+        F.lit("s").alias("source"), F.sha2(F.col("id").cast("string"), 256).alias("hash"),
+        *[F.lit(v).cast("bigint").alias(c) for c, v in (("first_seen", 90), ("last_seen", 90), ("ttl_seconds", 20))],
+    )
+    touched = big.unionByName(store(spark, [("s", h, 90, 90, 20) for h in hashes[:30]]))
+    left = d.among(touched, batch.select("hash"))
+    got = [r["hash"] for r in left.collect()]
+    # Everything that is met passes; of the rest about 100 in 2**26 would.
+    assert set(hashes[:30]) <= set(got) and len(got) <= 35
+    assert "Exchange" not in [n for n in carriers(plan_of(left), "ttl_seconds") if "Broadcast" not in n]
+    assert sorted(r["hash"] for r in d.dedupe(batch, touched, spec, 100).collect()) == hashes[30:]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bitmap_lets_all_members_pass(spark, seed):
+    """Hashes at the ends of the range and in between."""
+    rng = random.Random(seed)
+    some = ["0" * 64, "f" * 64, *[f"{rng.getrandbits(256):064x}" for _ in range(500)]]
+    members = spark.createDataFrame([(h,) for h in some], "hash string")
+    others = [f"{rng.getrandbits(256):064x}" for _ in range(500)]
+    both = spark.createDataFrame([(h, i) for i, h in enumerate(some + others)], "hash string, i int")
+    got = {r["hash"] for r in d.among(both, members).collect()}
+    assert set(some) <= got and len(got) < len(some) + 5
+    assert d.among(both, members.limit(0)).count() == 0
