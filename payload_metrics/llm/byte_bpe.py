@@ -44,8 +44,11 @@ STATES = 8
 # The endings of contractions.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 LANE = 256
-CODE_POINTS_AT_ONCE = 1 << 20
+CODE_POINTS_AT_ONCE = 1 << 19
+TOKENS_AT_ONCE = 1 << 17
 REMEMBERED = 1 << 18
+#: Bytes up to which pieces are merged in step.
+SHORT_PIECE, NO_RANK = 48, 1 << 31
 ENCODED = "struct<ids: array<int>, ends: array<int>>"
 
 
@@ -113,9 +116,9 @@ def beginnings(found: np.ndarray, lane: int = LANE) -> np.ndarray:
     states, begins = machine()
     flat = states.ravel()
     lanes = max(-(-len(found) // lane), 1)
-    padded = np.full(lanes * lane, NOTHING, dtype=np.int64)
+    padded = np.full(lanes * lane, NOTHING, dtype=np.uint8)
     padded[: len(found)] = found
-    steps = np.ascontiguousarray(padded.reshape(lanes, lane).T) * STATES
+    steps = np.ascontiguousarray(padded.reshape(lanes, lane).T) * np.uint8(STATES)
     whole = np.tile(np.arange(STATES, dtype=np.uint8), (lanes, 1))
     for step in steps:
         whole = flat[step[:, None] + whole]
@@ -123,7 +126,7 @@ def beginnings(found: np.ndarray, lane: int = LANE) -> np.ndarray:
     while shift < lanes:
         whole[shift:] = np.take_along_axis(whole[shift:], whole[:-shift].astype(np.int64), axis=1)
         shift *= 2
-    state = np.concatenate([[DONE], whole[:-1, DONE]]).astype(np.int64)
+    state = np.concatenate([[DONE], whole[:-1, DONE]]).astype(np.uint8)
     marks = np.empty((lane, lanes), dtype=bool)
     for at, step in enumerate(steps):
         marks[at] = begins.ravel()[step + state]
@@ -145,8 +148,8 @@ def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return found, np.diff(np.searchsorted(starts, edges))
 
 
-class Merges(dict):
-    """Ids of pieces, worked out when first asked for."""
+class Merges:
+    """A vocabulary, and the ids of the pieces it was asked for lately."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
@@ -160,20 +163,110 @@ class Merges(dict):
         self.bytes = np.frombuffer(b"".join(token for token, _ in ordered), dtype=np.uint8)
         known = np.maximum(self.lengths, 0)
         self.starts[1:] = np.cumsum(known)[:-1]
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.merge(piece.encode("utf-8"))
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)])
+        self._pair_table()
+        # Two generations: what is asked for again moves to the younger, the older one goes as a whole.
+        self.younger: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def _pair_table(self) -> None:
+        """Every pair of tokens that makes a token, in open addressing, at most a quarter full."""
+        pairs = [
+            (self.ranks[token[:i]], self.ranks[token[i:]], rank)
+            for token, rank in self.ranks.items()
+            for i in range(1, len(token))
+            if token[:i] in self.ranks and token[i:] in self.ranks
+        ]
+        left, right, rank = np.array(pairs, dtype=np.int64).T
+        self.slots = 1 << (4 * len(pairs)).bit_length()
+        self.pair_keys = np.full(self.slots, -1, dtype=np.int64)
+        self.pair_ranks = np.full(self.slots, NO_RANK, dtype=np.int64)
+        keys = left << 32 | right
+        slots, rest = self._slot(left, right), np.arange(len(pairs))
+        while len(rest):
+            free = self.pair_keys[slots[rest]] < 0
+            self.pair_keys[slots[rest[free]]] = keys[rest[free]]
+            won = self.pair_keys[slots[rest]] == keys[rest]
+            self.pair_ranks[slots[rest[won]]] = rank[rest[won]]
+            rest = rest[~won]
+            slots[rest] = (slots[rest] + 1) % self.slots
+
+    def _slot(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return ((left * 0x9E3779B1 + right * 0x85EBCA77) >> 15) % self.slots
+
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of every pair, or ``NO_RANK``."""
+        keys, slots = left << 32 | right, self._slot(left, right)
+        found = self.pair_ranks[slots]
+        rest = np.flatnonzero(self.pair_keys[slots] != keys)
+        while len(rest):
+            empty = self.pair_keys[slots[rest]] < 0
+            found[rest[empty]] = NO_RANK
+            rest = rest[~empty]
+            slots[rest] = (slots[rest] + 1) % self.slots
+            found[rest] = self.pair_ranks[slots[rest]]
+            rest = rest[self.pair_keys[slots[rest]] != keys[rest]]
+        return found
+
+    def ids_of(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """The ids of every piece; those not remembered are merged together."""
+        if len(self.younger) >= REMEMBERED // 2:
+            self.older, self.younger = self.younger, {}
+        new = set(pieces).difference(self.younger)
+        known = {piece: self.older[piece] for piece in new if piece in self.older}
+        unknown = [piece for piece in new if piece not in known]
+        data = [piece.encode("utf-8") for piece in unknown]
+        short = [i for i, d in enumerate(data) if len(d) <= SHORT_PIECE]
+        for i, ids in zip(short, self.merge_many([data[i] for i in short])):
+            known[unknown[i]] = ids
+        long = {unknown[i]: self.merge(d) for i, d in enumerate(data) if len(d) > SHORT_PIECE}
+        self.younger.update(known)
+        if not long:
+            return list(map(self.younger.__getitem__, pieces))
+        return [long[piece] if piece in long else self.younger[piece] for piece in pieces]
+
+    def merge_many(self, data: list[bytes]) -> list[tuple[int, ...]]:
+        """Merges, in all pieces in step, the pair of lowest rank, the leftmost first."""
+        sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+        tokens = self.of_byte[np.frombuffer(b"".join(data), dtype=np.uint8)]
+        owners = np.repeat(np.arange(len(data)), sizes)
+        ranks = np.full(len(tokens), NO_RANK, dtype=np.int64)
+
+        def look_up(at: np.ndarray) -> None:
+            at = at[at < len(tokens) - 1]
+            ranks[at] = np.where(owners[at] == owners[at + 1], self.pair_rank(tokens[at], tokens[at + 1]), NO_RANK)
+
+        look_up(np.arange(len(tokens)))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(tokens):
+            starts = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
+            lowest = np.minimum.reduceat(ranks, starts)
+            lengths = np.diff(np.append(starts, len(tokens)))
+            active = np.repeat(lowest < NO_RANK, lengths)
+            done.append((owners[~active], tokens[~active]))
+            hits = np.flatnonzero(active & (ranks == np.repeat(lowest, lengths)))
+            hits = hits[np.append(True, owners[hits[1:]] != owners[hits[:-1]])] if len(hits) else hits
+            tokens[hits] = ranks[hits]
+            kept = active.copy()
+            kept[hits + 1] = False
+            places = np.cumsum(kept) - 1
+            tokens, owners, ranks = tokens[kept], owners[kept], ranks[kept]
+            at = places[hits]
+            # The last token of a piece has no pair.
+            if len(ranks):
+                ranks[-1] = NO_RANK
+            look_up(at)
+            look_up(at[at > 0] - 1)
+        if not done:
+            return []
+        owners, tokens = (np.concatenate(parts) for parts in zip(*done))
+        order = np.argsort(owners, kind="stable")
+        flat, ends = tokens[order].tolist(), np.cumsum(np.bincount(owners, minlength=len(data))).tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
 
     def merge(self, data: bytes) -> tuple[int, ...]:
-        """Merges the pair of lowest rank, the leftmost first, until no pair has a rank."""
+        """The same for one long piece, in n log n steps."""
         ranks = self.ranks
-        if data in ranks:
-            return (ranks[data],)
         size = len(data)
         # Parts as a linked list over their first bytes; a part that was merged away ends at -1.
         end, before = list(range(1, size + 1)), list(range(-1, size - 1))
@@ -226,24 +319,24 @@ def encode_texts(texts: list[str], vocabulary: Merges) -> tuple[np.ndarray, np.n
     ids, ends, counts = [], [], []
     for group in _groups(texts):
         found, n_pieces = pieces(group)
-        merged = list(map(vocabulary.__getitem__, found))
+        merged = vocabulary.ids_of(found)
         per_piece = np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))
         of_group = np.fromiter(chain.from_iterable(merged), dtype=np.int32, count=int(per_piece.sum()))
         token_edges = np.concatenate([[0], np.cumsum(per_piece)])[np.concatenate([[0], np.cumsum(n_pieces)])]
         reached = np.concatenate([[0], np.cumsum(vocabulary.lengths[of_group])])
         per_text = np.diff(token_edges)
         ids.append(of_group)
-        ends.append(reached[1:] - np.repeat(reached[token_edges[:-1]], per_text))
+        ends.append((reached[1:] - np.repeat(reached[token_edges[:-1]], per_text)).astype(np.int32))
         counts.append(per_text)
     if not ids:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
     return np.concatenate(ids), np.concatenate(ends), np.concatenate(counts)
 
 
-def decode_ids(ids: np.ndarray, ends: np.ndarray, counts: np.ndarray, vocabulary: Merges) -> tuple[bytes, np.ndarray]:
+def decode_ids(ids: np.ndarray, ends: np.ndarray, counts: np.ndarray, vocabulary: Merges) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in turn, and each text's number of bytes.
 
-    ``ends`` says where in its text each token ends, so all tokens are put in place together.
+    ``ends`` says where in its text each token ends, so many tokens are put in place together.
     """
     if len(ids) and (ids.min() < 0 or ids.max() >= len(vocabulary.lengths) or vocabulary.lengths[ids].min() < 0):
         raise ValueError("an id without a rank")
@@ -252,12 +345,16 @@ def decode_ids(ids: np.ndarray, ends: np.ndarray, counts: np.ndarray, vocabulary
     some = counts > 0
     sizes[some] = ends[edges[1:][some] - 1]
     bases = np.concatenate([[0], np.cumsum(sizes)])
-    lengths = vocabulary.lengths[ids]
-    places = np.repeat(bases[:-1], counts) + ends - lengths
+    places = np.repeat(bases[:-1], counts) + ends
     out = np.zeros(int(bases[-1]), dtype=np.uint8)
-    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[np.repeat(places, lengths) + within] = vocabulary.bytes[np.repeat(vocabulary.starts[ids], lengths) + within]
-    return out.tobytes(), sizes
+    for start in range(0, len(ids), TOKENS_AT_ONCE):
+        some_ids = ids[start : start + TOKENS_AT_ONCE]
+        lengths = vocabulary.lengths[some_ids]
+        # Numbers the bytes of every token backwards from its end, from 1.
+        back = np.repeat(np.cumsum(lengths), lengths) - np.arange(int(lengths.sum()))
+        stops = vocabulary.starts[some_ids] + lengths
+        out[np.repeat(places[start : start + TOKENS_AT_ONCE], lengths) - back] = vocabulary.bytes[np.repeat(stops, lengths) - back]
+    return out, sizes
 
 
 def encode(text: Column, path: str) -> Column:
@@ -268,7 +365,7 @@ def encode(text: Column, path: str) -> Column:
         for batch in batches:
             ids, ends, counts = encode_texts(batch.to_pylist(), vocabulary)
             edges = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(edges, pa.array(v.astype(np.int32))) for v in (ids, ends)]
+            lists = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (ids, ends)]
             yield pa.StructArray.from_arrays(lists, names=["ids", "ends"])
 
     return F.arrow_udf(encoded, ENCODED)(F.coalesce(text.cast("string"), F.lit("")))
@@ -282,7 +379,7 @@ def decode(ids: Column, ends: Column, path: str) -> Column:
         for id_lists, end_lists in batches:
             counts = id_lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             flat = [lists.flatten().to_numpy(zero_copy_only=False) for lists in (id_lists, end_lists)]
-            data, sizes = decode_ids(flat[0], flat[1].astype(np.int64), counts, vocabulary)
+            data, sizes = decode_ids(*flat, counts, vocabulary)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             edges = pa.py_buffer(bounds.astype(np.int32))
             yield pa.Array.from_buffers(pa.binary(), len(sizes), [None, edges, pa.py_buffer(data)])

@@ -49,7 +49,7 @@ def test_ids_equal_the_tokenizer(tokenizer):
     assert counts.tolist() == [len(w) for w in want]
     assert ids.tolist() == list(itertools.chain.from_iterable(want))
     data, sizes = byte_bpe.decode_ids(ids, ends, counts, byte_bpe.merges(RANKS))
-    assert data == "".join(texts).encode() and sizes.tolist() == [len(t.encode()) for t in texts]
+    assert data.tobytes() == "".join(texts).encode() and sizes.tolist() == [len(t.encode()) for t in texts]
 
 
 def test_every_code_point_has_the_class_of_the_tokenizer(tokenizer):
@@ -86,7 +86,19 @@ def test_merges_are_forgotten_in_bounds(tokenizer, monkeypatch):
     texts = odd_texts(5, 500)
     ids, _, _ = byte_bpe.encode_texts(texts, vocabulary)
     assert ids.tolist() == list(itertools.chain.from_iterable(tokenizer.encode_ordinary_batch(texts)))
-    assert len(vocabulary) <= 16
+    texts = [texts[i : i + 4] for i in range(0, 500, 4)]
+    for some in texts:
+        ids, _, _ = byte_bpe.encode_texts(some, vocabulary)
+        assert ids.tolist() == list(itertools.chain.from_iterable(tokenizer.encode_ordinary_batch(some)))
+    # A generation ends once it is half full, so it holds what one group adds beyond that.
+    assert len(vocabulary.younger) < 200 and len(vocabulary.older) < 200
+
+
+def test_both_ways_to_merge_agree():
+    vocabulary = byte_bpe.Merges(RANKS)
+    data = [text.encode()[:600] for text in odd_texts(6, 500) + LONG if text]
+    assert vocabulary.merge_many(data) == [vocabulary.merge(d) if d not in vocabulary.ranks else (vocabulary.ranks[d],) for d in data]
+    assert vocabulary.merge_many([]) == []
 
 
 def test_bpe_query(spark, tokenizer, tmp_path):
