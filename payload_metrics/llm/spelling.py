@@ -7,7 +7,8 @@ disjoint pivots. So if two words are one edit apart, the word whose prefix ends
 has a pivot that stands unspoilt in the prefix of the other. The edit lies on one side of it, and
 then the other side is equal: all up to the pivot, which fixes its position from the start, or all
 from it on, which fixes its position from the end. Pivots and prefix entries meet by equality of that
-side and of the length, which differs by one at most, and every pair that meets is verified.
+side and of the length, which differs by one at most. Every pair that meets is verified; pairs whose
+sets of letters differ by more than one edit can change are out before their distance is measured.
 
 A word's form is the near word that occurs most often, if ten times as often as itself; its root is
 where following forms ends.
@@ -80,7 +81,8 @@ def pivots(positions: list[int], weights: list[int], count: int = EDITS + 1, wid
 
 
 def _chosen(words: DataFrame) -> DataFrame:
-    """``(word, n, last, prefix, pivots)``: the rank of the prefix's last bigram, and positions."""
+    """``(word, n, last, letters, prefix, pivots)``: the rank of the prefix's last bigram, the set of
+    letters as bits, and positions."""
     letters = F.char_length("word")
     places = F.sequence(F.lit(1), letters - (GRAM - 1))
     grams = words.select(F.explode(F.transform(places, lambda at: F.substring("word", at, F.lit(GRAM)))).alias("gram"))
@@ -95,15 +97,26 @@ def _chosen(words: DataFrame) -> DataFrame:
                 order = [ranks[gram] for gram in grams]
                 last = sorted(order)[GRAM * EDITS]
                 prefix = [i for i, rank in enumerate(order) if rank <= last]
-                rows.append((last, prefix, pivots(prefix, [counts[grams[i]] for i in prefix])))
-            last, prefix, pivot = zip(*rows) if rows else ((), (), ())
-            columns = [pa.array(last, pa.int32()), pa.array(prefix, pa.list_(pa.int32())), pa.array(pivot, pa.list_(pa.int32()))]
-            yield pa.record_batch([batch.column("word"), batch.column("n"), *columns], names=["word", "n", "last", "prefix", "pivots"])
-
-    schema = "word string, n long, last int, prefix array<int>, pivots array<int>"
+                rows.append((last, _letter_bits(word), prefix, pivots(prefix, [counts[grams[i]] for i in prefix])))
+            last, bits, prefix, pivot = zip(*rows) if rows else ((), (), (), ())
+            places = pa.list_(pa.int32())
+            columns = [pa.array(last, pa.int32()), pa.array(bits, pa.int64()), pa.array(prefix, places), pa.array(pivot, places)]
+            yield pa.record_batch(
+                [batch.column("word"), batch.column("n"), *columns], names=["word", "n", "last", "letters", "prefix", "pivots"]
+            )
+
+    schema = "word string, n long, last int, letters long, prefix array<int>, pivots array<int>"
     return words.select("word", "n").mapInArrow(chosen, schema)
 
 
+def _letter_bits(word: str) -> int:
+    """A bit for every letter, by its code point modulo 64, as a signed 64-bit number."""
+    bits = 0
+    for letter in set(word):
+        bits |= 1 << (ord(letter) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def _sides(at: Column) -> Column:
     """What stands up to the bigram at ``at``, and from it on."""
     up_to = F.substring("word", F.lit(1), at + GRAM)
@@ -123,11 +136,12 @@ def near_words(words: DataFrame) -> DataFrame:
     chosen = stage(_chosen(words), "pivots", chosen_path)
     key = ["head", "side", "length"]
     length = F.char_length("word").alias("length")
-    entries = chosen.select("word", "n", "last", length, F.explode(F.flatten(F.transform("prefix", _sides))).alias("e"))
-    entries = stage(entries.select("e.*", "length", "word", "n", "last"), "entries", entries_path)
-    probes = chosen.select("word", "n", "last", length, F.explode(F.flatten(F.transform("pivots", _sides))).alias("e"))
+    about = ["word", "n", "last", "letters"]
+    entries = chosen.select(*about, length, F.explode(F.flatten(F.transform("prefix", _sides))).alias("e"))
+    entries = stage(entries.select("e.*", "length", *about), "entries", entries_path)
+    probes = chosen.select(*about, length, F.explode(F.flatten(F.transform("pivots", _sides))).alias("e"))
     other_lengths = F.explode(F.array(*[F.col("length") + d for d in range(-EDITS, EDITS + 1)])).alias("length")
-    probes = probes.select("e.*", other_lengths, "word", "n", "last")
+    probes = probes.select("e.*", other_lengths, *about)
 
     crowded = entries.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > ENTRIES_TOGETHER)
     crowded = stage(
@@ -139,8 +153,10 @@ def near_words(words: DataFrame) -> DataFrame:
 
     a, b = probes.alias("a"), entries.alias("b")
     met = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*key, "part"]]
+    # One edit takes at most one letter away and brings at most one.
+    alike = F.bit_count(F.col("a.letters").bitwiseXOR(F.col("b.letters"))) <= 2 * EDITS
     verified = F.levenshtein(F.col("a.word"), F.col("b.word"), EDITS) == EDITS
-    pairs = a.join(b, [*met, F.col("a.last") <= F.col("b.last"), verified])
+    pairs = a.join(b, [*met, F.col("a.last") <= F.col("b.last"), alike, verified])
     one, two = F.struct("a.word", "a.n"), F.struct("b.word", "b.n")
     pairs = pairs.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).distinct()
     both = F.explode(F.array(F.struct("one", "two"), F.struct(F.col("two").alias("one"), F.col("one").alias("two"))))
