@@ -17,7 +17,7 @@ up to a bounded number. Ids come with the byte offset behind each token, by whic
 every token's bytes in place at once.
 
 Defined cases: null and empty texts have no tokens and decode to no bytes; a very long text is a
-batch of its own; a piece of any length is merged in n log n steps. ``decode`` takes null lists as
+batch of its own; a piece of any length is merged in n log n steps. ``decode`` takes nulls as
 empty, and raises an error for an id without a rank. Other columns are never read.
 """
 
@@ -31,6 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,12 +45,13 @@ STATES = 8
 # The endings of contractions.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 LANE = 256
-CODE_POINTS_AT_ONCE = 1 << 19
+BYTES_AT_ONCE = 1 << 19
 TOKENS_AT_ONCE = 1 << 17
 REMEMBERED = 1 << 18
 #: Bytes up to which pieces are merged in step.
 SHORT_PIECE, NO_RANK = 48, 1 << 31
 ENCODED = "struct<ids: array<int>, ends: array<int>>"
+ENCODED_ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
 
 @lru_cache(maxsize=1)
@@ -301,36 +303,29 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
+def _groups(texts: pa.Array) -> Iterator[list[str]]:
     """Consecutive texts of bounded length together; a longer text is alone."""
-    group, size = [], 0
-    for text in texts:
-        if group and size + len(text) > CODE_POINTS_AT_ONCE:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield group
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, room = 0, BYTES_AT_ONCE
+    for at, size in enumerate(sizes.tolist()):
+        if size > room and at > start:
+            yield texts.slice(start, at - start).to_pylist()
+            start, room = at, BYTES_AT_ONCE
+        room -= size
+    if start < len(texts):
+        yield texts.slice(start).to_pylist()
 
 
 def encode_texts(texts: list[str], vocabulary: Merges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts, the byte offset in its text behind each id, and the ids' number per text."""
-    ids, ends, counts = [], [], []
-    for group in _groups(texts):
-        found, n_pieces = pieces(group)
-        merged = vocabulary.ids_of(found)
-        per_piece = np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))
-        of_group = np.fromiter(chain.from_iterable(merged), dtype=np.int32, count=int(per_piece.sum()))
-        token_edges = np.concatenate([[0], np.cumsum(per_piece)])[np.concatenate([[0], np.cumsum(n_pieces)])]
-        reached = np.concatenate([[0], np.cumsum(vocabulary.lengths[of_group])])
-        per_text = np.diff(token_edges)
-        ids.append(of_group)
-        ends.append((reached[1:] - np.repeat(reached[token_edges[:-1]], per_text)).astype(np.int32))
-        counts.append(per_text)
-    if not ids:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    return np.concatenate(ids), np.concatenate(ends), np.concatenate(counts)
+    found, n_pieces = pieces(texts)
+    merged = vocabulary.ids_of(found)
+    per_piece = np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))
+    ids = np.fromiter(chain.from_iterable(merged), dtype=np.int32, count=int(per_piece.sum()))
+    edges = np.concatenate([[0], np.cumsum(per_piece)])[np.concatenate([[0], np.cumsum(n_pieces)])]
+    reached = np.concatenate([[0], np.cumsum(vocabulary.lengths[ids])])
+    counts = np.diff(edges)
+    return ids, (reached[1:] - np.repeat(reached[edges[:-1]], counts)).astype(np.int32), counts
 
 
 def decode_ids(ids: np.ndarray, ends: np.ndarray, counts: np.ndarray, vocabulary: Merges) -> tuple[np.ndarray, np.ndarray]:
@@ -360,42 +355,56 @@ def decode_ids(ids: np.ndarray, ends: np.ndarray, counts: np.ndarray, vocabulary
 def encode(text: Column, path: str) -> Column:
     """``ids`` and ``ends``, the byte offset behind each token, of every text."""
 
-    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = merges(path)
-        for batch in batches:
-            ids, ends, counts = encode_texts(batch.to_pylist(), vocabulary)
-            edges = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (ids, ends)]
-            yield pa.StructArray.from_arrays(lists, names=["ids", "ends"])
+    def encoded(texts: pa.Array) -> pa.Array:
+        parts = []
+        for group in _groups(texts):
+            ids, ends, counts = encode_texts(group, merges(path))
+            edges = pa.array(_edges(counts))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(values)) for values in (ids, ends)]
+            parts.append(pa.StructArray.from_arrays(lists, names=["ids", "ends"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], ENCODED_ARROW)
 
     return F.arrow_udf(encoded, ENCODED)(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def decode(ids: Column, ends: Column, path: str) -> Column:
+def decode(encoded: Column, path: str) -> Column:
     """The bytes of every text, by its ids and their offsets."""
 
-    def decoded(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        vocabulary = merges(path)
-        for id_lists, end_lists in batches:
-            counts = id_lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = [lists.flatten().to_numpy(zero_copy_only=False) for lists in (id_lists, end_lists)]
-            data, sizes = decode_ids(*flat, counts, vocabulary)
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            edges = pa.py_buffer(bounds.astype(np.int32))
-            yield pa.Array.from_buffers(pa.binary(), len(sizes), [None, edges, pa.py_buffer(data)])
+    def decoded(rows: pa.Array) -> pa.Array:
+        return _decoded(rows, path)
 
-    none = F.array().cast("array<int>")
-    return F.arrow_udf(decoded, "binary")(F.coalesce(ids, none), F.coalesce(ends, none))
+    return F.arrow_udf(decoded, "binary")(encoded)
 
 
-def packed(ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
+def read_back(encoded: Column, path: str) -> Column:
+    """``n_tokens``, ``packed`` (the ids as little-endian unsigned 32-bit integers) and ``decoded``
+    of every text. Straight on ``encode``, both run in one Python worker."""
 
-    def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            edges = pa.py_buffer(np.concatenate([[0], np.cumsum(4 * counts)]).astype(np.int32))
-            yield pa.Array.from_buffers(pa.binary(), len(lists), [None, edges, pa.py_buffer(flat.tobytes())])
+    def read(rows: pa.Array) -> pa.Array:
+        ids, _, counts = _lists(rows)
+        columns = [pa.array(counts), _binary(ids.astype("<u4").view(np.uint8), 4 * counts), _decoded(rows, path)]
+        return pa.StructArray.from_arrays(columns, names=["n_tokens", "packed", "decoded"])
 
-    return F.arrow_udf(bytes_of, "binary")(F.coalesce(ids, F.array().cast("array<int>")))
+    return F.arrow_udf(read, "struct<n_tokens: long, packed: binary, decoded: binary>")(encoded)
+
+
+def _edges(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+
+
+def _lists(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and ends of all rows, and the ids' number per row; null rows and lists are empty."""
+    ids, ends = rows.flatten()
+    counts = pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids.flatten().to_numpy(zero_copy_only=False), ends.flatten().to_numpy(zero_copy_only=False), counts
+
+
+def _decoded(rows: pa.Array, path: str) -> pa.Array:
+    ids, ends, counts = _lists(rows)
+    return _binary(*decode_ids(ids, ends, counts, merges(path)))
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive stretches of ``data`` as binary values."""
+    buffers = [None, pa.py_buffer(_edges(sizes)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), buffers)

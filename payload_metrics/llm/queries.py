@@ -117,13 +117,13 @@ def op10_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    encoded = table(spark, sf_dir, "documents").select("doc_id", byte_bpe.encode(F.col("text"), path).alias("e"))
-    decoded = byte_bpe.decode(F.col("e.ids"), F.col("e.ends"), path)
-    return encoded.select(
+    encoded = byte_bpe.encode(F.col("text"), path)
+    read = table(spark, sf_dir, "documents").select("doc_id", byte_bpe.read_back(encoded, path).alias("r"))
+    return read.select(
         "doc_id",
-        F.size("e.ids").cast("long").alias("n_tokens"),
-        F.sha2(byte_bpe.packed(F.col("e.ids")), 256).alias("ids_sha256"),
-        F.sha2(decoded, 256).alias("decoded_sha256"),
+        "r.n_tokens",
+        F.sha2("r.packed", 256).alias("ids_sha256"),
+        F.sha2("r.decoded", 256).alias("decoded_sha256"),
     )
 
 

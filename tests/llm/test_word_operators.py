@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -116,13 +117,27 @@ def test_bpe_query(spark, tokenizer, tmp_path):
     assert got == want
 
 
-def test_bpe_on_nulls_and_bad_ids(spark):
-    rows = spark.createDataFrame([([5], None), (None, None)], "ids array<int>, ends array<int>")
-    assert [r[0] for r in rows.where("ids IS NULL").select(byte_bpe.decode(F.col("ids"), F.col("ends"), RANKS)).collect()] == [b""]
+def test_bpe_on_nulls_and_bad_ids(spark, tmp_path):
+    rows = spark.createDataFrame([(([5], [1]),), ((None, None),), (None,)], f"e {byte_bpe.ENCODED}")
+    got = rows.where("e.ids IS NULL").select(byte_bpe.decode(F.col("e"), RANKS), byte_bpe.read_back(F.col("e"), RANKS)["n_tokens"])
+    assert [tuple(r) for r in got.collect()] == [(b"", 0)] * 2
     with pytest.raises(ValueError, match="without a rank"):
         byte_bpe.decode_ids(np.array([60_000]), np.array([1]), np.array([1]), byte_bpe.merges(RANKS))
-    none = spark.createDataFrame([], "doc_id long, text string")
-    assert none.select(byte_bpe.encode(F.col("text"), RANKS)).collect() == []
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert op11_byte_bpe(spark, str(tmp_path)).collect() == []
+
+
+def test_encoding_does_not_depend_on_groups(spark, monkeypatch):
+    texts = [None, "", *odd_texts(8, 60), *LONG, None]
+    whole = byte_bpe.encode_texts([t or "" for t in texts], byte_bpe.merges(RANKS))
+    groups = list(byte_bpe._groups(pa.array([t or "" for t in texts])))
+    assert list(itertools.chain.from_iterable(groups)) == [t or "" for t in texts]
+    monkeypatch.setattr(byte_bpe, "BYTES_AT_ONCE", 50)
+    groups = list(byte_bpe._groups(pa.array([t or "" for t in texts])))
+    assert list(itertools.chain.from_iterable(groups)) == [t or "" for t in texts] and len(groups) > 20
+    parts = [byte_bpe.encode_texts(group, byte_bpe.merges(RANKS)) for group in groups]
+    for one, pieces in zip(whole, zip(*parts)):
+        assert one.tolist() == np.concatenate(pieces).tolist()
 
 
 # --- spelling variants
