@@ -129,6 +129,42 @@ def test_reading_offsets(spark):
     assert iso == got
 
 
+def iso_texts():
+    """Well-formed and broken texts of all forms, put together from parts."""
+    dates = [
+        "2025", "2025-03", "202503", "2025-03-09", "20250309", "2025-3-9", "2025-W01", "2025W01", "2025-W01-1", "2025W537", "2025-W53-7",
+        "2025-W00-1", "2025-W01-8", "2025-W54-1", "2024-366", "2025-366", "2025001", "2025-000", "0000-01-01", "0001-01-01", "2025-02-30",
+        "2025-13-01", "20250011", " 2025-03-09", "9999-12-31", "2025-01-011", "25-01-01", "", "x",
+    ]
+    times = [
+        "", "T", "T10", "T1030", "T10:30", "T10:3", " 10:30:15", "x103015", "T10:30:15.5", "T103015,123456789", "T10:30:60", "T10:60",
+        "T24:00", "T24", "T24:00:01", "T24:00:00.000", "T25", "T10:3015", "T1030:15", "T10.5", "T10:30.5", "T10:30:15.", "0", "011",
+    ]
+    offsets = ["", "Z", "z", "+05", "-0530", "+05:30", "-00:00", "+24:00", "+05:60", " +05:00", "+5", "ZZ"]
+    return [d + t + o for d in dates for t in times for o in offsets] + ["２０２５-01-01", "2025-01-01T10:30\n", "\n2025-01-01"]
+
+
+def test_iso_texts_against_a_parser(spark):
+    """Every text gives the moment the parser gives, and NULL where it raises an error."""
+    isoparse = pytest.importorskip("dateutil.parser").isoparse
+
+    def want(text):
+        try:
+            moment = isoparse(text)
+            moment = moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
+            return (moment - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+        except (ValueError, OverflowError):
+            return None
+
+    texts = iso_texts()
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = {r["x"]: r["at"] for r in df.select("x", F.unix_micros(parse_time(F.col("x"), None)).alias("at")).collect()}
+    wrong = [(t, got[t], want(t)) for t in texts if got[t] != want(t)]
+    assert not wrong, (len(wrong), wrong[:20])
+    assert sum(v is not None for v in got.values()) > 800
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS x").select(parse_time(F.col("x"), None)).first()[0] is None
+
+
 def test_duration_columns(spark):
     df = spark.createDataFrame([("5min", "hours"), ("2mon", "weeks"), ("30s", None), (" 1m ", "x")], "f string, u string")
     got = df.select(frequency_seconds_col(F.col("f")), unit_seconds_col(F.col("u"))).collect()
