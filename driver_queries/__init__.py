@@ -30,6 +30,7 @@ def load_all() -> None:
     from driver_queries import (  # noqa: F401
         deltas,
         extraction,
+        landed,
         mapping,
         monitoring,
         predicates,

@@ -233,37 +233,76 @@ def hist_quantile(spark, sf_dir):
     )
 
 
-def _grid_sql(sums: str, names: list[str], seconds: int, step: int = HOUR) -> str:
-    """Hourly rows per source from first to last, with trailing sums."""
+@query(
+    f"SELECT kind, round({_quantile_sql(0.5, 'n', ['b0', 'b1', 'b2'])}, 6) AS p50, "
+    f"round({_quantile_sql(0.99, 'n', ['b0', 'b1', 'b2'])}, 6) AS p99 FROM ("
+    "SELECT event_type AS kind, count(*) AS n, count(*) FILTER (value <= 10) AS b0, "
+    "count(*) FILTER (value <= 50) AS b1, count(*) FILTER (value <= 100) AS b2 FROM events GROUP BY 1)"
+)
+def hist_quantile_mixed(spark, sf_dir):
+    """Two sources with bounds of their own, merged at the edges they share."""
+    parts = []
+    for name, rest, bounds in (("even", 0, [5, *BOUNDS, 200]), ("odd", 1, [*BOUNDS, 150])):
+        config = spec(
+            name=name,
+            attributes=[{"name": "kind", "dataKey": "event_type"}],
+            histogramReadings=[{"name": "h", "dataKey": "value", "buckets": bounds}],
+        )
+        records = event_records(spark, sf_dir).where(F.col("record.event_id") % 2 == rest)
+        parts.append(metric_points(records, config, every="1 hour"))
+    keyed = parts[0].unionByName(parts[1]).select(F.col("attrs")["kind"].alias("kind"), "bounds", "bucket_counts")
+    out = monitor.histogram_quantiles(keyed, ["kind"], None, {"p50": 0.5, "p99": 0.99})
+    return out.select("kind", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
+
+
+NOW = 1706745600  # 2024-02-01T00:00:00Z
+
+
+def _grid_sql(sums: str, names: list[str], seconds: int, end: str | int | None = None, step: int = HOUR) -> str:
+    """Hourly rows per source with trailing sums, from its first run until they are empty, or to ``end``."""
     rolled = ", ".join(
         f"CAST(sum(coalesce({n}, 0)) OVER (PARTITION BY source ORDER BY step_end RANGE BETWEEN {seconds - step} PRECEDING "
         f"AND CURRENT ROW) AS BIGINT) AS {n}"
         for n in names
     )
+    end = f"max(step_end) + {seconds}" if end is None else end
     return (
-        f"(SELECT source, step_end, {rolled} FROM (SELECT source, unnest(generate_series(min(step_end), max(step_end), {step})) AS step_end "
+        f"(SELECT source, step_end, {rolled} FROM (SELECT source, unnest(generate_series(min(step_end), {end}, {step})) AS step_end "
         f"FROM (SELECT source, {_window('ended_at', step)} + {step} AS step_end FROM {_RUNS}) GROUP BY source) "
         f"LEFT JOIN (SELECT source, {_window('ended_at', step)} + {step} AS step_end, {sums} FROM {_RUNS} GROUP BY 1, 2) "
         "USING (source, step_end))"
     )
 
 
-def _held_sql(grid: str, condition: str, hold: int, columns: str) -> str:
+def _fired_sql(grid: str, condition: str, hold: int, now: int | None = None, step: int = HOUR) -> str:
+    """Runs of hourly rows at which the condition has held for ``hold`` seconds."""
     frame = f"(PARTITION BY source ORDER BY step_end RANGE BETWEEN {hold} PRECEDING AND CURRENT ROW)"
+    until = f"max(step_end) + {step}"
     return (
-        f"SELECT source, step_end, {columns}, bool_and(coalesce({condition}, false)) OVER w AND step_end - min(step_end) OVER w >= {hold} "
-        f"AS firing FROM {grid} WINDOW w AS {frame}"
+        f"SELECT source, min(step_end) - {hold} AS since, min(step_end) AS fires_from, "
+        f"{until if now is None else f'CASE WHEN max(step_end) < {now} THEN {until} END'} AS until "
+        f"FROM (SELECT *, step_end - {step} * row_number() OVER (PARTITION BY source ORDER BY step_end) AS island FROM ("
+        f"SELECT source, step_end, bool_and(coalesce({condition}, false)) OVER w AND step_end - min(step_end) OVER w >= {hold} "
+        f"AS firing FROM {grid} WINDOW w AS {frame}) WHERE firing) GROUP BY source, island"
     )
 
 
+_RUN_GRID = _grid_sql("count(*) AS runs, count(*) FILTER (status = 'error') AS errors", ["runs", "errors"], 24 * HOUR)
+
+
 @query(
-    _held_sql(
-        _grid_sql("count(*) AS runs, count(*) FILTER (status = 'error') AS errors", ["runs", "errors"], 24 * HOUR),
-        "CASE WHEN runs > 0 THEN errors / runs END > 0.1",
-        12 * HOUR,
-        "runs, errors",
-    )
+    "SELECT source, step_end AS at, lead(step_end) OVER (PARTITION BY source ORDER BY step_end) AS until, runs, errors FROM ("
+    "SELECT *, sum(n) OVER (PARTITION BY source ORDER BY step_end RANGE BETWEEN CURRENT ROW AND CURRENT ROW) AS here, "
+    f"sum(n) OVER (PARTITION BY source ORDER BY step_end RANGE BETWEEN {24 * HOUR} PRECEDING AND {24 * HOUR} PRECEDING) AS gone "
+    f"FROM {_RUN_GRID} LEFT JOIN (SELECT source, {_window('ended_at', HOUR)} + {HOUR} AS step_end, count(*) AS n FROM {_RUNS} "
+    "GROUP BY 1, 2) USING (source, step_end)) WHERE here > 0 OR gone > 0"
 )
+def run_changes(spark, sf_dir):
+    """Runs and failures of the last day as of every hour, one row per change."""
+    return monitor.run_changes(_runs(spark, sf_dir), seconds=24 * HOUR, step=HOUR)
+
+
+@query(_fired_sql(_RUN_GRID, "CASE WHEN runs > 0 THEN errors / runs END > 0.1", 12 * HOUR))
 def alert_error_ratio(spark, sf_dir):
     return monitor.alert_error_ratio(_runs(spark, sf_dir), seconds=24 * HOUR, hold=12 * HOUR, step=HOUR)
 
@@ -272,8 +311,7 @@ _SLOW_COUNTS = ["b0", "b1", "b2"]
 
 
 @query(
-    "SELECT source, step_end, round(p, 6) AS p, firing FROM ("
-    + _held_sql(
+    _fired_sql(
         "(SELECT *, CASE WHEN n > 0 THEN "
         + _quantile_sql(0.95, "n", _SLOW_COUNTS)
         + " END AS p FROM "
@@ -286,34 +324,33 @@ _SLOW_COUNTS = ["b0", "b1", "b2"]
         + ")",
         "p > 60",
         12 * HOUR,
-        "p",
     )
-    + ")"
 )
 def alert_slow(spark, sf_dir):
-    slow = monitor.alert_slow(
-        _runs(spark, sf_dir), bounds=BOUNDS, seconds=48 * HOUR, hold=12 * HOUR, step=HOUR
-    )
-    return slow.select("source", "step_end", F.round("p", 6).alias("p"), "firing")
+    return monitor.alert_slow(_runs(spark, sf_dir), bounds=BOUNDS, seconds=48 * HOUR, hold=12 * HOUR, step=HOUR)
 
 
 @query(
-    _held_sql(
-        _grid_sql("CAST(sum(misses) AS BIGINT) AS misses", ["misses"], 3 * HOUR), "misses = 0", 6 * HOUR, "misses"
+    _fired_sql(
+        _grid_sql("CAST(sum(misses) AS BIGINT) AS misses", ["misses"], 3 * HOUR, NOW), "misses = 0", 6 * HOUR, NOW
     )
 )
 def alert_stalled(spark, sf_dir):
-    return monitor.alert_stalled(_runs(spark, sf_dir), seconds=3 * HOUR, hold=6 * HOUR, step=HOUR)
+    """The sources that are still stalled have no end."""
+    return monitor.alert_stalled(_runs(spark, sf_dir), seconds=3 * HOUR, hold=6 * HOUR, step=HOUR, now=NOW)
 
 
 @query(
     f"SELECT {_window('ended_at', 600)} AS window_start, CASE WHEN api_type = 'range' THEN 'fingerprint_cleanup' "
     "ELSE 'orphan_cleanup' END AS job, round(sum(records) FILTER (status = 'success') / 600, 6) AS rate "
-    f"FROM {_RUNS} GROUP BY 1, 2"
+    f"FROM {_RUNS} GROUP BY 1, 2 HAVING count(*) FILTER (status = 'success') > 0"
 )
 def cleanup_rate(spark, sf_dir):
-    points = _cleanups(spark, sf_dir).select("job", F.col("ended_at").alias("ts"), F.col("items").alias("value"))
-    return _start(monitor.counter_rate(points, ["job"], 600), "job", F.round("rate", 6).alias("rate"))
+    """Items per second, from the item counter of the clean-up points; there is none in windows
+    whose clean-ups all do not know their items."""
+    points = monitor.cleanup_points(_cleanups(spark, sf_dir), every="10 minutes")
+    items = points.where(F.col("metric") == "scraper_cleanup_items_total").withColumn("job", F.col("attrs")["job"])
+    return _start(monitor.counter_rate(items, ["job"], 600), "job", F.round("rate", 6).alias("rate"))
 
 
 @query(
@@ -337,3 +374,20 @@ def cardinality(spark, sf_dir):
         counterReadings=[{"name": "by_user"}],
     )
     return monitor.cardinality(metric_points(event_records(spark, sf_dir), config, every="1 day"))
+
+
+@query(
+    "SELECT 'by_user' AS metric, count(DISTINCT CAST(ts AS DATE)) AS days, TRUE AS within_error FROM events"
+)
+def cardinality_sketch(spark, sf_dir):
+    """Series over all days from one sketch per day; three standard errors of the exact number."""
+    config = spec(
+        attributes=[{"name": "kind", "dataKey": "event_type"}, {"name": "user", "dataKey": "user_id"}],
+        counterReadings=[{"name": "by_user"}],
+    )
+    points = metric_points(event_records(spark, sf_dir), config, every="1 day")
+    estimated = monitor.sketched_cardinality(monitor.daily_series_sketches(points))
+    exact = monitor.cardinality(points).withColumnRenamed("series", "exact")
+    error = 3 * 1.04 / 2 ** (monitor.SKETCH_LOG2_SIZE / 2)
+    within = F.abs(F.col("series") - F.col("exact")) <= error * F.col("exact")
+    return estimated.join(exact, "metric").select("metric", "days", within.alias("within_error"))

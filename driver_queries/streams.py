@@ -11,9 +11,10 @@ from driver_queries import query
 from driver_queries.deltas import _HASHED, _REPLAY, KEYS
 from driver_queries.inputs import TIME_TEXT, spec, table
 from driver_queries.mapping import BUCKETS, BY_TYPE
+from payload_metrics.operators.dedupe import fingerprint
 from payload_metrics.operators.extract import typed_records
 from payload_metrics.operators.fields import fields_of
-from payload_metrics.sources.outputs import FingerprintLog
+from payload_metrics.sources.outputs import FingerprintLog, PointLog
 from payload_metrics.sources.tables import shared_folder
 from payload_metrics.streaming import streams
 
@@ -83,13 +84,17 @@ def stream_dedupe(spark, sf_dir):
 @query(f"{_REPLAY} SELECT event_id, hash FROM r WHERE emitted")
 def stream_dedupe_batches(spark, sf_dir):
     """The same in several micro-batches: the state lasts from one to the next."""
+    return _exact(_typed(_in_parts(spark, sf_dir, [(1, 8), (9, 16), (17, 24), (25, 31)])))
+
+
+def _in_parts(spark: SparkSession, sf_dir: str, days: list[tuple[int, int]]) -> DataFrame:
+    """Events of ranges of days, one file per range, as a stream that reads them in the order of time."""
     folder, rows = f"{_folder(spark)}/in", table(spark, sf_dir, "events")
     day = F.dayofmonth(F.col("ts").cast("timestamp"))
-    for low, high in ((1, 8), (9, 16), (17, 24), (25, 31)):
-        # One file per part, written in the order of time.
-        rows.where(day.between(low, high)).coalesce(1).write.mode("append").parquet(folder)
-    raw = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return _exact(_typed(raw))
+    for low, high in days:
+        part = rows.where(day.between(low, high)).coalesce(1).sortWithinPartitions("ts", "event_id")
+        part.write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _exact(records: DataFrame) -> DataFrame:
@@ -104,12 +109,53 @@ def _exact(records: DataFrame) -> DataFrame:
         conf.unset(key) if before is None else conf.set(key, before)
 
 
-@query(f"SELECT DISTINCT hash FROM {_HASHED}")
+_COARSE_DAYS = [(1, 8), (9, 16), (17, 24), (25, 31)]
+_COARSE = f"""
+WITH RECURSIVE e AS (
+  SELECT *, CASE {" ".join(f"WHEN day(ts) <= {high} THEN {i}" for i, (_, high) in enumerate(_COARSE_DAYS))} END AS batch FROM {_HASHED}
+), marks AS (
+  SELECT batch, max(ts) - INTERVAL 1 DAY AS mark FROM e GROUP BY 1
+), firsts AS (
+  SELECT hash, batch, min_by(event_id, (ts, event_id)) AS event_id, min(ts) + INTERVAL 1 DAY AS expires FROM e GROUP BY 1, 2
+), t AS (
+  -- A state goes at the end of the first later batch that starts with a watermark past it.
+  SELECT f.*, row_number() OVER (PARTITION BY hash ORDER BY f.batch) AS rn,
+    coalesce((SELECT min(m.batch) + 1 FROM marks m WHERE m.batch >= f.batch AND m.mark >= f.expires), 99) AS gone
+  FROM firsts f
+), r AS (
+  SELECT hash, batch, event_id, rn, gone, true AS emitted FROM t WHERE rn = 1
+  UNION ALL
+  SELECT t.hash, t.batch, t.event_id, t.rn, CASE WHEN t.batch > r.gone THEN t.gone ELSE r.gone END, t.batch > r.gone
+  FROM r JOIN t ON t.hash = r.hash AND t.rn = r.rn + 1
+)"""
+
+
+@query(f"{_COARSE} SELECT batch, event_id, hash FROM r WHERE emitted")
 def stream_dedupe_coarse(spark, sf_dir):
-    """Built-in TTL dedupe: one row per key here, since one batch reads the whole file."""
+    """Built-in TTL dedupe in several micro-batches: a key is emitted again in a batch that starts
+    after its state went."""
+    config = spec(deltaDetection=KEYS | {"ttlSeconds": 86400})
+    kept = streams.coarse_dedupe(_typed(_in_parts(spark, sf_dir, _COARSE_DAYS)), config)
+    day = F.dayofmonth("fetched_at")
+    batch = F.lit(0)
+    for i, (low, _) in enumerate(_COARSE_DAYS):
+        batch = F.when(day >= low, i).otherwise(batch)
+    return _drain(kept.select(batch.alias("batch"), F.col("record.event_id").alias("event_id"), "hash"))
+
+
+@query(f"{_REPLAY} SELECT event_id, hash FROM r WHERE emitted")
+def stream_compacted(spark, sf_dir):
+    """Micro-batch dedupe in ten batches, the fingerprint log folded after every third."""
     config = spec(deltaDetection=KEYS | {"ttlSeconds": 86400})
-    kept = streams.coarse_dedupe(_typed_stream(spark, sf_dir), config)
-    return _drain(kept.select("hash"))
+    folder, log = _folder(spark), FingerprintLog(spark, f"{_folder(spark)}/fingerprints")
+    sink = streams.table_sink(config, log, folder, compact_every=3)
+    days = [(low, low + 2 if low < 28 else 31) for low in range(1, 31, 3)]
+    writer = _typed(_in_parts(spark, sf_dir, days)).writeStream.foreachBatch(sink)
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    body = F.from_json("body", "source string, record struct<event_id: bigint, user_id: bigint, event_type: string>")
+    records = spark.read.parquet(f"{folder}/log_records").select(body["record"].alias("record"))
+    hashed = fingerprint(records, config)
+    return hashed.select(F.col("record.event_id").alias("event_id"), "hash")
 
 
 @query(
@@ -148,22 +194,44 @@ def stream_runs(spark, sf_dir):
     return counted.select("status", "records", "hits", "total")
 
 
+def _window_points(spark: SparkSession, sf_dir: str, config) -> DataFrame:
+    """Daily points in update mode over four batches, folded once, the open windows included."""
+    folder = _folder(spark)
+    log = PointLog(spark, f"{folder}/points")
+    records = _typed(_in_parts(spark, sf_dir, [(1, 8), (9, 16), (17, 24), (25, 31)]))
+    started = streams.start_windows(
+        config, records, "1 day", "1 hour", log, f"{folder}/checkpoint", compact_every=2, availableNow=True
+    )
+    started.awaitTermination()
+    return log.points().withColumn("kind", F.col("attrs")["kind"])
+
+
 @query(
     "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS count, round(sum(value), 2) AS total, "
-    "count(*) FILTER (value <= 10) AS b0 FROM events GROUP BY 1, 2 "
-    "HAVING CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+    "count(*) FILTER (value <= 10) AS b0 FROM events GROUP BY 1, 2"
 )
 def stream_counters(spark, sf_dir):
-    """Counter and histogram per day, in append mode: days the watermark has passed."""
+    """Counter and histogram per day, up to the last day, which is still open."""
     config = spec(
         attributes=BY_TYPE,
         counterReadings=[{"name": "c", "dataKey": "value"}],
         histogramReadings=[{"name": "h", "dataKey": "value", "buckets": BUCKETS}],
     )
-    points = streams.windowed_metrics(_typed_stream(spark, sf_dir), config, "1 day", "1 hour")
-    out = _drain(points.withColumn("kind_attr", F.col("attrs")["kind"]))
-    return out.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("kind_attr").alias("kind")).agg(
+    out = _window_points(spark, sf_dir, config)
+    return out.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "kind").agg(
         F.max("count").alias("count"),
         F.round(F.max("value"), 2).alias("total"),
         F.max(F.try_element_at("bucket_counts", F.lit(1))).alias("b0"),
     )
+
+
+@query(
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, CAST(count(*) * CASE event_type WHEN 'error' THEN 3 ELSE 1 END "
+    "AS DOUBLE) AS outcome FROM events WHERE event_type IN ('error', 'click') GROUP BY 1, 2"
+)
+def stream_attr_metric(spark, sf_dir):
+    """An attribute as a metric, beside a counter with another attribute, per day."""
+    mapped = {"name": "kind", "dataKey": "event_type", "asMetric": {"metricName": "outcome", "valueMapping": {"error": 3, "click": 1}}}
+    config = spec(attributes=[mapped, {"name": "user", "dataKey": "user_id"}], counterReadings=[{"name": "c"}])
+    out = _window_points(spark, sf_dir, config).where("metric = 'outcome'")
+    return out.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "kind", F.col("value").alias("outcome"))

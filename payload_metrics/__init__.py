@@ -18,13 +18,19 @@ from payload_metrics.operators.metrics import cumulative_points, latest_gauges,
 from payload_metrics.operators.windows import last_success, plan_windows, spec_table
 from payload_metrics.plans.pipeline import RunResult, dry_run, run
 from payload_metrics.plans.upkeep import clean_up
-from payload_metrics.sources.outputs import FingerprintLog
-from payload_metrics.sources.payloads import read_payload_files, read_payload_table, stream_payload_table
+from payload_metrics.sources.outputs import FingerprintLog, PointLog
+from payload_metrics.sources.payloads import (
+    read_payload_files,
+    read_payload_table,
+    stream_payload_files,
+    stream_payload_table,
+)
 from payload_metrics.sources.tables import prepare_session
 from payload_metrics.spec import SourceSpec, SpecError, load_specs
 
 __all__ = [
     "FingerprintLog",
+    "PointLog",
     "RunResult",
     "SourceSpec",
     "SpecError",
@@ -53,6 +59,7 @@ __all__ = [
     "run",
     "selected_records",
     "spec_table",
+    "stream_payload_files",
     "stream_payload_table",
     "touches",
     "trim",

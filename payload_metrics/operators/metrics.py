@@ -1,8 +1,9 @@
 """Records to gauge, counter and histogram points.
 
 All metrics of a source share its attribute set, so one aggregation on the plain attribute
-columns computes every metric at once. Rows fan out to one per metric only afterwards, when
-there is one row per series; attribute maps are built then, too.
+columns computes every metric at once. An attribute that is a metric has series of its own; each
+record then enters the same aggregation once more for it, under a group number. Rows fan out to one
+per metric only afterwards, when there is one row per series; attribute maps are built then, too.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ POINT_COLUMNS = (
     "value", "count", "sum", "bounds", "bucket_counts",
 )
 
+POINT_SCHEMA = (
+    "source string, metric string, kind string, unit string, attrs map<string,string>, scrape_id string, ts timestamp, "
+    "value double, count bigint, sum double, bounds array<double>, bucket_counts array<bigint>"
+)
+
 
 def attribute_texts(fields: VariantFields | StructFields, spec: SourceSpec) -> dict[str, Column]:
     """Text per attribute name. Of equal names the last present value wins."""
@@ -45,12 +51,6 @@ def metric_points(records: DataFrame, spec: SourceSpec, every: str | None = None
     texts = attribute_texts(fields, spec)
     keyed = {f"a{i}": text for i, text in enumerate(texts.values())}
     mapped = _mapped_attributes(spec)
-    for i, attr in mapped.items():
-        keyed[f"m{i}"] = map_value(
-            fields.printed(attr.dataKey), fields.text(attr.dataKey), attr.asMetric.valueMapping
-        )
-        keyed[f"v{i}"] = fields.text(attr.dataKey)
-
     readings = _readings(fields, spec)
     inputs = {name: value for r in readings for name, value in r.inputs.items()}
     batch = F.col("scrape_id") if every is None else F.lit(None).cast("string").alias("scrape_id")
@@ -58,34 +58,42 @@ def metric_points(records: DataFrame, spec: SourceSpec, every: str | None = None
         "source", batch, "fetched_at", "record_pos",
         *[c.alias(n) for n, c in keyed.items()],
         *[c.alias(n) for n, c in inputs.items()],
+        *[c.alias(n) for attr in mapped.items() for n, c in _mapped_inputs(fields, *attr).items()],
     )
+    groups = [F.struct(F.lit(0).alias("g"), *keyed, F.lit(None).cast("double").alias("m"), *inputs)]
+    groups += [_attribute_group(i, keyed, inputs) for i in mapped]
+    if mapped:
+        shared = ["source", "scrape_id", "fetched_at", "record_pos"]
+        slim = slim.select(*shared, F.explode(F.array(*groups)).alias("_group")).select(*shared, "_group.*")
+        slim = slim.where("g = 0 OR m >= 0")
+    else:
+        slim = slim.withColumns({"g": F.lit(0), "m": F.lit(None).cast("double")})
+    series = ["source", "scrape_id", "g", *keyed]
     aggregates = [agg.alias(name) for r in readings for name, agg in r.aggregates.items()]
+    aggregates.append(F.sum("m").alias("mapped"))
     if every is None:
-        per_series = slim.groupBy("source", "scrape_id", *keyed).agg(
-            F.count("*").alias("n"), F.max("fetched_at").alias("ts"), *aggregates
-        )
+        per_series = slim.groupBy(*series).agg(F.max("fetched_at").alias("ts"), *aggregates)
     else:
         span = F.window("fetched_at", every).alias("_span")
-        per_series = slim.groupBy("source", "scrape_id", span, *keyed).agg(
-            F.count("*").alias("n"), *aggregates
-        )
+        per_series = slim.groupBy(*series, span).agg(*aggregates)
         per_series = per_series.withColumn("ts", F.col("_span.start"))
 
     attrs = attribute_map({name: F.col(f"a{i}") for i, name in enumerate(texts)})
-    structs = [r.point(attrs) for r in readings]
+    structs = [_joint_point(same, attrs) for same in _by_series(readings)]
     structs += [_attribute_point(i, attr, spec) for i, attr in mapped.items()]
     if not structs:
         structs = [_point("", "", "", attrs, present=F.lit(False))]
     points = per_series.select(
         "source", "scrape_id", "ts", F.explode(F.array(*structs)).alias("p")
     ).where("p.present")
-    points = points.select("source", "scrape_id", "ts", "p.*").drop("present")
-    names = [r.name for r in readings]
-    if mapped or len(set(names)) < len(names):
-        if records.isStreaming:
-            raise ValueError("repeated names and attribute metrics need foreachBatch on a stream")
-        points = _merge(points, every is not None)
-    return points.select(*POINT_COLUMNS)
+    points = points.select("source", "scrape_id", "ts", "p.*").drop("present").select(*POINT_COLUMNS)
+    shared_names = _shared_counters(spec)
+    if not shared_names:
+        return points
+    if records.isStreaming:
+        raise ValueError(f"counters {sorted(shared_names)} have two sources, which needs foreachBatch on a stream")
+    shared = (F.col("kind") == "counter") & F.col("metric").isin(sorted(shared_names))
+    return points.where(~shared).unionByName(_added_up(points.where(shared), every is not None))
 
 
 class _Reading:
@@ -93,13 +101,13 @@ class _Reading:
 
     def __init__(self, i: int, kind: str, spec, value: Column):
         self.name, self.kind, self.unit = spec.name, kind, spec.unit
-        self.rank, self.x = i, f"x{i}"
+        self.x = f"x{i}"
         self.inputs = {self.x: value}
         self.bounds: tuple[float, ...] = ()
         x, pos = F.col(self.x), F.col("record_pos")
         if kind == "gauge":
             valid = F.when(x.isNotNull(), pos)
-            self.aggregates = {f"g{i}": F.max_by(x, valid), f"gp{i}": F.max(valid)}
+            self.aggregates = {f"g{i}": F.max_by(x, valid)}
         elif kind == "counter":
             # Counters only rise; negative amounts are ignored.
             self.aggregates = {f"c{i}": F.sum(F.when(x >= 0, x))}
@@ -109,21 +117,47 @@ class _Reading:
             for j, bound in enumerate(self.bounds):
                 self.aggregates[f"h{i}_{j}"] = F.count_if(x <= bound)
 
-    def point(self, attrs: Column) -> Column:
-        out = [F.col(name) for name in self.aggregates]
-        if self.kind != "histogram":
-            order = F.struct(F.lit(self.rank), out[-1].cast("bigint"))
-            return _point(
-                self.name, self.kind, self.unit, attrs,
-                present=out[0].isNotNull(), value=out[0], order=order,
-            )
-        count, total, *cumulative = out
-        steps = [*cumulative, count]
-        per_bucket = [n if j == 0 else n - steps[j - 1] for j, n in enumerate(steps)]
-        return _point(
-            self.name, self.kind, self.unit, attrs,
-            present=count > 0, count=count, total=total, bounds=self.bounds, buckets=per_bucket,
-        )
+    @property
+    def series(self) -> tuple:
+        return (self.name, self.kind, self.unit, self.bounds)
+
+
+def _by_series(readings: list[_Reading]) -> list[list[_Reading]]:
+    """Readings that make the same series, together."""
+    found: dict[tuple, list[_Reading]] = {}
+    for reading in readings:
+        found.setdefault(reading.series, []).append(reading)
+    return list(found.values())
+
+
+def _joint_point(readings: list[_Reading], attrs: Column) -> Column:
+    """The point of one or more readings of the same series, which lie in one row: the last gauge
+    that is present, or the sum of counters and histograms."""
+    first = readings[0]
+    outs = [[F.col(name) for name in r.aggregates] for r in readings]
+    if first.kind == "gauge":
+        value = F.coalesce(*[out[0] for out in reversed(outs)])
+        return _point(first.name, first.kind, first.unit, attrs, present=value.isNotNull(), value=value)
+    if first.kind == "counter":
+        present = F.coalesce(*[out[0] for out in outs]).isNotNull()
+        return _point(first.name, first.kind, first.unit, attrs, present=present, value=_sum([out[0] for out in outs]))
+    count, total = _sum([out[0] for out in outs]), _sum([out[1] for out in outs])
+    steps = [_sum(list(edge)) for edge in zip(*[out[2:] for out in outs])] + [count]
+    per_bucket = [n if j == 0 else n - steps[j - 1] for j, n in enumerate(steps)]
+    return _point(
+        first.name, first.kind, first.unit, attrs,
+        present=count > 0, count=count, total=total, bounds=first.bounds, buckets=per_bucket,
+    )
+
+
+def _sum(parts: list[Column]) -> Column:
+    """Missing parts count 0; a single part stays as it is."""
+    if len(parts) == 1:
+        return parts[0]
+    total = F.lit(0)
+    for part in parts:
+        total = total + F.coalesce(part, F.lit(0))
+    return total
 
 
 def _readings(fields: VariantFields | StructFields, spec: SourceSpec) -> list[_Reading]:
@@ -154,16 +188,37 @@ def _mapped_attributes(spec: SourceSpec) -> dict[int, Attribute]:
     return {i: a for i, a in enumerate(spec.attributes) if a.asMetric is not None}
 
 
+def _mapped_inputs(fields: VariantFields | StructFields, i: int, attr: Attribute) -> dict[str, Column]:
+    text = fields.text(attr.dataKey)
+    return {f"m{i}": map_value(fields.printed(attr.dataKey), text, attr.asMetric.valueMapping).cast("double"), f"v{i}": text}
+
+
+def _attribute_group(i: int, keyed: dict[str, Column], inputs: dict[str, Column]) -> Column:
+    """A record as it enters the series of an attribute: its value is the first key, no reading
+    sees it."""
+    keys = [F.col(f"v{i}") if n == 0 else F.lit(None).cast("string") for n in range(len(keyed))]
+    none = [F.lit(None).cast("double").alias(name) for name in inputs]
+    return F.struct(
+        F.lit(i + 1).alias("g"), *[key.alias(name) for key, name in zip(keys, keyed)], F.col(f"m{i}").alias("m"), *none
+    )
+
+
 def _attribute_point(i: int, attr: Attribute, spec: SourceSpec) -> Column:
-    """Counter over mapped values: each of the ``n`` records of a series adds the same number."""
-    mapped = F.col(f"m{i}")
-    texts = {"source": F.lit(spec.name)} | {attr.name: F.col(f"v{i}")}
+    """Counter over the mapped values of an attribute."""
+    texts = {"source": F.lit(spec.name)} | {attr.name: F.col("a0")}
     return _point(
         attr.asMetric.metricName or attr.name, "counter", attr.asMetric.unit, attribute_map(texts),
-        present=F.coalesce(mapped >= 0, F.lit(False)), value=mapped * F.col("n"),
+        present=(F.col("g") == i + 1) & F.col("mapped").isNotNull(), value=F.col("mapped"),
     )
 
 
+def _shared_counters(spec: SourceSpec) -> set[str]:
+    """Names of counters that two attributes, or an attribute and a reading, may both add to."""
+    of_attributes = [a.asMetric.metricName or a.name for a in _mapped_attributes(spec).values()]
+    counters = {c.name for c in spec.counterReadings}
+    return {name for name in of_attributes if of_attributes.count(name) > 1 or name in counters}
+
+
 def _point(
     name: str,
     kind: str,
@@ -175,9 +230,8 @@ def _point(
     total: Column | None = None,
     bounds: tuple[float, ...] | None = None,
     buckets: list[Column] | None = None,
-    order: Column | None = None,
 ) -> Column:
-    """One point. ``order`` ranks gauge values of one series, for the last one to win."""
+    """One point."""
 
     def typed(col: Column | None, as_type: str) -> Column:
         return (F.lit(None) if col is None else col).cast(as_type)
@@ -193,28 +247,16 @@ def _point(
         typed(total, "double").alias("sum"),
         typed(F.array(*[F.lit(b) for b in bounds]) if bounds is not None else None, "array<double>").alias("bounds"),
         typed(F.array(*buckets) if buckets else None, "array<bigint>").alias("bucket_counts"),
-        typed(order, "struct<rank:int,pos:bigint>").alias("order"),
     )
 
 
-def _merge(points: DataFrame, windowed: bool) -> DataFrame:
-    """Adds up points of one series that came from several rows or readings."""
+def _added_up(counters: DataFrame, windowed: bool) -> DataFrame:
+    """One point per series of counters that came from several groups."""
     window = F.col("ts") if windowed else F.lit(None).cast("timestamp")
-    series = ["source", "scrape_id", "metric", "kind", "unit", "attrs", "bounds"]
-    folded = points.groupBy(*series, window.alias("_window")).agg(
-        F.max("ts").alias("ts"),
-        F.when(F.col("kind") == "gauge", F.max_by("value", "order")).otherwise(F.sum("value")).alias("value"),
-        F.sum("count").alias("count"),
-        F.sum("sum").alias("sum"),
-        F.collect_list("bucket_counts").alias("_buckets"),
-    )
-    # One list per reading of the series, so the spec bounds its length.
-    merged = F.reduce(
-        F.slice("_buckets", 2, F.greatest(F.size("_buckets") - 1, F.lit(0))),
-        F.try_element_at("_buckets", F.lit(1)),
-        lambda acc, more: F.zip_with(acc, more, lambda a, b: a + b),
-    )
-    return folded.withColumn("bucket_counts", merged)
+    series = ["source", "scrape_id", "metric", "kind", "unit", "attrs"]
+    folded = counters.groupBy(*series, window.alias("_window")).agg(F.max("ts").alias("ts"), F.sum("value").alias("value"))
+    nothing = {name: F.lit(None).cast(counters.schema[name].dataType) for name in ("count", "sum", "bounds", "bucket_counts")}
+    return folded.withColumns(nothing).select(*POINT_COLUMNS)
 
 
 def series_text(attrs: Column) -> Column:
@@ -222,6 +264,14 @@ def series_text(attrs: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(attrs))))
 
 
+def newest_points(states: DataFrame) -> DataFrame:
+    """The state with the largest ``batch_id`` of each point, told apart by series and time."""
+    series = ["source", "metric", "kind", "unit", "attrs", "scrape_id", "ts"]
+    values = [c for c in POINT_COLUMNS if c not in series]
+    newest = states.groupBy(*series).agg(F.max_by(F.struct(*values), "batch_id").alias("_newest"))
+    return newest.select(*series, "_newest.*").select(*POINT_COLUMNS)
+
+
 def cumulative_points(points: DataFrame) -> DataFrame:
     """Delta counters and histograms with ``total_value``, ``total_count``, ``total_sum`` and
     ``total_bucket_counts``.

@@ -5,8 +5,6 @@ Rates and quantiles follow the public Prometheus definitions, on delta points.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +68,7 @@ CLEANUP_SPEC = SourceSpec.from_dict(
             {"name": "job", "dataKey": "job"},
             {"name": "backend", "dataKey": "backend"},
         ],
-        "counterReadings": [{"name": "scraper_cleanup_items_total", "dataKey": "items"}],
+        "counterReadings": [{"name": "scraper_cleanup_items_total", "dataKey": "known_items"}],
         "gaugeReadings": [
             {"name": "scraper_cleanup_last_duration_seconds", "dataKey": "duration", "unit": "s"},
             {"name": "scraper_cleanup_last_items", "dataKey": "items"},
@@ -87,6 +85,10 @@ CLEANUP_SPEC = SourceSpec.from_dict(
 )
 
 
+#: Rows of a mergeable sketch of series, as a power of two.
+SKETCH_LOG2_SIZE = 12
+
+
 def run_duration() -> Column:
     return (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6
 
@@ -107,11 +109,9 @@ def cleanup_points(cleanups: DataFrame, every: str | None = None) -> DataFrame:
 
     A clean-up whose item count is unknown adds nothing to the item counter.
     """
-    timed = cleanups.withColumn("duration", run_duration())
-    counted = timed.where(F.col("items").isNotNull())
-    no_items = replace(CLEANUP_SPEC, counterReadings=())
-    only_items = replace(CLEANUP_SPEC, gaugeReadings=(), histogramReadings=())
-    return _self_points(timed, no_items, every).unionByName(_self_points(counted, only_items, every))
+    # Counters ignore negative amounts; a missing one would count as 1.
+    known = F.coalesce("items", F.lit(-1))
+    return _self_points(cleanups.withColumns({"duration": run_duration(), "known_items": known}), CLEANUP_SPEC, every)
 
 
 def hit_rate() -> Column:
@@ -171,28 +171,89 @@ def average_hit_rate(runs: DataFrame) -> DataFrame:
 
 def cardinality(points: DataFrame) -> DataFrame:
     """Number of series per metric."""
-    keyed = points.select("metric", F.concat_ws("|", "source", series_text(F.col("attrs"))).alias("series"))
-    return keyed.groupBy("metric").agg(F.count_distinct("series").alias("series"))
+    return _series_keys(points).groupBy("metric").agg(F.count_distinct("series").alias("series"))
 
 
 def approx_cardinality(points: DataFrame, error: float = 0.02) -> DataFrame:
     """The same from a sketch, without shuffling the series."""
-    keyed = points.select("metric", F.concat_ws("|", "source", series_text(F.col("attrs"))).alias("series"))
-    return keyed.groupBy("metric").agg(F.approx_count_distinct("series", error).alias("series"))
+    return _series_keys(points).groupBy("metric").agg(F.approx_count_distinct("series", error).alias("series"))
+
+
+def daily_series_sketches(points: DataFrame, log2_size: int = SKETCH_LOG2_SIZE) -> DataFrame:
+    """``(day, metric, sketch)``: a sketch of each day's series, to be kept and merged later. Points
+    without a time have no day, and a sketch of their own."""
+    keyed = _series_keys(points, F.to_date("ts").alias("day"))
+    return keyed.groupBy("day", "metric").agg(F.hll_sketch_agg("series", F.lit(log2_size)).alias("sketch"))
+
+
+def sketched_cardinality(sketches: DataFrame) -> DataFrame:
+    """``(metric, days, series)``: the number of series over all days of ``sketches``, estimated.
+
+    The standard error is ``1.04 / sqrt(2 ** log2_size)`` or less, 1.6 % by default; series that
+    several days share count once.
+    """
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.groupBy("metric").agg(F.count("*").alias("days"), merged.alias("series"))
+
+
+def _series_keys(points: DataFrame, *more: Column) -> DataFrame:
+    series = F.concat_ws("|", "source", series_text(F.col("attrs"))).alias("series")
+    return points.select("metric", series, *more)
 
 
 def histogram_quantiles(
-    points: DataFrame, series: list[str | Column], bounds: tuple[float, ...], qs: dict[str, float]
+    points: DataFrame, series: list[str | Column], bounds: tuple[float, ...] | None, qs: dict[str, float]
 ) -> DataFrame:
-    """Quantiles of merged histogram points with the given bounds, one column per name in ``qs``.
+    """Quantiles of merged histogram points, one column per name in ``qs``.
 
-    Bucket counts add up position by position, so merging is one plain hash aggregation.
+    With ``bounds``, all points have them, and any other point raises an error; bucket counts then
+    add up position by position in one plain hash aggregation. Without, every point is taken by its
+    own bounds, and the points of a series are merged at the edges all of them have: there the
+    number of values below is known exactly. Without a common edge the quantiles are NULL.
     """
+    points = points.where(F.col("bucket_counts").isNotNull())
+    if bounds is None:
+        return _quantiles_at_common_edges(points, series, qs)
+    own = F.col("bounds") == F.array(*[F.lit(float(b)) for b in bounds])
+    wrong = F.raise_error(F.format_string(f"a point with bounds %s among points with {list(bounds)}", F.to_json("bounds")))
+    counts = F.when(own, F.col("bucket_counts")).otherwise(wrong)
     names = [f"_b{i}" for i in range(len(bounds) + 1)]
-    sums = [F.sum(F.element_at("bucket_counts", i + 1)).alias(n) for i, n in enumerate(names)]
-    merged = points.groupBy(*series).agg(*sums)
-    counts = [F.col(n) for n in names]
-    return merged.withColumns({k: quantile(counts, bounds, q) for k, q in qs.items()}).drop(*names)
+    sums = [F.sum(F.element_at("_counts", i + 1)).alias(n) for i, n in enumerate(names)]
+    merged = points.withColumn("_counts", counts).groupBy(*series).agg(*sums)
+    columns = [F.col(n) for n in names]
+    return merged.withColumns({k: quantile(columns, bounds, q) for k, q in qs.items()}).drop(*names)
+
+
+def _quantiles_at_common_edges(points: DataFrame, series: list[str | Column], qs: dict[str, float]) -> DataFrame:
+    # Points of equal bounds add up by position first; what is left is bounded by the specs.
+    buckets = points.select(*series, "bounds", F.posexplode("bucket_counts").alias("_at", "_n"))
+    keys = [name for name in buckets.columns if name not in ("bounds", "_at", "_n")]
+    kinds = buckets.groupBy(*keys, "bounds", "_at").agg(F.sum("_n").alias("_n"))
+    below = Window.partitionBy(*keys, "bounds").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = F.coalesce(F.get("bounds", F.col("_at")), F.lit(float("inf"))).alias("edge")
+    edges = kinds.select(*keys, edge, F.sum("_n").over(below).alias("_below"))
+    edges = edges.groupBy(*keys, "edge").agg(F.sum("_below").alias("below"), F.count("*").alias("_kinds"))
+    # Every kind of bounds has the open end, so an edge that all have is met as often.
+    all_kinds = F.max("_kinds").over(Window.partitionBy(*keys))
+    common = edges.withColumn("_all", all_kinds).where("_kinds = _all")
+    listed = common.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("edge", "below"))).alias("_edges"))
+    return listed.withColumns({name: _quantile_of_edges(F.col("_edges"), q) for name, q in qs.items()}).drop("_edges")
+
+
+def _quantile_of_edges(edges: Column, q: float) -> Column:
+    """The rule of ``quantile`` on a sorted list ``(edge, below)`` that ends with infinity."""
+    if not 0 <= q <= 1:
+        raise ValueError("a quantile lies between 0 and 1")
+    size = F.size(edges)
+    total = F.element_at(edges, -1)["below"]
+    rank = F.lit(float(q)) * total
+    at = F.size(F.filter(edges, lambda e: e["below"] < rank))
+    here, one_less = F.get(edges, at), F.get(edges, at - 1)
+    lower, before = F.coalesce(one_less["edge"], F.lit(0.0)), F.coalesce(one_less["below"], F.lit(0))
+    inside = here["below"] - before
+    share = F.when(inside > 0, (rank - before) / inside).otherwise(F.lit(1.0))
+    value = F.when((at == 0) & (here["edge"] <= 0), here["edge"]).otherwise(lower + (here["edge"] - lower) * share)
+    return F.when((size > 1) & (total > 0), F.when(at == size - 1, F.get(edges, size - 2)["edge"]).otherwise(value))
 
 
 def quantile(counts: list[Column], bounds: tuple[float, ...], q: float) -> Column:
@@ -222,59 +283,65 @@ def quantile(counts: list[Column], bounds: tuple[float, ...], q: float) -> Colum
     return F.when(total > 0, out)
 
 
-def on_grid(rows: DataFrame, sums: dict[str, Column], step: int, until: Column | None = None) -> DataFrame:
-    """Sums per source and step, with zero rows for idle steps between first and last.
-
-    ``step_end`` is the end of a step in epoch seconds. One row per source and step, so its size
-    depends on the time covered and not on the rows. Idle sources go on to ``until``.
-    """
-    step_end = F.floor(F.unix_micros("ts") / (step * 1_000_000)) * step + step
-    stepped = rows.groupBy("source", step_end.cast("bigint").alias("step_end")).agg(
-        *[c.alias(name) for name, c in sums.items()]
-    )
-    following = F.lead("step_end").over(Window.partitionBy("source").orderBy("step_end"))
-    stepped = stepped.withColumn("_next", following)
-    open_end = F.col("step_end") if until is None else F.greatest("step_end", until)
-    every = F.sequence(F.col("step_end"), F.coalesce(F.col("_next") - step, open_end), F.lit(step).cast("bigint"))
-    full = stepped.withColumn("_at", F.explode(every))
-    values = [F.when(F.col("_at") == F.col("step_end"), F.col(n)).otherwise(0).alias(n) for n in sums]
-    return full.select("source", F.col("_at").alias("step_end"), *values)
-
-
-def rolling(grid: DataFrame, names: list[str], seconds: int, step: int) -> DataFrame:
-    """Sums over the last ``seconds`` at every step.
+def change_points(rows: DataFrame, values: dict[str, Column], seconds: int, step: int) -> DataFrame:
+    """Sums of ``values`` over the last ``seconds`` as of every ``step``, where they change:
+    ``(source, at, until, ...)`` holds at the steps from ``at`` on and before ``until``, in epoch
+    seconds; a NULL ``until`` means for ever.
 
-    The grid has no gaps, so a trailing sum is a running sum less the one some rows back.
+    A row enters the sums at the step after it and leaves them ``seconds`` later, so a source has at
+    most two changes per row, and per step; a time without rows costs nothing.
     """
     if seconds <= 0 or seconds % step:
         raise ValueError(f"a window of {seconds} s is no multiple of the step of {step} s")
-    steps = Window.partitionBy("source").orderBy("step_end")
-    so_far = steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = grid.withColumns({f"_run_{n}": F.sum(n).over(so_far) for n in names})
-    back = seconds // step
-    trailing = {n: F.col(f"_run_{n}") - F.lag(f"_run_{n}", back, 0).over(steps) for n in names}
-    return running.withColumns(trailing).drop(*[f"_run_{n}" for n in names])
-
-
-def held(steps: DataFrame, condition: Column, hold: int) -> DataFrame:
-    """``firing`` where the condition was true at every step for at least ``hold`` seconds."""
-    so_far = (
-        Window.partitionBy("source").orderBy("step_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    false = ~F.coalesce(condition, F.lit(False))
-    last_false = F.max(F.when(false, F.col("step_end"))).over(so_far)
-    since = F.col("step_end") - F.lit(hold)
-    covered = F.min("step_end").over(so_far) <= since
-    return steps.withColumn("firing", covered & F.coalesce(last_false < since, F.lit(True)))
+    enters = (F.floor(F.unix_micros("ts") / (step * 1_000_000)) * step + step).cast("bigint")
+    held = {name: F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint")) for name, value in values.items()}
+    entry = F.struct(enters.alias("at"), *[value.alias(name) for name, value in held.items()])
+    leave = F.struct((enters + seconds).alias("at"), *[(-value).alias(name) for name, value in held.items()])
+    moves = rows.select("source", F.explode(F.array(entry, leave)).alias("m")).select("source", "m.*")
+    moves = moves.groupBy("source", "at").agg(*[F.sum(name).alias(name) for name in held])
+    in_turn = Window.partitionBy("source").orderBy("at")
+    so_far = in_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [F.sum(name).over(so_far).alias(name) for name in held]
+    return moves.select("source", "at", F.lead("at").over(in_turn).alias("until"), *sums)
+
+
+def run_changes(runs: DataFrame, seconds: int = 300, step: int = 60) -> DataFrame:
+    """Runs and failed runs of the last ``seconds``, where their numbers change."""
+    values = {"runs": F.lit(1), "errors": F.col("status") == "error"}
+    return change_points(_at_end(runs), values, seconds, step)
+
+
+def firing(changes: DataFrame, condition: Column, hold: int, now: int | None = None) -> DataFrame:
+    """``(source, since, fires_from, until)``, a row for each time a condition on the sums of
+    ``changes`` held for at least ``hold`` seconds.
+
+    The alert fires at the steps from ``fires_from`` on and before ``until``, NULL while it still
+    does. With ``now``, an epoch second, steps after it have not come yet.
+    """
+    in_turn = Window.partitionBy("source").orderBy("at")
+    marked = changes.select("source", "at", F.coalesce(condition, F.lit(False)).alias("_true"))
+    turns = marked.withColumn("_was", F.lag("_true", 1, False).over(in_turn)).where("_true <> _was")
+    spells = turns.withColumn("until", F.lead("at").over(in_turn)).where("_true")
+    found = spells.select("source", F.col("at").alias("since"), (F.col("at") + hold).alias("fires_from"), "until")
+    found = found.where("until IS NULL OR fires_from < until")
+    if now is None:
+        return found
+    until = F.when(F.col("until") <= now, F.col("until")).alias("until")
+    return found.where(F.col("fires_from") <= now).select("source", "since", "fires_from", until)
 
 
 def alert_error_ratio(
-    runs: DataFrame, threshold: float = 0.1, seconds: int = 300, hold: int = 300, step: int = 60
+    runs: DataFrame,
+    threshold: float = 0.1,
+    seconds: int = 300,
+    hold: int = 300,
+    step: int = 60,
+    now: int | None = None,
 ) -> DataFrame:
-    sums = {"errors": F.count_if(F.col("status") == "error"), "runs": F.count("*")}
-    recent = rolling(on_grid(_at_end(runs), sums, step), list(sums), seconds, step)
+    """Firing times of: more than ``threshold`` of the runs of the last ``seconds`` failed."""
+    changes = run_changes(runs, seconds, step)
     ratio = F.when(F.col("runs") > 0, F.col("errors") / F.col("runs"))
-    return held(recent, ratio > threshold, hold)
+    return firing(changes, ratio > threshold, hold, now)
 
 
 def alert_slow(
@@ -285,25 +352,27 @@ def alert_slow(
     seconds: int = 300,
     hold: int = 600,
     step: int = 60,
+    now: int | None = None,
 ) -> DataFrame:
+    """Firing times of: the ``q`` quantile of the durations of the last ``seconds`` is above ``limit``."""
     duration = run_duration()
     edges = [None, *bounds, None]
-    sums = {}
+    values = {}
     for i, (low, high) in enumerate(zip(edges, edges[1:])):
         above = F.lit(True) if low is None else duration > low
         below = F.lit(True) if high is None else duration <= high
-        sums[f"_b{i}"] = F.count_if(above & below)
-    recent = rolling(on_grid(_at_end(runs), sums, step), list(sums), seconds, step)
-    value = quantile([F.col(n) for n in sums], bounds, q)
-    return held(recent.withColumn("p", value), F.col("p") > limit, hold).drop(*sums)
+        values[f"_b{i}"] = above & below
+    changes = change_points(_at_end(runs), values, seconds, step)
+    return firing(changes, quantile([F.col(n) for n in values], bounds, q) > limit, hold, now)
 
 
 def alert_stalled(
-    runs: DataFrame, seconds: int = 900, hold: int = 1800, step: int = 60, until: Column | None = None
+    runs: DataFrame, seconds: int = 900, hold: int = 1800, step: int = 60, now: int | None = None
 ) -> DataFrame:
-    sums = {"misses": F.sum("misses")}
-    recent = rolling(on_grid(_at_end(runs), sums, step, until), list(sums), seconds, step)
-    return held(recent, F.col("misses") == 0, hold)
+    """Firing times of: no new records in the last ``seconds``. A source that never runs again
+    fires from its last record on, if that lies before ``now``."""
+    changes = change_points(_at_end(runs), {"misses": F.col("misses")}, seconds, step)
+    return firing(changes, F.col("misses") == 0, hold, now)
 
 
 def _at_end(runs: DataFrame) -> DataFrame:

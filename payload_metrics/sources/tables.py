@@ -41,6 +41,21 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return []
+    return [entry.getPath().getName() for entry in files.listStatus(hadoop)]
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Creates an empty file."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True).close()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a staged table that no DataFrame will read again."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from payload_metrics.operators.dedupe import RECORD_ORDER, fingerprint, numbered, replay, stored_ttl, touches
+from payload_metrics.operators.dedupe import RECORD_ORDER, fingerprint, numbered, replay, touches
 from payload_metrics.operators.extract import REJECT_COLUMNS, extract_selected, selected_records
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
 from payload_metrics.plans.pipeline import prepare_rows, run_rows
-from payload_metrics.sources.outputs import FingerprintLog, write_part
+from payload_metrics.sources.outputs import FingerprintLog, PointLog, write_part
 from payload_metrics.sources.tables import discard, stage, staged_path
 from payload_metrics.spec import SourceSpec
 
+#: Batches after which a log is folded into a snapshot.
+COMPACT_EVERY = 50
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -123,16 +125,54 @@ class _LastEmission(StatefulProcessor):
 
 
 def windowed_metrics(records: DataFrame, spec: SourceSpec, every: str, late: str) -> DataFrame:
-    """Metric points per tumbling event-time window. Rows later than ``late`` are dropped."""
+    """Metric points per tumbling event-time window. Rows later than ``late`` are dropped.
+
+    In append mode a window comes when the watermark has passed it; in update mode, as
+    ``start_windows`` runs it, with every batch that changes it.
+    """
     return metric_points(records.withWatermark("fetched_at", late), spec, every=every)
 
 
-def table_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[DataFrame, int], None]:
+def window_sink(spec: SourceSpec, log: PointLog, compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function for windowed metrics in update mode: the state of every window a
+    batch changed goes to a folder of the batch, so a batch that is run again changes nothing."""
+
+    def process(points: DataFrame, batch_id: int) -> None:
+        log.append(points, batch_id, spec.name)
+        if batch_id and batch_id % compact_every == 0:
+            log.compact(spec.name, batch_id)
+
+    return process
+
+
+def start_windows(
+    spec: SourceSpec,
+    records: DataFrame,
+    every: str,
+    late: str,
+    log: PointLog,
+    checkpoint: str,
+    compact_every: int = COMPACT_EVERY,
+    **trigger,
+) -> StreamingQuery:
+    """Keeps ``log.points()`` at the state of all windows, those still open included."""
+    points = windowed_metrics(records, spec, every, late)
+    writer = points.writeStream.outputMode("update").foreachBatch(window_sink(spec, log, compact_every))
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def table_sink(
+    spec: SourceSpec, log: FingerprintLog, out: str, compact_every: int = COMPACT_EVERY, late: int | None = None
+) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: exact TTL dedupe against the log, then metric and log tables.
 
     Takes record rows, with or without the reject rows of ``extract_selected``. Every output
     lies in a folder named by the batch and the source, and the probe reads earlier batches only,
     so a batch that is run again gives the same tables. What a batch has staged goes with it.
+
+    Every ``compact_every`` batches the log of the source is folded into a snapshot, so its folders
+    stay few. Fingerprints that expired more than ``late`` seconds (the TTL if not given) before the
+    newest one then go; a row that comes later than that after its fingerprint is emitted again.
     """
     ttl, source = spec.deltaDetection.ttl(), spec.name
 
@@ -151,10 +191,11 @@ def table_sink(spec: SourceSpec, log: FingerprintLog, out: str) -> Callable[[Dat
             rows = selected_records(rows)
         kept = rows
         if spec.deltaDetection.enabled:
+            if batch_id and batch_id % compact_every == 0:
+                log.compact(source, batch_id, ttl if late is None else late)
             oldest = rows.agg(F.unix_seconds(F.min("fetched_at"))).first()[0] or 0
-            past = log.touched(before_batch=batch_id).where(F.col("source") == source)
             # What has expired under its own TTL before the oldest row suppresses nothing.
-            past = past.where(F.col("last_seen") + stored_ttl(ttl) >= oldest)
+            past = log.touched(batch_id, source, alive_at=oldest)
             kept = stage(replay(rows, ttl, past, folder=folder), f"kept-{batch_id}", f"{folder}/kept")
             log.append(touches(kept, spec), batch_id, source)
         write_part(metric_points(kept, spec), f"{out}/metric_points", part, source)

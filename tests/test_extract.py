@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 from datetime import datetime, timezone
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from payload_metrics.operators.extract import extract, extract_selected, selected_records
-from payload_metrics.sources.payloads import PAYLOAD_SCHEMA, read_payload_files
+from payload_metrics.sources.payloads import PAYLOAD_SCHEMA, read_payload_files, stream_payload_files
 from payload_metrics.spec import SourceSpec
 
 AT = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -180,3 +181,39 @@ def test_payload_files(spark, tmp_path):
     records, _ = extract(found, make())
     got = records.select("window_id", F.to_json("record").alias("r")).collect()
     assert sorted(map(tuple, got)) == [(0, '{"a":1}'), (1, '{"a":2}'), (1, '{"a":3}')]
+
+
+def test_payload_files_without_a_number(spark, tmp_path):
+    """They are scrapes of their own, ordered by name; folders name the other scrapes."""
+    for folder in ("run-a", "run-b"):
+        (tmp_path / folder).mkdir()
+    texts = {"run-a/1.json": "[1", "run-a/2.json": '[{"v": 2}]', "run-b/west.json": '[{"v": 4}]', "run-b/east.json": '[{"v": 3}]', "run-b/none.json": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+        os.utime(tmp_path / name, (1_700_000_000, 1_700_000_000))
+    found = read_payload_files(spark, str(tmp_path), "s")
+    records, rejects = extract(found, make())
+    got = records.orderBy("fetched_at", "scrape_id", "record_pos").select("scrape_id", "window_id", F.to_json("record").alias("r")).collect()
+    assert list(map(tuple, got)) == [("run-a", 2, '{"v":2}'), ("run-b/east.json", 0, '{"v":3}'), ("run-b/west.json", 0, '{"v":4}')]
+    # Spark lists no files without a byte.
+    assert [(r["scrape_id"], r["window_id"]) for r in rejects.collect()] == [("run-a", 1)]
+
+
+def test_payload_files_as_a_stream(spark, tmp_path):
+    """The stream gives what the batch gives, also from files that land later."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+
+    def drained():
+        stream = stream_payload_files(spark, str(landing), "s", max_files=1)
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint")
+        writer.trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        return sorted(map(str, spark.read.schema(PAYLOAD_SCHEMA).parquet(f"{tmp_path}/out").collect()))
+
+    for names in (["a-1.json", "b-2.json"], ["plain.json", "c-3.json"]):
+        for name in names:
+            (landing / name).write_text(f'[{{"file": "{name}"}}]')
+        got = drained()
+        batch = read_payload_files(spark, str(landing), "s")
+        assert got == sorted(map(str, batch.collect())) and batch.schema.simpleString().startswith("struct<source:string")
+    assert len(got) == 4

@@ -230,3 +230,52 @@ def test_log_rows(spark):
     assert json.loads(row["body"]) == {"source": "s", "record": {"k": "a", "n": None}}
     assert row["attrs"] == {"source": "s", "k": "a"} and row["ts"] == AT.replace(tzinfo=None)
     assert log_records(records, make(emitLogs=False)).count() == 0
+
+
+def test_attribute_metrics_share_the_only_exchange(spark):
+    """One shuffle for all metrics, and hash aggregation only."""
+    mapped = {"name": "kind", "dataKey": "kind", "asMetric": {"valueMapping": {"x": 1, "y": 2}}}
+    spec = make(
+        attributes=[mapped, {"name": "id", "dataKey": "id"}],
+        counterReadings=[{"name": "c"}],
+        gaugeReadings=[{"name": "g", "dataKey": "v"}],
+        histogramReadings=[{"name": "h", "dataKey": "v", "buckets": [1, 5]}],
+    )
+    df = spark.createDataFrame([(i, "xyz"[i % 3], i % 4, float(i)) for i in range(60)], "pos bigint, kind string, id bigint, v double")
+    points = metric_points(typed_records(df, "s", "pos"), spec)
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
+    got = {(p["metric"], p["attrs"].get("kind"), p["attrs"].get("id")): p["value"] for p in points.collect()}
+    assert got["kind", "x", None] == 20 and got["kind", "y", None] == 40 and ("kind", "z", None) not in got
+    assert got["c", "x", "0"] == 5 and got["c", "z", "2"] == 5 and got["g", "y", "1"] == 49
+
+
+def test_counters_with_two_sources_are_added_up(spark):
+    """An attribute metric and a reading of one name and attribute set are one series."""
+    mapped = {"name": "kind", "dataKey": "kind", "asMetric": {"metricName": "c", "valueMapping": {"x": 10}}}
+    spec = make(attributes=[mapped], counterReadings=[{"name": "c"}, {"name": "d"}])
+    df = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y"), (3, None)], "pos bigint, kind string")
+    points = metric_points(typed_records(df, "s", "pos"), spec).collect()
+    got = sorted((p["metric"], p["attrs"].get("kind") or "", p["value"]) for p in points)
+    assert got == [("c", "", 1.0), ("c", "x", 22.0), ("c", "y", 1.0), ("d", "", 1.0), ("d", "x", 2.0), ("d", "y", 1.0)]
+
+
+def test_attributes_of_one_name_add_up_their_metrics(spark):
+    first = {"name": "k", "dataKey": "a", "asMetric": {"valueMapping": {"x": 1}}}
+    second = {"name": "k", "dataKey": "b", "asMetric": {"valueMapping": {"x": 100, "y": 1000}}}
+    df = spark.createDataFrame([(0, "x", "x"), (1, "x", "y")], "pos bigint, a string, b string")
+    points = metric_points(typed_records(df, "s", "pos"), make(attributes=[first, second])).collect()
+    assert sorted((p["attrs"]["k"], p["value"]) for p in points) == [("x", 102.0), ("y", 1000.0)]
+
+
+def test_readings_of_one_series_are_one_point(spark):
+    spec = make(
+        gaugeReadings=[{"name": "g", "dataKey": "a"}, {"name": "g", "dataKey": "b"}],
+        counterReadings=[{"name": "c", "dataKey": "a"}, {"name": "c", "fixedValue": 10}],
+        histogramReadings=[{"name": "h", "dataKey": n, "buckets": [1, 5]} for n in ("a", "b")],
+    )
+    df = spark.createDataFrame([(0, 1.0, 7.0), (1, 4.0, None)], "pos bigint, a double, b double")
+    got = {p["metric"]: p for p in metric_points(typed_records(df, "s", "pos"), spec).collect()}
+    # The later reading wins where it has a value at all.
+    assert got["g"]["value"] == 7 and got["c"]["value"] == 25 and len(got) == 3
+    assert (got["h"]["count"], got["h"]["sum"], got["h"]["bucket_counts"]) == (3, 12.0, [1, 1, 1])

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import time
 import uuid
@@ -10,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from payload_metrics.operators.extract import extract_selected, selected_records, typed_records
-from payload_metrics.operators.metrics import metric_points
-from payload_metrics.sources.outputs import FingerprintLog
+from payload_metrics.operators.metrics import metric_points, series_text
+from payload_metrics.sources.outputs import FingerprintLog, PointLog
 from payload_metrics.sources.payloads import PAYLOAD_SCHEMA, stream_payload_table
 from payload_metrics.spec import SourceSpec
 from payload_metrics.streaming import streams
@@ -242,8 +243,122 @@ def test_late_rows_are_dropped_by_windows_only(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/log_records").count() == 6
 
 
-def test_attribute_metrics_need_foreach_batch(spark, tmp_path):
+MAPPED = [{"name": "kind", "dataKey": "kind", "asMetric": {"metricName": "score", "valueMapping": {"x": 1, "y": 10}}}, {"name": "id", "dataKey": "id"}]
+
+
+def point_rows(points):
+    columns = ["ts", "metric", series_text(F.col("attrs")).alias("attrs"), "value", "count", "sum", F.col("bucket_counts").cast("string").alias("b")]
+    return sorted(map(str, points.select(*columns).collect()))
+
+
+def test_attribute_metrics_of_windows(spark, tmp_path):
+    """In append mode as in batches, for the windows the watermark has passed."""
+    rows = rows_in_time_order(60, 3, 300)
+    land(spark, f"{tmp_path}/in", rows)
+    stream = streams.windowed_metrics(open_stream(spark, f"{tmp_path}/in"), make(attributes=MAPPED), "1 minute", "1 second")
+    closed = max(r[1] for r in rows) - 1
+    batch = metric_points(typed(spark.createDataFrame(rows, EVENTS)), make(attributes=MAPPED), every="1 minute")
+    assert point_rows(drain(stream, tmp_path)) == point_rows(batch.where(F.unix_seconds("ts") + 60 <= closed))
+
+
+def test_two_sources_of_one_counter_need_foreach_batch(spark, tmp_path):
     land(spark, f"{tmp_path}/in", rows_in_time_order(5, 2, 10), parts=1)
-    spec = make(attributes=[{"name": "kind", "dataKey": "kind", "asMetric": {"valueMapping": {"x": 1}}}])
-    with pytest.raises(ValueError):
+    spec = make(attributes=[MAPPED[0]], counterReadings=[{"name": "score"}])
+    with pytest.raises(ValueError, match="score"):
         streams.windowed_metrics(open_stream(spark, f"{tmp_path}/in"), spec, "1 minute", "1 second")
+
+
+def test_open_windows_equal_batch(spark, tmp_path):
+    """Update mode over six batches, folded twice: every window, also those still open."""
+    rows = rows_in_time_order(180, 4, 600, seed=5)
+    land(spark, f"{tmp_path}/in", rows, parts=6)
+    spec = make(attributes=MAPPED, histogramReadings=[{"name": "h", "dataKey": "id", "buckets": [1, 3]}])
+    log = PointLog(spark, f"{tmp_path}/points")
+    started = streams.start_windows(
+        spec, open_stream(spark, f"{tmp_path}/in"), "1 minute", "30 seconds", log, f"{tmp_path}/c", compact_every=2, availableNow=True
+    )
+    started.awaitTermination()
+    batch = metric_points(typed(spark.createDataFrame(rows, EVENTS)), spec, every="1 minute")
+    assert point_rows(log.points("s")) == point_rows(batch)
+    kept = log.parts("s")
+    assert len(kept["snapshot_id"]) == 1 and len(kept["batch_id"]) <= 3
+    # A batch that is run again replaces its own states.
+    last = max(int(p.rpartition("=")[2]) for p in kept["batch_id"])
+    again = log.read("s").where(F.col("batch_id") == last).drop("batch_id")
+    streams.window_sink(spec, log, compact_every=2)(spark.createDataFrame(again.collect(), again.schema), last)
+    assert point_rows(log.points()) == point_rows(batch)
+
+
+def test_stream_goes_on_across_compactions(spark, tmp_path):
+    """Eight batches in two runs of the stream, the log folded after every second."""
+    rows = rows_in_time_order(160, 5, 400, seed=8)
+    log = FingerprintLog(spark, f"{tmp_path}/log")
+    sink = streams.table_sink(make(), log, f"{tmp_path}/out", compact_every=2)
+    for half in (rows[:80], rows[80:]):
+        land(spark, f"{tmp_path}/in", half, parts=4)
+        writer = open_stream(spark, f"{tmp_path}/in").writeStream.foreachBatch(sink)
+        writer.option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def positions():
+        pos = F.get_json_object("body", "$.record.pos").cast("bigint").alias("pos")
+        return sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out/log_records").select(pos).collect())
+
+    want = greedy([r[:3] for r in rows], TTL)
+    assert positions() == want
+    kept = log.parts("s")
+    assert [p.rpartition("=")[2] for p in kept["snapshot_id"]] == ["5"] and len(kept["batch_id"]) == 2
+    # The last batch again, and one that was folded already when it failed.
+    sink(typed(spark.createDataFrame(rows[140:], EVENTS)), 7)
+    assert positions() == want
+    sink(typed(spark.createDataFrame(rows[120:140], EVENTS)), 6)
+    assert positions() == want
+
+
+TOUCHES = "source string, hash string, first_seen bigint, last_seen bigint, ttl_seconds bigint"
+
+
+def test_listing_stays_short(spark, tmp_path):
+    """200 batches of two sources, folded every 20: one snapshot and the batches since, and no
+    fingerprint that expired long before the newest."""
+    log = FingerprintLog(spark, f"{tmp_path}/log")
+    for batch in range(200):
+        touch = [("s", f"h{batch % 150}", batch * 100, batch * 100, 500)]
+        log.append(spark.createDataFrame(touch, TOUCHES).coalesce(1), batch, "s")
+        if batch and batch % 20 == 0:
+            log.compact("s", batch, late=1000)
+            log.compact("s", batch, late=1000)
+    log.append(spark.createDataFrame([("t/u", "x", 5, 5, 10)], TOUCHES), 3, "t/u")
+    parts = log.parts()
+    assert len(parts["snapshot_id"]) == 1 and len(parts["batch_id"]) == 21
+    names = os.listdir(f"{tmp_path}/log/source=s")
+    assert len([n for n in names if n.startswith(("batch", "snapshot"))]) == 21
+    touched = log.touched(source="s")
+    # Those of the last 20 batches, and of the 16 before them whose TTL ended in the last 1,000 s.
+    assert sorted(r[0] for r in touched.select("last_seen").collect()) == [b * 100 for b in range(164, 200)]
+    assert log.touched(before_batch=185, source="s").count() == 21
+    alive = log.touched(source="s", alive_at=18_000)
+    assert sorted(r[0] for r in alive.select("last_seen").collect()) == [b * 100 for b in range(175, 200)]
+    assert [r["hash"] for r in log.touched(source="t/u").collect()] == ["x"]
+
+
+def test_half_written_snapshots_do_not_count(spark, tmp_path):
+    log = FingerprintLog(spark, f"{tmp_path}/log")
+    for batch in range(4):
+        log.append(spark.createDataFrame([("s", f"h{batch}", batch, batch, 500)], TOUCHES), batch, "s")
+    os.makedirs(f"{tmp_path}/log/source=s/snapshot_id=2/day=1970-01-01")
+    assert log.parts("s")["snapshot_id"] == [] and log.touched().count() == 4
+    log.compact("s", 3, late=0)
+    assert len(log.parts("s")["batch_id"]) == 1 and log.touched().count() == 4
+    other = FingerprintLog(spark, f"{tmp_path}/none")
+    other.compact("s", 3, late=0)
+    assert other.touched().count() == 0
+
+
+def test_snapshots_are_pruned_by_day(spark, tmp_path):
+    log = FingerprintLog(spark, f"{tmp_path}/log")
+    day = 86400
+    log.append(spark.createDataFrame([("s", f"h{d}", d * day, d * day, 10) for d in range(9)], TOUCHES), 0, "s")
+    log.compact("s", 1, late=100 * day)
+    alive = log.touched(source="s", alive_at=6 * day)
+    plan = alive._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and alive.count() == 3
