@@ -26,10 +26,12 @@ DEFAULT_TTL_SECONDS = 86400
 DEFAULT_MAX_ENTRIES = 50000
 DEFAULT_TIME_FORMAT = "%Y-%m-%dT%H:%M:%S%z"
 
+# The kinds of match a filter and a severity rule may name.
 MATCH_TYPES = ("equals", "not_equals", "in", "regex")
-SEVERITY_MATCH_TYPES = ("equals", "in")
+SEVERITY_# Fixed values: the kinds of match a filter and a severity rule may name.
+MATCH_TYPES = ("equals", "in")
 
-# Config keys that belong to fetching or scheduling; accepted, never read.
+# Config keys that belong to fetching or scheduling; accepted, never read.
 FETCH_KEYS = frozenset({"auth", "allowOverlapScans", "endpoint", "baseUrl"})
 SCRAPE_FETCH_KEYS = frozenset(
     {"httpMethod", "maxConcurrency", "urlEncodeTimeKeys", "extraHeaders", "extraArgs"}
@@ -213,7 +215,7 @@ class Scrape:
         _require(self.type != "range" or self.rangeKeys is not None, "range needs rangeKeys")
         _require(
             self.parallelWindow is None or self.type == "range",
-            "parallelWindow is only valid for range",
+            "an instant source has no range to cut into parallel windows",
         )
 
 

@@ -7,6 +7,7 @@ import uuid
 from datetime import datetime, timezone
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,8 +323,10 @@ def test_listing_stays_short(spark, tmp_path):
     fingerprint that expired long before the newest."""
     log = FingerprintLog(spark, f"{tmp_path}/log")
     for batch in range(200):
-        touch = [("s", f"h{batch % 150}", batch * 100, batch * 100, 500)]
-        log.append(spark.createDataFrame(touch, TOUCHES).coalesce(1), batch, "s")
+        # As ``append`` writes it, without a job.
+        os.makedirs(f"{tmp_path}/log/source=s/batch_id={batch}")
+        touch = {"hash": [f"h{batch % 150}"], "first_seen": [batch * 100], "last_seen": [batch * 100], "ttl_seconds": [500]}
+        pq.write_table(pa.table(touch), f"{tmp_path}/log/source=s/batch_id={batch}/part-0.parquet")
         if batch and batch % 20 == 0:
             log.compact("s", batch, late=1000)
             log.compact("s", batch, late=1000)
