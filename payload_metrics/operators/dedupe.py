@@ -4,9 +4,10 @@ A hash covers the source name, so records group on the hash alone; sorts and par
 even when one source holds most rows. Repeats of one hash are combined before the shuffle, so a
 hash of any frequency reaches its task as one row per map task.
 
-Rows are numbered once, in a written table. What is grouped, sorted, scanned and probed are hash,
-time, order and number only; records are fetched at the end, by the numbers that are left. Of the
-store only rows whose hash may be in the batch are shuffled, as a bitmap of the batch's hashes says.
+Rows are numbered, in a written table unless they come straight from files. What is grouped, sorted,
+scanned and probed are hash, time, order and number only; records are fetched at the end, by the
+numbers that are left. Of the store only rows whose hash may be in the batch are shuffled, as a
+bitmap of the batch's hashes says.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ FINGERPRINT_SCHEMA = "source string, hash string, first_seen bigint, last_seen b
 STORE_KEY = ["hash", "source"]
 #: Of equal records the first in this order is emitted, in batches, replays and streams alike.
 RECORD_ORDER = ["fetched_at", "scrape_id", "record_pos"]
-#: The number of a row in its written table.
+#: The number of a row.
 ROW = "_row"
+#: Steps of a plan that give the same rows in the same places whenever they run.
+REPEATABLE = {"Project", "Filter", "LogicalRelation"}
 #: Row numbers that go to every task instead of being shuffled with the records; 16 bytes each.
 FETCHED_AT_ONCE = 1_000_000
 #: A hash is one of 2**26 bits in the probe's bitmap, which is 8 MB at most, in parts of 4 KB.
@@ -62,8 +65,24 @@ def live(store: DataFrame, now: int, default_ttl: int = DEFAULT_TTL_SECONDS) ->
 
 
 def numbered(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes ``rows`` once, numbered, for the slim passes and the fetch at the end."""
-    return stage(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered", path)
+    """``rows`` with numbers that the slim passes and the fetch at the end agree on.
+
+    Rows that are read from files and only projected and filtered are numbered by their place, and
+    read again at the end: a number stands for a partition and a place in it, which columns and
+    retries do not change. All others are written once.
+    """
+    marked = rows.withColumn(ROW, F.monotonically_increasing_id())
+    return marked if _repeatable(rows) else stage(marked, "numbered", path)
+
+
+def _repeatable(rows: DataFrame) -> bool:
+    nodes = [rows._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in REPEATABLE or not node.deterministic():
+            return False
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return True
 
 
 def first_of_batch(hashed: DataFrame) -> DataFrame:
@@ -78,9 +97,11 @@ def fetch(rows: DataFrame, chosen: DataFrame, path: str | None = None) -> DataFr
 
     Few numbers are sent to the rows. Many meet them in one shuffle, hashed and not sorted.
     """
-    chosen = stage(chosen, "chosen", path)
-    side = F.broadcast(chosen) if chosen.count() <= FETCHED_AT_ONCE else chosen.hint("shuffle_hash")
-    return rows.join(side, ROW).drop(ROW)
+    few = rows.count() <= FETCHED_AT_ONCE
+    if not few:
+        chosen = stage(chosen, "chosen", path)
+        few = chosen.count() <= FETCHED_AT_ONCE
+    return rows.join(F.broadcast(chosen) if few else chosen.hint("shuffle_hash"), ROW).drop(ROW)
 
 
 def among(store: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -305,6 +305,31 @@ def test_records_are_fetched_at_the_end(spark, monkeypatch, at_once):
         assert found == ([] if at_once else ["Exchange"])
 
 
+def test_rows_from_files_are_numbered_without_a_copy(spark, monkeypatch, tmp_path):
+    """Both passes read the files; with a shuffle or a random column below, the rows are written."""
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(400), rng.randrange(40), f"text {i}") for i in range(3000)]
+    schema = "pos bigint, at bigint, id bigint, status string"
+    spark.createDataFrame(rows, schema).repartition(7).write.parquet(f"{tmp_path}/in")
+    read = spark.read.parquet(f"{tmp_path}/in")
+    files = typed_records(read.where("id < 35"), "s", "pos", fetched_at=F.timestamp_seconds("at"))
+    hashed = d.fingerprint(files, make(**BY_ID))
+    written = []
+    monkeypatch.setattr(d, "stage", lambda df, name, path=None: written.append(name) or tables.stage(df, name, path))
+    few = [r[:3] for r in rows if r[2] < 35]
+    assert positions(d.replay(hashed, 20)) == greedy(few, 20)
+    firsts = {}
+    for pos, at, key in few:
+        firsts[key] = min(firsts.get(key, (at, pos)), (at, pos))
+    kept = d.dedupe(hashed, None, make(**BY_ID), 0)
+    assert positions(kept) == sorted(p for _, p in firsts.values()) and written == []
+    assert sorted(r["status"] for r in kept.select("record.status").collect()) == sorted(f"text {p}" for _, p in firsts.values())
+    assert carriers(plan_of(kept), "record") == []
+    for other in (hashed.repartition(3), hashed.withColumn("x", F.rand()), hashed.unionByName(hashed)):
+        d.numbered(other)
+    assert written == ["numbered"] * 3
+
+
 def test_store_is_filtered_before_it_is_shuffled(spark):
     spec = make(ttlSeconds=20, **BY_ID)
     batch = d.numbered(d.fingerprint(records(spark, [(i, i, i, "x") for i in range(100)]), spec))
