@@ -42,14 +42,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, hash_see
     """Whole texts ``(doc_id, text, y)`` of at most ``per_class`` labelled documents per class.
 
     Documents are picked by a hash of their id, so the pick does not depend on their order.
-    Only ids and labels are ranked; the texts are then found by a join on the picked ids.
+    Only ids and labels are ranked; the texts are then found by a join on the picked ids. An id
+    that several rows have gives one of them, the smallest text, so the bound holds for rows.
     """
     ranked = labels.withColumn("_h", F.xxhash64("doc_id", F.lit(hash_seed)))
     picked = None
     for y in (0, 1):
         one = ranked.where(F.col("y") == y).orderBy("_h", "doc_id").limit(per_class).drop("_h")
         picked = one if picked is None else picked.unionByName(one)
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:

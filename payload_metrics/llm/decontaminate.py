@@ -7,11 +7,14 @@ place where the whole item may lie, and Myers' bit-parallel algorithm computes i
 Items and texts are compared in lower case with each run of white space as one space.
 
 Items are a stated set of queries. They pass in blocks of bounded size, one automaton for each
-block, and every block is held against all documents.
-
-Defined cases: null and empty texts contain nothing; null and empty items are not searched; a
-repeated item id is searched once for each of its texts; a repeated document has its own matches;
-items that share pieces are all verified. Other columns are kept.
+block, and every block is held against all documents. With several blocks each is a job of its own,
+whose result is written before the next block is read, so that neither the driver nor a task holds
+more than two blocks.
+
+Defined cases: null and empty texts contain nothing; null and empty items are not searched; an item
+without an id is searched like any other and found under a null id; a repeated item id is searched
+once for each of its texts; a repeated document has its own matches; items that share pieces are all
+verified. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -20,18 +23,21 @@ import bisect
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from payload_metrics.llm.common import new_folder
+from payload_metrics.sources.tables import stage
+
 ERROR_SHARE = 0.06
 BLOCK_CHARS = 4_000_000
 MATCHES = "array<struct<item_id: bigint, start: bigint, end: bigint, distance: int>>"
 
-Item = tuple[int, str]
+Item = tuple[int | None, str]
 
 
 def normal(text: str) -> str:
@@ -96,7 +102,8 @@ class Matcher:
         if not found:
             return []
         place = _places(text)
-        return sorted((item_id, place(a), place(b - 1) + 1, d) for item_id, a, b, d in found)
+        matches = [(item_id, place(a), place(b - 1) + 1, d) for item_id, a, b, d in found]
+        return sorted(matches, key=lambda m: (m[0] is None, m[0] or 0, *m[1:]))
 
     def _verified(self, i: int, starts: list[int], plain: str) -> list[tuple[int, int, int, int]]:
         """Starts a budget apart may be one occurrence; the best of each such run is returned."""
@@ -152,11 +159,9 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[lis
         yield block
 
 
-def matches(text: Column, benchmark: DataFrame, error_share: float = ERROR_SHARE) -> Column:
-    """Every occurrence of a benchmark item in ``text``, as an array of structs."""
-    whole = F.coalesce(text, F.lit(""))
-    found = [F.pandas_udf(_finder(block, error_share), MATCHES)(whole) for block in blocks(benchmark)]
-    return reduce(lambda a, b: F.concat(a, b), found, F.array().cast(MATCHES))
+def matches(text: Column, block: list[Item], error_share: float = ERROR_SHARE) -> Column:
+    """Every occurrence of an item of ``block`` in ``text``, as an array of structs."""
+    return F.pandas_udf(_finder(block, error_share), MATCHES)(F.coalesce(text, F.lit("")))
 
 
 _matchers: dict[tuple, Matcher] = {}
@@ -178,12 +183,32 @@ def _finder(items: list[Item], error_share: float) -> Callable[[Iterator[pd.Seri
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """One row ``(doc_id, item_id, start, end, distance)`` for every occurrence."""
-    found = docs.select("doc_id", F.explode(matches(F.col("text"), benchmark, error_share)).alias("m"))
-    return found.select("doc_id", "m.*")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE) -> DataFrame:
+    out = None
+    for block, only in _with_only(blocks(benchmark, block_chars)):
+        found = docs.select("doc_id", F.explode(matches(F.col("text"), block, error_share)).alias("m")).select("doc_id", "m.*")
+        found = found if only else stage(found, "matches", new_folder(docs.sparkSession, "matches"))
+        out = found if out is None else out.unionByName(found)
+    none = F.array().cast(MATCHES)
+    return docs.select("doc_id", F.explode(none).alias("m")).select("doc_id", "m.*") if out is None else out
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """``docs`` without those that contain a benchmark item."""
-    return docs.where(F.size(matches(F.col("text"), benchmark, error_share)) == 0)
+    for block, only in _with_only(blocks(benchmark, block_chars)):
+        docs = docs.where(F.size(matches(F.col("text"), block, error_share)) == 0)
+        docs = docs if only else stage(docs, "clean", new_folder(docs.sparkSession, "clean"))
+    return docs
+
+
+def _with_only(found: Iterator[list[Item]]) -> Iterator[tuple[list[Item], bool]]:
+    """Blocks, each with whether it is the only one."""
+    first = next(found, None)
+    second = next(found, None) if first is not None else None
+    for block in filter(None, chain((first, second), found)):
+        yield block, second is None

@@ -5,7 +5,10 @@ candidates are decoded, and reported only if the bytes parse: as a private key i
 nested lengths must fill one another exactly (``key``, or ``pem`` inside PEM lines), as an OpenSSH
 private key (likewise), or as a signed token, whose header is a JSON object that names an
 algorithm and whose claims are a JSON object (``jwt``). Random letters, digests, public keys and
-certificates do not parse as any of these.
+certificates do not parse as any of these. PEM lines may end in line breaks or in the two characters
+``\\n``, as keys in JSON and environment files do, and may begin with header lines. Where these say
+that the key is encrypted, they must name a cipher and a hex start value, and the body must fill
+whole blocks of that value's length.
 
 Defined cases: null texts count as empty and have no span; spans are in code points, end
 exclusive, ordered by start and then by kind; kinds may overlap; a repeated document is scanned
@@ -37,7 +40,14 @@ KINDS = [*BASE_KINDS, "pem", "key", "jwt"]
 
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 LONG_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:\s|\\[nr])*"
+    r"((?:[A-Za-z0-9-]+:[^\\\r\n]*(?:\s|\\[nr])+)*)"
+    r"((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----"
+)
+PEM_BREAK = re.compile(r"\s|\\[nr]")
+ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED(?![A-Z])")
+CIPHER = re.compile(r"DEK-Info:\s*[A-Z0-9-]{3,},\s*((?:[0-9A-Fa-f]{2}){8,16})(?![0-9A-Fa-f])")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 OPENSSH = b"openssh-key-v1\x00"
 INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
@@ -107,6 +117,11 @@ def _openssh(data: bytes) -> bool:
     return len(strings[0]) >= 4 and len(strings[3]) >= 16 and len(strings[4]) >= 16
 
 
+def _encrypted(header: str, body: bytes) -> bool:
+    cipher = CIPHER.search(header)
+    return cipher is not None and len(body) % (len(cipher[1]) // 2) == 0
+
+
 def from_base64(text: str) -> bytes | None:
     plain = text.rstrip("=").replace("-", "+").replace("_", "/")
     try:
@@ -127,8 +142,8 @@ def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans whose decoded bytes have the structure of a key or a signed token."""
     if "-----BEGIN" in text:
         for match in PEM.finditer(text):
-            body = from_base64("".join(match[2].split()))
-            if body and is_private_key(body):
+            body = from_base64(PEM_BREAK.sub("", match[3]))
+            if body and (_encrypted(match[2], body) if ENCRYPTED.search(match[2]) else is_private_key(body)):
                 yield "pem", *match.span()
     for match in LONG_BASE64.finditer(text):
         body = from_base64(match[0])

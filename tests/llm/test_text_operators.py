@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from payload_metrics.llm import decontaminate, secrets, simhash, site_lines, toxicity
+from payload_metrics.llm.common import known_labels, labelled_sample
 from payload_metrics.llm.components import connected_components
 
 DOCS = "doc_id long, text string, source string, fp string, row string, _lines string, n_lines int"
@@ -228,6 +229,46 @@ def test_items_pass_in_blocks(spark):
     assert [len(b) for b in decontaminate.blocks(benchmark, 100)] == [2, 2, 2, 1]
 
 
+def test_items_without_an_id(spark):
+    """They are found under a null id, beside others in one text; the query does not stumble."""
+    rng = random.Random(16)
+    items = [(None, words(rng, 30)), (1, words(rng, 30)), (None, words(rng, 30)), (2, None)]
+    rows = [(0, f"{items[0][1]} {items[1][1]}", "s"), (1, items[2][1], "s"), (2, words(rng, 30), "s"), (None, items[1][1], "s")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(documents(spark, rows), benchmark).collect()
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in found) == [("0", "1"), ("0", "None"), ("1", "None"), ("None", "1")]
+
+
+@pytest.mark.parametrize("block_chars", [1, 400, 10**6])
+def test_blocks_find_what_one_block_finds(spark, block_chars):
+    rng = random.Random(17)
+    items = [(i, words(rng, 30)) for i in range(6)]
+    rows = [(i, f"{words(rng, 9)} {items[i % 8][1] if i % 8 < 6 else ''} {words(rng, 9)}", "s") for i in range(24)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, rows)
+    found = decontaminate.contaminated(docs, benchmark, block_chars=block_chars).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted((i, i % 8) for i in range(24) if i % 8 < 6)
+    clean = decontaminate.decontaminate(docs, benchmark, block_chars=block_chars)
+    assert sorted(r.doc_id for r in clean.collect()) == [i for i in range(24) if i % 8 >= 6] and clean.columns == docs.columns
+    none = benchmark.limit(0)
+    assert decontaminate.contaminated(docs, none).columns == ["doc_id", "item_id", "start", "end", "distance"]
+    assert decontaminate.contaminated(docs, none).count() == 0
+
+
+# --- samples
+
+
+def test_repeats_of_a_labelled_id_stay_within_the_bound(spark):
+    rows = [(7, f"text {i}", "s") for i in range(5000)] + [(i, "other", "s") for i in range(100, 140)] + [(None, "x", "s")]
+    labels = spark.createDataFrame([(7, 1), (7, 0), *[(i, i % 2) for i in range(100, 140)], (None, 1)], "doc_id long, quality int")
+    known = known_labels(labels, "quality")
+    for per_class in (1, 10, 100):
+        sample = labelled_sample(documents(spark, rows), known, per_class).collect()
+        counts = {y: sum(r.y == y for r in sample) for y in (0, 1)}
+        assert counts[0] == min(per_class, 20) and counts[1] == min(per_class, 21)
+        assert all(r.text == "text 0" for r in sample if r.doc_id == 7)
+
+
 # --- secrets
 
 
@@ -247,6 +288,9 @@ def token(header):
     return ".".join(base64.urlsafe_b64encode(p).decode().rstrip("=") for p in parts)
 
 
+ENCRYPTED = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789abcdef0123456789ABCDEF"
+
+
 def test_structures_are_confirmed():
     rng = random.Random(7)
     key = pkcs8(rng)
@@ -257,11 +301,17 @@ def test_structures_are_confirmed():
         len(p).to_bytes(4, "big") + p if p != b"one" else (1).to_bytes(4, "big")
         for p in (b"none", b"none", b"", b"one", rng.randbytes(51), rng.randbytes(136))
     )
+    cipher = base64.b64encode(rng.randbytes(240)).decode()
     for text, kind in [
         (coded, "key"),
         (key.hex(), "key"),
         (base64.b64encode(openssh).decode(), "key"),
         (pem, "pem"),
+        (pem.replace("\n", "\\n"), "pem"),
+        (pem.replace("\n", "\\r\\n"), "pem"),
+        (pem.replace("PRIVATE KEY-----\n", "PRIVATE KEY-----\nComment: a key\nNote: mine, since 2020\n\n", 1), "pem"),
+        (f"-----BEGIN RSA PRIVATE KEY-----\n{ENCRYPTED}\n\n{cipher}\n-----END RSA PRIVATE KEY-----", "pem"),
+        (f"-----BEGIN RSA PRIVATE KEY-----\n{ENCRYPTED}\n\n{cipher}\n-----END RSA PRIVATE KEY-----".replace("\n", "\\n"), "pem"),
         (token({"alg": "HS256", "typ": "JWT"}), "jwt"),
     ]:
         start = len("Été: ")
@@ -272,6 +322,10 @@ def test_structures_are_confirmed():
         base64.b64encode(key + b"\0").decode(),
         token({"typ": "JWT"}),
         pem.replace(coded[:20], "A" * 20),
+        pem.replace("\n", "\\t"),
+        f"-----BEGIN RSA PRIVATE KEY-----\nNote: not encrypted\n\n{cipher}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN RSA PRIVATE KEY-----\n{ENCRYPTED}\n\n{cipher[:-8]}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{cipher}\n-----END RSA PRIVATE KEY-----",
     ]:
         assert {k for k, _, _ in secrets.spans_of(text)} <= set(secrets.BASE_KINDS)
 
