@@ -134,6 +134,12 @@ def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (rows * query).sum(axis=1) / norms
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Every vector by a power of two, so that its largest component lies in [0.5, 1): no square
+    overflows, and nothing is rounded that is not tiny beside it."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int, trees: int, share: float, least: int) -> pd.DataFrame:
     found = []
     lengths = rows["embedding"].map(len) if len(rows) else pd.Series(dtype=int)
@@ -144,9 +150,7 @@ def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int, trees: int, share
             continue
         ids = own["vec_id"].to_numpy()
         vectors, wanted = np.stack(own["embedding"].to_numpy()), np.stack(asked["embedding"].to_numpy())
-        # Scaled by the largest component first, so that no square over- or underflows.
-        vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-        wanted = wanted / np.abs(wanted).max(axis=1, keepdims=True)
+        vectors, wanted = scaled(vectors), scaled(wanted)
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         forest = SliceForest(vectors, trees)
         met = forest.candidates(wanted, max(least, int(np.ceil(share * len(ids)))))
