@@ -196,11 +196,16 @@ def stream_runs(spark, sf_dir):
 
 def _window_points(spark: SparkSession, sf_dir: str, config) -> DataFrame:
     """Daily points in update mode over four batches, folded once, the open windows included."""
+    records = _typed(_in_parts(spark, sf_dir, [(1, 8), (9, 16), (17, 24), (25, 31)]))
+    return _points_of(records, config, "1 hour")
+
+
+def _points_of(records: DataFrame, config, late: str) -> DataFrame:
+    spark = records.sparkSession
     folder = _folder(spark)
     log = PointLog(spark, f"{folder}/points")
-    records = _typed(_in_parts(spark, sf_dir, [(1, 8), (9, 16), (17, 24), (25, 31)]))
     started = streams.start_windows(
-        config, records, "1 day", "1 hour", log, f"{folder}/checkpoint", compact_every=2, availableNow=True
+        config, records, "1 day", late, log, f"{folder}/checkpoint", compact_every=2, availableNow=True
     )
     started.awaitTermination()
     return log.points().withColumn("kind", F.col("attrs")["kind"])
@@ -235,3 +240,27 @@ def stream_attr_metric(spark, sf_dir):
     config = spec(attributes=[mapped, {"name": "user", "dataKey": "user_id"}], counterReadings=[{"name": "c"}])
     out = _window_points(spark, sf_dir, config).where("metric = 'outcome'")
     return out.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "kind", F.col("value").alias("outcome"))
+
+
+_EARLY = "(day(ts) BETWEEN 10 AND 20 AND event_id % 2 = 0)"
+
+
+@query(
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, CAST(count(*) AS DOUBLE) AS counted FROM events "
+    f"WHERE {_EARLY} OR date_trunc('day', ts) + INTERVAL 1 DAY > "
+    f"(SELECT max(ts) - INTERVAL 36 HOUR FROM events WHERE {_EARLY}) GROUP BY 1, 2"
+)
+def stream_late(spark, sf_dir):
+    """Half of some days first, another day, then all else: rows of days that the watermark of the
+    first batch has passed are dropped, others join the windows that are still open.
+
+    A batch drops rows by the watermark that the batch before it started with.
+    """
+    folder, rows = f"{_folder(spark)}/in", table(spark, sf_dir, "events")
+    early = F.expr("dayofmonth(CAST(ts AS TIMESTAMP)) BETWEEN 10 AND 20 AND event_id % 2 = 0")
+    next_day = F.expr("dayofmonth(CAST(ts AS TIMESTAMP)) = 21")
+    for part in (rows.where(early), rows.where(next_day), rows.where(~early & ~next_day)):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    raw = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = _points_of(_typed(raw), spec(attributes=BY_TYPE, counterReadings=[{"name": "c"}]), "36 hours")
+    return out.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "kind", F.col("value").alias("counted"))

@@ -17,13 +17,13 @@ DONE = "_SUCCESS"
 def write_part(df: DataFrame, path: str, part: str, source: str) -> None:
     """Writes what one batch or run has of one source; a repeated one replaces itself, and only
     itself: other sources in the same tables may use the same batch or run ids."""
-    folder = f"{path}/{part}/source={_folder_name(source)}"
+    folder = f"{path}/{part}/{source_folder(source)}"
     df.where(F.col("source") == source).drop("source").write.mode("overwrite").parquet(folder)
 
 
-def _folder_name(text: str) -> str:
+def source_folder(source: str) -> str:
     """As partition folders are named: characters that paths or patterns use are escaped."""
-    return "".join(f"%{ord(c):02X}" if c < " " or c in "\"#%'*/:=?\\\x7f{}[]^" else c for c in text)
+    return "source=" + "".join(f"%{ord(c):02X}" if c < " " or c in "\"#%'*/:=?\\\x7f{}[]^" else c for c in source)
 
 
 def read_parts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -54,7 +54,7 @@ class BatchLog:
         """Folders of the newest complete snapshot and of the batches after it, by kind."""
         found: dict[str, list[str]] = {"snapshot_id": [], "batch_id": []}
         names = [n for n in folder_names(self._spark, self._path) if n.startswith("source=")]
-        for folder in names if source is None else [f"source={_folder_name(source)}"]:
+        for folder in names if source is None else [source_folder(source)]:
             at = f"{self._path}/{folder}"
             ids = self._ids(at, before_batch)
             complete = [i for i in ids["snapshot_id"] if DONE in folder_names(self._spark, f"{at}/snapshot_id={i}")]
@@ -109,7 +109,7 @@ class BatchLog:
         return found
 
     def _folder(self, source: str) -> str:
-        return f"{self._path}/source={_folder_name(source)}"
+        return f"{self._path}/{source_folder(source)}"
 
 
 class FingerprintLog(BatchLog):

@@ -19,8 +19,8 @@ from payload_metrics.operators.extract import REJECT_COLUMNS, extract_selected,
 from payload_metrics.operators.logs import log_records
 from payload_metrics.operators.metrics import metric_points
 from payload_metrics.plans.pipeline import prepare_rows, run_rows
-from payload_metrics.sources.outputs import FingerprintLog, PointLog, write_part
-from payload_metrics.sources.tables import discard, stage, staged_path
+from payload_metrics.sources.outputs import FingerprintLog, PointLog, source_folder, write_part
+from payload_metrics.sources.tables import discard, folder_names, stage, staged_path
 from payload_metrics.spec import SourceSpec
 
 #: Batches after which a log is folded into a snapshot.
@@ -156,6 +156,7 @@ def start_windows(
     **trigger,
 ) -> StreamingQuery:
     """Keeps ``log.points()`` at the state of all windows, those still open included."""
+    _refuse_second_start(records, checkpoint, spec.name, log.parts(spec.name)["batch_id"])
     points = windowed_metrics(records, spec, every, late)
     writer = points.writeStream.outputMode("update").foreachBatch(window_sink(spec, log, compact_every))
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -210,6 +211,14 @@ def start(
     spec: SourceSpec, payloads: DataFrame, log: FingerprintLog, out: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Runs a source over a payload stream, with the trigger given (such as ``availableNow=True``)."""
+    runs = folder_names(payloads.sparkSession, f"{out}/scrape_runs/batch_id=0")
+    _refuse_second_start(payloads, checkpoint, spec.name, [n for n in runs if n == source_folder(spec.name)])
     rows = prepare_rows(payloads.where(F.col("source") == spec.name), spec)
     writer = rows.writeStream.queryName(spec.name).foreachBatch(table_sink(spec, log, out))
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _refuse_second_start(stream: DataFrame, checkpoint: str, source: str, batches: list[str]) -> None:
+    """A stream with a new checkpoint counts its batches from 0 and would replace those of another."""
+    if batches and not folder_names(stream.sparkSession, f"{checkpoint}/offsets"):
+        raise ValueError(f"the output holds batches of {source!r} that are not of checkpoint {checkpoint}; use a new output")

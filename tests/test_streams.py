@@ -315,6 +315,25 @@ def test_stream_goes_on_across_compactions(spark, tmp_path):
     assert positions() == want
 
 
+def test_a_new_checkpoint_does_not_replace_old_batches(spark, tmp_path):
+    payload = ("s", "1", 0, None, None, datetime(2025, 1, 1, tzinfo=timezone.utc), '[{"id": 1}]')
+    spark.createDataFrame([payload], PAYLOAD_SCHEMA).write.parquet(f"{tmp_path}/in")
+    source = stream_payload_table(spark, f"{tmp_path}/in")
+    log, out = FingerprintLog(spark, f"{tmp_path}/log"), f"{tmp_path}/out"
+    for checkpoint in ("a", "a"):
+        streams.start(make(), source, log, out, f"{tmp_path}/{checkpoint}", availableNow=True).awaitTermination()
+    with pytest.raises(ValueError, match="not of checkpoint"):
+        streams.start(make(), source, log, out, f"{tmp_path}/b", availableNow=True)
+    points = PointLog(spark, f"{tmp_path}/points")
+    records = streams.stream_records(source, make())
+    streams.start_windows(make(), records, "1 day", "1 hour", points, f"{tmp_path}/c", availableNow=True).awaitTermination()
+    with pytest.raises(ValueError, match="not of checkpoint"):
+        streams.start_windows(make(), records, "1 day", "1 hour", points, f"{tmp_path}/d", availableNow=True)
+    # Another source may share the tables.
+    other = make(name="t")
+    streams.start(other, source, log, out, f"{tmp_path}/b", availableNow=True).awaitTermination()
+
+
 TOUCHES = "source string, hash string, first_seen bigint, last_seen bigint, ttl_seconds bigint"
 
 
