@@ -34,6 +34,7 @@ ROW = "_row"
 REPEATABLE = {"Project", "Filter", "LogicalRelation"}
 #: Row numbers that go to every task instead of being shuffled with the records; 16 bytes each.
 FETCHED_AT_ONCE = 1_000_000
+COUNTED_BYTES = 1 << 28
 #: A hash is one of 2**26 bits in the probe's bitmap, which is 8 MB at most, in parts of 4 KB.
 BITMAP_BITS, PART_BITS = 26, 15
 
@@ -97,7 +98,9 @@ def fetch(rows: DataFrame, chosen: DataFrame, path: str | None = None) -> DataFr
 
     Few numbers are sent to the rows. Many meet them in one shuffle, hashed and not sorted.
     """
-    few = rows.count() <= FETCHED_AT_ONCE
+    # Large tables are not counted: that would be one more pass over them.
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    few = size <= COUNTED_BYTES and rows.count() <= FETCHED_AT_ONCE
     if not few:
         chosen = stage(chosen, "chosen", path)
         few = chosen.count() <= FETCHED_AT_ONCE
