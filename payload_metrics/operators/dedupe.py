@@ -99,7 +99,7 @@ def fetch(rows: DataFrame, chosen: DataFrame, path: str | None = None) -> DataFr
     Few numbers are sent to the rows. Many meet them in one shuffle, hashed and not sorted.
     """
     # Large tables are not counted: that would be one more pass over them.
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     few = size <= COUNTED_BYTES and rows.count() <= FETCHED_AT_ONCE
     if not few:
         chosen = stage(chosen, "chosen", path)
