@@ -5,6 +5,12 @@ dictionary laid over it; the bytes that the toxic dictionary saves are the windo
 document's score is a logistic function of how many of its windows save at least so many bytes,
 with weights calibrated on labelled documents that the dictionaries have not seen.
 
+Both dictionaries are trained on the windows of labelled texts alone, a window as often as there are
+texts that hold it. A toxic text is ordinary for the most part, and so is its first dictionary. Some
+rounds of compression part the two: windows of ordinary texts that the toxic dictionary shortens
+are added to the ordinary one, and the toxic dictionary is trained anew on the windows of toxic
+texts that it still shortens.
+
 Windows are single words, because an insult is one word among hundreds. zstandard stores tiny
 blocks as they are and finds no match in the last 8 bytes of a block, so every window is
 compressed between a fixed lead and tail that both dictionaries hold. Equal windows have equal
@@ -19,6 +25,7 @@ of toxic labels (0 without labels). Other columns are kept and never read.
 from __future__ import annotations
 
 import itertools
+import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +40,10 @@ from payload_metrics.sources.tables import discard, stage
 
 LEAD, TAIL = b"\x01\x02lead-in of words\x03 ", b" \x04tail of words\x05"
 SAVED = (1, 2, 3, 4)
+#: Lengths of the byte groups that the trainer counts, and of the pieces it puts together from them.
+GROUP, TOXIC_PIECE, ORDINARY_PIECE = 6, 14, 32
 REMEMBERED = 250_000
+AT_ONCE = 50_000
 CHUNK = 200
 
 
@@ -52,17 +62,16 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     per_class: int = 3000,
-    toxic_bytes: int = 4096,
-    ordinary_bytes: int = 8192,
-    min_share: float = 0.02,
-    min_ratio: float = 4.0,
+    toxic_bytes: int = 65_536,
+    ordinary_bytes: int = 300_000,
+    windows: int = 400_000,
+    rounds: int = 3,
 ) -> ToxicityModel:
     """Dictionaries and thresholds from ``labels (doc_id, toxic)``.
 
     Learns from a sample of at most ``per_class`` labelled documents of each class, whole texts,
-    picked by a hash of the id. Two thirds of them train the dictionaries, one third calibrates.
-    Toxic text is what toxic documents have and ordinary ones lack: words in at least
-    ``min_share`` of the toxic texts, and ``min_ratio`` times as frequent there.
+    picked by a hash of the id. Two thirds of them train the dictionaries, of at most so many bytes
+    at first, from about ``windows`` windows of each class, picked by a hash; one third calibrates.
     """
     spark = docs.sparkSession
     known = known_labels(labels, "toxic")
@@ -72,7 +81,7 @@ def train(
     if len(per_y) < 2:
         return ToxicityModel(b"", b"", (float(max(per_y, default=0)),))
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) != 0
-    toxic, ordinary = _dictionaries(sample.where(part), toxic_bytes, ordinary_bytes, min_share, min_ratio)
+    toxic, ordinary = _dictionaries(_windows(sample.where(part), windows), toxic_bytes, ordinary_bytes, rounds)
     model = ToxicityModel(toxic, ordinary, ())
     features = F.pandas_udf(_scorer(model), "array<double>")
     rows = sample.select("y", (~part).alias("held"), features("text").alias("x")).collect()
@@ -83,38 +92,42 @@ def train(
     return ToxicityModel(toxic, ordinary, tuple(fit_logistic(x, y).tolist()))
 
 
-def _dictionaries(
-    sample: DataFrame, toxic_bytes: int, ordinary_bytes: int, min_share: float, min_ratio: float
-) -> tuple[bytes, bytes]:
+def _windows(sample: DataFrame, windows: int) -> dict[int, dict[bytes, int]]:
+    """For each class, its windows and in how many of the different texts each stands."""
     texts = sample.groupBy("text").agg(F.max("y").alias("y"))
     words = F.split(F.lower("text"), r"\s+")
-    n = dict(texts.groupBy("y").count().collect())
-    n_toxic, n_ordinary = n.get(1, 0), n.get(0, 0)
-    each = texts.select("y", F.explode(F.array_distinct(words)).alias("word")).where("word != ''")
-    found = each.groupBy("word").agg(F.sum("y").alias("n_toxic"), F.sum(1 - F.col("y")).alias("n_ordinary"))
-    ratio = F.col("n_toxic") / max(n_toxic, 1) / ((F.col("n_ordinary") + 0.5) / max(n_ordinary, 1))
-    often = F.col("n_toxic") >= max(2.0, min_share * n_toxic)
-    contrast = found.where(often & (ratio >= min_ratio)).orderBy(F.desc("n_toxic"), "word").limit(1000)
-    toxic_samples = []
-    for row in contrast.collect():
-        word = row.word.encode()
-        # Short words are repeated so that the trainer, which counts 8-byte pieces, sees them.
-        piece = b" " + (word + b" ") * max(2, -(-16 // (len(word) + 1)))
-        toxic_samples += [piece] * min(row.n_toxic, 200)
-    start = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(6))
-    windows = F.transform(start, lambda i: F.array_join(F.slice(words, i + 1, F.lit(6)), " "))
-    ordinary = texts.where("y = 0").select(F.explode(windows).alias("window"))
-    some = ordinary.orderBy(F.xxhash64("window"), "window").limit(40_000).collect()
-    return (
-        _trained(toxic_bytes, toxic_samples),
-        _trained(ordinary_bytes, [r.window.encode() for r in some]),
-    )
+    each = texts.select("y", F.xxhash64("text").alias("of"), F.explode(F.array_distinct(words)).alias("word")).where("word != ''")
+    totals = dict(each.groupBy("y").count().collect())
+    found: dict[int, dict[bytes, int]] = {0: {}, 1: {}}
+    for y, total in totals.items():
+        picked = F.pmod(F.xxhash64("of", "word"), F.lit(1 << 20)) < int((1 << 20) * min(windows / total, 1))
+        counted = each.where((F.col("y") == y) & picked).groupBy("word").agg(F.count("*").alias("n")).orderBy("word").toArrow()
+        found[y] = {word.encode(): n for word, n in zip(counted["word"].to_pylist(), counted["n"].to_pylist())}
+    return found
 
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary; samples too few for the trainer are the dictionary themselves."""
+def _dictionaries(
+    counts: dict[int, dict[bytes, int]], toxic_bytes: int, ordinary_bytes: int, rounds: int
+) -> tuple[bytes, bytes]:
+    ordinary = _trained(ordinary_bytes, counts[0], ORDINARY_PIECE)
+    toxic = _trained(toxic_bytes, counts[1], TOXIC_PIECE)
+    for _ in range(rounds):
+        saved = WindowDistance(ToxicityModel(toxic, ordinary, ())).lengths(list(counts[0]))
+        shortened = [word for word, n in saved.items() if n > 0]
+        ordinary = b" ".join([b"", *shortened, b""]) + ordinary
+        saved = WindowDistance(ToxicityModel(toxic, ordinary, ())).lengths(list(counts[1]))
+        toxic = _trained(toxic_bytes, {word: counts[1][word] for word, n in saved.items() if n > 0}, TOXIC_PIECE)
+    return toxic, ordinary
+
+
+def _trained(size: int, counts: dict[bytes, int], piece: int) -> bytes:
+    """A dictionary trained on windows, each as often as counted, in an order of no meaning; windows
+    too few for the trainer are the dictionary themselves."""
+    # Short words are repeated so that the trainer sees them whole, with a space on each side.
+    samples = [b" " + (w + b" ") * max(2, -(-16 // (len(w) + 1))) for w, n in counts.items() for _ in range(n)]
+    random.Random(size).shuffle(samples)
     try:
-        return zstandard.train_dictionary(size, samples, level=3).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=piece, d=GROUP, level=3).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
@@ -136,9 +149,9 @@ def classify(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> D
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters(
-        window_log=15,
-        hash_log=15,
-        chain_log=16,
+        window_log=20,
+        hash_log=19,
+        chain_log=19,
         search_log=9,
         min_match=4,
         target_length=64,
@@ -174,13 +187,19 @@ class WindowDistance:
                 young[word] = old[word]
             else:
                 fresh.append(word)
-        if fresh:
-            framed = [LEAD + word + TAIL for word in fresh]
+        young.update(self.lengths(fresh))
+        return [[saved for word in words if (saved := young[word])] for words in documents]
+
+
+    def lengths(self, windows: list[bytes]) -> dict[bytes, int]:
+        """What the toxic dictionary saves of each window."""
+        saved = {}
+        for some in itertools.batched(windows, AT_ONCE):
+            framed = [LEAD + window + TAIL for window in some]
             ordinary = self._ordinary.multi_compress_to_buffer(framed, threads=1)
             toxic = self._toxic.multi_compress_to_buffer(framed, threads=1)
-            for i, word in enumerate(fresh):
-                young[word] = len(ordinary[i]) - len(toxic[i])
-        return [[saved for word in words if (saved := young[word])] for words in documents]
+            saved |= {window: len(ordinary[i]) - len(toxic[i]) for i, window in enumerate(some)}
+        return saved
 
 
 def _features(saved: list[int], n_words: int) -> list[float]:

@@ -379,6 +379,56 @@ def test_toxic_documents_are_told_apart(spark):
     assert scores[900] == scores[901] < 0.5 and all(0 <= s <= 1 for s in scores.values())
 
 
+def test_window_lengths_are_those_of_single_compressions():
+    """Windows compressed together and remembered save what each saves when compressed alone."""
+    rng = random.Random(19)
+    toxic, ordinary = [" ".join(words(rng, 40) for _ in range(20)).encode() for _ in range(2)]
+    model = toxicity.ToxicityModel(toxic, ordinary, ())
+    texts = [words(rng, 30).encode().split() + toxic.split()[i : i + 20] for i in range(0, 200, 20)]
+    lead, tail = toxicity.LEAD, toxicity.TAIL
+    alone = [toxicity._compressor(c + ordinary + lead + tail) for c in (b"", toxic)]
+
+    def saved(word):
+        one, two = [len(c.compress(lead + word + tail)) for c in alone]
+        return one - two
+
+    distance = toxicity.WindowDistance(model)
+    for _ in range(2):
+        got = distance.of(texts)
+        assert got == [[n for w in ws if (n := saved(w))] for ws in texts] and any(got)
+    assert distance.lengths([]) == {}
+
+
+def test_dictionaries_part_in_rounds():
+    """What both classes use ends up in the ordinary dictionary; the toxic one keeps its own words."""
+    rng = random.Random(20)
+    shared = {w.encode(): rng.randint(2, 60) for w in words(rng, 900).split()}
+    own = {b"quxhead": 40, b"znitwort": 25, b"blorgface": 30}
+    toxic, ordinary = toxicity._dictionaries({0: shared, 1: shared | own}, 65_536, 300_000, 3)
+    saved = toxicity.WindowDistance(toxicity.ToxicityModel(toxic, ordinary, ())).lengths([*shared, *own])
+    assert all(saved[w] > 0 for w in own) and sum(saved[w] > 0 for w in shared) < 0.02 * len(shared)
+
+
+def test_many_rare_insults(spark):
+    """150 insults, two in each toxic document, so each in about 1.3 % of them."""
+    rng = random.Random(21)
+    insults = ["".join(rng.choice("kvwxyz") + rng.choice("ou") for _ in range(rng.randint(3, 4))) for _ in range(150)]
+    rows, labels = [], []
+    for i in range(2400):
+        text, toxic = words(rng, rng.randint(20, 60)).split(), i % 2
+        for _ in range(2 * toxic):
+            text.insert(rng.randrange(len(text)), rng.choice(insults))
+        rows.append((i, " ".join(text), "s"))
+        labels.append((i, toxic))
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame([x for x in labels if x[0] % 8 > 1], "doc_id long, toxic int"))
+    found = {r.doc_id: r.toxic_predicted for r in toxicity.classify(docs, model).collect()}
+    held = [x for x in labels if x[0] % 8 <= 1]
+    caught = sum(found[i] for i, y in held if y) / sum(y for _, y in held)
+    false = sum(found[i] for i, y in held if not y) / sum(1 - y for _, y in held)
+    assert caught > 0.9 and false < 0.05, (caught, false)
+
+
 @pytest.mark.parametrize("labels, score", [([], 0.0), ([(1, 0)], 0.0), ([(1, 1)], 1.0)])
 def test_toxicity_without_both_classes(spark, labels, score):
     docs = documents(spark, [(1, "some words", "s"), (2, None, "s")])
