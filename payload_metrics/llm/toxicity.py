@@ -26,11 +26,11 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +42,9 @@ LEAD, TAIL = b"\x01\x02lead-in of words\x03 ", b" \x04tail of words\x05"
 SAVED = (1, 2, 3, 4)
 #: Lengths of the byte groups that the trainer counts, and of the pieces it puts together from them.
 GROUP, TOXIC_PIECE, ORDINARY_PIECE = 6, 14, 32
-REMEMBERED = 250_000
-AT_ONCE = 50_000
-CHUNK = 200
+REMEMBERED = 80_000
+AT_ONCE = 20_000
+CHUNK = 100
 
 
 @dataclass(frozen=True)
@@ -83,7 +83,7 @@ def train(
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) != 0
     toxic, ordinary = _dictionaries(_windows(sample.where(part), windows), toxic_bytes, ordinary_bytes, rounds)
     model = ToxicityModel(toxic, ordinary, ())
-    features = F.pandas_udf(_scorer(model), "array<double>")
+    features = F.arrow_udf(_scorer(model), "array<double>")
     rows = sample.select("y", (~part).alias("held"), features("text").alias("x")).collect()
     discard(spark, path)
     held = [r for r in rows if r.held]
@@ -136,12 +136,12 @@ def score(text: Column, model: ToxicityModel) -> Column:
     """Probability that ``text`` is toxic."""
     if model.constant:
         return F.lit(model.weights[0])
-    features = F.pandas_udf(_scorer(model), "double")
+    features = F.arrow_udf(_scorer(model), "double")
     return features(F.coalesce(text, F.lit("")))
 
 
 def classify(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """``docs`` with ``toxic_score`` and ``toxic_predicted``."""
+    """``docs`` with ``toxic_score`` and ``toxic_predicted``; columns of these names are replaced."""
     scored = docs.withColumn("toxic_score", score(F.col("text"), model))
     return scored.withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
 
@@ -149,8 +149,8 @@ def classify(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> D
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters(
-        window_log=20,
-        hash_log=19,
+        window_log=19,
+        hash_log=18,
         chain_log=19,
         search_log=9,
         min_match=4,
@@ -221,21 +221,20 @@ def _distance(model: ToxicityModel) -> WindowDistance:
     return _distances[model]
 
 
-def _scorer(model: ToxicityModel) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+def _scorer(model: ToxicityModel) -> Callable[[pa.Array], pa.Array]:
     """Features of each text, or its probability once the model has weights."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: pa.Array) -> pa.Array:
         distance, weights = _distance(model), np.array(model.weights)
-        for texts in batches:
-            rows = []
-            for chunk in itertools.batched(texts, CHUNK):
-                words = [text.lower().encode().split() for text in chunk]
-                rows += [_features(s, len(w)) for s, w in zip(distance.of(words), words)]
-            if not len(weights):
-                yield pd.Series(rows)
-                continue
-            x = np.array(rows).reshape(len(rows), len(weights) - 1)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        rows = []
+        # A few texts at a time are taken out of the batch.
+        for start in range(0, len(texts), CHUNK):
+            words = [text.lower().encode().split() for text in texts.slice(start, CHUNK).to_pylist()]
+            rows += [_features(s, len(w)) for s, w in zip(distance.of(words), words)]
+        if not len(weights):
+            return pa.array(rows, pa.list_(pa.float64()))
+        x = np.array(rows).reshape(len(rows), len(weights) - 1)
+        return pa.array(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return run

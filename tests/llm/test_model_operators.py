@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from payload_metrics.llm import hidden_markov, packing, prefix_forest, quality, warc
 from payload_metrics.llm.common import DOCUMENT_COLUMNS, new_folder, tokenizer_path
+from payload_metrics.llm.queries import QUERIES
 from payload_metrics.sources.tables import stage
 
 
@@ -314,3 +315,30 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     ]:
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_on_empty_tables(spark, tmp_path, name):
+    """Every query runs on tables without a row and gives none."""
+    schemas = {
+        "documents": "doc_id long, text string, lang string, source string, n_chars long",
+        "labels": "doc_id long, quality int, toxic int",
+        "benchmark": "item_id long, text string",
+        "pages": "page_id long, url string, html string",
+        "embeddings": "vec_id long, embedding array<float>, label int",
+    }
+    for table, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def test_scores_of_the_markov_model_beside_clashing_columns(spark):
+    """Columns of the operator's own names do not get in its way."""
+    rows = [(i, f"a b c {'d' * (i % 3 + 1)}", 7, 7.0, "x") for i in range(12)] + [(99, None, 1, 1.0, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, score double, word string")
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    vocab = hidden_markov.vocabulary(plain)
+    scored = hidden_markov.score(docs.withColumn("text", F.coalesce("text", F.lit(""))), vocab, hidden_markov.train(plain, vocab))
+    same = hidden_markov.score(plain, vocab, hidden_markov.train(plain, vocab))
+    want = {r["doc_id"]: r["n_tokens"] for r in same.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in scored.select(*same.columns).collect()} == want
