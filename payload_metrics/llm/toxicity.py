@@ -44,6 +44,7 @@ SAVED = (1, 2, 3, 4)
 GROUP, TOXIC_PIECE, ORDINARY_PIECE = 6, 14, 32
 REMEMBERED = 80_000
 AT_ONCE = 20_000
+LEAST_CONTENT = 32_768
 CHUNK = 100
 
 
@@ -147,6 +148,8 @@ def classify(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> D
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    # Below 16 KB zstandard matches in another way, which would tell dictionaries apart by their size.
+    content = content.rjust(LEAST_CONTENT, b"\0")
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters(
         window_log=19,
