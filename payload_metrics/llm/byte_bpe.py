@@ -44,6 +44,19 @@ DONE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, LED, LAST_ONE, LAST_TWO = ra
 STATES = 8
 # The endings of contractions.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
+# Code points that became letters or numbers after Unicode 16, the tokenizer's version.
+AFTER_16 = [
+    (0x0558, 0x0558), (0x058b, 0x058c), (0x088f, 0x088f), (0x0c5c, 0x0c5c), (0x0cdc, 0x0cdc), (0x208f, 0x208f),
+    (0x209d, 0x209f), (0xa7ce, 0xa7cf), (0xa7d2, 0xa7d2), (0xa7d4, 0xa7d4), (0xa7dd, 0xa7dd), (0xa7e2, 0xa7e2),
+    (0xa7f1, 0xa7f1), (0xab6c, 0xab6d), (0x107bb, 0x107bf), (0x10940, 0x10959), (0x10ec5, 0x10ec7),
+    (0x10ed9, 0x10eee), (0x11b0a, 0x11b0a), (0x11db0, 0x11ddb), (0x11de0, 0x11de9), (0x11df1, 0x11df1),
+    (0x1246f, 0x1246f), (0x12475, 0x1247f), (0x12550, 0x12686), (0x16ea0, 0x16eb8), (0x16ebb, 0x16ed3),
+    (0x16ff2, 0x16ff6), (0x187f8, 0x187ff), (0x18cd6, 0x18cda), (0x18d09, 0x18d20), (0x18d80, 0x18df2),
+    (0x18e00, 0x19191), (0x191a0, 0x191d2), (0x1b123, 0x1b128), (0x1b168, 0x1b168), (0x1d6a6, 0x1d6a6),
+    (0x1df1f, 0x1df24), (0x1df2b, 0x1df81), (0x1df90, 0x1df96), (0x1dfcd, 0x1dfff), (0x1e6c0, 0x1e6de),
+    (0x1e6e0, 0x1e6e2), (0x1e6e4, 0x1e6e5), (0x1e6e7, 0x1e6ed), (0x1e6f0, 0x1e6f4), (0x1e6fe, 0x1e6ff),
+    (0x2b73a, 0x2b73f), (0x2b81e, 0x2b81e), (0x2cea2, 0x2cead), (0x323b0, 0x33479), (0x3d000, 0x3fc3f),
+]
 LANE = 256
 BYTES_AT_ONCE = 1 << 19
 TOKENS_AT_ONCE = 1 << 17
@@ -57,7 +70,7 @@ ENCODED_ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("ends", pa.list_(pa.i
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """The class of every code point."""
-    import regex  # for its properties, which are of the same Unicode version as the tokenizer's
+    import regex  # for its properties, which are of a later Unicode version than the tokenizer's
 
     table = np.full(0x110000, OTHER, dtype=np.uint8)
     # Every code point but surrogates, which no text holds.
@@ -65,6 +78,8 @@ def classes() -> np.ndarray:
     for category, number in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACES)):
         for found in regex.finditer(category, every):
             table[ord(found[0][0]) : ord(found[0][-1]) + 1] = number
+    for first, last in AFTER_16:
+        table[first : last + 1] = OTHER
     return table
 
 
