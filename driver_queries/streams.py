@@ -11,11 +11,11 @@ from driver_queries import query
 from driver_queries.deltas import _HASHED, _REPLAY, KEYS
 from driver_queries.inputs import TIME_TEXT, spec, table
 from driver_queries.mapping import BUCKETS, BY_TYPE
-from payload_metrics.operators.dedupe import fingerprint
+from payload_metrics.operators.dedupe import RECORD_ORDER, fingerprint
 from payload_metrics.operators.extract import typed_records
 from payload_metrics.operators.fields import fields_of
 from payload_metrics.sources.outputs import FingerprintLog, PointLog
-from payload_metrics.sources.tables import shared_folder
+from payload_metrics.sources.tables import folder_names, shared_folder
 from payload_metrics.streaming import streams
 
 
@@ -78,7 +78,9 @@ def stream_extract(spark, sf_dir):
 @query(f"{_REPLAY} SELECT event_id, hash FROM r WHERE emitted")
 def stream_dedupe(spark, sf_dir):
     """Exact TTL dedupe with keyed state."""
-    return _exact(_typed_stream(spark, sf_dir))
+    # One file is read by few tasks, so its rows are dealt to all before they are hashed.
+    rows = _event_stream(spark, sf_dir).repartition("event_id")
+    return _exact(typed_records(rows, "events", order_by="event_id", fetched_at=F.col("ts")))
 
 
 @query(f"{_REPLAY} SELECT event_id, hash FROM r WHERE emitted")
@@ -87,23 +89,47 @@ def stream_dedupe_batches(spark, sf_dir):
     return _exact(_typed(_in_parts(spark, sf_dir, [(1, 8), (9, 16), (17, 24), (25, 31)])))
 
 
-def _in_parts(spark: SparkSession, sf_dir: str, days: list[tuple[int, int]]) -> DataFrame:
-    """Events of ranges of days, one file per range, as a stream that reads them in the order of time."""
+#: Rows of a range of days that go to one file, on average.
+ROWS_A_FILE = 100_000
+
+
+def _in_parts(spark: SparkSession, sf_dir: str, days: list[tuple[int, int]], in_order: bool = False) -> DataFrame:
+    """Events of ranges of days as a stream that reads one range after the other.
+
+    Every range is dealt to the same number of files, so that it takes as many tasks as it has rows
+    for. With ``in_order`` it is one file, whose rows come sorted.
+    """
     folder, rows = f"{_folder(spark)}/in", table(spark, sf_dir, "events")
+    files = 1 if in_order else 1 + rows.count() // (len(days) * ROWS_A_FILE)
     day = F.dayofmonth(F.col("ts").cast("timestamp"))
-    for low, high in days:
-        part = rows.where(day.between(low, high)).coalesce(1).sortWithinPartitions("ts", "event_id")
-        part.write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    for done, (low, high) in enumerate(days):
+        part = rows.where(day.between(low, high))
+        part = part.coalesce(1) if files == 1 else part.repartition(files)
+        part.sortWithinPartitions("ts", "event_id").write.mode("append").parquet(folder)
+        _fill_up(rows, folder, files * (done + 1))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def _fill_up(rows: DataFrame, folder: str, files: int) -> None:
+    """Adds empty files up to a number: a task without rows writes none, and a batch that takes too
+    few would go on with those of the next range."""
+    written = [name for name in folder_names(rows.sparkSession, folder) if name.startswith("part-")]
+    for _ in range(files - len(written)):
+        rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
 
 
 def _exact(records: DataFrame) -> DataFrame:
-    """Drains the exact dedupe with the state store it needs, and gives the session's own back."""
+    """Drains the exact dedupe with the state store it needs, and gives the session's own back.
+
+    Beside the hash only time, order and the field that is read behind it pass through the state.
+    """
     conf, key = records.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    config = spec(deltaDetection=KEYS | {"ttlSeconds": 86400})
+    slim = fingerprint(records, config).select("hash", *RECORD_ORDER, F.struct("record.event_id").alias("record"))
     before = conf.get(key, None)
     conf.set(key, streams.ROCKSDB)
     try:
-        kept = streams.exact_dedupe(records, spec(deltaDetection=KEYS | {"ttlSeconds": 86400}))
+        kept = streams.exact_dedupe(slim, config)
         return _drain(kept.select(F.col("record.event_id").alias("event_id"), "hash"))
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
@@ -135,7 +161,7 @@ def stream_dedupe_coarse(spark, sf_dir):
     """Built-in TTL dedupe in several micro-batches: a key is emitted again in a batch that starts
     after its state went."""
     config = spec(deltaDetection=KEYS | {"ttlSeconds": 86400})
-    kept = streams.coarse_dedupe(_typed(_in_parts(spark, sf_dir, _COARSE_DAYS)), config)
+    kept = streams.coarse_dedupe(_typed(_in_parts(spark, sf_dir, _COARSE_DAYS, in_order=True)), config)
     day = F.dayofmonth("fetched_at")
     batch = F.lit(0)
     for i, (low, _) in enumerate(_COARSE_DAYS):

@@ -6,10 +6,9 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -49,13 +48,17 @@ def exact_dedupe(records: DataFrame, spec: SourceSpec, late: str | None = None)
     a frequent fingerprint does not send all its rows to one task. Rows later than ``late`` (the TTL
     if not given) are dropped. A state goes once the watermark has passed the TTL of its emission,
     since whatever comes then is emitted anyway. Rows without a time come before all others.
+
+    Every column of a row passes through Python and back. Records that were fingerprinted before
+    keep their ``hash`` and may be cut to the fields that are used behind it.
     """
     ttl = spec.deltaDetection.ttl()
     seconds = F.coalesce(F.unix_seconds("fetched_at"), F.lit(0).cast("bigint"))
-    hashed = fingerprint(records, spec).withColumn("seen_at", seconds)
+    hashed = records if "hash" in records.columns else fingerprint(records, spec)
+    hashed = hashed.withColumn("seen_at", seconds)
     combined = hashed.mapInArrow(_first_per_second, hashed.schema)
     # A watermark set before the Arrow step would not drop late rows behind it.
-    kept = combined.withWatermark("fetched_at", late or f"{ttl} seconds").groupBy("hash").transformWithStateInPandas(
+    kept = combined.withWatermark("fetched_at", late or f"{ttl} seconds").groupBy("hash").transformWithState(
         statefulProcessor=_LastEmission(ttl),
         outputStructType=hashed.schema,
         outputMode="Append",
@@ -79,8 +82,17 @@ def _first_per_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield batch.take(order.filter(pa.array(fresh)))
 
 
+def _in_order(row: Row) -> list[tuple]:
+    """By ``RECORD_ORDER``, nulls first."""
+    return [(row[name] is not None, row[name]) for name in RECORD_ORDER]
+
+
 class _LastEmission(StatefulProcessor):
-    """Keeps the second of a fingerprint's last emission until the watermark makes it useless."""
+    """Keeps the second of a fingerprint's last emission until the watermark makes it useless.
+
+    It takes plain rows: most fingerprints have few in a batch, and a frame for each would cost
+    far more than its rows.
+    """
 
     def __init__(self, ttl: int):
         self._ttl = ttl
@@ -89,28 +101,26 @@ class _LastEmission(StatefulProcessor):
         schema = T.StructType([T.StructField("at", T.LongType())])
         self._handle, self._last = handle, handle.getValueState("last_emission", schema)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # Only the first row of a second can be emitted, so the rows held are bounded by the
         # seconds a micro-batch spans, not by its repeats.
-        first = None
-        for frame in rows:
-            frame = frame if first is None else pd.concat([first, frame], ignore_index=True)
-            ordered = frame.sort_values(["seen_at", *RECORD_ORDER], na_position="first")
-            first = ordered.drop_duplicates("seen_at")
-        times = first["seen_at"].to_numpy(dtype=np.int64)
+        first = {}
+        for row in rows:
+            held = first.get(row["seen_at"])
+            if held is None or _in_order(row) < _in_order(held):
+                first[row["seen_at"]] = row
         state = self._last.get()
-        at = 0 if state is None else np.searchsorted(times, state[0] + self._ttl, side="right")
-        emitted = []
-        while at < len(times):
-            emitted.append(at)
-            at = np.searchsorted(times, times[at] + self._ttl, side="right")
+        last, emitted = None if state is None else state[0], []
+        for at in sorted(first):
+            if last is None or at > last + self._ttl:
+                emitted.append(first[at])
+                last = at
         if emitted:
-            last = int(times[emitted[-1]])
             self._last.update((last,))
             self._handle.registerTimer(self._useless_from(last))
-            yield first.iloc[emitted]
+        return iter(emitted)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self._last.get()
         # A later emission has a timer of its own.
         if state is not None and self._useless_from(state[0]) <= expiredTimerInfo.getExpiryTimeInMs():

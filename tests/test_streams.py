@@ -9,8 +9,10 @@ from datetime import datetime, timezone
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from payload_metrics.operators.dedupe import RECORD_ORDER, fingerprint
 from payload_metrics.operators.extract import extract_selected, selected_records, typed_records
 from payload_metrics.operators.metrics import metric_points, series_text
 from payload_metrics.sources.outputs import FingerprintLog, PointLog
@@ -384,3 +386,71 @@ def test_snapshots_are_pruned_by_day(spark, tmp_path):
     alive = log.touched(source="s", alive_at=6 * day)
     plan = alive._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan and alive.count() == 3
+
+
+def test_exact_dedupe_of_cut_records(spark, tmp_path, rocksdb):
+    """Records that have a hash may be cut to less than it was made of; whole numbers stay exact
+    beside nulls."""
+    rows = [*rows_in_time_order(60, 4, 200, seed=3), (2**53 + 1, 500, 9, None)]
+    land(spark, f"{tmp_path}/in", rows)
+    hashed = fingerprint(open_stream(spark, f"{tmp_path}/in"), make())
+    big = F.when(F.col("record.pos") > 100, F.col("record.pos")).alias("big")
+    slim = hashed.select("hash", *RECORD_ORDER, F.struct("record.pos", big).alias("record"))
+    got = drain(streams.exact_dedupe(slim, make()).select("record.*"), tmp_path).collect()
+    assert sorted(r["pos"] for r in got) == greedy([r[:3] for r in rows], TTL)
+    assert [r["big"] for r in got if r["big"] is not None] == [2**53 + 1]
+
+
+def test_a_fingerprint_costs_little_in_python():
+    """Most fingerprints have few rows in a batch: 20,000 of them in a few seconds at most."""
+
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        timers = 0
+
+        def getValueState(self, name, schema):
+            return State()
+
+        def registerTimer(self, at):
+            self.timers += 1
+
+    row, keeper, handle = Row("seen_at", *RECORD_ORDER), streams._LastEmission(TTL), Handle()
+    began, emitted = time.process_time(), []
+    for key in range(20_000):
+        keeper.init(handle)
+        rows = [row(at, None if at == 7 else at, "", pos) for at, pos in ((30, key), (5, 3), (5, 2), (26, 1), (7, 0))]
+        emitted.append([r["record_pos"] for r in keeper.handleInputRows((key,), iter(rows), None)])
+    assert time.process_time() - began < 10
+    # Seconds 7 and 30 lie within the TTL of 5 and 26.
+    assert emitted == [[2, 1]] * 20_000 and handle.timers == 20_000
+
+
+def test_ranges_of_days_in_several_files(spark, tmp_path, monkeypatch):
+    """Every batch takes all files of its range and no others, also where a range has fewer rows
+    than files; before, a range was one file and so a task."""
+    from driver_queries import streams as queries
+
+    monkeypatch.setattr(queries, "ROWS_A_FILE", 4)
+    stamp = F.timestamp_seconds(F.lit(1704067200) + F.col("day") * 86400)
+    days = [(i, day) for i, day in enumerate([0] * 20 + [9] * 2 + [20] * 26)]
+    rows = spark.createDataFrame(days, "event_id bigint, day bigint").withColumn("ts", stamp)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+
+    def batch(df, batch_id):
+        found = df.select("day", F.input_file_name().alias("file")).collect()
+        seen.append((len({r["file"] for r in found}), sorted(r["day"] for r in found)))
+
+    parts = queries._in_parts(spark, str(tmp_path), [(1, 8), (9, 16), (17, 31)])
+    writer = parts.writeStream.foreachBatch(batch).option("checkpointLocation", f"{tmp_path}/c")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert [found for _, found in seen] == [[0] * 20, [9] * 2, [20] * 26]
+    assert seen[0][0] > 1 and seen[2][0] > 1
