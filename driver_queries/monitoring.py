@@ -274,16 +274,18 @@ def _grid_sql(sums: str, names: list[str], seconds: int, end: str | int | None =
     )
 
 
-def _fired_sql(grid: str, condition: str, hold: int, now: int | None = None, step: int = HOUR) -> str:
-    """Runs of hourly rows at which the condition has held for ``hold`` seconds."""
+def _steps_sql(grid: str, condition: str, hold: int, columns: str, step: int = HOUR) -> str:
+    """Every row of ``grid``, whether the condition has held there for ``hold`` seconds, and while it
+    has, since when, from when it fires and until when, NULL if to the end of the grid."""
     frame = f"(PARTITION BY source ORDER BY step_end RANGE BETWEEN {hold} PRECEDING AND CURRENT ROW)"
-    until = f"max(step_end) + {step}"
     return (
-        f"SELECT source, min(step_end) - {hold} AS since, min(step_end) AS fires_from, "
-        f"{until if now is None else f'CASE WHEN max(step_end) < {now} THEN {until} END'} AS until "
-        f"FROM (SELECT *, step_end - {step} * row_number() OVER (PARTITION BY source ORDER BY step_end) AS island FROM ("
-        f"SELECT source, step_end, bool_and(coalesce({condition}, false)) OVER w AND step_end - min(step_end) OVER w >= {hold} "
-        f"AS firing FROM {grid} WINDOW w AS {frame}) WHERE firing) GROUP BY source, island"
+        f"SELECT source, step_end, {columns}, firing, CASE WHEN firing THEN min(step_end) OVER s - {hold} END AS since, "
+        "CASE WHEN firing THEN min(step_end) OVER s END AS fires_from, "
+        f"CASE WHEN firing AND max(step_end) OVER s < last THEN max(step_end) OVER s + {step} END AS until "
+        "FROM (SELECT *, max(step_end) OVER (PARTITION BY source) AS last, "
+        f"step_end - {step} * row_number() OVER (PARTITION BY source, firing ORDER BY step_end) AS island FROM ("
+        f"SELECT *, bool_and(coalesce({condition}, false)) OVER w AND step_end - min(step_end) OVER w >= {hold} "
+        f"AS firing FROM {grid} WINDOW w AS {frame})) WINDOW s AS (PARTITION BY source, firing, island)"
     )
 
 
@@ -302,16 +304,17 @@ def run_changes(spark, sf_dir):
     return monitor.run_changes(_runs(spark, sf_dir), seconds=24 * HOUR, step=HOUR)
 
 
-@query(_fired_sql(_RUN_GRID, "CASE WHEN runs > 0 THEN errors / runs END > 0.1", 12 * HOUR))
+@query(_steps_sql(_RUN_GRID, "CASE WHEN runs > 0 THEN errors / runs END > 0.1", 12 * HOUR, "runs, errors"))
 def alert_error_ratio(spark, sf_dir):
-    return monitor.alert_error_ratio(_runs(spark, sf_dir), seconds=24 * HOUR, hold=12 * HOUR, step=HOUR)
+    """Runs, failures and the state of the alert at every hour."""
+    return monitor.alert_error_ratio(_runs(spark, sf_dir), seconds=24 * HOUR, hold=12 * HOUR, step=HOUR, every_step=True)
 
 
 _SLOW_COUNTS = ["b0", "b1", "b2"]
 
 
 @query(
-    _fired_sql(
+    _steps_sql(
         "(SELECT *, CASE WHEN n > 0 THEN "
         + _quantile_sql(0.95, "n", _SLOW_COUNTS)
         + " END AS p FROM "
@@ -324,20 +327,33 @@ _SLOW_COUNTS = ["b0", "b1", "b2"]
         + ")",
         "p > 60",
         12 * HOUR,
+        "round(p, 6) AS p",
     )
 )
 def alert_slow(spark, sf_dir):
-    return monitor.alert_slow(_runs(spark, sf_dir), bounds=BOUNDS, seconds=48 * HOUR, hold=12 * HOUR, step=HOUR)
+    """The quantile and the state of the alert at every hour."""
+    slow = monitor.alert_slow(
+        _runs(spark, sf_dir), bounds=BOUNDS, seconds=48 * HOUR, hold=12 * HOUR, step=HOUR, every_step=True
+    )
+    return slow.withColumn("p", F.round("p", 6))
 
 
 @query(
-    _fired_sql(
-        _grid_sql("CAST(sum(misses) AS BIGINT) AS misses", ["misses"], 3 * HOUR, NOW), "misses = 0", 6 * HOUR, NOW
+    _steps_sql(
+        _grid_sql(
+            "CAST(sum(misses) AS BIGINT) AS misses", ["misses"], 3 * HOUR, f"greatest(max(step_end) + {3 * HOUR}, {NOW})"
+        ),
+        "misses = 0",
+        6 * HOUR,
+        "misses",
     )
 )
 def alert_stalled(spark, sf_dir):
-    """The sources that are still stalled have no end."""
-    return monitor.alert_stalled(_runs(spark, sf_dir), seconds=3 * HOUR, hold=6 * HOUR, step=HOUR, now=NOW)
+    """New records and the state of the alert at every hour, up to ``NOW`` at least. The sources that
+    are still stalled have no end."""
+    return monitor.alert_stalled(
+        _runs(spark, sf_dir), seconds=3 * HOUR, hold=6 * HOUR, step=HOUR, now=NOW, every_step=True
+    )
 
 
 @query(

@@ -330,6 +330,38 @@ def firing(changes: DataFrame, condition: Column, hold: int, now: int | None = N
     return found.where(F.col("fires_from") <= now).select("source", "since", "fires_from", until)
 
 
+def firing_steps(changes: DataFrame, condition: Column, hold: int, step: int, now: int | None = None) -> DataFrame:
+    """The sums of ``changes`` at every step, whether the alert is ``firing`` there, and while it does
+    ``since``, ``fires_from`` and ``until`` as ``firing`` has them.
+
+    ``step_end`` goes from a source's first change to its last or, if that is later, to ``now``;
+    ``until`` is NULL if the alert still fires at the last step. A row per source and step: the
+    result grows with the time covered, but all that is shuffled and sorted are the changes.
+    """
+    in_turn, backwards = Window.partitionBy("source").orderBy("at"), Window.partitionBy("source").orderBy(F.desc("at"))
+    so_far = in_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to_come = backwards.rowsBetween(Window.unboundedPreceding, -1)
+    shown = [name for name in changes.columns if name not in ("source", "at", "until")]
+    marked = changes.where("at IS NOT NULL").withColumn("_true", F.coalesce(condition, F.lit(False)))
+    turned = marked.withColumn("_was", F.lag("_true", 1, False).over(in_turn))
+    turned = turned.withColumn("_since", F.max(F.when(F.expr("_true AND NOT _was"), F.col("at"))).over(so_far))
+    turned = turned.withColumn("_ended", F.min(F.when(F.expr("_was AND NOT _true"), F.col("at"))).over(to_come))
+    at, size = F.col("at"), F.lit(step).cast("bigint")
+    last = at if now is None else F.greatest(at, F.lit(now // step * step).cast("bigint"))
+    every = F.explode(F.sequence(at, F.coalesce(F.col("until") - size, last), size)).alias("step_end")
+    fires_from = F.col("_since") + hold
+    full = turned.select("source", every, *shown, "_true", "_since", "_ended")
+    full = full.withColumn("firing", F.col("_true") & (F.col("step_end") >= fires_from))
+    spell = {"since": F.col("_since"), "fires_from": fires_from, "until": F.col("_ended")}
+    return full.select("source", "step_end", *shown, "firing", *[F.when(F.col("firing"), c).alias(n) for n, c in spell.items()])
+
+
+def _alert(
+    changes: DataFrame, condition: Column, hold: int, step: int, now: int | None, every_step: bool
+) -> DataFrame:
+    return firing_steps(changes, condition, hold, step, now) if every_step else firing(changes, condition, hold, now)
+
+
 def alert_error_ratio(
     runs: DataFrame,
     threshold: float = 0.1,
@@ -337,11 +369,13 @@ def alert_error_ratio(
     hold: int = 300,
     step: int = 60,
     now: int | None = None,
+    every_step: bool = False,
 ) -> DataFrame:
-    """Firing times of: more than ``threshold`` of the runs of the last ``seconds`` failed."""
+    """Firing times of: more than ``threshold`` of the runs of the last ``seconds`` failed. With
+    ``every_step``, the runs, the failed ones and the state of the alert at all steps."""
     changes = run_changes(runs, seconds, step)
     ratio = F.when(F.col("runs") > 0, F.col("errors") / F.col("runs"))
-    return firing(changes, ratio > threshold, hold, now)
+    return _alert(changes, ratio > threshold, hold, step, now, every_step)
 
 
 def alert_slow(
@@ -353,8 +387,10 @@ def alert_slow(
     hold: int = 600,
     step: int = 60,
     now: int | None = None,
+    every_step: bool = False,
 ) -> DataFrame:
-    """Firing times of: the ``q`` quantile of the durations of the last ``seconds`` is above ``limit``."""
+    """Firing times of: the ``q`` quantile of the durations of the last ``seconds`` is above ``limit``.
+    With ``every_step``, the quantile ``p`` and the state of the alert at all steps."""
     duration = run_duration()
     edges = [None, *bounds, None]
     values = {}
@@ -363,16 +399,23 @@ def alert_slow(
         below = F.lit(True) if high is None else duration <= high
         values[f"_b{i}"] = above & below
     changes = change_points(_at_end(runs), values, seconds, step)
-    return firing(changes, quantile([F.col(n) for n in values], bounds, q) > limit, hold, now)
+    valued = changes.withColumn("p", quantile([F.col(n) for n in values], bounds, q)).drop(*values)
+    return _alert(valued, F.col("p") > limit, hold, step, now, every_step)
 
 
 def alert_stalled(
-    runs: DataFrame, seconds: int = 900, hold: int = 1800, step: int = 60, now: int | None = None
+    runs: DataFrame,
+    seconds: int = 900,
+    hold: int = 1800,
+    step: int = 60,
+    now: int | None = None,
+    every_step: bool = False,
 ) -> DataFrame:
     """Firing times of: no new records in the last ``seconds``. A source that never runs again
-    fires from its last record on, if that lies before ``now``."""
+    fires from its last record on, if that lies before ``now``. With ``every_step``, the new records
+    and the state of the alert at all steps."""
     changes = change_points(_at_end(runs), {"misses": F.col("misses")}, seconds, step)
-    return firing(changes, F.col("misses") == 0, hold, now)
+    return _alert(changes, F.col("misses") == 0, hold, step, now, every_step)
 
 
 def _at_end(runs: DataFrame) -> DataFrame:

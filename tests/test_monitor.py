@@ -257,3 +257,35 @@ def test_cleanup_points_scan_once(spark):
     assert plan.count("Exchange") == 1 and plan.count("Scan ExistingRDD") == 1
     items = {p["attrs"]["job"]: p["value"] for p in points.where("metric = 'scraper_cleanup_items_total'").collect()}
     assert items == {"k": 0.0}
+
+
+@pytest.mark.parametrize("now", [None, 40_000])
+def test_alerts_at_every_step(spark, now):
+    """All steps with their sums, those at which nothing fires included, and the same firing times."""
+    rng = random.Random(7)
+    minutes, at = [], 0.0
+    for _ in range(60):
+        at += rng.choice([0, 0.3, 1, 1.7, 4, 30])
+        minutes.append(at)
+    rows = [run_row(i, m, rng.choice(["success", "error"]), misses=rng.choice([0, 0, 1])) for i, m in enumerate(minutes)]
+    epoch, frame = int(AT.timestamp()), runs(spark, rows)
+    events = [(epoch + round(m * 60), r) for m, r in zip(minutes, rows)]
+    first, last = events[0][0] // 60 * 60 + 60, events[-1][0] // 60 * 60 + 60 + 300
+    now = now and epoch + now
+    last = max(last, (now or 0) // 60 * 60)
+    sizes = {"seconds": 300, "hold": 240, "step": 60, "now": now}
+    got = monitor.alert_error_ratio(frame, threshold=0.3, every_step=True, **sizes).orderBy("step_end").collect()
+    assert [r["step_end"] for r in got] == list(range(first, last + 1, 60))
+    recent = [[r for at, r in events if t - 300 <= at < t] for t in range(first, last + 1, 60)]
+    assert [r["runs"] for r in got] == [len(x) for x in recent]
+    assert [r["errors"] for r in got] == [sum(r[3] == "error" for r in x) for x in recent]
+    spells = monitor.alert_error_ratio(frame, threshold=0.3, **sizes)
+    assert [r["step_end"] for r in got if r["firing"]] == firing(spells, last)
+    of_steps = {(r["since"], r["fires_from"], r["until"]) for r in got if r["firing"]}
+    assert of_steps == {tuple(r)[1:] for r in spells.collect()} and of_steps
+    assert {(r["since"], r["fires_from"], r["until"]) for r in got if not r["firing"]} == {(None, None, None)}
+    stalled = monitor.alert_stalled(frame, every_step=True, **sizes)
+    fires = [r["step_end"] for r in stalled.where("firing").orderBy("step_end").collect()]
+    assert fires == firing(monitor.alert_stalled(frame, **sizes), last) and fires
+    slow = monitor.alert_slow(frame, limit=0, every_step=True, **sizes)
+    assert slow.count() == len(got) and slow.where("firing").count() == len(firing(monitor.alert_slow(frame, limit=0, **sizes), last))
