@@ -359,13 +359,15 @@ def alert_stalled(spark, sf_dir):
 @query(
     f"SELECT {_window('ended_at', 600)} AS window_start, CASE WHEN api_type = 'range' THEN 'fingerprint_cleanup' "
     "ELSE 'orphan_cleanup' END AS job, round(sum(records) FILTER (status = 'success') / 600, 6) AS rate "
-    f"FROM {_RUNS} GROUP BY 1, 2 HAVING count(*) FILTER (status = 'success') > 0"
+    f"FROM {_RUNS} GROUP BY 1, 2"
 )
 def cleanup_rate(spark, sf_dir):
-    """Items per second, from the item counter of the clean-up points; there is none in windows
-    whose clean-ups all do not know their items."""
+    """Items per second, from the item counter of the clean-up points. Windows whose clean-ups all do
+    not know their items have no such point but one of the durations, and a rate of NULL."""
     points = monitor.cleanup_points(_cleanups(spark, sf_dir), every="10 minutes")
-    items = points.where(F.col("metric") == "scraper_cleanup_items_total").withColumn("job", F.col("attrs")["job"])
+    counter = F.col("metric") == "scraper_cleanup_items_total"
+    points = points.where(counter | (F.col("metric") == "scraper_cleanup_duration_seconds"))
+    items = points.select(F.col("attrs")["job"].alias("job"), "ts", F.when(counter, F.col("value")).alias("value"))
     return _start(monitor.counter_rate(items, ["job"], 600), "job", F.round("rate", 6).alias("rate"))
 
 

@@ -289,3 +289,15 @@ def test_alerts_at_every_step(spark, now):
     assert fires == firing(monitor.alert_stalled(frame, **sizes), last) and fires
     slow = monitor.alert_slow(frame, limit=0, every_step=True, **sizes)
     assert slow.count() == len(got) and slow.where("firing").count() == len(firing(monitor.alert_slow(frame, limit=0, **sizes), last))
+
+
+def test_rate_of_cleanups_that_know_nothing(spark, tmp_path):
+    """A window whose clean-ups all failed has a rate of NULL, and is not left out."""
+    from driver_queries import QUERIES, load_all
+
+    load_all()
+    rows = [(0, AT, 1, "error", 2.0, '{"k": 4}'), (1, AT + timedelta(hours=1), 1, "view", 2.0, '{"k": 6}')]
+    frame = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["cleanup_rate"](spark, str(tmp_path)).orderBy("window_start").collect()
+    assert [r["rate"] for r in got] == [None, 0.01]
