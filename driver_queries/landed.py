@@ -26,7 +26,11 @@ def _land(spark: SparkSession, sf_dir: str) -> str:
     page = (F.col("scrape_id").cast("int") * PAGES_PER_SCRAPE + F.col("window_id")).alias("window")
     pages = event_pages(spark, sf_dir).select(page, "payload")
     text = F.when(F.col("window") % 7 == 3, F.substring("payload", 1, 300)).otherwise(F.col("payload"))
-    pages.withColumn("payload", text).repartition("window").write.partitionBy("window").text(folder)
+    # A file costs a task the same whatever its size, so partitions are not merged by size. Every
+    # task moves its files into place; the driver would move all of them one by one.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    landing = pages.withColumn("payload", text).repartition(tasks, "window").write.partitionBy("window")
+    landing.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
     return folder
 
 

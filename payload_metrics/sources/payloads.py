@@ -11,6 +11,8 @@ PAYLOAD_SCHEMA = (
 )
 #: The number of a window in the path of its file.
 WINDOW_IN_NAME = r"(\d+)\.json$"
+#: Bytes of files that a micro-batch takes.
+BATCH_BYTES = 1 << 28
 
 
 def read_payload_files(
@@ -34,11 +36,19 @@ def stream_payload_files(
     source: str,
     scrape_id: str | None = None,
     window_pattern: str = WINDOW_IN_NAME,
-    max_files: int = 1000,
+    max_files: int | None = None,
 ) -> DataFrame:
-    """The same files as a stream over the folder they land in."""
+    """The same files as a stream over the folder they land in.
+
+    A micro-batch takes ``BATCH_BYTES`` of files, or ``max_files`` if given. Its jobs cost the same
+    for few files as for many, so batches of a number of small files would be mostly overhead.
+    """
     reader = spark.readStream.format("text").schema("value string").option("wholetext", True)
-    reader = reader.option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
+    reader = reader.option("recursiveFileLookup", True)
+    if max_files is None:
+        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
+    else:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     return _payloads(reader.load(path), source, scrape_id, window_pattern)
 
 

@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+LISTING_TASKS = 128
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """Settings the rules rely on: UTC times, and the last of repeated JSON keys wins."""
+    """Settings the rules rely on: UTC times, and the last of repeated JSON keys wins. Files are
+    listed by a bounded number of tasks, not by one for each file."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", LISTING_TASKS)
     return spark
 
 

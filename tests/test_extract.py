@@ -217,3 +217,20 @@ def test_payload_files_as_a_stream(spark, tmp_path):
         batch = read_payload_files(spark, str(landing), "s")
         assert got == sorted(map(str, batch.collect())) and batch.schema.simpleString().startswith("struct<source:string")
     assert len(got) == 4
+
+
+def test_small_files_share_a_batch(spark, tmp_path, monkeypatch):
+    """1,200 small files are one micro-batch; a bound on bytes makes more of them."""
+    from payload_metrics.sources import payloads
+
+    (tmp_path / "in").mkdir()
+    for i in range(1200):
+        (tmp_path / "in" / f"{i}.json").write_text('{"a": 1}')
+    for bound, batches in ((None, 1), (8 * 700, 2)):
+        if bound:
+            monkeypatch.setattr(payloads, "BATCH_BYTES", bound)
+        seen = []
+        stream = stream_payload_files(spark, f"{tmp_path}/in", "s", "1")
+        writer = stream.select("window_id").writeStream.foreachBatch(lambda df, i: seen.append(df.count()))
+        writer.option("checkpointLocation", f"{tmp_path}/{bound}").trigger(availableNow=True).start().awaitTermination()
+        assert len(seen) == batches and sum(seen) == 1200
